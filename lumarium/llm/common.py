@@ -21,8 +21,10 @@ LOWER[65:91] += 32
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """Table ``name`` of the folder. Arrow batches are kept to a few thousand rows, since texts may be long."""
+    """Table ``name`` of the folder. Arrow batches are kept to a few thousand rows, since texts may be long; shuffle files go
+    when the query that made them has ended, since the steps of an operator start from written tables."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -211,6 +213,28 @@ def count_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.n
     return out.reshape(-1)
 
 
+# ---------------------------------------------------------------- keys that occur more than once
+
+
+def neighbours(rows: DataFrame, key: str) -> DataFrame:
+    """Rows whose key stands in more than one row; the key comes first."""
+
+    def run(batches):
+        last, open_ = None, False  # the last row so far, and whether a row before it has its key
+        for b in batches:
+            t = pa.Table.from_batches([b] if last is None else [last, b])
+            value = t.column(0).to_numpy()
+            same = np.concatenate([[open_], value[1:] == value[:-1]])
+            keep = same | np.append(same[1:], False)
+            # the last row waits for the next batch, where it may find its equal
+            yield from t.slice(0, len(value) - 1).filter(pa.array(keep[:-1])).to_batches()
+            last, open_ = t.slice(len(value) - 1).combine_chunks().to_batches()[0], bool(same[-1])
+        if open_:
+            yield last
+
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, rows.schema)
+
+
 # ---------------------------------------------------------------- components
 
 
@@ -242,3 +266,30 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     # every edge now points from a node to the smallest of its component
     out = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return out.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+# ---------------------------------------------------------------- suffix sorting
+
+
+def prefix_sort(at: np.ndarray, keys: np.ndarray, step: int, levels: int) -> np.ndarray:
+    """Positions ``at`` in the order of their first ``step * levels`` symbols; ``keys[i]`` packs the ``step`` symbols from i on,
+    and is zero beyond the end. Only positions that tie on one level are compared on the next."""
+    if not len(at):
+        return at
+    order = at[np.argsort(keys[at], kind="stable")]
+    k = keys[order]
+    same = np.concatenate([[False], k[1:] == k[:-1], [False]])
+    where, group = np.arange(len(order)), np.cumsum(~same[:-1])
+    for level in range(1, levels):
+        tied = same[:-1] | same[1:]
+        where, group = where[tied], group[tied]
+        if not len(where):
+            break
+        sub = order[where]
+        k = keys[np.minimum(sub + level * step, len(keys) - 1)]
+        o = np.lexsort((k, group))
+        order[where] = sub[o]
+        k, group = k[o], group[o]
+        same = np.concatenate([[False], (k[1:] == k[:-1]) & (group[1:] == group[:-1]), [False]])
+        group = np.cumsum(~same[:-1])
+    return order

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import decontaminate, line_dedup, ngram_join, suffix_dedup, vector_join
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
+    "op7_suffix_decontamination": decontaminate.op7_suffix_decontamination,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_vector_join": vector_join.op10_vector_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_line_dedup": line_dedup.ORACLE}
