@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, ngram_join, suffix_dedup, vector_join
+from . import bpe, decontaminate, line_dedup, ngram_join, suffix_dedup, token_files, vector_join
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
+    "op4_bpe_chunks": bpe.op4_bpe_chunks,
+    "op5_token_files": token_files.op5_token_files,
     "op7_suffix_decontamination": decontaminate.op7_suffix_decontamination,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
