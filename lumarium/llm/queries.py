@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, line_dedup, ngram_join, suffix_dedup, token_files, vector_join
+from . import bpe, decontaminate, language_crf, line_dedup, ngram_join, pii, suffix_dedup, token_files, vector_join
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
+    "op2_language_crf": language_crf.op2_language_crf,
+    "op3_skip_chain_pii": pii.op3_skip_chain_pii,
     "op4_bpe_chunks": bpe.op4_bpe_chunks,
     "op5_token_files": token_files.op5_token_files,
     "op7_suffix_decontamination": decontaminate.op7_suffix_decontamination,
