@@ -3,8 +3,9 @@
 A document is the set of its distinct word shingles. Under any global order of shingles, two sets whose Jaccard similarity
 reaches the threshold share a shingle among the first ``n - ceil(t * n) + 1`` of each (its prefix). Three orders are used:
 all take shingles from rare to frequent by a count sketch of the whole corpus, and break ties by three different hashes.
-Prefixes of the first order are shuffled by shingle; a pair that meets there is verified only if its prefixes of the
-second and the third order meet too.
+Prefixes of the first order are shuffled by shingle; a pair that meets there is verified only if the parity bits of the
+two sets don't rule it out (they differ in no more places than the sets do) and its prefixes of the second and the third
+order meet too.
 
 Near copies are not expanded into all pairs. Equal sets count once. In each bucket (documents that share a prefix shingle)
 all members are first compared with one leader, the member whose prefix is most shared; then only with members of
@@ -75,9 +76,28 @@ def _blobs(values: np.ndarray, row: np.ndarray, n_rows: int) -> list[bytes]:
     return [values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def parity_bits(s: np.ndarray, row: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """For each set of n hashes, the parity of how many fall in each of 2**k places, with 2**k >= n (64 at least)."""
+    width = np.maximum(6, np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    cuts = np.concatenate([[0], np.cumsum(1 << width)])
+    place = cuts[row] + (s & ((np.uint64(1) << width[row].astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+    bits = np.packbits((np.bincount(place, minlength=cuts[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [bits[a:b] for a, b in zip((cuts[:-1] // 8).tolist(), (cuts[1:] // 8).tolist(), strict=True)]
+
+
+def _differences(a: bytes, b: bytes) -> int:
+    """Places in which two parity fields differ, the longer one folded to the length of the other."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) < len(y):
+        x, y = y, x
+    if len(x) > len(y):
+        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def set_table(docs: DataFrame, sketch, words: int, percent: int) -> DataFrame:
-    """(id, n, hi, lo, prefix): set size, 128-bit value of the set and its first prefix; the prefix only with the first
-    document of each set that a task meets."""
+    """(id, n, hi, lo, bits, prefix): set size, 128-bit value of the set, its parity bits and its first prefix; the last two
+    only with the first document of each set that a task meets."""
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
@@ -86,10 +106,7 @@ def set_table(docs: DataFrame, sketch, words: int, percent: int) -> DataFrame:
             for lo, hi, s, row in shingles(b.column(1), words):
                 m = hi - lo
                 n = np.bincount(row, minlength=m)
-                sums = np.zeros((2, m), np.uint64)
-                np.add.at(sums[0], row, C.mix(s + np.uint64(1)))
-                np.add.at(sums[1], row, C.mix(s ^ np.uint64(0x5851F42D4C957F2D)))
-                sums = C.mix(sums + n.astype(np.uint64)).view(np.int64)
+                sums = _set_values(s, row, n)
                 new = np.zeros(m, bool)
                 for i, key in enumerate(zip(sums[0].tolist(), sums[1].tolist(), strict=True)):
                     if n[i] and key not in seen:
@@ -97,51 +114,46 @@ def set_table(docs: DataFrame, sketch, words: int, percent: int) -> DataFrame:
                         new[i] = True
                 p, prow = prefixes(s, row, n, sketch.value, 0, percent)
                 keep = new[prow]
-                yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), _lists(p[keep], prow[keep], m)], ["id", "n", "hi", "lo", "prefix"])
+                bits = [x if k else None for x, k in zip(parity_bits(s, row, n), new.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array(bits, pa.binary()), _lists(p[keep], prow[keep], m)], ["id", "n", "hi", "lo", "bits", "prefix"])
 
-    return docs.mapInArrow(run, "id long, n long, hi long, lo long, prefix array<long>")
+    return docs.mapInArrow(run, "id long, n long, hi long, lo long, bits binary, prefix array<long>")
 
 
-def shared_tokens(sets: DataFrame) -> DataFrame:
-    """Distinct (token, hi, n) of prefix tokens that stand in more than one row."""
-    tokens = sets.select(F.explode("prefix").alias("token"), "hi", "n")
+def _set_values(s: np.ndarray, row: np.ndarray, n: np.ndarray) -> np.ndarray:
+    first = np.cumsum(n) - n
+    some = n > 0
+    sums = np.zeros((2, len(n)), np.uint64)
+    for k, x in enumerate((C.mix(s + np.uint64(1)), C.mix(s ^ np.uint64(0x5851F42D4C957F2D)))):
+        if len(s):
+            sums[k, some] = np.add.reduceat(x, first[some])
+    return C.mix(sums + n.astype(np.uint64)).view(np.int64)
 
-    def run(batches):
-        rest = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            t = pa.concat_tables([rest, t]) if rest is not None else t
-            token = t.column(0).to_numpy()
-            same = token[1:] == token[:-1]
-            keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            # of a token that goes on in the next batch, the last row is carried over
-            rest = t.slice(len(token) - 1) if not len(same) or not same[-1] else None
-            if rest is None:
-                carry = t.slice(len(token) - 1)
-                yield from t.filter(pa.array(keep)).to_batches()
-                rest = carry
-            else:
-                yield from t.filter(pa.array(keep)).to_batches()
 
-    return tokens.repartition("token").sortWithinPartitions("token").mapInArrow(run, "token long, hi long, n long").distinct()
+def shared_tokens(sets: DataFrame) -> DataFrame:
+    """Distinct (token, hi) of prefix tokens that stand in more than one row."""
+    tokens = sets.select(F.explode("prefix").alias("token"), "hi")
+
+    return C.neighbours(tokens, "token").distinct()
 
 
-def candidate_sets(docs: DataFrame, sketch, words: int, percent: int) -> DataFrame:
-    """(id, hi, lo, n, s, p2, p3): sorted shingle hashes and the prefixes of the second and third order, as binary."""
+def full_sets(docs: DataFrame, sketch, words: int, percent: int) -> DataFrame:
+    """(hi, lo, set) of the documents: sorted shingle hashes and the prefixes of the second and third order, as binary."""
 
     def run(batches):
         for b in batches:
             for lo, hi, s, row in shingles(b.column(1), words):
                 m = hi - lo
                 n = np.bincount(row, minlength=m)
+                sums = _set_values(s, row, n)
                 cols = [_blobs(s, row, m)]
                 for salt in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25):
                     p, prow = prefixes(s, row, n, sketch.value, salt, percent)
                     p = p[C.by_row(p, prow)]
                     cols.append(_blobs(p, prow, m))
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], ["id", "n", "s", "p2", "p3"])
+                yield pa.RecordBatch.from_arrays([pa.array(sums[0]), pa.array(sums[1]), pa.StructArray.from_arrays([pa.array(c, pa.binary()) for c in cols], ["s", "p2", "p3"])], ["hi", "lo", "set"])
 
-    return docs.mapInArrow(run, "id long, n long, s binary, p2 binary, p3 binary")
+    return docs.mapInArrow(run, "hi long, lo long, set struct<s:binary,p2:binary,p3:binary>")
 
 
 def _meet(a: bytes, b: bytes) -> int:
@@ -153,10 +165,28 @@ def _meet(a: bytes, b: bytes) -> int:
     return int((y[at] == x).sum())
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def not_ruled_out(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of hi values whose parity bits allow the similarity: sets differ in (100 - p) / (100 + p) of their joint
+    size at most, and in no fewer places than their bits."""
+    x = reps.select(F.col("hi").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    y = reps.select(F.col("hi").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+
+    def run(batches):
+        for batch in batches:
+            size = (batch.column(2).to_numpy() + batch.column(3).to_numpy()).tolist()
+            differ = map(_differences, batch.column(4).to_pylist(), batch.column(5).to_pylist())
+            keep = [(100 + percent) * d <= (100 - percent) * n for d, n in zip(differ, size, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, sketch, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) of hi values whose sets link: prefixes of the other two orders meet, then the exact similarity."""
-    left = sets.select(F.col("hi").alias("b"), F.col("lo").alias("b_lo"), F.struct("s", "p2", "p3").alias("y"))
-    right = sets.select(F.col("hi").alias("a"), F.col("lo").alias("a_lo"), F.struct("s", "p2", "p3").alias("x"))
+    his = pairs.select(F.explode(F.array("a", "b")).alias("hi")).distinct()
+    ids = C.written(reps.join(his, "hi").select("id"))
+    sets = C.written(full_sets(C.with_ids(docs, ids, "id"), sketch, words, percent).select("hi", "set"))
+    left, right = sets.select(F.col("hi").alias("b"), F.col("set").alias("y")), sets.select(F.col("hi").alias("a"), F.col("set").alias("x"))
 
     def run(batches):
         for batch in batches:
@@ -169,11 +199,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(bool(ok))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "b").join(right, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    out = C.written(pairs.join(left, "b").join(right, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct())
+    C.dropped(sets)
+    return out
 
 
-def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between sets that give the same components as all links."""
+def links(members: DataFrame, verify, percent: int) -> DataFrame:
+    """Components (node, component) of the hi values, as all links between sets give them."""
     near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
     found = None
     done = None
@@ -201,7 +233,7 @@ def links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = C.written(pairs)
-        new = C.written(verified(pairs, sets, percent))
+        new = verify(pairs)
         found = new if found is None else found.unionByName(new)
         done = pairs if done is None else done.unionByName(pairs)
         comp = C.components(found)
@@ -219,15 +251,18 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
     sketch = spark.sparkContext.broadcast(C.count_sketch(docs.select("text"), lambda b: (s for _, _, s, _ in shingles(b.column(0), words))))
     table = C.written(set_table(docs, sketch, words, percent))
-    ids = table.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("n").alias("n"))
+    ids = table.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"))
     members = C.written(shared_tokens(table.where("n > 0")))
-    held = members.groupBy("hi").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    score = held.select("hi", (F.col("shared") / (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).alias("score"))
+    held = members.groupBy("hi").agg(F.count("*").alias("shared"))
+    reps = C.written(ids.join(held, "hi"))
+    score = reps.groupBy("hi").agg(F.first("n").alias("n"), F.max(F.col("shared") / (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).alias("score"))
     members = C.written(members.join(score, "hi"))
-    reps = C.written(ids.join(members.select("hi").distinct(), "hi", "left_semi"))
-    texts = C.with_ids(docs, reps.select("id"), "id")
-    sets = C.written(candidate_sets(texts, sketch, words, percent).join(reps.select("id", "hi", "lo"), "id").drop("id").distinct())
-    comp = links(members, sets, percent)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        left = C.written(not_ruled_out(pairs, reps, percent))
+        return verified(left, docs, reps, sketch, words, percent)
+
+    comp = links(members, verify, percent)
     by_set = ids.join(comp, ids.hi == comp.node, "left").select("hi", "lo", "id", F.coalesce("component", "hi").alias("comp"), F.when(F.col("node").isNotNull(), True).alias("linked"))
     # a hi value stands for one set, or by chance for two: only linked ones share a component
     key = F.when(F.col("linked"), F.struct(F.col("comp").alias("x"), F.lit(0).cast("long").alias("y"))).otherwise(F.struct(F.col("hi").alias("x"), F.col("lo").alias("y")))
