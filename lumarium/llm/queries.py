@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language_crf, line_dedup, ngram_join, pii, suffix_dedup, token_files, vector_join
+from . import bpe, decontaminate, language_crf, line_dedup, masked_lm, ngram_join, pii, suffix_dedup, token_files, vector_join
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_skip_chain_pii": pii.op3_skip_chain_pii,
     "op4_bpe_chunks": bpe.op4_bpe_chunks,
     "op5_token_files": token_files.op5_token_files,
+    "op6_masked_lm": masked_lm.op6_masked_lm,
     "op7_suffix_decontamination": decontaminate.op7_suffix_decontamination,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
