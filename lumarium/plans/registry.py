@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import flagship, q_enrich, q_ordered, q_pixels, q_scalars, q_sources  # noqa: F401  (they register their queries)
+from .base import ORACLE_SQL, QUERIES  # noqa: F401
