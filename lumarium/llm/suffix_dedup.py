@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-WINDOW, OWNER = 50, 16
+WINDOW, OWNER = 50, 20
 TASK_BYTES = 2 << 20
 
 
@@ -233,10 +233,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, owner: int = OWNER) ->
     # equal pieces: all but those of the smallest document are repeated as a whole
     least = C.written(shared.groupBy("owner", "whole").agg(F.min(F.struct("doc", "first")).alias("f"), F.first("count").alias("count")).select("owner", "whole", F.col("f.doc").alias("doc"), F.col("f.first").alias("first"), "count"))
     later = shared.join(least.select("owner", "whole", F.col("doc").alias("least")), ["owner", "whole"]).where("doc > least").select("doc", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("count") + window - 1).cast("long").alias("end"))
+    item = F.collect_list(F.struct("start", "end")).alias("spans")
+    later = C.written(later.groupBy("doc").agg(item))
+    C.dropped(shared)
     several = least.groupBy("owner").agg(F.count("*").alias("n")).where("n > 1").select("owner")
-    wanted = least.join(several, "owner").groupBy("doc").agg(F.collect_list(F.struct("owner", "first", (F.col("count") + window - 1).alias("bytes"))).alias("wanted"))
-    found = _sorted_suffixes(_cut(single.join(wanted, "doc").select("doc", "text", "wanted")), window)
-    spans = later.unionByName(found).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    wanted = C.written(least.join(several, "owner").groupBy("doc").agg(F.collect_list(F.struct("owner", "first", (F.col("count") + window - 1).alias("bytes"))).alias("wanted")))
+    C.dropped(least)
+    found = C.written(_sorted_suffixes(_cut(single.join(wanted, "doc").select("doc", "text", "wanted")), window).groupBy("doc").agg(item))
+    C.dropped(wanted)
+    spans = later.unionByName(found).groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return C.written(spans.select("doc", F.lit(False).alias("copy"), "spans").unionByName(copies.select("doc", F.lit(True).alias("copy"), F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("spans"))))
 
 
