@@ -300,7 +300,7 @@ PAGE = f"""u AS (SELECT page_id, pos, split_part(url, '://', 1) AS sch, {"split_
 t AS (SELECT page_id, pos, base, sch||'://'||host||split_part(href, '#', 1) AS target FROM u WHERE starts_with(href, '/') AND NOT starts_with(href, '//'))"""
 
 
-@query("s29_page_links", f"WITH {base.LINKS}, {PAGE} SELECT page_id, target AS url, NOT (regexp_matches(lower(list_last(string_split(split_part(target, '?', 1), '/'))), '[.][a-z0-9]{0,5}$') AND NOT regexp_matches(lower(target), '[.](html|htm|php|asp|aspx|jsp|cgi|shtml)$')) AS is_dir FROM t WHERE rtrim(target, '/') <> rtrim(base, '/') GROUP BY 1, 2")
+@query("s29_page_links", f"WITH {base.LINKS}, {PAGE} SELECT page_id, target AS url, NOT (regexp_matches(lower(list_last(string_split(split_part(target, '?', 1), '/'))), '[.][a-z0-9]{{0,5}}$') AND NOT regexp_matches(lower(target), '[.](html|htm|php|asp|aspx|jsp|cgi|shtml)$')) AS is_dir FROM t WHERE rtrim(target, '/') <> rtrim(base, '/') GROUP BY 1, 2")
 def s29(spark, d):
     return web.page_links(table(spark, d, "pages")).select("page_id", "url", "is_dir")
 
