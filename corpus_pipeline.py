@@ -17,6 +17,7 @@ MIN_LANGUAGE_SCORE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is clear. The model learns from the rows of docs with a language; none is left out."""
+    common.tuned(spark)
     model = language_crf.fit(docs)
     out = language_crf.predict(docs, model)
     return out.where((F.col("lang_pred") != language_crf.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
@@ -25,27 +26,31 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated cross-site lines out of the texts; documents that lose all their text go, others stay, with n_chars of
     what is left."""
-    out = line_dedup.line_dedup(docs)
+    common.tuned(spark)
+    names = [c for c in docs.columns if c != "text"]
+    out = line_dedup.line_dedup(docs, keep=names)
     changed = F.col("n_removed") > 0
-    names = [c for c in docs.columns if c not in ("text", "n_chars")]
     out = out.where(~changed | (F.length(F.btrim("kept", F.lit(" \t\r\n"))) > 0))
-    columns = {c: F.col(f"row.`{c}`") for c in names} | {"text": F.col("kept"), "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))}
+    columns = {c: F.col(f"row.`{c}`") for c in names if c != "n_chars"} | {"text": F.col("kept"), "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))}
     return out.select(*(columns[c].alias(c) for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies."""
+    common.tuned(spark)
     keep = ngram_join.ngram_jaccard_join(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return common.with_ids(docs, common.written(keep), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a passage of the benchmark occurs."""
+    common.tuned(spark)
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (binary, little-endian unsigned 32-bit) of each document, whose decoding must equal its text."""
+    common.tuned(spark)
     out = bpe.bpe_encode_decode(docs)
     same = F.col("decoded") == F.coalesce(F.col("row.text"), F.lit(""))
     return out.select("row.doc_id", "row.lang", "row.source", "n_tokens", "ids", same.alias("exact"))

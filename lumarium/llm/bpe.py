@@ -17,6 +17,7 @@ import base64
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common as C
@@ -127,11 +128,11 @@ class Encoder:
         return b"".join([self.token[i] for i in ids.tolist()]).decode("utf-8", "replace")
 
 
-def bpe_encode_decode(docs: DataFrame, text_col: str = "text", ranks: str | None = None, pattern: str | None = None, special: dict[str, int] | None = None) -> DataFrame:
+def bpe_encode_decode(docs: DataFrame, text_col: str = "text", ranks: str | None = None, pattern: str | None = None, special: dict[str, int] | None = None, keep: list[str] | None = None) -> DataFrame:
     """(row, ids, n_tokens, decoded): each row of docs with its ids (binary, little-endian unsigned 32-bit) and their decoding.
 
     Null and empty texts have no ids. Special strings inside a text become their ids. Repeated rows give repeated results;
-    other columns pass through ``row``. ``ranks`` is a rank file's path that all executors have.
+    other columns (those named in ``keep``, or all) pass through ``row``. ``ranks`` is a rank file's path that all executors have.
     """
     ranks, pattern, special = ranks or tokenizer_path("byte_bpe_50k.tiktoken"), pattern or _pattern(), SPECIAL if special is None else special
 
@@ -142,17 +143,11 @@ def bpe_encode_decode(docs: DataFrame, text_col: str = "text", ranks: str | None
                 ids = list(enc.texts(raw, offs))
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64()), pa.array([enc.decode(x) for x in ids], pa.string())], ["row", "ids", "n_tokens", "decoded"])
 
-    from pyspark.sql import functions as F
-
-    base = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
+    base = C.row_and_text(docs, text_col, keep)
     schema = T.StructType([base.schema["row"], T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType())])
     return base.mapInArrow(run, schema)
 
 
 def op4_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    # only the id travels with the text
-    docs = C.documents(spark, sf_dir).select("doc_id", "text")
-    out = bpe_encode_decode(docs)
+    out = bpe_encode_decode(C.documents(spark, sf_dir), keep=["doc_id"])
     return out.select("row.doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -20,12 +20,23 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """Table ``name`` of the folder. Arrow batches are kept to a few thousand rows, since texts may be long; shuffle files go
-    when the query that made them has ended, since the steps of an operator start from written tables."""
+def tuned(spark: SparkSession) -> SparkSession:
+    """Arrow batches are kept to a few thousand rows, since texts may be long; shuffle files go when the query that made them
+    has ended, since the steps of an operator start from written tables."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark
+
+
+def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """Table ``name`` of the folder."""
+    return tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def row_and_text(docs: DataFrame, text_col: str, keep: list[str] | None = None) -> DataFrame:
+    """(row, text): the columns to keep (all unless named) as a struct, so that no name clashes, and the text beside it."""
+    names = docs.columns if keep is None else keep
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
 # ---------------------------------------------------------------- scratch tables

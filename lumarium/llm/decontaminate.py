@@ -175,15 +175,16 @@ def _items_of(s: Suffixes, window: np.ndarray) -> np.ndarray:
     return s.item[np.repeat(s.cuts[window], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
 
 
-def search_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def search_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
     """(row, text, found): each row of docs as a struct with its text and what was found in it.
 
     ``found`` has the number of words, the merged word spans covered by windows, the ids (as strings, in order) of items of
     which a window occurs, and the longest verbatim match in words. Null and wordless texts and items hit nothing; repeated
-    items are all named; items with a null id are named "null". Any other columns of docs pass through ``row``.
+    items are all named; items with a null id are named "null". Other columns of docs (those named in
+    ``keep``, or all) pass through ``row``.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
+    docs = C.row_and_text(docs, text_col, keep)
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = total // block_bytes + 1
@@ -206,7 +207,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
 
 
 def op7_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = C.documents(spark, sf_dir).select("doc_id", "text")
-    found = search_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    docs = C.documents(spark, sf_dir)
+    found = search_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"])
     n_hit = F.aggregate(F.zip_with("found.starts", "found.ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
     return found.select("row.doc_id", "found.n_words", n_hit.alias("n_hit"), F.size("found.items").cast("long").alias("n_items"), F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"), F.col("found.longest").alias("longest_match"))

@@ -203,13 +203,13 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", tr
     return train([tuple(r) for r in some.select(F.array_join(F.slice(parts, begin, train_words), " "), "label").collect()])
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", with_words: bool = False) -> DataFrame:
+def predict(docs: DataFrame, model: Model, text_col: str = "text", with_words: bool = False, keep: list[str] | None = None) -> DataFrame:
     """(row, lang_pred, score[, words]): each row of docs with its language and score, and on request all words with theirs.
 
     Null texts and those without a letter are ``und`` with score 0; so are all where nothing was learned. Other columns pass
-    through ``row``, and take no part.
+    through ``row`` (those named in ``keep``, or all), and take no part.
     """
-    base = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
+    base = C.row_and_text(docs, text_col, keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -253,5 +253,5 @@ def held_out(id_col: str = "doc_id"):
 def op2_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.documents(spark, sf_dir)
     model = fit(docs.where(~F.coalesce(held_out(), F.lit(False))))
-    out = predict(docs.select("doc_id", "text"), model)
+    out = predict(docs, model, keep=["doc_id"])
     return out.select("row.doc_id", F.coalesce(held_out("row.doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -47,15 +47,16 @@ def removed_lines(docs: DataFrame, **kw) -> DataFrame:
     return lines.join(first, ["h1", "h2"]).where(place != F.col("first")).groupBy("doc").agg(F.array_sort(F.collect_set("no")).alias("gone"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", **kw) -> DataFrame:
-    """(row, text, n_lines, n_removed, kept): each row of docs with what its text keeps.
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", keep: list[str] | None = None, **kw) -> DataFrame:
+    """(row, n_lines, n_removed, kept): each row of docs with what its text keeps.
 
     Lines end at "\\n" and are compared without outer blanks; shorter ones than ``min_chars`` always stay. A null text has
     no line and stays null, an empty text one empty line. Null sites count for no line. Rows with one id are one document:
-    a line removed from one goes from both. A null id takes part in nothing and is kept whole. Other columns pass through
-    ``row``.
+    a line removed from one goes from both. A null id takes part in nothing and is kept whole. Other columns (those named in
+    ``keep``, or all) pass through ``row``.
     """
-    base = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), F.col(site_col).cast("string").alias("site"))
+    names = docs.columns if keep is None else keep
+    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), F.col(site_col).cast("string").alias("site"))
     gone = removed_lines(base.where("doc IS NOT NULL").select("doc", "text", "site"), **kw)
 
     def run(batches):
@@ -67,15 +68,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 drop = set(out or ())
                 removed.append(len(drop))
                 kept.append(text if not drop else "\n".join(x for i, x in enumerate(lines) if i not in drop))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["row", "text", "n_lines", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["row", "n_lines", "n_removed", "kept"])
 
     joined = base.join(gone, "doc", "left").select("row", "text", "gone")
-    schema = T.StructType([joined.schema["row"], joined.schema["text"], T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    schema = T.StructType([joined.schema["row"], T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     return joined.mapInArrow(run, schema)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(C.documents(spark, sf_dir).select("doc_id", "text", "source"))
+    out = line_dedup(C.documents(spark, sf_dir), keep=["doc_id"])
     return out.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -246,18 +246,19 @@ def add_spans(texts: list[str], field: Field, min_belief: float = MIN_BELIEF):
     return base, [sorted(x) for x in out]
 
 
-def find_pii(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DOCS, min_belief: float = MIN_BELIEF) -> DataFrame:
+def find_pii(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DOCS, min_belief: float = MIN_BELIEF, keep: list[str] | None = None) -> DataFrame:
     """(row, base, spans): each row of docs with its base spans and all spans, as arrays of (start, kind, end) structs in
     code points, by start, then kind (0 email, 1 ip, 2 card, 3 phone).
 
-    Null and empty texts have none. Repeated rows give repeated results; other columns pass through ``row``. The field is
+    Null and empty texts have none. Repeated rows give repeated results; other columns (those named in ``keep``, or all)
+    pass through ``row``. The field is
     trained on at most ``train_docs`` documents with a digit or "@", those with the smallest hash of their text.
     """
     spark = docs.sparkSession
     some = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("@|[0-9]{4}|[0-9][.][0-9]"))
     sample = some.orderBy(F.xxhash64("text"), "text").limit(train_docs).collect()
     field = spark.sparkContext.broadcast(train([r[0] for r in sample]))
-    base = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
+    base = C.row_and_text(docs, text_col, keep)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 
     def spans(x):
@@ -282,7 +283,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DO
 
 def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts are those of the base spans; ``spans`` has what the field adds too."""
-    out = find_pii(C.documents(spark, sf_dir).select("doc_id", "text"))
+    out = find_pii(C.documents(spark, sf_dir), keep=["doc_id"])
     names = F.array(*map(F.lit, KINDS))
 
     def joined(col):
