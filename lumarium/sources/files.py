@@ -220,7 +220,7 @@ def sauce_start(content: Col = "content") -> Column:
     c = _c(content)
     n = F.octet_length(c)
     tries = F.sequence(F.lit(0), F.least(F.lit(8), n - 128))
-    magic = lambda k: F.hex(F.substr(c, n - 128 - k + 1, F.lit(7))) == "5341554345" + "3030"
+    magic = lambda k: F.hex(F.substr(c, n - 128 - k + 1, F.lit(7))) == "53415543453030"
     blank = lambda k: F.hex(F.substr(c, n - k + 1, k)).rlike("^((0|1)[0-9A-F]|20)*$")
     return F.when(n >= 128, n - 128 - F.try_element_at(F.filter(tries, lambda k: magic(k) & blank(k)), F.lit(1)))
 
