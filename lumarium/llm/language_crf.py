@@ -197,10 +197,10 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", tr
     """Trains on at most ``train_docs`` rows, and of each on a stretch of at most ``train_words`` words at a place chosen by
     hash; rows without text or label aren't used."""
     some = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
-    some = some.orderBy(F.xxhash64("text"), "label", "text").limit(train_docs)
     parts = F.split("text", "\\s+")
     begin = F.pmod(F.xxhash64("text", F.lit(5)), F.greatest(F.size(parts) - train_words, F.lit(0)) + 1).cast("int") + 1
-    return train([tuple(r) for r in some.select(F.array_join(F.slice(parts, begin, train_words), " "), "label").collect()])
+    pieces = some.select(F.xxhash64("text").alias("h"), F.array_join(F.slice(parts, begin, train_words), " ").alias("piece"), "label")
+    return train([tuple(r) for r in C.bounded_sample(pieces, train_docs, "h", "label", "piece").select("piece", "label").collect()])
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", with_words: bool = False, keep: list[str] | None = None) -> DataFrame:

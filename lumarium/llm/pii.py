@@ -256,7 +256,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DO
     """
     spark = docs.sparkSession
     some = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("@|[0-9]{4}|[0-9][.][0-9]"))
-    sample = some.orderBy(F.xxhash64("text"), "text").limit(train_docs).collect()
+    sample = C.bounded_sample(some, train_docs, "text").collect()
     field = spark.sparkContext.broadcast(train([r[0] for r in sample]))
     base = C.row_and_text(docs, text_col, keep)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
