@@ -3,9 +3,9 @@
 A document is the set of its distinct word shingles. Under any global order of shingles, two sets whose Jaccard similarity
 reaches the threshold share a shingle among the first ``n - ceil(t * n) + 1`` of each (its prefix). Three orders are used:
 all take shingles from rare to frequent by a count sketch of the whole corpus, and break ties by three different hashes.
-Prefixes of the first order are shuffled by shingle; a pair that meets there is verified only if the parity bits of the
-two sets don't rule it out (they differ in no more places than the sets do) and its prefixes of the second and the third
-order meet too.
+Prefixes of the first order are shuffled by shingle; a pair that meets there, at places which leave enough shingles to
+share, is verified only if the parity bits of the two sets don't rule it out (they differ in no more places than the sets
+do) and its prefixes of the second and the third order meet too.
 
 Near copies are not expanded into all pairs. Equal sets count once. In each bucket (documents that share a prefix shingle)
 all members are first compared with one leader, the member whose prefix is most shared; then only with members of
@@ -66,11 +66,6 @@ def prefixes(s: np.ndarray, row: np.ndarray, n: np.ndarray, sketch: np.ndarray,
     return s[o][keep], row[keep]
 
 
-def _lists(values: np.ndarray, row: np.ndarray, n_rows: int) -> pa.Array:
-    cuts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n_rows))])
-    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values.view(np.int64)))
-
-
 def _blobs(values: np.ndarray, row: np.ndarray, n_rows: int) -> list[bytes]:
     cuts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n_rows))])
     return [values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -95,29 +90,50 @@ def _differences(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def set_table(docs: DataFrame, sketch, words: int, percent: int) -> DataFrame:
-    """(id, n, hi, lo, bits, prefix): set size, 128-bit value of the set, its parity bits and its first prefix; the last two
-    only with the first document of each set that a task meets."""
+def _first_of_sets(seen: set, n: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Which rows are the first of their set that a task meets; empty sets are never."""
+    new = np.zeros(len(n), bool)
+    for i, key in enumerate(zip(sums[0].tolist(), sums[1].tolist(), strict=True)):
+        if n[i] and key not in seen:
+            seen.add(key)
+            new[i] = True
+    return new
+
+
+def set_table(docs: DataFrame, words: int) -> DataFrame:
+    """(id, n, hi, lo, bits): set size, 128-bit value of the set, and its parity bits, the last only with the first document
+    of each set that a task meets."""
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
         for b in batches:
-            ids = b.column(0)
             for lo, hi, s, row in shingles(b.column(1), words):
-                m = hi - lo
-                n = np.bincount(row, minlength=m)
+                n = np.bincount(row, minlength=hi - lo)
                 sums = _set_values(s, row, n)
-                new = np.zeros(m, bool)
-                for i, key in enumerate(zip(sums[0].tolist(), sums[1].tolist(), strict=True)):
-                    if n[i] and key not in seen:
-                        seen.add(key)
-                        new[i] = True
-                p, prow = prefixes(s, row, n, sketch.value, 0, percent)
-                keep = new[prow]
+                new = _first_of_sets(seen, n, sums)
                 bits = [x if k else None for x, k in zip(parity_bits(s, row, n), new.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array(bits, pa.binary()), _lists(p[keep], prow[keep], m)], ["id", "n", "hi", "lo", "bits", "prefix"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array(bits, pa.binary())], ["id", "n", "hi", "lo", "bits"])
+
+    return docs.mapInArrow(run, "id long, n long, hi long, lo long, bits binary")
+
 
-    return docs.mapInArrow(run, "id long, n long, hi long, lo long, bits binary, prefix array<long>")
+def shared_tokens(docs: DataFrame, sketch, words: int, percent: int) -> DataFrame:
+    """Distinct (token, hi, pos) of first-order prefixes whose token stands in more than one row, with its place there. A task
+    sends each set once."""
+
+    def run(batches):
+        seen: set[tuple[int, int]] = set()
+        for b in batches:
+            for lo, hi, s, row in shingles(b.column(0), words):
+                n = np.bincount(row, minlength=hi - lo)
+                sums = _set_values(s, row, n)
+                keep = _first_of_sets(seen, n, sums)[row]
+                p, prow = prefixes(s[keep], row[keep], np.bincount(row[keep], minlength=hi - lo), sketch.value, 0, percent)
+                size = np.bincount(prow, minlength=hi - lo)
+                pos = np.arange(len(prow)) - (np.cumsum(size) - size)[prow]
+                yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(sums[0][prow]), pa.array(pos, pa.int32())], ["token", "hi", "pos"])
+
+    return C.neighbours(docs.select("text").mapInArrow(run, "token long, hi long, pos int"), "token").distinct()
 
 
 def _set_values(s: np.ndarray, row: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -130,13 +146,6 @@ def _set_values(s: np.ndarray, row: np.ndarray, n: np.ndarray) -> np.ndarray:
     return C.mix(sums + n.astype(np.uint64)).view(np.int64)
 
 
-def shared_tokens(sets: DataFrame) -> DataFrame:
-    """Distinct (token, hi) of prefix tokens that stand in more than one row."""
-    tokens = sets.select(F.explode("prefix").alias("token"), "hi")
-
-    return C.neighbours(tokens, "token").distinct()
-
-
 def full_sets(docs: DataFrame, sketch, words: int, percent: int) -> DataFrame:
     """(hi, lo, set) of the documents: sorted shingle hashes and the prefixes of the second and third order, as binary."""
 
@@ -206,28 +215,29 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, sketch, words:
 
 def links(members: DataFrame, verify, percent: int) -> DataFrame:
     """Components (node, component) of the hi values, as all links between sets give them."""
-    near = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
+    # what precedes the first shared token of a pair, in the order of the prefixes, is in one set only
+    near = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("pos2")) * (100 + percent) >= (F.col("n") + F.col("m")) * percent
     found = None
     done = None
     comp = None
     for k in range(LEADER_ROUNDS + 1):
         live = members
         if comp is not None:
-            labelled = members.join(comp, members.hi == comp.node, "left").select("token", "hi", "n", "score", F.coalesce("component", "hi").alias("comp"))
+            labelled = members.join(comp, members.hi == comp.node, "left").select("token", "hi", "pos", "n", "score", F.coalesce("component", "hi").alias("comp"))
             mixed = labelled.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
             live = C.written(labelled.join(mixed, "token"))
         if k < LEADER_ROUNDS:
             # the first round takes the most shared member of each bucket, the next one that of the members elsewhere
             if comp is None:
-                lead = live.groupBy("token").agg(F.max(F.struct("score", "hi", "n")).alias("top")).select("token", F.col("top.hi").alias("lead"), F.col("top.n").alias("m"))
+                lead = live.groupBy("token").agg(F.max(F.struct("score", "hi", "n", "pos")).alias("top")).select("token", F.col("top.hi").alias("lead"), F.col("top.n").alias("m"), F.col("top.pos").alias("pos2"))
                 pairs = live.join(lead, "token").where(near)
             else:
-                lead = live.groupBy("token", "comp").agg(F.max(F.struct("score", "hi", "n")).alias("top"))
-                lead = lead.groupBy("token").agg(F.max(F.struct("top", "comp")).alias("one")).select("token", F.col("one.top.hi").alias("lead"), F.col("one.top.n").alias("m"), F.col("one.comp").alias("lead_comp"))
+                lead = live.groupBy("token", "comp").agg(F.max(F.struct("score", "hi", "n", "pos")).alias("top"))
+                lead = lead.groupBy("token").agg(F.max(F.struct("top", "comp")).alias("one")).select("token", F.col("one.top.hi").alias("lead"), F.col("one.top.n").alias("m"), F.col("one.top.pos").alias("pos2"), F.col("one.comp").alias("lead_comp"))
                 pairs = live.join(lead, "token").where(near & (F.col("comp") != F.col("lead_comp")))
             pairs = pairs.select(F.col("lead").alias("a"), F.col("hi").alias("b"))
         else:
-            other = live.select("token", F.col("hi").alias("hi2"), F.col("n").alias("m"), F.col("comp").alias("comp2"))
+            other = live.select("token", F.col("hi").alias("hi2"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"))
             pairs = live.join(other, "token").where((F.col("comp") < F.col("comp2")) & near).select(F.col("hi").alias("a"), F.col("hi2").alias("b"))
         pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if done is not None:
@@ -250,9 +260,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
     sketch = spark.sparkContext.broadcast(C.count_sketch(docs.select("text"), lambda b: (s for _, _, s, _ in shingles(b.column(0), words))))
-    table = C.written(set_table(docs, sketch, words, percent))
+    table = C.written(set_table(docs, words))
     ids = table.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"))
-    members = C.written(shared_tokens(table.where("n > 0")))
+    members = C.written(shared_tokens(docs, sketch, words, percent))
     held = members.groupBy("hi").agg(F.count("*").alias("shared"))
     reps = C.written(ids.join(held, "hi"))
     score = reps.groupBy("hi").agg(F.first("n").alias("n"), F.max(F.col("shared") / (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).alias("score"))
