@@ -21,7 +21,7 @@ MIN_SITES, MIN_CHARS, LOG_K = 5, 20, 10
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, log_k: int = LOG_K) -> tuple[DataFrame, DataFrame]:
-    """(lines, spread): every line of (doc, text, site) as (doc, no, h1, h2, site), and (h1, h2, first) of boilerplate lines."""
+    """(lines, first), two written tables: every line of (doc, text, site) as (doc, no, h1, h2, site), and (h1, h2, first) of boilerplate lines."""
     line = F.btrim("line", F.lit(" \t\r"))
     lines = (
         docs.select("doc", "site", F.posexplode(F.split("text", "\n")).alias("no", "line"))
@@ -36,15 +36,19 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MI
     near = spread.where(F.col("sites") < band).select("h1", "h2")
     exact = counted.join(near, ["h1", "h2"]).groupBy("h1", "h2", "site").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
     wide = spread.where(F.col("sites") >= band).select("h1", "h2").unionByName(exact.select("h1", "h2"))
-    first = lines.join(wide, ["h1", "h2"]).groupBy("h1", "h2").agg(F.min(F.struct("doc", "no")).alias("first"))
-    return lines, C.written(first)
+    first = C.written(lines.join(wide, ["h1", "h2"]).groupBy("h1", "h2").agg(F.min(F.struct("doc", "no")).alias("first")))
+    C.dropped(spread)
+    return lines, first
 
 
 def removed_lines(docs: DataFrame, **kw) -> DataFrame:
     """(doc, gone): the numbers of the lines to remove from each document that has any."""
     lines, first = boilerplate(docs, **kw)
     place = F.struct("doc", "no")
-    return lines.join(first, ["h1", "h2"]).where(place != F.col("first")).groupBy("doc").agg(F.array_sort(F.collect_set("no")).alias("gone"))
+    gone = C.written(lines.join(first, ["h1", "h2"]).where(place != F.col("first")).groupBy("doc").agg(F.array_sort(F.collect_set("no")).alias("gone")))
+    C.dropped(lines)
+    C.dropped(first)
+    return gone
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", keep: list[str] | None = None, **kw) -> DataFrame:

@@ -210,6 +210,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, sketch, words:
 
     out = C.written(pairs.join(left, "b").join(right, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct())
     C.dropped(sets)
+    C.dropped(ids)
     return out
 
 
@@ -219,7 +220,7 @@ def links(members: DataFrame, verify, percent: int) -> DataFrame:
     near = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("pos2")) * (100 + percent) >= (F.col("n") + F.col("m")) * percent
     found = None
     done = None
-    comp = None
+    comp, scratch = None, []
     for k in range(LEADER_ROUNDS + 1):
         live = members
         if comp is not None:
@@ -243,10 +244,15 @@ def links(members: DataFrame, verify, percent: int) -> DataFrame:
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = C.written(pairs)
+        if live is not members:
+            C.dropped(live)
         new = verify(pairs)
+        scratch += [pairs, new]
         found = new if found is None else found.unionByName(new)
         done = pairs if done is None else done.unionByName(pairs)
         comp = C.components(found)
+    for table in scratch:
+        C.dropped(table)
     return comp
 
 
@@ -266,13 +272,18 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     held = members.groupBy("hi").agg(F.count("*").alias("shared"))
     reps = C.written(ids.join(held, "hi"))
     score = reps.groupBy("hi").agg(F.first("n").alias("n"), F.max(F.col("shared") / (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).alias("score"))
-    members = C.written(members.join(score, "hi"))
+    tokens, members = members, C.written(members.join(score, "hi"))
+    C.dropped(tokens)
 
     def verify(pairs: DataFrame) -> DataFrame:
         left = C.written(not_ruled_out(pairs, reps, percent))
-        return verified(left, docs, reps, sketch, words, percent)
+        out = verified(left, docs, reps, sketch, words, percent)
+        C.dropped(left)
+        return out
 
     comp = links(members, verify, percent)
+    C.dropped(members)
+    C.dropped(reps)
     by_set = ids.join(comp, ids.hi == comp.node, "left").select("hi", "lo", "id", F.coalesce("component", "hi").alias("comp"), F.when(F.col("node").isNotNull(), True).alias("linked"))
     # a hi value stands for one set, or by chance for two: only linked ones share a component
     key = F.when(F.col("linked"), F.struct(F.col("comp").alias("x"), F.lit(0).cast("long").alias("y"))).otherwise(F.struct(F.col("hi").alias("x"), F.col("lo").alias("y")))
