@@ -27,8 +27,8 @@ from . import common as C
 from .bpe import tokenizer_path
 
 BLOCK, PERCENTILE, END_ID = 256, 95, 1
-SEGMENT_IDS = 1 << 18
-CACHE_WORDS = 300_000
+SEGMENT_IDS = 1 << 20
+CACHE_WORDS = 500_000
 
 
 # ---------------------------------------------------------------- the format
@@ -60,14 +60,14 @@ def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
         if not w:
             continue
         rows = np.flatnonzero(width == w)
-        part = v[rows] & np.uint64((1 << w) - 1)
-        out = np.zeros((len(rows), 8 * w + 2), np.uint64)
+        part = np.ascontiguousarray((v[rows] & np.uint64((1 << w) - 1)).T)  # one row for each place of a block
+        out = np.zeros((8 * w + 2, len(rows)), np.uint64)
         for j in range(BLOCK):
             word, shift = divmod(j * w, 32)
-            x = part[:, j] << np.uint64(shift)
-            out[:, word] |= x & np.uint64(0xFFFFFFFF)
-            out[:, word + 1] |= x >> np.uint64(32)
-        data[start[rows][:, None] + np.arange(8 * w)] = out[:, : 8 * w].astype(np.uint32)
+            x = part[j] << np.uint64(shift)
+            out[word] |= x & np.uint64(0xFFFFFFFF)
+            out[word + 1] |= x >> np.uint64(32)
+        data[start[rows][:, None] + np.arange(8 * w)] = out[: 8 * w].T.astype(np.uint32)
     if len(where):
         k = np.arange(len(where)) - np.repeat(np.cumsum(n_exc) - n_exc, n_exc)
         lists = start[where] + 8 * width[where]
@@ -97,10 +97,12 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not w:
             continue
         rows = np.flatnonzero(width == w)
-        part = data[start[rows][:, None] + np.arange(8 * w + 1)].astype(np.uint64)
+        part = np.ascontiguousarray(data[start[rows][:, None] + np.arange(8 * w + 1)].T).astype(np.uint64)
+        out = np.empty((BLOCK, len(rows)), np.uint64)
         for j in range(BLOCK):
             word, shift = divmod(j * w, 32)
-            v[rows, j] = ((part[:, word] | (part[:, word + 1] << np.uint64(32))) >> np.uint64(shift)) & np.uint64((1 << w) - 1)
+            out[j] = ((part[word] | (part[word + 1] << np.uint64(32))) >> np.uint64(shift)) & np.uint64((1 << w) - 1)
+        v[rows] = out.T
     if n_exc.any():
         where = np.repeat(np.arange(blocks), n_exc)
         k = np.arange(len(where)) - np.repeat(np.cumsum(n_exc) - n_exc, n_exc)
@@ -131,7 +133,9 @@ def read_block(blob: bytes, k: int) -> np.ndarray:
 
 class WordEncoder:
     """Encodes texts piece by piece. The tokenizer drops white space and no token spans it, so the ids of a text are those of
-    its pieces between ASCII white space; each distinct piece is encoded once while the store (of fixed size) lasts."""
+    its pieces between ASCII white space. Distinct pieces are encoded once and kept, up to CACHE_WORDS of them (frequent ones
+    come early); when the store is full, others are encoded anew in each run of texts. A worker process has one encoder for
+    all its tasks."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -145,15 +149,23 @@ class WordEncoder:
     def texts(self, data: bytes, offs: np.ndarray):
         cut = offs.tolist()
         pieces = [data[a:b].split() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        new = set().union(*pieces) - self.known.keys()
-        if len(self.known) + len(new) > CACHE_WORDS and self.known:
-            self.known = {}
-            new = set().union(*pieces)
-        new = list(new)
+        new = [x for x in set().union(*pieces) if x not in self.known]
         for x, e in zip(new, self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False), strict=True):
             self.known[x] = np.array(e.ids, "<u4").tobytes()
         get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+        out = [b"".join(map(get, p)) for p in pieces]
+        for x in new[max(0, len(new) - max(0, len(self.known) - CACHE_WORDS)) :]:
+            del self.known[x]
+        return out
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_for(path: str) -> WordEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 # ---------------------------------------------------------------- files
@@ -169,7 +181,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("id IS NOT NULL")
 
     def run(batches):
-        enc, part, seq = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        enc, part, seq = encoder_for(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         ids, data, size = [], [], 0
 
