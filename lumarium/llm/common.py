@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -79,12 +79,37 @@ def with_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") ->
     return df.join(ids, key, how)
 
 
-def bounded_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
-    """At most n rows, those with the smallest hash of the keys. The rows are counted first, so that only about 2 n of them,
-    however many tasks there are, get as far as the final sort."""
-    share = min(1.0, 2 * n / max(df.count(), 1))
-    place = F.pmod(F.xxhash64(*keys), F.lit(1 << 30))
-    return df.withColumn("_place", place).where(F.col("_place") < int(share * (1 << 30)) + 1).orderBy("_place", *keys).limit(n).drop("_place")
+def shares(counts: list[int], n: int) -> list[int]:
+    """Splits n among labels with these counts: the same for each, and what a label can't fill goes to the others. Each gets
+    one at least while n lasts."""
+    out, left = [0] * len(counts), n
+    order = sorted(range(len(counts)), key=lambda i: (counts[i], i))
+    for k, i in enumerate(order):
+        out[i] = min(counts[i], -(-left // (len(order) - k)))
+        left -= out[i]
+    return out
+
+
+def bounded_sample(df: DataFrame, n: int, value: Column, label: Column | None = None, text: str = "text") -> DataFrame:
+    """(value, label) of at most n distinct (text, label): copies count once, however many there are.
+
+    Every label has its own equal share of n (see ``shares``), of which it sends the texts with the smallest hashes; a label
+    with fewer texts than that sends all. Where labels outnumber n, the n with the most texts send one each. The distinct
+    hashes are counted first, so that only about 2 n of them, however many tasks there are, get as far as the final sort.
+    """
+    label = F.lit("") if label is None else label
+    rows = df.withColumn("_h", F.xxhash64(text)).withColumn("_label", label)
+    keys = written(rows.select("_h", "_label").distinct())
+    counts = keys.groupBy("_label").count().orderBy(F.desc("count"), "_label").limit(n).collect()
+    bounds = [(r[0], k, min(1 << 30, int(2 * k / r[1] * (1 << 30)) + 1 + (1 << 36) // r[1])) for r, k in zip(counts, shares([r[1] for r in counts], n), strict=True)]
+    bound = df.sparkSession.createDataFrame(bounds, "_label string, _n int, _below long")
+    place = F.pmod(F.xxhash64("_h"), F.lit(1 << 30))
+    near = keys.join(F.broadcast(bound), "_label").withColumn("_place", place).where("_place < _below")
+    rank = F.row_number().over(Window.partitionBy("_label").orderBy("_place", "_h"))
+    chosen = written(near.withColumn("_k", rank).where("_k <= _n").select("_h", "_label", "_place"))
+    dropped(keys)
+    out = rows.join(F.broadcast(chosen), ["_h", "_label"]).groupBy("_place", "_h", "_label").agg(F.min(value).alias("value"))
+    return out.orderBy("_place", "_h", "_label").select("value", F.col("_label").alias("label"))
 
 
 # ---------------------------------------------------------------- bytes, words, hashes

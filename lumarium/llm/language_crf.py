@@ -6,8 +6,8 @@ one with the largest mean posterior over its words, and that mean is its score.
 CHAIN words, which lets one pass go through many stretches in lockstep.
 
 Training maximises the likelihood of label sequences by AdaGrad in numpy. It takes stretches of at most TRAIN_WORDS words
-from at most TRAIN_DOCS labelled documents (those with the smallest hash of their text), and joins pieces of documents of
-different languages, so that switches are seen.
+from at most TRAIN_DOCS distinct labelled texts (of each label those with the smallest hashes, up to its equal share), and
+joins pieces of documents of different languages, so that switches are seen.
 """
 
 from __future__ import annotations
@@ -194,13 +194,13 @@ def train(rows: list[tuple[str, str]], seed: int = 11) -> Model:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", train_docs: int = TRAIN_DOCS, train_words: int = TRAIN_WORDS) -> Model:
-    """Trains on at most ``train_docs`` rows, and of each on a stretch of at most ``train_words`` words at a place chosen by
-    hash; rows without text or label aren't used."""
+    """Trains on at most ``train_docs`` distinct texts, with an equal share for each label, and of each text on a stretch of
+    at most ``train_words`` words at a place chosen by hash; rows without text or label aren't used."""
     some = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
     parts = F.split("text", "\\s+")
     begin = F.pmod(F.xxhash64("text", F.lit(5)), F.greatest(F.size(parts) - train_words, F.lit(0)) + 1).cast("int") + 1
-    pieces = some.select(F.xxhash64("text").alias("h"), F.array_join(F.slice(parts, begin, train_words), " ").alias("piece"), "label")
-    return train([tuple(r) for r in C.bounded_sample(pieces, train_docs, "h", "label", "piece").select("piece", "label").collect()])
+    piece = F.array_join(F.slice(parts, begin, train_words), " ")
+    return train([tuple(r) for r in C.bounded_sample(some, train_docs, piece, F.col("label")).collect()])
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", with_words: bool = False, keep: list[str] | None = None) -> DataFrame:

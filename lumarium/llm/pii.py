@@ -8,7 +8,7 @@ reaches MIN_BELIEF becomes an added span. A candidate is linked to the one befor
 has as many links as candidates.
 
 The weights are trained here, piecewise: nodes, chain links and skip links each by logistic regression, on the candidates
-of at most TRAIN_DOCS documents and on worn copies of their base spans (country code lost, brackets lost, "@" spelled out,
+of at most TRAIN_DOCS distinct texts and on worn copies of their base spans (country code lost, brackets lost, "@" spelled out,
 groups joined), which keep their label.
 """
 
@@ -252,11 +252,11 @@ def find_pii(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DO
 
     Null and empty texts have none. Repeated rows give repeated results; other columns (those named in ``keep``, or all)
     pass through ``row``. The field is
-    trained on at most ``train_docs`` documents with a digit or "@", those with the smallest hash of their text.
+    trained on at most ``train_docs`` distinct texts with a digit or "@", those with the smallest hashes.
     """
     spark = docs.sparkSession
     some = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("@|[0-9]{4}|[0-9][.][0-9]"))
-    sample = C.bounded_sample(some, train_docs, "text").collect()
+    sample = C.bounded_sample(some, train_docs, F.col("text")).collect()
     field = spark.sparkContext.broadcast(train([r[0] for r in sample]))
     base = C.row_and_text(docs, text_col, keep)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))

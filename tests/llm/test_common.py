@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from lumarium.llm import common as C
 
@@ -63,3 +64,19 @@ def test_prefix_sort_depth():
     order = C.prefix_sort(np.arange(500), keys, 4, 3)
     seen = [tuple(symbols[i : i + 12]) + (-1,) * (i + 12 - 500) for i in order if i < 480]
     assert seen == sorted(seen)
+
+
+def test_sample_is_of_distinct_texts_with_a_share_for_each_label(spark):
+    texts = [(f"text {i}", "en") for i in range(300)] + [(f"texte {i}", "fr") for i in range(200)] + [("ein Text", "de")]
+    df = spark.createDataFrame(texts, "text string, label string")
+    # the text that comes first in the order of the sample stands in 5000 rows, with two labels
+    first = df.orderBy(F.pmod(F.xxhash64("text"), F.lit(1 << 30))).first().text
+    df = df.union(spark.createDataFrame([(first, "en")] * 5000 + [(first, "fr")], df.schema)).repartition(5)
+    for n in (90, 3000):
+        got = [tuple(r) for r in C.bounded_sample(df, n, F.col("text"), F.col("label")).collect()]
+        assert len(got) == len(set(got)) == min(n, df.distinct().count())
+        labels = [y for _, y in got]
+        assert labels.count("de") == 1 and (n > 90 or abs(labels.count("en") - labels.count("fr")) <= 1)
+    assert len({r.value for r in C.bounded_sample(df, 100, F.col("text")).collect()}) == 100
+    assert C.bounded_sample(df.limit(0), 5, F.col("text")).count() == 0
+    assert C.shares([5, 100, 1], 30) == [5, 24, 1] and sum(C.shares([9] * 7, 10)) == 10

@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lumarium.llm import language_crf as L
 
@@ -56,3 +57,14 @@ def test_code_switching_and_edges(spark):
     assert L.predict(df.limit(0), model).count() == 0
     none = L.fit(docs.limit(0))
     assert {r.lang_pred for r in L.predict(df, none, with_words=True).collect()} == {"und"}
+
+
+def test_copies_leave_room_for_all_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars < 4000").select("text", "lang")
+    first = docs.orderBy(F.xxhash64("text").asc()).first()
+    rare = spark.createDataFrame([("zhuq woqx qaxu vezq " * 5, "rare")], docs.schema)
+    rows = docs.union(spark.createDataFrame([tuple(first)] * 5000, docs.schema)).union(rare)
+    model = L.fit(rows)
+    assert model.labels == sorted({r.lang for r in docs.collect()} | {"rare"})
+    got = L.predict(docs, model).select("row.lang", "lang_pred").collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.97
