@@ -6,8 +6,8 @@ classes by word ending for the others. The network adds one vector per neighbour
 group of tokens, then the token within it (two small softmaxes instead of a large one).
 
 Training is by parameter averaging: in each round every task runs stochastic gradient descent in numpy over its part of
-the corpus, from the common weights of the round before, and the weights of all tasks are averaged by their tokens. A task
-trains on every TRAIN_STRIDE-th token of every text, with whole contexts. What is gathered (word counts of each task, then
+the corpus, from the common weights of the round before, and the weights of all tasks are averaged by their tokens. Rounds
+share the tokens of every text by their place in it, so each token is a target once, with its whole context. What is gathered (word counts of each task, then
 weights of each task) grows with the corpus; the model has a fixed size.
 """
 
@@ -24,7 +24,7 @@ from . import common as C
 GROUPS, GROUP_SIZE, OTHER = 32, 32, 96
 VOCAB = GROUPS * GROUP_SIZE
 HIDDEN, WINDOW = 32, 2
-ROUNDS, TRAIN_STRIDE, BATCH, RATE = 2, 4, 2048, 0.2
+ROUNDS, BATCH, RATE = 2, 2048, 0.2
 #: The token beyond either end of a text.
 EDGE = VOCAB
 WORD = C.is_alnum()
@@ -75,6 +75,15 @@ def contexts(ids: np.ndarray, row: np.ndarray) -> np.ndarray:
     return out
 
 
+def targets(row: np.ndarray, k: int, rounds: int) -> np.ndarray:
+    """Tokens that round k trains on: those whose place in their text is k modulo the rounds. How the texts are dealt and
+    ordered plays no part, so over all rounds each token comes once."""
+    at = np.arange(len(row))
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else at
+    place = at - np.repeat(first, np.diff(np.append(first, len(row))))
+    return np.flatnonzero(place % rounds == k)
+
+
 def log_softmax(z: np.ndarray) -> np.ndarray:
     z = z - z.max(-1, keepdims=True)
     return z - np.log(np.exp(z).sum(-1, keepdims=True))
@@ -148,7 +157,7 @@ class Network:
             self.inner[k][c[first]] += rate * np.add.reduceat(d[o], first, axis=0) / np.sqrt(count)[:, None] / np.sqrt(n) * 4
 
 
-def _train_round(docs: DataFrame, vocabulary, network, rate: float) -> Network:
+def _train_round(docs: DataFrame, vocabulary, network, rate: float, k: int, rounds: int) -> Network:
     def run(batches):
         net, v, seen = network.value, vocabulary.value, 0
         net = Network().set_parts([p.copy() for p in net.parts()])
@@ -156,7 +165,7 @@ def _train_round(docs: DataFrame, vocabulary, network, rate: float) -> Network:
         for b in batches:
             for _, _, raw, offs in C.text_chunks(b.column(0)):
                 ids, row = v.ids(raw, offs)
-                pick = np.arange(seen % TRAIN_STRIDE, len(ids), TRAIN_STRIDE)
+                pick = targets(row, k, rounds)
                 held_ids.append(ids[pick])
                 held_context.append(contexts(ids, row)[pick])
                 held += len(pick)
@@ -178,8 +187,8 @@ def _train_round(docs: DataFrame, vocabulary, network, rate: float) -> Network:
     def mean(batches):
         total: dict[int, list] = {}
         for b in batches:
-            for k, n, w in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                t = total.setdefault(k, [0.0, 0.0])
+            for part, n, w in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                t = total.setdefault(part, [0.0, 0.0])
                 t[0] += n
                 t[1] = t[1] + n * np.frombuffer(w, np.float32).astype(np.float64)
         if total:
@@ -200,7 +209,7 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tupl
     vocabulary, network = count_words(docs, VOCAB - OTHER), Network()
     shared = sc.broadcast(vocabulary)
     for k in range(rounds):
-        network = _train_round(docs, shared, sc.broadcast(network), RATE / (k + 1))
+        network = _train_round(docs, shared, sc.broadcast(network), RATE / (k + 1), k, rounds)
     return vocabulary, network
 
 

@@ -61,3 +61,40 @@ def test_vocabulary_is_the_most_frequent(spark):
     raw, offs = C.utf8(pa.array([w.decode() for w, n in count.items() if n > floor]))
     ids, _ = v.ids(raw, offs)
     assert (ids < 50).all()
+
+
+def test_every_token_is_a_target_once(spark, monkeypatch):
+    row = np.array([0, 0, 0, 2, 3, 3, 3, 3])
+    assert sorted(np.concatenate([M.targets(row, k, 3) for k in range(3)]).tolist()) == list(range(8))
+    assert not len(M.targets(row[:0], 0, 2))
+    # over one text of n different words, whatever the rounds, the steps see each of them once
+    docs = spark.createDataFrame([(" ".join(f"w{i}" for i in range(501)),), ("w600",), (None,)], "text string")
+    seen = []
+    monkeypatch.setattr(M.Network, "step", lambda self, ids, context, rate: seen.extend(ids.tolist()))
+    batches = docs.where("text IS NOT NULL").toArrow().to_batches()
+    vocabulary = M.count_words(docs.where("text IS NOT NULL"), 600)
+
+    class Rows:
+        """The same calls as of a data frame, in this process, so that the steps can be seen."""
+
+        def __init__(self, of):
+            self.of = of
+
+        def mapInArrow(self, run, schema):
+            return Rows(list(run(self.of)))
+
+        def repartition(self, key):
+            return self
+
+        def collect(self):
+            return []
+
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    for rounds in (1, 2, 4):
+        seen.clear()
+        for k in range(rounds):
+            M._train_round(Rows(batches), Shared(vocabulary), Shared(M.Network()), 0.1, k, rounds)
+        assert sorted(seen) == list(range(502))
