@@ -121,6 +121,27 @@ def keys(s: str) -> list[tuple]:
     return out
 
 
+def linked_by_key(text: str, spans: list[tuple[int, int, int]]) -> bool:
+    """Whether two of the candidates share a skip link."""
+    seen: set[tuple] = set()
+    for s, e, _ in spans if len(spans) > 1 else ():
+        for k in set(keys(text[s:e])):
+            if k in seen:
+                return True
+            seen.add(k)
+    return False
+
+
+def spelled_at(raw: np.ndarray) -> np.ndarray:
+    """Whether a bracket that may open an "@" spelled out stands at each byte: "at" follows it, after one space at most."""
+    out = np.zeros(len(raw), bool)
+    open_ = np.flatnonzero((raw == 40) | (raw == 91))
+    wide = np.concatenate([raw, np.zeros(5, np.uint8)])
+    for k in range(1, 5):  # a space has at most three bytes
+        out[open_[(wide[open_ + k] == 97) & (wide[open_ + k + 1] == 116)]] = True
+    return out
+
+
 class Graph:
     """Candidates of many documents as one field: no link leaves its document."""
 
@@ -233,9 +254,10 @@ def add_spans(texts: list[str], field: Field, min_belief: float = MIN_BELIEF):
     """For each text its base spans, and all spans with those that the field adds."""
     base = [base_spans(t) for t in texts]
     out = [list(b) for b in base]
-    some = [i for i, b in enumerate(base) if b]  # without a base span there is nothing to be consistent with
+    own = [candidates(t, b) for t, b in zip(texts, base, strict=True)]
+    some = [i for i, c in enumerate(own) if linked_by_key(texts[i], c)]  # the field adds linked candidates only
     if some:
-        g = Graph([texts[i] for i in some], [candidates(texts[i], base[i]) for i in some])
+        g = Graph([texts[i] for i in some], [own[i] for i in some])
         belief = field.beliefs(g)
         label = belief.argmax(1)
         linked = set(g.skip[:, :2].reshape(-1).tolist())
@@ -267,8 +289,8 @@ def find_pii(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DO
     def run(batches):
         for b in batches:
             for lo, hi, raw, offs in C.text_chunks(b.column(1)):
-                # nearly all texts have neither "@" nor a digit: they aren't decoded
-                hit = np.concatenate([[0], np.cumsum((raw == 64) | ((raw >= 48) & (raw <= 57)))])
+                # nearly all texts have neither "@", spelled out or not, nor a digit: they aren't decoded
+                hit = np.concatenate([[0], np.cumsum((raw == 64) | ((raw >= 48) & (raw <= 57)) | spelled_at(raw))])
                 some = np.flatnonzero(hit[offs[1:]] > hit[offs[:-1]]).tolist()
                 data = raw.tobytes()
                 first, all_ = [[] for _ in range(hi - lo)], [[] for _ in range(hi - lo)]

@@ -62,3 +62,19 @@ def test_consistency_adds_worn_repeats_only(spark):
     assert not got[1002] and not got[1003] and not got[1004]
     assert sum(map(bool, got.values())) <= 5
     assert pii.find_pii(df.limit(0)).count() == 0
+
+
+def test_mentions_that_are_all_obfuscated(spark):
+    rng = random.Random(1)
+    num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    docs = [f"call +1 ({num(3)}) 555-{num(4)} or mail u{num(2)}@mail{i % 9}.example.com, item {num(5)}, id {num(9)} and {num(16)}" for i in range(300)]
+    mail = "Write to jo.doe (at) mail.example.org. " + "word " * 50 + "Again: jo.doe (at) mail.example.org!"
+    wide = mail.replace("(at)", "[\u3000at\u3000]")
+    phone = "Ring 017-555-7713 today. " + "word " * 50 + "Again: 017-555-7713."
+    rows = [(i, t) for i, t in enumerate(docs)] + [(1000, mail), (1001, wide), (1002, phone), (1003, mail.replace("Again: jo.doe", "Again: al.poe")), (1004, "(at) the (at) end, [at] last (x")]
+    assert all(not pii.base_spans(t) for i, t in rows if i >= 1000)
+    got = {r.row.doc_id: [((t := dict(rows)[r.row.doc_id])[x.start : x.end], x.kind) for x in r.spans] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).where("row.doc_id >= 1000").collect()}
+    assert got[1000] == [("jo.doe (at) mail.example.org", 0)] * 2
+    assert [k for _, k in got[1001]] == [0, 0]
+    assert got[1002] == [("017-555-7713", 3)] * 2
+    assert not got[1003] and not got[1004]
