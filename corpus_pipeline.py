@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 
 from lumarium.llm import bpe, common, decontaminate, language_crf, line_dedup, ngram_join
 
-#: A text is rejected when its language is undetermined or its words agree on it less than this.
-MIN_LANGUAGE_SCORE = 0.5
+#: A text is rejected when its language is undetermined or the labels of its words, whichever they are, are on the mean less
+#: certain than this. Text in several languages stays.
+MIN_LANGUAGE_CERTAINTY = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is clear. The model learns from the rows of docs with a language; none is left out."""
+    """Keeps documents whose words have a clear language, be it one or several. The model learns from the rows of docs with a language; none is left out."""
     common.tuned(spark)
     model = language_crf.fit(docs)
     out = language_crf.predict(docs, model)
-    return out.where((F.col("lang_pred") != language_crf.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select("row.*")
+    return out.where((F.col("lang_pred") != language_crf.UNDETERMINED) & (F.col("certainty") >= MIN_LANGUAGE_CERTAINTY)).select("row.*")
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

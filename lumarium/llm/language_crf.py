@@ -204,9 +204,11 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", tr
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", with_words: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """(row, lang_pred, score[, words]): each row of docs with its language and score, and on request all words with theirs.
+    """(row, lang_pred, score, certainty[, words]): each row of docs with its language and score, and on request all words with
+    theirs. The score is the share of the language in the text; the certainty is the mean, over words, of the posterior of each
+    word's own best label, so that text in several languages may be as certain as text in one.
 
-    Null texts and those without a letter are ``und`` with score 0; so are all where nothing was learned. Other columns pass
+    Null texts and those without a letter are ``und`` with score and certainty 0; so are all where nothing was learned. Other columns pass
     through ``row`` (those named in ``keep``, or all), and take no part.
     """
     base = C.row_and_text(docs, text_col, keep)
@@ -218,19 +220,20 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", with_words: b
             for lo, hi, raw, offs in C.text_chunks(pc.utf8_lower(b.column(1))):
                 rows = hi - lo
                 words = Words(raw, offs)
-                pred, score = [UNDETERMINED] * rows, np.zeros(rows)
+                pred, score, certainty = [UNDETERMINED] * rows, np.zeros(rows), np.zeros(rows)
                 post = np.zeros((len(words.row), 1))
                 if m.labels and len(words.row):
                     post = m.word_posteriors(words, rows)
                     n = np.bincount(words.row, minlength=rows)
                     mean = np.stack([np.bincount(words.row, post[:, k], rows) for k in range(len(m.labels))], 1) / np.maximum(n, 1)[:, None]
+                    best = np.bincount(words.row, post.max(1), rows) / np.maximum(n, 1)
                     ascii_ = np.concatenate([[0], np.cumsum((raw >= 97) & (raw <= 122))])
                     sure = ascii_[offs[1:]] > ascii_[offs[:-1]]
                     for i in np.flatnonzero(n).tolist():
                         if sure[i] or any(c.isalpha() for c in raw[offs[i] : offs[i + 1]].tobytes().decode()):
                             k = int(mean[i].argmax())
-                            pred[i], score[i] = m.labels[k], min(float(mean[i, k]), 1.0)
-                out = [b.column(0)[lo:hi], pa.array(pred), pa.array(score)]
+                            pred[i], score[i], certainty[i] = m.labels[k], min(float(mean[i, k]), 1.0), min(float(best[i]), 1.0)
+                out = [b.column(0)[lo:hi], pa.array(pred), pa.array(score), pa.array(certainty)]
                 if with_words:
                     data = raw.tobytes()
                     lists: list[list] = [[] for _ in range(rows)]
@@ -238,9 +241,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", with_words: b
                         if m.labels:
                             lists[r].append({"word": data[s:e].decode(), "lang": m.labels[p]})
                     out.append(pa.array(lists, pa.list_(pa.struct([("word", pa.string()), ("lang", pa.string())]))))
-                yield pa.RecordBatch.from_arrays(out, ["row", "lang_pred", "score", "words"][: len(out)])
+                yield pa.RecordBatch.from_arrays(out, ["row", "lang_pred", "score", "certainty", "words"][: len(out)])
 
-    fields = [base.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    fields = [base.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("certainty", T.DoubleType())]
     if with_words:
         fields.append(T.StructField("words", T._parse_datatype_string("array<struct<word:string,lang:string>>")))
     return base.mapInArrow(run, T.StructType(fields))

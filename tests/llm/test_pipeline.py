@@ -53,3 +53,18 @@ def test_edges(spark):
             docs = pipeline.common.written(stage(spark, docs, D))
         assert {r.doc_id for r in docs.collect()} <= {4}
     assert words(None) == []
+
+
+def test_clean_text_in_several_languages_stays(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pick = {}
+    for r in docs.where("n_chars BETWEEN 1500 AND 6000").orderBy("doc_id").collect():
+        pick.setdefault(r.lang, []).append(r.text.split()[:120])
+    langs = sorted(pick)[:3]
+    rows = []
+    for i in range(5):
+        two, three = [" ".join(" ".join(pick[y][i]) for y in langs[:n]) for n in (2, 3)]
+        rows += [(10**6 + 2 * i, two, None, "mixed", len(two)), (10**6 + 2 * i + 1, three, None, "mixed", len(three))]
+    table = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    got = {r.doc_id for r in pipeline.language_id(spark, table, D).where("source = 'mixed'").collect()}
+    assert got == {r[0] for r in rows}
