@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,7 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 20
+#: Bytes of text that are worked on at once; the arrays of a run are some hundred times as large at most.
+CHUNK_BYTES = 1 << 18
+#: Bytes of a batch that Spark hands to Python.
+BATCH_BYTES = 4 << 20
 SKETCH_BITS = 20
 SKETCH_BLOCK = 1 << 14
 
@@ -21,9 +27,11 @@ LOWER[65:91] += 32
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Arrow batches are kept to a few thousand rows, since texts may be long; shuffle files go when the query that made them
-    has ended, since the steps of an operator start from written tables."""
+    """Arrow batches are kept to a few thousand rows and a few megabytes, since texts may be long; shuffle files go when the
+    query that made them has ended, since the steps of an operator start from written tables. The settings stay with the
+    session: frames are lazy, so they must hold when the caller runs them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
@@ -39,13 +47,28 @@ def row_and_text(docs: DataFrame, text_col: str, keep: list[str] | None = None)
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` whose workers, which later stages use again, hand freed memory back when a task ends."""
+
+    def run(batches):
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(run, schema)
+
+
 # ---------------------------------------------------------------- scratch tables
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh path under ``spark.checkpoint.dir``, which all executors share; a temporary folder where that is unset, as in tests."""
+    """A fresh path under ``spark.checkpoint.dir``, which all executors share. Where that is unset, a temporary folder serves
+    in local mode, as in tests; a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -72,11 +95,14 @@ def dropped(df: DataFrame) -> None:
 BROADCAST_IDS = 1_000_000
 
 
+def small(keys: DataFrame) -> DataFrame:
+    """A written table of keys as one side of a join: broadcast when its counted rows are within BROADCAST_IDS, else shuffled."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+
+
 def with_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """Semi or anti join with a table of distinct long ids, broadcast only when its counted rows are within BROADCAST_IDS."""
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return df.join(ids, key, how)
+    return df.join(small(ids), key, how)
 
 
 def shares(counts: list[int], n: int) -> list[int]:
@@ -155,28 +181,33 @@ _BASE = 0x9E3779B97F4A7C55
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, CHUNK_BYTES + (1 << 18))
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, base, U64)
-            p[0] = 1
-            _POWERS[name] = np.cumprod(p, dtype=U64)
-    return _POWERS["up"], _POWERS["down"]
+def _powers(name: str, n: int) -> np.ndarray:
+    """Powers of the base ("up") or of its inverse ("down"). A table for usual runs is kept, a larger one goes after its use."""
+    usual = 2 * CHUNK_BYTES
+    if n <= usual and name in _POWERS:
+        return _POWERS[name]
+    p = np.full(max(n, usual), _BASE if name == "up" else pow(_BASE, -1, 1 << 64), U64)
+    p[0] = 1
+    np.cumprod(p, dtype=U64, out=p)
+    if n <= usual:
+        _POWERS[name] = p
+    return p
 
 
 def prefix_hash(raw: np.ndarray) -> np.ndarray:
     """Prefix sums of a polynomial over the bytes modulo 2**64; ``span_hash`` takes the value of any span from them."""
-    up, _ = _powers(len(raw) + 1)
     out = np.zeros(len(raw) + 1, U64)
-    np.cumsum((raw.astype(U64) + U64(1)) * up[: len(raw)], out=out[1:])
+    x = out[1:]
+    x[:] = raw
+    x += U64(1)
+    x *= _powers("up", len(raw) + 1)[: len(raw)]
+    np.cumsum(x, out=x)
     return out
 
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of the bytes from start to end, the same wherever they stand."""
-    _, down = _powers(len(sums))
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+    return mix((sums[end] - sums[start]) * _powers("down", len(sums))[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
 def split_words(raw: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,6 +249,11 @@ def word_hashes(raw: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple
     return span_hash(prefix_hash(low), start, end), row
 
 
+def ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers from ``first`` on, ``count`` of them, for each entry, one after the other."""
+    return np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)
+
+
 def by_row(values: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Order of values within rows; row numbers are below 65536."""
     order = np.argsort(values)
@@ -250,7 +286,7 @@ def count_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.n
         if totals:
             yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([np.minimum(v, 2**32 - 1).astype(np.uint32).tobytes() for v in totals.values()], pa.binary())], ["block", "counts"])
 
-    rows = df.mapInArrow(counted, per_task).repartition("block").mapInArrow(summed, per_task).collect()
+    rows = map_batches(map_batches(df, counted, per_task).repartition("block"), summed, per_task).collect()
     out = np.zeros((size // SKETCH_BLOCK, SKETCH_BLOCK), np.uint32)
     for r in rows:
         out[r[0]] = np.frombuffer(r[1], np.uint32)
@@ -276,7 +312,7 @@ def neighbours(rows: DataFrame, key: str) -> DataFrame:
         if open_:
             yield last
 
-    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, rows.schema)
+    return map_batches(rows.repartition(key).sortWithinPartitions(key), run, rows.schema)
 
 
 # ---------------------------------------------------------------- components

@@ -1,82 +1,111 @@
 """Cross-site boilerplate lines by distinct-site spread.
 
-Each line hash gets a HyperLogLog sketch of its sites; Spark merges the sketches of its map tasks by aggregation. Lines
-whose estimate is far above the threshold are boilerplate and far below are not; for lines near it (within three standard
-errors and one and a half sites) the distinct sites are counted exactly. Of a boilerplate line the first place stays
-(smallest document, then line) and all others are removed.
+Each line hash gets a HyperLogLog sketch of its sites, and the first place where it stands; Spark merges both over its map
+tasks by one aggregation. Lines whose estimate is far above the threshold are boilerplate and far below are not; for lines
+near it (within three standard errors and one and a half sites) the distinct sites are counted exactly. Of a boilerplate
+line the first place stays (smallest document, then line) and all others are removed.
+
+Texts stay where they are: the boilerplate lines, few beside the corpus, go to all tasks when their counted number is within
+BROADCAST_LINES, and each task marks the lines of its documents by binary search. Beyond that, the numbers of the lines to
+remove are joined to the documents by a shuffle, with the same result.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import common as C
 
 MIN_SITES, MIN_CHARS, LOG_K = 5, 20, 10
+#: Boilerplate lines up to which they are sent to all tasks (32 bytes each).
+BROADCAST_LINES = 1_000_000
+
+
+def _hashes(line: Column, min_chars: int) -> tuple[Column, Column]:
+    """Two hashes of a line without its outer blanks, null for a short one."""
+    line = F.btrim(line, F.lit(" \t\r"))
+    long = F.length(line) >= min_chars
+    return F.when(long, F.xxhash64(line)), F.when(long, F.xxhash64(F.lit(1), line, F.lit(2)))
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, log_k: int = LOG_K) -> tuple[DataFrame, DataFrame]:
-    """(lines, first), two written tables: every line of (doc, text, site) as (doc, no, h1, h2, site), and (h1, h2, first) of boilerplate lines."""
-    line = F.btrim("line", F.lit(" \t\r"))
-    lines = (
-        docs.select("doc", "site", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-        .withColumn("line", line)
-        .where(F.length("line") >= min_chars)
-        .select("doc", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line", F.lit(2)).alias("h2"), "site")
-    )
-    lines = C.written(lines)
-    counted = lines.where("site IS NOT NULL")
-    spread = C.written(counted.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(log_k))).alias("sites")).where(F.col("sites") >= min_sites - 1.5 - 3 * min_sites * 1.04 / math.sqrt(2**log_k)))
-    band = min_sites + 1.5 + 3 * min_sites * 1.04 / math.sqrt(2**log_k)
-    near = spread.where(F.col("sites") < band).select("h1", "h2")
-    exact = counted.join(near, ["h1", "h2"]).groupBy("h1", "h2", "site").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
-    wide = spread.where(F.col("sites") >= band).select("h1", "h2").unionByName(exact.select("h1", "h2"))
-    first = C.written(lines.join(wide, ["h1", "h2"]).groupBy("h1", "h2").agg(F.min(F.struct("doc", "no")).alias("first")))
+    """(lines, first), two written tables: every long line of (doc, text, site) as (doc, no, h1, h2, site), and (h1, h2, doc,
+    no) of boilerplate lines with their first place."""
+    lines = docs.select("doc", "site", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    h1, h2 = _hashes(F.col("line"), min_chars)
+    lines = C.written(lines.select("doc", "no", h1.alias("h1"), h2.alias("h2"), "site").where("h1 IS NOT NULL"))
+    slack = 1.5 + 3 * min_sites * 1.04 / math.sqrt(2**log_k)
+    sites = F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(log_k)))
+    spread = lines.groupBy("h1", "h2").agg(sites.alias("sites"), F.min(F.struct("doc", "no")).alias("first"))
+    spread = C.written(spread.where(F.col("sites") >= min_sites - slack).select("h1", "h2", "sites", "first.doc", "first.no"))
+    near = spread.where(F.col("sites") < min_sites + slack).drop("sites")
+    exact = lines.where("site IS NOT NULL").select("h1", "h2", "site").join(C.small(near), ["h1", "h2"]).distinct()
+    exact = exact.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.first("doc").alias("doc"), F.first("no").alias("no")).where(F.col("n") >= min_sites)
+    first = C.written(spread.where(F.col("sites") >= min_sites + slack).drop("sites").unionByName(exact.drop("n")))
     C.dropped(spread)
     return lines, first
 
 
-def removed_lines(docs: DataFrame, **kw) -> DataFrame:
-    """(doc, gone): the numbers of the lines to remove from each document that has any."""
-    lines, first = boilerplate(docs, **kw)
-    place = F.struct("doc", "no")
-    gone = C.written(lines.join(first, ["h1", "h2"]).where(place != F.col("first")).groupBy("doc").agg(F.array_sort(F.collect_set("no")).alias("gone")))
-    C.dropped(lines)
-    C.dropped(first)
-    return gone
-
-
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", keep: list[str] | None = None, **kw) -> DataFrame:
+def _marked(docs: DataFrame, first: DataFrame, min_chars: int) -> DataFrame:
+    """Adds the numbers of the lines that go, by search among the boilerplate lines in each task."""
+    t = first.orderBy("h1", "h2").toArrow()
+    h1, h2, doc, no = (t.column(c).to_numpy() for c in ("h1", "h2", "doc", "no"))
+    repeats = int(np.diff(np.flatnonzero(np.concatenate([[True], h1[1:] != h1[:-1], [True]]))).max()) if len(h1) else 0
+    shared = docs.sparkSession.sparkContext.broadcast((h1, h2, doc, no))
+
+    def gone(ids: pa.Array, first_hash: pa.Array, second_hash: pa.Array) -> pa.Array:
+        h1, h2, doc, no = shared.value
+        size = np.diff(first_hash.offsets.to_numpy())
+        size = np.where(first_hash.is_valid().to_numpy(zero_copy_only=False), size, 0)
+        row = np.repeat(np.arange(len(size)), size)
+        number = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        x, y = first_hash.flatten(), second_hash.flatten()
+        own = np.repeat(ids.fill_null(0).to_numpy(), size)
+        x, y, known = x.fill_null(0).to_numpy(), y.fill_null(0).to_numpy(), x.is_valid().to_numpy(zero_copy_only=False)
+        at = np.searchsorted(h1, x)
+        out = np.zeros(len(x), bool)
+        for k in range(repeats):  # lines that share the first hash are told apart by the second
+            i = np.minimum(at + k, len(h1) - 1)
+            out |= known & (h1[i] == x) & (h2[i] == y) & ((doc[i] != own) | (no[i] != number))
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(row[out], minlength=len(size)))])
+        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(number[out], pa.int32()))
+
+    marks = F.arrow_udf(gone, "array<int>")
+    lines = F.when(F.col("doc").isNotNull(), F.split("text", "\n"))
+    hashes = (F.transform(lines, lambda x: _hashes(x, min_chars)[0]), F.transform(lines, lambda x: _hashes(x, min_chars)[1]))
+    return docs.withColumn("gone", marks("doc", *hashes))
+
+
+def _joined(docs: DataFrame, lines: DataFrame, first: DataFrame) -> DataFrame:
+    """The same by a join of line numbers with documents."""
+    places = lines.join(first.select("h1", "h2", F.struct("doc", "no").alias("first")), ["h1", "h2"])
+    gone = C.written(places.where(F.struct("doc", "no") != F.col("first")).groupBy("doc").agg(F.collect_set("no").alias("gone")))
+    return docs.join(gone, "doc", "left")
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", keep: list[str] | None = None, broadcast_lines: int = BROADCAST_LINES, **kw) -> DataFrame:
     """(row, n_lines, n_removed, kept): each row of docs with what its text keeps.
 
     Lines end at "\\n" and are compared without outer blanks; shorter ones than ``min_chars`` always stay. A null text has
-    no line and stays null, an empty text one empty line. Null sites count for no line. Rows with one id are one document:
-    a line removed from one goes from both. A null id takes part in nothing and is kept whole. Other columns (those named in
-    ``keep``, or all) pass through ``row``.
+    no line and stays null, an empty text one empty line. Null sites count for no line. Rows that repeat an id are one
+    document: where the first place of a line is in it, each of them keeps that line. A null id takes part in nothing and is
+    kept whole. A long text is one row of Spark's own functions and no more. Other columns (those named in ``keep``, or all)
+    pass through ``row``.
     """
     names = docs.columns if keep is None else keep
-    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"), F.col(site_col).cast("string").alias("site"))
-    gone = removed_lines(base.where("doc IS NOT NULL").select("doc", "text", "site"), **kw)
-
-    def run(batches):
-        for b in batches:
-            n, removed, kept = [], [], []
-            for text, out in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                lines = [] if text is None else text.split("\n")
-                n.append(len(lines))
-                drop = set(out or ())
-                removed.append(len(drop))
-                kept.append(text if not drop else "\n".join(x for i, x in enumerate(lines) if i not in drop))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["row", "n_lines", "n_removed", "kept"])
-
-    joined = base.join(gone, "doc", "left").select("row", "text", "gone")
-    schema = T.StructType([joined.schema["row"], T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    return joined.mapInArrow(run, schema)
+    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{site_col}`").cast("string").alias("site"))
+    lines, first = boilerplate(base.where("doc IS NOT NULL").select("doc", "text", "site"), **kw)
+    min_chars = kw.get("min_chars", MIN_CHARS)
+    out = _marked(base, first, min_chars) if first.count() <= broadcast_lines else _joined(base, lines, first)
+    parts, gone = F.split("text", "\n"), F.coalesce("gone", F.array().cast("array<int>"))
+    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(gone, i)), "\n")
+    n = F.coalesce(F.when(F.col("text").isNotNull(), F.size(parts)), F.lit(0)).cast("long")
+    return out.select("row", n.alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), F.when(F.size(gone) == 0, F.col("text")).otherwise(kept).alias("kept"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

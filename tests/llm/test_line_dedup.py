@@ -36,3 +36,14 @@ def test_edges(spark):
     out = line_dedup(df).select("row.doc_id", "n_lines", "n_removed", "kept").collect()
     assert {(r[0], r[1], r[2], hashlib.sha256((r[3] or "").encode()).hexdigest()) for r in out} == brute(rows)
     assert line_dedup(df.limit(0)).count() == 0
+    # the other way, for more boilerplate lines than are sent to tasks
+    assert sorted(line_dedup(df, broadcast_lines=0).collect(), key=str) == sorted(line_dedup(df).collect(), key=str)
+
+
+def test_repeated_rows_null_ids_and_long_texts(spark):
+    a = "This very line stands everywhere."
+    rows = [(i, a, f"s{i}") for i in range(6)] + [(0, a, "s0"), (0, f"x\n{a}", "s9"), (None, a, "s7"), (3, f"{a}\n{a}", "s3"), (9, f"{a}\nown\n" * 60_000, "s1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for bound in (0, 10):
+        got = sorted((r[0] or -1, r[1] or "") for r in line_dedup(df, broadcast_lines=bound).select("row.doc_id", "kept").collect())
+        assert got == sorted([(-1, a), (-1, a), (-1, a), (-1, "x"), *((i, "") for i in (1, 2, 3, 3, 4, 5)), (9, "own\n" * 60_000)])
