@@ -8,6 +8,7 @@ exception list. Layout of a segment, all little-endian:
     | block minimum (u32) | block starts (u32, in words of the data) | exceptions per block (u16) | block width (u8)
     | data: per block 8 * width words of packed values, then for its exceptions the places (u8, padded) and high bits (u32)
 
+Texts are encoded where they are read, and only their ids (16 bits each where the vocabulary allows) are put in order.
 Segments are written in ascending order of document ids as rows of a Parquet table in the shared folder, so that writers
 and readers need nothing but Spark's file systems.
 """
@@ -15,7 +16,7 @@ and readers need nothing but Spark's file systems.
 from __future__ import annotations
 
 import os
-import zlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,8 @@ from .bpe import tokenizer_path
 
 BLOCK, PERCENTILE, END_ID = 256, 95, 1
 SEGMENT_IDS = 1 << 20
-CACHE_WORDS = 500_000
+#: Pieces of text whose ids a worker keeps (some 40 bytes each), and bytes of ids of one task of the ordered output.
+STORE_PIECES, PART_BYTES = 1 << 20, 32 << 20
 
 
 # ---------------------------------------------------------------- the format
@@ -128,90 +130,207 @@ def read_block(blob: bytes, k: int) -> np.ndarray:
     return (np.array(v[: min(BLOCK, n - k * BLOCK)], np.int64) + int(low)).astype(np.uint32)
 
 
-# ---------------------------------------------------------------- encoding by words
-
-
-class WordEncoder:
-    """Encodes texts piece by piece. The tokenizer drops white space and no token spans it, so the ids of a text are those of
-    its pieces between ASCII white space. Distinct pieces are encoded once and kept, up to CACHE_WORDS of them (frequent ones
-    come early); when the store is full, others are encoded anew in each run of texts. A worker process has one encoder for
-    all its tasks."""
-
-    def __init__(self, path: str):
+# ---------------------------------------------------------------- encoding by pieces
+
+SPACE, LETTER, DIGIT, MARK, OTHER = range(5)
+
+
+def _kinds() -> np.ndarray:
+    t = np.full(256, OTHER, np.uint8)
+    t[[32, *range(9, 14)]] = SPACE
+    t[65:91] = t[97:123] = LETTER
+    t[48:58] = DIGIT
+    t[33:48] = t[58:65] = t[91:97] = t[123:127] = MARK
+    t[39] = OTHER  # an apostrophe may join what stands around it
+    return t
+
+
+KINDS = _kinds()
+RESERVED = re.compile(rb"<\|startoftext\|>|<\|endoftext\|>")
+
+
+def pieces(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of stretches that the tokenizer encodes on their own: it drops white space, takes each digit alone,
+    and never joins letters with digits or marks. Only ASCII and the letters of Latin-1 are cut so; whatever else stands in
+    a text keeps its neighbours, up to the next white space."""
+    n = len(raw)
+    kind = KINDS[raw]
+    lead = np.flatnonzero(raw[:-1] == 0xC3)
+    lead = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]  # not the signs of multiplication and division
+    kind[lead] = kind[lead + 1] = LETTER
+    before = np.full(n, SPACE, np.uint8)
+    before[1:] = kind[:-1]
+    bounds = offs[1:-1]
+    bounds = bounds[bounds < n]
+    before[bounds] = SPACE
+    cut = (before == SPACE) | ((kind != OTHER) & (before != OTHER) & ((kind != before) | (kind == DIGIT)))
+    for m in RESERVED.finditer(raw.tobytes()):
+        cut[m.start() + 1 : m.end()] = False
+    if len(bounds):
+        cut[bounds] = True
+    held = kind != SPACE
+    start = np.flatnonzero(cut & held)
+    last = np.ones(n, bool)
+    last[:-1] = cut[1:] | ~held[1:]
+    return start, np.flatnonzero(last & held) + 1, np.searchsorted(offs, start, "right") - 1
+
+
+class PieceEncoder:
+    """Encodes texts piece by piece; the ids of a text are those of its pieces. Distinct pieces are encoded once and kept by
+    their 64-bit hashes in an open table with one place for each hash and a sorted list for those whose place is taken. When
+    the store is full, the half that was used last stays. A worker process has one encoder for all its tasks."""
+
+    def __init__(self, path: str, capacity: int = STORE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
-
-    def texts(self, data: bytes, offs: np.ndarray):
-        cut = offs.tolist()
-        pieces = [data[a:b].split() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        new = [x for x in set().union(*pieces) if x not in self.known]
-        for x, e in zip(new, self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False), strict=True):
-            self.known[x] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        out = [b"".join(map(get, p)) for p in pieces]
-        for x in new[max(0, len(new) - max(0, len(self.known) - CACHE_WORDS)) :]:
-            del self.known[x]
-        return out
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.capacity, self.clock = capacity, 0
+        self.bits = max(4, int(capacity - 1).bit_length() + 2)
+        self._set(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, self.kind))
+
+    def _set(self, hashes, used, counts, ids) -> None:
+        """Store of these pieces, with the ids of all of them one after the other."""
+        self.hashes, self.used, self.ids = hashes, used, ids
+        self.first, self.counts = np.cumsum(counts) - counts, counts
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.slots[slot] = np.arange(len(hashes), dtype=np.int32)
+        rest = np.flatnonzero(self.slots[slot] != np.arange(len(hashes)))
+        rest = rest[np.argsort(hashes[rest])]
+        self.rest_hash, self.rest = hashes[rest], rest
+
+    def _add(self, hashes: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        old, n = len(self.hashes), len(hashes)
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(counts) - counts])
+        self.hashes, self.counts, self.ids = np.concatenate([self.hashes, hashes]), np.concatenate([self.counts, counts]), np.concatenate([self.ids, ids])
+        self.used = np.concatenate([self.used, np.full(n, self.clock, np.int32)])
+        slot, own = (hashes >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(old, old + n, dtype=np.int32)
+        free = self.slots[slot] < 0
+        self.slots[slot[free]] = own[free]
+        rest = np.flatnonzero(self.slots[slot] != own)
+        rest = rest[np.argsort(hashes[rest])]
+        at = np.searchsorted(self.rest_hash, hashes[rest])
+        self.rest_hash, self.rest = np.insert(self.rest_hash, at, hashes[rest]), np.insert(self.rest, at, own[rest])
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each piece in the store, or -1."""
+        at = self.slots[(h >> np.uint64(64 - self.bits)).astype(np.int64)].astype(np.int64)
+        if not len(self.hashes):
+            return at
+        miss = np.flatnonzero((at < 0) | (self.hashes[at] != h))
+        at[miss] = -1
+        if len(self.rest):
+            k = np.minimum(np.searchsorted(self.rest_hash, h[miss]), len(self.rest) - 1)
+            at[miss] = np.where(self.rest_hash[k] == h[miss], self.rest[k], -1)
+        return at
+
+    def _shrink(self) -> None:
+        keep = np.sort(np.argsort(self.used, kind="stable")[-(self.capacity // 2) :])
+        counts = self.counts[keep]
+        self._set(self.hashes[keep], self.used[keep], counts, self.ids[C.ranges(self.first[keep], counts)])
+
+    def texts(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each has."""
+        start, end, row = pieces(raw, offs)
+        h = C.span_hash(C.prefix_hash(raw), start, end)
+        if len(self.hashes) > self.capacity:
+            self._shrink()
+        self.clock += 1
+        at = self._find(h)
+        miss = np.flatnonzero(at < 0)
+        if len(miss):
+            new, first, which = np.unique(h[miss], return_index=True, return_inverse=True)
+            data = raw.tobytes()
+            s, e = start[miss[first]].tolist(), end[miss[first]].tolist()
+            out = [np.array(x.ids, self.kind) for x in self.tokenizer.encode_batch_fast([data[a:b].decode() for a, b in zip(s, e, strict=True)], add_special_tokens=False)]
+            at[miss] = len(self.hashes) + which
+            self._add(new, np.array([len(x) for x in out]), np.concatenate(out))
+        self.used[at] = self.clock
+        counts = self.counts[at]
+        return self.ids[C.ranges(self.first[at], counts)], np.bincount(row, counts, len(offs) - 1).astype(np.int64)
+
+
+_ENCODERS: dict[str, PieceEncoder] = {}
+
+
+def encoder_for(path: str) -> PieceEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = PieceEncoder(path)
+    return _ENCODERS[path]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+# ---------------------------------------------------------------- files
 
 
-def encoder_for(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """(id, tie, wide, ids) of (id, text): little-endian ids with the end id, of 16 bits or, where ``wide``, of 32."""
 
+    def run(batches):
+        enc = encoder_for(tokenizer)
+        wide = enc.kind is np.uint32 or end_id >= 1 << 16
+        kind = "<u4" if wide else "<u2"
+        for b in batches:
+            for lo, hi, raw, offs in C.text_chunks(b.column(1)):
+                ids, counts = enc.texts(raw, offs)
+                ends = np.cumsum(counts)
+                data = np.insert(ids.astype(kind), ends, end_id)
+                cuts = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]) * data.itemsize
+                blobs = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array([wide] * (hi - lo)), blobs.cast(pa.binary())], ["id", "wide", "ids"])
 
-# ---------------------------------------------------------------- files
+    return C.map_batches(docs, run, "id long, wide boolean, ids binary").withColumn("tie", F.xxhash64("ids"))
 
 
 def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> None:
-    """Writes the ids of every text, each followed by ``end_id``, as segments in ascending order of ids.
+    """Writes the ids of every text, each followed by ``end_id``, as segments in ascending order of document ids.
 
-    Null texts count as empty and have the end id alone. Rows with a null id are left out; rows that share an id follow
-    each other in any order. Other columns are ignored.
+    Null texts count as empty and have the end id alone. Rows with a null id are left out. Rows that share an id follow each
+    other in the order of a hash of their token ids, then of these, so that the files don't depend on how rows are dealt.
+    Texts of any length are encoded whole. Other columns are ignored.
     """
     tokenizer = tokenizer or tokenizer_path("word_bpe_49k.json")
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where("id IS NOT NULL")
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).where("id IS NOT NULL")
+    encoded = C.written(_encoded(base, tokenizer, end_id))
+    parts = (encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // PART_BYTES + 1
 
     def run(batches):
-        enc, part, seq = encoder_for(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
+        part, seq, before = TaskContext.get().partitionId(), 0, 0
         ids, data, size = [], [], 0
 
         def segment():
-            counts = np.array([len(x) // 4 for x in data])
-            blob = pack(np.array(ids, np.int64), counts, np.frombuffer(b"".join(data), "<u4"))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([int(counts.sum())], pa.int64()), pa.array([blob], pa.binary())], ["part", "seq", "n_values", "segment"])
+            counts = np.array([len(x) for x in data])
+            blob = pack(np.array(ids, np.int64), counts, np.concatenate(data))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([blob], pa.binary())], ["part", "seq", "before", "n_values", "segment"])
 
         for b in batches:
-            for lo, hi, raw, offs in C.text_chunks(b.column(1)):
-                for i, x in zip(b.column(0)[lo:hi].to_pylist(), enc.texts(raw.tobytes(), offs), strict=True):
-                    ids.append(i)
-                    data.append(x + end)
-                    size += len(x) // 4 + 1
-                    if size >= SEGMENT_IDS:
-                        yield segment()
-                        ids, data, size, seq = [], [], 0, seq + 1
+            for i, wide, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                ids.append(i)
+                data.append(np.frombuffer(x, "<u4" if wide else "<u2"))
+                size += len(data[-1])
+                if size >= SEGMENT_IDS:
+                    yield segment()
+                    ids, data, size, seq, before = [], [], 0, seq + 1, before + size
         if ids:
             yield segment()
 
-    base.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(run, "part int, seq int, n_values long, segment binary").write.parquet(path)
+    ordered = encoded.repartitionByRange(int(parts), "id", "tie").sortWithinPartitions("id", "tie", "ids").select("id", "wide", "ids")
+    C.map_batches(ordered, run, SEGMENTS).write.parquet(path)
+    C.dropped(encoded)
+
+
+SEGMENTS = "part int, seq int, before long, n_values long, segment binary"
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(id, start, n_tokens, ids): each document of the files, with the ids of all before it counted in ``start``."""
-    files = spark.read.schema("part int, seq int, n_values long, segment binary").parquet(path)
+    files = spark.read.schema(SEGMENTS).parquet(path)
     totals = files.groupBy("part").agg(F.sum("n_values").alias("n"))
-    before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before_part"))
-    inner = files.select("part", "seq", "n_values").withColumn("before_seq", F.sum("n_values").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_values"))
-    offset = inner.join(before, "part").select("part", "seq", (F.col("before_part") + F.col("before_seq")).alias("offset"))
+    # one row for each task that wrote: their running total is short work for one task
+    offset = C.written(totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("offset")))
 
     def run(batches):
         for b in batches:
@@ -221,7 +340,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 data, cut = ids.astype("<u4").tobytes(), [0, *(4 * ends).tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(offset + ends - counts), pa.array(counts), pa.array([data[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["id", "start", "n_tokens", "ids"])
 
-    return files.join(offset, ["part", "seq"]).select("segment", "offset").mapInArrow(run, "id long, start long, n_tokens long, ids binary")
+    placed = files.join(C.small(offset), "part").select("segment", (F.col("offset") + F.col("before")).alias("offset"))
+    return C.map_batches(placed, run, "id long, start long, n_tokens long, ids binary")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

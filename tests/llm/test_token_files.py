@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -45,6 +46,19 @@ def test_against_library_on_documents(spark):
     assert {tuple(r) for r in F.op5_token_files(spark, d).collect()} == want(rows)
 
 
+def test_small_store_and_pieces():
+    rng = random.Random(5)
+    parts = ["a", "B", "é", "É", "e\u0301", "×", "'s", "'", "’", "1", "²", " ", "\n", "\u3000", "\u0301", "\x1c", ".", ",", "<|endoftext|>", "<|", "|>", "don't", "日", "İ", "Σ", "ᄀ", "ᅡ", "\u0000"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(14))) for _ in range(4000)]
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    enc, got = F.PieceEncoder(P.path("word_bpe_49k.json"), capacity=300), []
+    for _, _, raw, offs in C.text_chunks(pa.array(texts), 3000):
+        ids, counts = enc.texts(raw, offs)
+        got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert len(enc.hashes) <= 300 + len(raw)
+    assert got == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_edges(spark, monkeypatch):
     rng = random.Random(2)
     parts = ["The", " ", "\n", "É", "é", "ſ", "don't", "12", "!?", " ", "\x1c", " ", "日本", "🙂", "<|endoftext|>", "<|startoftext|> x", "İ", "ΑΣ "]
@@ -54,6 +68,14 @@ def test_edges(spark, monkeypatch):
     F.write_token_files(df, path)
     got = {(r.id, r.start, r.n_tokens, zlib.crc32(r.ids)) for r in F.read_token_files(spark, path).collect()}
     assert got == want(rows)
+    # repeated ids: the same files however rows are dealt
+    twice = df.unionByName(spark.createDataFrame([(f"other {k}", 7, 3) for k in range(40)] + [("same", 7, 3)] * 3, df.schema))
+    out = []
+    for n in (1, 5):
+        path = C.scratch_dir(spark)
+        F.write_token_files(twice.repartition(n), path)
+        out.append(sorted(tuple(r) for r in F.read_token_files(spark, path).collect()))
+    assert out[0] == out[1] and len(out[0]) == len(rows) + 43
     path = C.scratch_dir(spark)
     F.write_token_files(df.limit(0), path)
     assert F.read_token_files(spark, path).count() == 0
