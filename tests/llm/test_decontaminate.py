@@ -55,7 +55,8 @@ def test_edges_blocks_and_columns(spark):
         found = D.search_benchmark(df, bench, block_bytes=size).select("row.doc_id", "found.*").collect()
         got = {(r.doc_id, r.n_words, sum(r.ends) - sum(r.starts), len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), bool(r.starts)) for r in found}
         assert got == brute(docs, named)
-        assert next(r.longest for r in found if r.doc_id == 3) == 25
+        assert next(r.longest for r in found if r.doc_id == 3) == (25, 30_000, "1", 0)
+        assert next(r.longest for r in found if r.doc_id == 1) is None
     kept = D.decontaminated(df, bench)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 5, 6, 7]
     assert D.decontaminated(df, bench.limit(0)).count() == len(docs)
