@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with content-defined chunk reuse.
 
 Texts are cut where a rolling hash of the last bytes has its low bits clear, so equal passages of different documents give
-equal chunks. A task encodes each distinct chunk once and keeps its ids (the store has a fixed size and starts anew when
-full). At a join of two chunks the ids may differ from those of the whole text. The join is repaired by re-encoding from
+equal chunks. A worker encodes each distinct chunk once and keeps its ids (of a store of fixed size, the chunks that were
+not used for longest go first). At a join of two chunks the ids may differ from those of the whole text. The join is repaired by re-encoding from
 the last sure token boundary of the left chunk to the first one of the right chunk; a chunk without one becomes part of
 the re-encoded text, which grows until both ends agree. A sure boundary is a space between two ASCII letters: the
 tokenizer's word pattern starts a new word there whatever surrounds it. Hence ids are exactly those of the whole text.
@@ -52,7 +52,7 @@ class Encoder:
         for k, v in [*table.items(), *((k, v) for k, v in self.special.items())]:
             self.token[v] = k
         self.size = np.array([len(x) for x in self.token])
-        self.store_bytes, self.store, self.used = store_bytes, {}, 0
+        self.store_bytes, self.store, self.older, self.used = store_bytes, {}, {}, 0
         self.letter = np.zeros(256, bool)
         self.letter[65:91] = self.letter[97:123] = True
 
@@ -62,12 +62,13 @@ class Encoder:
     def chunk(self, data: bytes, head: int, tail: int) -> tuple[np.ndarray, int, int]:
         """Ids of a chunk, and how many of them stand before its first and its last sure boundary."""
         if (known := self.store.get(data)) is None:
-            ids = self.ids(data)
-            ends = np.cumsum(self.size[ids])
-            known = (ids.astype(np.uint32), int(np.searchsorted(ends, head)) + 1, int(np.searchsorted(ends, tail)) + 1)
-            self.used += len(data) + ids.nbytes + 300
-            if self.used > self.store_bytes:
-                self.store, self.used = {}, len(data)
+            if (known := self.older.pop(data, None)) is None:
+                ids = self.ids(data)
+                ends = np.cumsum(self.size[ids])
+                known = (ids.astype(np.uint32), int(np.searchsorted(ends, head)) + 1, int(np.searchsorted(ends, tail)) + 1)
+            self.used += len(data) + known[0].nbytes + 300
+            if self.used > self.store_bytes // 2:  # what isn't used until the new half is full is gone
+                self.older, self.store, self.used = self.store, {}, len(data)
             self.store[data] = known
         return known
 
@@ -78,6 +79,7 @@ class Encoder:
         at = np.arange(ROLL, len(raw))
         cut = at[(C.span_hash(sums, at - ROLL, at) >> np.uint64(64 - MASK_BITS)) == 0] if len(at) else at
         cut = cut[(raw[cut] & 0xC0) != 0x80]  # between characters
+        cut = cut[cut - ROLL >= offs[np.searchsorted(offs, cut, "right") - 1]]  # the hashed bytes are the text's own
         sure = np.flatnonzero((raw[1:-1] == 32) & self.letter[raw[:-2]] & self.letter[raw[2:]]) + 1
         for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
             out: list[np.ndarray] = []
@@ -145,7 +147,7 @@ def bpe_encode_decode(docs: DataFrame, text_col: str = "text", ranks: str | None
 
     base = C.row_and_text(docs, text_col, keep)
     schema = T.StructType([base.schema["row"], T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType())])
-    return base.mapInArrow(run, schema)
+    return C.map_batches(base, run, schema)
 
 
 def op4_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

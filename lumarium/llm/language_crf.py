@@ -246,7 +246,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", with_words: b
     fields = [base.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("certainty", T.DoubleType())]
     if with_words:
         fields.append(T.StructField("words", T._parse_datatype_string("array<struct<word:string,lang:string>>")))
-    return base.mapInArrow(run, T.StructType(fields))
+    return C.map_batches(base, run, T.StructType(fields))
 
 
 def held_out(id_col: str = "doc_id"):

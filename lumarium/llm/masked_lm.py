@@ -60,7 +60,7 @@ def count_words(docs: DataFrame, top: int) -> Vocabulary:
                 h, n = np.unique(h, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
-    counts = docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = C.map_batches(docs, run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return Vocabulary([r[0] for r in counts.orderBy(F.desc("n"), "word").limit(top).collect()])
 
 
@@ -229,7 +229,7 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Network], text_col: str = "t
                 logs = network.log_probabilities(ids, contexts(ids, row))
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(np.bincount(row, minlength=hi - lo), pa.int64()), pa.array(np.bincount(row, logs, hi - lo).astype(np.float64))], ["row", "n_tokens", "log_likelihood"])
 
-    return base.mapInArrow(run, T.StructType([base.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType())]))
+    return C.map_batches(base, run, T.StructType([base.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType())]))
 
 
 def op6_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

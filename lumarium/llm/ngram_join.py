@@ -2,10 +2,11 @@
 
 A document is the set of its distinct word shingles. Under any global order of shingles, two sets whose Jaccard similarity
 reaches the threshold share a shingle among the first ``n - ceil(t * n) + 1`` of each (its prefix). Three orders are used:
-all take shingles from rare to frequent by a count sketch of the whole corpus, and break ties by three different hashes.
-Prefixes of the first order are shuffled by shingle; a pair that meets there, at places which leave enough shingles to
-share, is verified only if the parity bits of the two sets don't rule it out (they differ in no more places than the sets
-do) and its prefixes of the second and the third order meet too.
+from rare to frequent by a count sketch of the whole corpus, by ascending hash, and by descending hash. Prefixes of the
+first order are shuffled by shingle, and a pair meets there at places which leave enough shingles to share. Prefixes of the
+other two orders (32 bits of each hash) travel with the sets' sizes: only pairs that share a shingle in each of the three
+prefixes, and which the parity bits of the two sets don't rule out (they differ in no more places than the sets do), have
+their sets fetched and verified.
 
 Near copies are not expanded into all pairs. Equal sets count once. In each bucket (documents that share a prefix shingle)
 all members are first compared with one leader, the member whose prefix is most shared; then only with members of
@@ -55,10 +56,9 @@ def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
 
 
-def prefixes(s: np.ndarray, row: np.ndarray, n: np.ndarray, sketch: np.ndarray, salt: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (and rows) of each row's prefix under the order (sketch count, hash mixed with salt)."""
-    tie = C.mix(s ^ np.uint64(salt)) if salt else s
-    rank = (sketch[s >> np.uint64(64 - C.SKETCH_BITS)].astype(np.uint64) << np.uint64(32)) | (tie >> np.uint64(32))
+def prefixes(s: np.ndarray, row: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (and rows) of each row's prefix under the first order (sketch count, then hash)."""
+    rank = (sketch[s >> np.uint64(64 - C.SKETCH_BITS)].astype(np.uint64) << np.uint64(32)) | (s >> np.uint64(32))
     o = C.by_row(rank, row)
     first = np.concatenate([[0], np.cumsum(n)])
     place = np.arange(len(s)) - first[row]  # by_row keeps rows together and in order
@@ -66,9 +66,12 @@ def prefixes(s: np.ndarray, row: np.ndarray, n: np.ndarray, sketch: np.ndarray,
     return s[o][keep], row[keep]
 
 
-def _blobs(values: np.ndarray, row: np.ndarray, n_rows: int) -> list[bytes]:
-    cuts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n_rows))])
-    return [values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+def hash_prefixes(s: np.ndarray, n: np.ndarray, percent: int) -> tuple[list[bytes], list[bytes]]:
+    """Upper halves of the hashes in each row's prefix by ascending and by descending hash. ``s`` ascends within rows."""
+    half, size = (s >> np.uint64(32)).astype(np.uint32), prefix_length(n, percent)
+    end = np.cumsum(n)
+    low = [half[a : a + k].tobytes() for a, k in zip((end - n).tolist(), size.tolist(), strict=True)]
+    return low, [half[b - k : b].tobytes() for b, k in zip(end.tolist(), size.tolist(), strict=True)]
 
 
 def parity_bits(s: np.ndarray, row: np.ndarray, n: np.ndarray) -> list[bytes]:
@@ -100,9 +103,12 @@ def _first_of_sets(seen: set, n: np.ndarray, sums: np.ndarray) -> np.ndarray:
     return new
 
 
-def set_table(docs: DataFrame, words: int) -> DataFrame:
-    """(id, n, hi, lo, bits): set size, 128-bit value of the set, and its parity bits, the last only with the first document
-    of each set that a task meets."""
+FILTERS = "struct<bits:binary,low:binary,high:binary>"
+
+
+def set_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(id, n, hi, lo, f): set size, 128-bit value of the set, and its filters (parity bits and the prefixes of the second and
+    third order), the last only with the first document of each set that a task meets."""
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
@@ -111,10 +117,12 @@ def set_table(docs: DataFrame, words: int) -> DataFrame:
                 n = np.bincount(row, minlength=hi - lo)
                 sums = _set_values(s, row, n)
                 new = _first_of_sets(seen, n, sums)
-                bits = [x if k else None for x, k in zip(parity_bits(s, row, n), new.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array(bits, pa.binary())], ["id", "n", "hi", "lo", "bits"])
+                filters = zip(parity_bits(s, row, n), *hash_prefixes(s, n, percent), strict=True)
+                filters = [dict(zip(("bits", "low", "high"), x, strict=True)) if k else None for x, k in zip(filters, new.tolist(), strict=True)]
+                kind = pa.struct([(c, pa.binary()) for c in ("bits", "low", "high")])
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), pa.array(filters, kind)], ["id", "n", "hi", "lo", "f"])
 
-    return docs.mapInArrow(run, "id long, n long, hi long, lo long, bits binary")
+    return C.map_batches(docs, run, f"id long, n long, hi long, lo long, f {FILTERS}")
 
 
 def shared_tokens(docs: DataFrame, sketch, words: int, percent: int) -> DataFrame:
@@ -128,12 +136,12 @@ def shared_tokens(docs: DataFrame, sketch, words: int, percent: int) -> DataFram
                 n = np.bincount(row, minlength=hi - lo)
                 sums = _set_values(s, row, n)
                 keep = _first_of_sets(seen, n, sums)[row]
-                p, prow = prefixes(s[keep], row[keep], np.bincount(row[keep], minlength=hi - lo), sketch.value, 0, percent)
+                p, prow = prefixes(s[keep], row[keep], np.bincount(row[keep], minlength=hi - lo), sketch.value, percent)
                 size = np.bincount(prow, minlength=hi - lo)
                 pos = np.arange(len(prow)) - (np.cumsum(size) - size)[prow]
                 yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(sums[0][prow]), pa.array(pos, pa.int32())], ["token", "hi", "pos"])
 
-    return C.neighbours(docs.select("text").mapInArrow(run, "token long, hi long, pos int"), "token").distinct()
+    return C.neighbours(C.map_batches(docs.select("text"), run, "token long, hi long, pos int"), "token").distinct()
 
 
 def _set_values(s: np.ndarray, row: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -146,27 +154,23 @@ def _set_values(s: np.ndarray, row: np.ndarray, n: np.ndarray) -> np.ndarray:
     return C.mix(sums + n.astype(np.uint64)).view(np.int64)
 
 
-def full_sets(docs: DataFrame, sketch, words: int, percent: int) -> DataFrame:
-    """(hi, lo, set) of the documents: sorted shingle hashes and the prefixes of the second and third order, as binary."""
+def full_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(hi, s) of the documents: sorted shingle hashes as binary."""
 
     def run(batches):
         for b in batches:
             for lo, hi, s, row in shingles(b.column(1), words):
-                m = hi - lo
-                n = np.bincount(row, minlength=m)
-                sums = _set_values(s, row, n)
-                cols = [_blobs(s, row, m)]
-                for salt in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25):
-                    p, prow = prefixes(s, row, n, sketch.value, salt, percent)
-                    p = p[C.by_row(p, prow)]
-                    cols.append(_blobs(p, prow, m))
-                yield pa.RecordBatch.from_arrays([pa.array(sums[0]), pa.array(sums[1]), pa.StructArray.from_arrays([pa.array(c, pa.binary()) for c in cols], ["s", "p2", "p3"])], ["hi", "lo", "set"])
+                n = np.bincount(row, minlength=hi - lo)
+                cuts = np.concatenate([[0], np.cumsum(n)]).tolist()
+                blobs = [s[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(_set_values(s, row, n)[0]), pa.array(blobs, pa.binary())], ["hi", "s"])
 
-    return docs.mapInArrow(run, "hi long, lo long, set struct<s:binary,p2:binary,p3:binary>")
+    return C.map_batches(docs, run, "hi long, s binary")
 
 
-def _meet(a: bytes, b: bytes) -> int:
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+def _meet(a: bytes, b: bytes, kind: type = np.uint64) -> int:
+    """How many values two ascending lists share."""
+    x, y = np.frombuffer(a, kind), np.frombuffer(b, kind)
     if len(x) > len(y):
         x, y = y, x
     at = np.searchsorted(y, x)
@@ -175,50 +179,64 @@ def _meet(a: bytes, b: bytes) -> int:
 
 
 def not_ruled_out(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of hi values whose parity bits allow the similarity: sets differ in (100 - p) / (100 + p) of their joint
-    size at most, and in no fewer places than their bits."""
-    x = reps.select(F.col("hi").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    y = reps.select(F.col("hi").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    """Pairs (a, b) of hi values that meet in the second and in the third order too, and whose parity bits allow the
+    similarity: sets differ in (100 - p) / (100 + p) of their joint size at most, and in no fewer places than their bits."""
+    x = reps.select(F.col("hi").alias("a"), F.col("n").alias("n_a"), F.col("f").alias("f_a"))
+    y = reps.select(F.col("hi").alias("b"), F.col("n").alias("n_b"), F.col("f").alias("f_b"))
 
     def run(batches):
         for batch in batches:
             size = (batch.column(2).to_numpy() + batch.column(3).to_numpy()).tolist()
-            differ = map(_differences, batch.column(4).to_pylist(), batch.column(5).to_pylist())
-            keep = [(100 + percent) * d <= (100 - percent) * n for d, n in zip(differ, size, strict=True)]
+            keep = []
+            for n, x, y in zip(size, batch.column(4), batch.column(5), strict=True):
+                ok = (100 + percent) * _differences(x["bits"].as_py(), y["bits"].as_py()) <= (100 - percent) * n
+                keep.append(ok and all(_meet(x[c].as_py(), y[c].as_py(), np.uint32) for c in ("low", "high")))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long").distinct()
+    joined = pairs.join(y, "b").join(x, "a").select("a", "b", "n_a", "n_b", "f_a", "f_b")
+    return C.map_batches(joined, run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, sketch, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of hi values whose sets link: prefixes of the other two orders meet, then the exact similarity."""
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of hi values whose sets have the similarity."""
     his = pairs.select(F.explode(F.array("a", "b")).alias("hi")).distinct()
     ids = C.written(reps.join(his, "hi").select("id"))
-    sets = C.written(full_sets(C.with_ids(docs, ids, "id"), sketch, words, percent).select("hi", "set"))
-    left, right = sets.select(F.col("hi").alias("b"), F.col("set").alias("y")), sets.select(F.col("hi").alias("a"), F.col("set").alias("x"))
+    sets = C.written(full_sets(C.with_ids(docs, ids, "id"), words))
+    left, right = sets.select(F.col("hi").alias("b"), F.col("s").alias("y")), sets.select(F.col("hi").alias("a"), F.col("s").alias("x"))
 
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                ok = _meet(x["p2"], y["p2"]) and _meet(x["p3"], y["p3"])
-                if ok:
-                    both = _meet(x["s"], y["s"])
-                    ok = 100 * both >= percent * ((len(x["s"]) + len(y["s"])) // 8 - both)
-                keep.append(bool(ok))
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = x.as_py(), y.as_py()
+                both = _meet(x, y)
+                keep.append(100 * both >= percent * ((len(x) + len(y)) // 8 - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    out = C.written(pairs.join(left, "b").join(right, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct())
+    out = C.written(C.map_batches(pairs.join(left, "b").join(right, "a").select("a", "b", "x", "y"), run, "a long, b long").distinct())
     C.dropped(sets)
     C.dropped(ids)
     return out
 
 
+def joined_components(comp: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Components (node, component) of the links so far, of which ``comp`` has the components, and of new ones (a, b)."""
+    if comp is None:
+        return C.written(C.components(new))
+    a, b = (comp.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of")) for c in "ab")
+    over = new.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b"))
+    top = C.written(C.components(over))
+    moved = comp.join(top.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    out = C.written(moved.unionByName(top.join(comp, "node", "left_anti").select("node", "component")))
+    C.dropped(top)
+    C.dropped(comp)
+    return out
+
+
 def links(members: DataFrame, verify, percent: int) -> DataFrame:
     """Components (node, component) of the hi values, as all links between sets give them."""
     # what precedes the first shared token of a pair, in the order of the prefixes, is in one set only
     near = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("pos2")) * (100 + percent) >= (F.col("n") + F.col("m")) * percent
-    found = None
     done = None
     comp, scratch = None, []
     for k in range(LEADER_ROUNDS + 1):
@@ -247,10 +265,10 @@ def links(members: DataFrame, verify, percent: int) -> DataFrame:
         if live is not members:
             C.dropped(live)
         new = verify(pairs)
-        scratch += [pairs, new]
-        found = new if found is None else found.unionByName(new)
+        scratch.append(pairs)
         done = pairs if done is None else done.unionByName(pairs)
-        comp = C.components(found)
+        comp = joined_components(comp, new)
+        C.dropped(new)
     for table in scratch:
         C.dropped(table)
     return comp
@@ -266,8 +284,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
     sketch = spark.sparkContext.broadcast(C.count_sketch(docs.select("text"), lambda b: (s for _, _, s, _ in shingles(b.column(0), words))))
-    table = C.written(set_table(docs, words))
-    ids = table.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"))
+    table = C.written(set_table(docs, words, percent))
+    ids = table.where("n > 0").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("f", ignorenulls=True).alias("f"))
     members = C.written(shared_tokens(docs, sketch, words, percent))
     held = members.groupBy("hi").agg(F.count("*").alias("shared"))
     reps = C.written(ids.join(held, "hi"))
@@ -277,7 +295,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def verify(pairs: DataFrame) -> DataFrame:
         left = C.written(not_ruled_out(pairs, reps, percent))
-        out = verified(left, docs, reps, sketch, words, percent)
+        out = verified(left, docs, reps, words, percent)
         C.dropped(left)
         return out
 

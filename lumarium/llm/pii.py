@@ -300,7 +300,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DO
 
     item = "array<struct<start:int,kind:int,end:int>>"
     schema = T.StructType([base.schema["row"], T.StructField("base", T._parse_datatype_string(item)), T.StructField("spans", T._parse_datatype_string(item))])
-    return base.mapInArrow(run, schema)
+    return C.map_batches(base, run, schema)
 
 
 def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

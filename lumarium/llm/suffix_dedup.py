@@ -160,7 +160,7 @@ def _pieces(docs: DataFrame, sketch, window: int, k: int) -> DataFrame:
                 row, first, count, owner, whole = owned_pieces(raw, offs, sketch.value, window, k)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + lo)), pa.array(first, pa.int32()), pa.array(count, pa.int32()), pa.array(owner.view(np.int64)), pa.array(whole.view(np.int64))], ["doc", "first", "count", "owner", "whole"])
 
-    return docs.mapInArrow(run, "doc long, first int, count int, owner long, whole long")
+    return C.map_batches(docs, run, "doc long, first int, count int, owner long, whole long")
 
 
 def _cut(texts: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def _cut(texts: DataFrame) -> DataFrame:
                 data = raw.tobytes()
                 yield pa.RecordBatch.from_arrays([at.field(0), b.column(0)[lo:hi].take(pa.array(row)), pa.array(first, pa.int32()), pa.array([data[x:y] for x, y in zip(begin, end, strict=True)], pa.binary())], ["owner", "doc", "first", "piece"])
 
-    return texts.mapInArrow(run, "owner long, doc long, first int, piece binary")
+    return C.map_batches(texts, run, "owner long, doc long, first int, piece binary")
 
 
 def _sorted_suffixes(pieces: DataFrame, window: int) -> DataFrame:
@@ -216,7 +216,7 @@ def _sorted_suffixes(pieces: DataFrame, window: int) -> DataFrame:
         if held:
             yield solve(pa.Table.from_batches(held))
 
-    return pieces.repartition("owner").sortWithinPartitions("owner").mapInArrow(run, "doc long, start long, end long")
+    return C.map_batches(pieces.repartition("owner").sortWithinPartitions("owner"), run, "doc long, start long, end long")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, owner: int = OWNER) -> DataFrame:
@@ -281,7 +281,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 kept.append(np.frombuffer(t, np.uint8)[~gone].tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], [id_col, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return base.join(spans, "doc", "left").select("doc", "text", "copy", "spans").mapInArrow(run, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return C.map_batches(base.join(spans, "doc", "left").select("doc", "text", "copy", "spans"), run, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
