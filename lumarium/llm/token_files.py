@@ -20,7 +20,6 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +28,7 @@ from .bpe import tokenizer_path
 
 BLOCK, PERCENTILE, END_ID = 256, 95, 1
 SEGMENT_IDS = 1 << 20
-#: Pieces of text whose ids a worker keeps (some 40 bytes each), and bytes of ids of one task of the ordered output.
+#: Pieces of text whose ids a worker keeps (some 40 bytes each), and bytes of text of one part of the ordered output.
 STORE_PIECES, PART_BYTES = 1 << 20, 32 << 20
 
 
@@ -266,8 +265,9 @@ def encoder_for(path: str) -> PieceEncoder:
 # ---------------------------------------------------------------- files
 
 
-def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(id, tie, wide, ids) of (id, text): little-endian ids with the end id, of 16 bits or, where ``wide``, of 32."""
+def _encoded(docs: DataFrame, tokenizer: str, end_id: int, bounds: np.ndarray) -> DataFrame:
+    """(part, id, wide, ids, tie) of (id, text): the number of bounds at or below the id, and little-endian ids with the end
+    id, of 16 bits or, where ``wide``, of 32."""
 
     def run(batches):
         enc = encoder_for(tokenizer)
@@ -280,9 +280,11 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 data = np.insert(ids.astype(kind), ends, end_id)
                 cuts = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]) * data.itemsize
                 blobs = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array([wide] * (hi - lo)), blobs.cast(pa.binary())], ["id", "wide", "ids"])
+                own = b.column(0)[lo:hi]
+                part = pa.array(np.searchsorted(bounds, own.to_numpy(), "right"), pa.int32())
+                yield pa.RecordBatch.from_arrays([part, own, pa.array([wide] * (hi - lo)), blobs.cast(pa.binary())], ["part", "id", "wide", "ids"])
 
-    return C.map_batches(docs, run, "id long, wide boolean, ids binary").withColumn("tie", F.xxhash64("ids"))
+    return C.map_batches(docs, run, "part int, id long, wide boolean, ids binary").withColumn("tie", F.xxhash64("ids"))
 
 
 def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> None:
@@ -294,11 +296,13 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     """
     tokenizer = tokenizer or tokenizer_path("word_bpe_49k.json")
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).where("id IS NOT NULL")
-    encoded = C.written(_encoded(base, tokenizer, end_id))
-    parts = (encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // PART_BYTES + 1
+    parts = (base.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES + 1
+    # the parts follow each other by id; where the cuts lie, approximately, doesn't show in the result
+    cuts = base.approxQuantile("id", [k / parts for k in range(1, parts)], max(0.1 / parts, 1e-5)) if parts > 1 else []
+    bounds = np.array(sorted({int(x) for x in cuts}), np.int64)
 
     def run(batches):
-        part, seq, before = TaskContext.get().partitionId(), 0, 0
+        part, seq, before = None, 0, 0
         ids, data, size = [], [], 0
 
         def segment():
@@ -307,7 +311,11 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([blob], pa.binary())], ["part", "seq", "before", "n_values", "segment"])
 
         for b in batches:
-            for i, wide, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for p, i, wide, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if p != part:
+                    if ids:
+                        yield segment()
+                    part, seq, before, ids, data, size = p, 0, 0, [], [], 0
                 ids.append(i)
                 data.append(np.frombuffer(x, "<u4" if wide else "<u2"))
                 size += len(data[-1])
@@ -317,9 +325,9 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
         if ids:
             yield segment()
 
-    ordered = encoded.repartitionByRange(int(parts), "id", "tie").sortWithinPartitions("id", "tie", "ids").select("id", "wide", "ids")
+    encoded = _encoded(base, tokenizer, end_id, bounds)
+    ordered = encoded.repartition(int(parts), "part").sortWithinPartitions("part", "id", "tie", "ids").select("part", "id", "wide", "ids")
     C.map_batches(ordered, run, SEGMENTS).write.parquet(path)
-    C.dropped(encoded)
 
 
 SEGMENTS = "part int, seq int, before long, n_values long, segment binary"
