@@ -138,7 +138,7 @@ def _longest(suffixes: Suffixes, window: np.ndarray, at: np.ndarray, row: np.nda
         first = np.flatnonzero(new)
         words = np.diff(np.append(first, len(pos))) - 1 + size[first]
         text, start = row[pos[first]], pos[first]
-        best = np.lexsort((item[first], start, -words, text))
+        best = np.lexsort((place[first], item[first], start, -words, text))
         best = best[np.concatenate([[True], text[best][1:] != text[best][:-1]])]
         for x, y in zip(out, (words, start, item[first], place[first]), strict=True):
             x[text[best]] = y[best]
@@ -210,7 +210,7 @@ def search_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "tex
     blocks = total // block_bytes + 1
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else items
-        suffixes = spark.sparkContext.broadcast(Suffixes([tuple(r) for r in block.collect()], window))
+        suffixes = spark.sparkContext.broadcast(Suffixes(sorted(tuple(r) for r in block.collect()), window))
         before, docs = docs, _search_block(docs, suffixes, k > 0)
         if k + 1 < blocks:
             docs = C.written(docs)
@@ -234,3 +234,25 @@ def op7_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"])
     n_hit = F.aggregate(F.zip_with("found.starts", "found.ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
     return found.select("row.doc_id", "found.n_words", n_hit.alias("n_hit"), F.size("found.items").cast("long").alias("n_items"), F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"), F.coalesce("found.longest.words", F.lit(0)).alias("longest_match"), F.col("found.longest.start").alias("match_start"), F.col("found.longest.item").alias("match_item"), F.col("found.longest.item_start").alias("match_item_start"))
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: The same by a join of all windows.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {_WORDS} AS w FROM benchmark),
+iw AS (SELECT item, least(len(w), {WINDOW}) AS n, w, unnest(generate_series(0, greatest(len(w) - {WINDOW}, 0))) AS place FROM i WHERE len(w) > 0),
+win AS (SELECT item, n, place, array_to_string(w[place + 1 : place + n], ' ') AS s FROM iw),
+sizes AS (SELECT DISTINCT n FROM win),
+dw AS (SELECT doc_id, n, w, unnest(generate_series(0, len(w) - n)) AS pos FROM d JOIN sizes ON len(w) >= n),
+dwin AS (SELECT doc_id, n, pos, array_to_string(w[pos + 1 : pos + n], ' ') AS s FROM dw),
+hit AS (SELECT doc_id, item, n, pos, place FROM dwin JOIN win USING (n, s)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(pos, pos + n - 1)) AS p FROM (SELECT DISTINCT doc_id, n, pos FROM hit)) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id),
+island AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, item, pos - place ORDER BY pos) AS run FROM hit),
+match AS (SELECT doc_id, item, min(pos) AS start, min(place) AS item_start, count(*) - 1 + arg_min(n, pos) AS words FROM island GROUP BY doc_id, item, pos - place, run),
+best AS (SELECT * FROM match QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, start, item, item_start) = 1)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(m.n_items, 0) AS n_items, sha256(coalesce(m.items, '')) AS items_sha256, c.n_hit IS NOT NULL AS contaminated,
+  coalesce(b.words, 0) AS longest_match, b.start AS match_start, b.item AS match_item, b.item_start AS match_item_start
+FROM d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN named m ON d.doc_id = m.doc_id LEFT JOIN best b ON d.doc_id = b.doc_id
+"""

@@ -17,4 +17,10 @@ QUERIES = {
     "op10_vector_join": vector_join.op10_vector_join,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_line_dedup": line_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard": ngram_join.ORACLE,
+    "op7_suffix_decontamination": decontaminate.ORACLE,
+    "op8_suffix_dedup": suffix_dedup.ORACLE,
+    "op9_line_dedup": line_dedup.ORACLE,
+    "op10_vector_join": vector_join.ORACLE,
+}

@@ -287,3 +287,23 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(C.documents(spark, sf_dir))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same by the smallest document of every window of bytes, in hexadecimal digits.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+part AS (SELECT doc_id, n, o, substr(x, 2 * o + 1, {2 * (500 + WINDOW)}) AS x FROM (SELECT *, unnest(generate_series(0, n - {WINDOW}, 500)) AS o FROM d WHERE n >= {WINDOW})),
+w AS (SELECT doc_id, o + k AS p, substr(x, 2 * k + 1, {2 * WINDOW}) AS s FROM (SELECT *, unnest(generate_series(0, least(499, n - {WINDOW} - o))) AS k FROM part)),
+least AS (SELECT s, min(doc_id) AS low FROM w GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT doc_id, p FROM w JOIN least USING (s) WHERE doc_id > low),
+runs AS (SELECT doc_id, p, sum(CAST(first AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY p) AS run
+         FROM (SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > {WINDOW}, true) AS first FROM gone)),
+span AS (SELECT doc_id, run, min(p) AS a, max(p) + {WINDOW} AS z FROM runs GROUP BY doc_id, run),
+gap AS (SELECT s.doc_id, s.a, substr(d.x, 2 * coalesce(lag(s.z) OVER (PARTITION BY s.doc_id ORDER BY s.a), 0) + 1, 2 * (s.a - coalesce(lag(s.z) OVER (PARTITION BY s.doc_id ORDER BY s.a), 0))) AS x
+        FROM span s JOIN d ON d.doc_id = s.doc_id),
+head AS (SELECT doc_id, string_agg(x, '' ORDER BY a) AS x FROM gap GROUP BY doc_id),
+tot AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans, max(z) AS z FROM span GROUP BY doc_id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(t.removed, 0) AS BIGINT) AS n_removed, coalesce(t.spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN t.doc_id IS NULL THEN d.x ELSE h.x || substr(d.x, 2 * t.z + 1) END)) AS kept_sha256
+FROM d LEFT JOIN tot t ON d.doc_id = t.doc_id LEFT JOIN head h ON d.doc_id = h.doc_id
+"""

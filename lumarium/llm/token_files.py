@@ -27,9 +27,9 @@ from . import common as C
 from .bpe import tokenizer_path
 
 BLOCK, PERCENTILE, END_ID = 256, 95, 1
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 18
 #: Pieces of text whose ids a worker keeps (some 40 bytes each), and bytes of text of one part of the ordered output.
-STORE_PIECES, PART_BYTES = 1 << 20, 32 << 20
+STORE_PIECES, PART_BYTES = 1 << 19, 16 << 20
 
 
 # ---------------------------------------------------------------- the format
@@ -189,25 +189,28 @@ class PieceEncoder:
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.capacity, self.clock = capacity, 0
         self.bits = max(4, int(capacity - 1).bit_length() + 2)
-        self._set(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, self.kind))
-
-    def _set(self, hashes, used, counts, ids) -> None:
-        """Store of these pieces, with the ids of all of them one after the other."""
-        self.hashes, self.used, self.ids = hashes, used, ids
-        self.first, self.counts = np.cumsum(counts) - counts, counts
-        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
-        self.slots = np.full(1 << self.bits, -1, np.int32)
-        self.slots[slot] = np.arange(len(hashes), dtype=np.int32)
-        rest = np.flatnonzero(self.slots[slot] != np.arange(len(hashes)))
-        rest = rest[np.argsort(hashes[rest])]
-        self.rest_hash, self.rest = hashes[rest], rest
-
-    def _add(self, hashes: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
-        old, n = len(self.hashes), len(hashes)
-        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(counts) - counts])
-        self.hashes, self.counts, self.ids = np.concatenate([self.hashes, hashes]), np.concatenate([self.counts, counts]), np.concatenate([self.ids, ids])
-        self.used = np.concatenate([self.used, np.full(n, self.clock, np.int32)])
-        slot, own = (hashes >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(old, old + n, dtype=np.int32)
+        self.slots = np.empty(1 << self.bits, np.int32)
+        # arrays of entries, with room for more, and of all their ids, one entry's after the other's
+        self.hashes, self.used, self.first = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.counts, self.ids = np.zeros(0, np.int32), np.zeros(0, self.kind)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.n, self.n_ids = 0, 0
+        self.slots.fill(-1)
+        self.rest_hash, self.rest = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def _add(self, hashes: np.ndarray, used: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        old, n, m = self.n, self.n + len(hashes), self.n_ids + len(ids)
+        for name, size in (("hashes", n), ("used", n), ("first", n), ("counts", n), ("ids", m)):
+            x = getattr(self, name)
+            if len(x) < size:
+                setattr(self, name, np.concatenate([x, np.zeros(max(size, len(x) // 2 * 3) - len(x), x.dtype)]))
+        self.hashes[old:n], self.used[old:n], self.counts[old:n] = hashes, used, counts
+        self.first[old:n] = self.n_ids + np.cumsum(counts) - counts
+        self.ids[self.n_ids : m] = ids
+        self.n, self.n_ids = n, m
+        slot, own = (hashes >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(old, n, dtype=np.int32)
         free = self.slots[slot] < 0
         self.slots[slot[free]] = own[free]
         rest = np.flatnonzero(self.slots[slot] != own)
@@ -218,7 +221,7 @@ class PieceEncoder:
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Number of each piece in the store, or -1."""
         at = self.slots[(h >> np.uint64(64 - self.bits)).astype(np.int64)].astype(np.int64)
-        if not len(self.hashes):
+        if not self.n:
             return at
         miss = np.flatnonzero((at < 0) | (self.hashes[at] != h))
         at[miss] = -1
@@ -228,15 +231,22 @@ class PieceEncoder:
         return at
 
     def _shrink(self) -> None:
-        keep = np.sort(np.argsort(self.used, kind="stable")[-(self.capacity // 2) :])
-        counts = self.counts[keep]
-        self._set(self.hashes[keep], self.used[keep], counts, self.ids[C.ranges(self.first[keep], counts)])
+        keep = np.sort(np.argsort(self.used[: self.n], kind="stable")[-(self.capacity // 2) :])
+        held = self.hashes[keep], self.used[keep], self.counts[keep], self.ids[C.ranges(self.first[keep], self.counts[keep])]
+        self._clear()
+        self._add(*held)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        out = []
+        for lo in range(0, len(texts), 1000):  # the library's own results take much memory
+            out += [np.array(x.ids, self.kind) for x in self.tokenizer.encode_batch_fast(texts[lo : lo + 1000], add_special_tokens=False)]
+        return out
 
     def texts(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many each has."""
         start, end, row = pieces(raw, offs)
         h = C.span_hash(C.prefix_hash(raw), start, end)
-        if len(self.hashes) > self.capacity:
+        if self.n > self.capacity:
             self._shrink()
         self.clock += 1
         at = self._find(h)
@@ -245,9 +255,9 @@ class PieceEncoder:
             new, first, which = np.unique(h[miss], return_index=True, return_inverse=True)
             data = raw.tobytes()
             s, e = start[miss[first]].tolist(), end[miss[first]].tolist()
-            out = [np.array(x.ids, self.kind) for x in self.tokenizer.encode_batch_fast([data[a:b].decode() for a, b in zip(s, e, strict=True)], add_special_tokens=False)]
-            at[miss] = len(self.hashes) + which
-            self._add(new, np.array([len(x) for x in out]), np.concatenate(out))
+            out = self._encode([data[a:b].decode() for a, b in zip(s, e, strict=True)])
+            at[miss] = self.n + which
+            self._add(new, np.full(len(new), self.clock, np.int32), np.array([len(x) for x in out]), np.concatenate(out))
         self.used[at] = self.clock
         counts = self.counts[at]
         return self.ids[C.ranges(self.first[at], counts)], np.bincount(row, counts, len(offs) - 1).astype(np.int64)

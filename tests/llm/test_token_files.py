@@ -55,7 +55,7 @@ def test_small_store_and_pieces():
     for _, _, raw, offs in C.text_chunks(pa.array(texts), 3000):
         ids, counts = enc.texts(raw, offs)
         got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
-        assert len(enc.hashes) <= 300 + len(raw)
+        assert enc.n <= 300 + len(raw)
     assert got == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 

@@ -28,6 +28,34 @@ def test_against_brute_force_on_embeddings(spark):
     assert got == brute(rows)
 
 
+def test_scaled_numbers_and_repeated_ids(spark):
+    rows = [(1, [1e-170, 1e-170]), (1, [1e-170, 1e-170]), (2, [1e160, 1.01e160]), (3, [1e300, -1e300]), (1, [-5.0, 5.0]), (4, [1.0, 3.0]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame([(i, v, "a") for i, v in rows], "vec_id long, embedding array<double>, label string")
+    got = sorted(((r[0] or -1, *tuple(r)[1:]) for r in V.embedding_near_dedup(df).collect()), key=str)
+    assert got == sorted([(-1, 0, None, None), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (1, 0, 1, True), (4, 0, 4, True)], key=str)
+
+
+def test_few_pairs_are_compared():
+    x = np.random.default_rng(4).normal(size=(1500, 64))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    y, cuts = x @ V.rotation(64), V.block_cuts(64)
+    radius = np.sqrt(V.budgets(64, V.COSINE, V.BLOCKS))
+    seen = sum(len(i) for b in range(V.BLOCKS) for i, _ in V.near_pairs(y[:, cuts[b] : cuts[b + 1]], None, radius[b]))
+    assert seen < 0.06 * len(x) * (len(x) - 1) / 2
+
+
+def test_near_pairs_against_all_pairs():
+    rng = np.random.default_rng(6)
+    for m, r in ((1, 0.01), (2, 0.3), (8, 0.07), (5, 1e-7), (3, 1.5)):
+        y = np.concatenate([z := rng.uniform(-0.6, 0.6, (70, m)), z[:30] + rng.normal(size=(30, m)) * r / 3, z[:3]])
+        for left, right in ((y, None), (y[:40], y[40:])):
+            got = [(a, b) for i, j in V.near_pairs(left, right, r) for a, b in zip(i.tolist(), j.tolist())]
+            got = [tuple(sorted(p)) for p in got] if right is None else got
+            far = np.sqrt(((left[:, None] - (left if right is None else right)[None]) ** 2).sum(-1))
+            want = {(a, b) for a, b in zip(*(k.tolist() for k in np.nonzero(far <= r))) if right is not None or a < b}
+            assert len(got) == len(set(got)) and want <= set(got)
+
+
 def test_edges_and_crowded_cells(spark):
     rng = np.random.default_rng(1)
     c = rng.normal(size=24)
@@ -36,6 +64,7 @@ def test_edges_and_crowded_cells(spark):
     rows += [(200, None, 0), (201, [], 0), (202, [0.0] * 24, 0), (203, [nan] + [1.0] * 23, 0), (204, [inf] + [1.0] * 23, 0), (205, c.tolist(), None), (206, [None] + [1.0] * 23, 1), (207, [1.0, -0.0], 0), (208, [2.0, 0.0], 0), (209, [1.0, 0.0], 0), (210, rows[3][1], 1), (211, rows[3][1], 1)]
     df = spark.createDataFrame([(v, i, l, "x") for i, v, l in rows], "embedding array<double>, vec_id long, label int, grp string")
     want = brute(rows)
-    for cell_rows in (2000, 7):
-        assert {tuple(r) for r in V.embedding_near_dedup(df, cell_rows=cell_rows).collect()} == want
+    # whole labels in a task; coarse cells of one and of three coordinates; crowded cells
+    for values in (V.TASK_VALUES, 24 * 40, 24 * 3):
+        assert {tuple(r) for r in V.embedding_near_dedup(df, task_values=values).collect()} == want
     assert V.embedding_near_dedup(df.limit(0)).count() == 0
