@@ -2,12 +2,13 @@
 
 Every word gets scores per language from its affixes, its byte n-grams and a lexicon entry (all hashed into one weight
 table); learned transitions tie neighbouring words. Forward-backward gives each word's posterior; a text's language is the
-one with the largest mean posterior over its words, and that mean is its score. Chains run along a text in stretches of
-CHAIN words, which lets one pass go through many stretches in lockstep.
+one with the largest mean posterior over its words, and that mean is its score. A chain runs through a whole text. It is
+worked on in stretches of CHAIN words, so that one pass goes through many stretches in lockstep; what passes from stretch to
+stretch is carried over exactly.
 
-Training maximises the likelihood of label sequences by AdaGrad in numpy. It takes stretches of at most TRAIN_WORDS words
-from at most TRAIN_DOCS distinct labelled texts (of each label those with the smallest hashes, up to its equal share), and
-joins pieces of documents of different languages, so that switches are seen.
+Training maximises the likelihood of label sequences by AdaGrad in numpy. It takes all words of at most TRAIN_DOCS distinct
+labelled texts of at most TRAIN_BYTES together (of each label those with the smallest hashes, up to its equal share), in
+sequences of CHAIN words, half of them joined from pieces of several documents, so that switches are seen.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 from . import common as C
 
 TABLE_BITS, CHAIN = 17, 64
-TRAIN_DOCS, TRAIN_WORDS, EPOCHS, BATCH = 3000, 200, 4, 400
+TRAIN_DOCS, TRAIN_BYTES, EPOCHS, BATCH = 3000, 16 << 20, 3, 400
 UNDETERMINED = "und"
 
 LETTER = np.zeros(256, bool)
@@ -92,22 +93,61 @@ def forward_backward(score: np.ndarray, length: np.ndarray, trans: np.ndarray) -
     return gamma, pair
 
 
-def posteriors(score: np.ndarray, length: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """As forward_backward, without the expected transitions."""
+def carried(phi: np.ndarray, on: np.ndarray, a: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What enters each stretch from the left (before the transition to its first word), and from the right (at its last
+    word). ``phi`` is (place, stretch, label); a stretch that ``follows`` continues the one before it.
+
+    The words of a stretch act on what enters it as one matrix; the matrices of all stretches are multiplied in lockstep,
+    then texts are walked stretch by stretch, the first stretches of all texts together, then the second ones."""
+    t, m, n = phi.shape
+    left, right = np.ones((m, n), phi.dtype), np.ones((m, n), phi.dtype)
+    more = follows.copy()
+    more[:-1] |= follows[1:]  # stretches of texts that have several
+    if not follows.any():
+        return left, right
+    some = np.flatnonzero(more)
+    step = np.broadcast_to(np.eye(n, dtype=phi.dtype), (len(some), n, n)).copy()
+    for k in range(t):
+        x = step @ a if k else np.where(follows[some][:, None, None], step @ a, step)
+        x = x * phi[k, some][:, None, :]
+        step = np.where(on[k, some][:, :, None], x / x.sum((1, 2), keepdims=True), step)
+    where = np.full(m, -1)
+    where[some] = np.arange(len(some))
+    begin = np.maximum.accumulate(np.where(follows, 0, np.arange(m)))
+    depth = np.arange(m) - begin
+    by = np.argsort(depth, kind="stable")
+    cuts = np.searchsorted(depth[by], np.arange(depth.max() + 2))
+    for k in range(1, depth.max() + 1):
+        own = by[cuts[k] : cuts[k + 1]]
+        x = np.einsum("sn,snm->sm", left[own - 1], step[where[own - 1]])
+        left[own] = x / x.sum(1, keepdims=True)
+    for k in range(depth.max(), 0, -1):
+        own = by[cuts[k] : cuts[k + 1]]
+        x = np.einsum("snm,sm->sn", step[where[own]], right[own])
+        right[own - 1] = x / x.sum(1, keepdims=True)
+    return left, right
+
+
+def posteriors(score: np.ndarray, length: np.ndarray, trans: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Posteriors (stretch, place, label) of whole texts, whose stretches follow each other: those of one unbroken chain."""
     m, t, n = score.shape
     phi = np.exp(score - score.max(-1, keepdims=True)) if m else score
     a = np.exp(trans - trans.max())
     phi = np.ascontiguousarray(phi.transpose(1, 0, 2))
     on = (np.arange(t)[:, None] < length[None, :])[:, :, None]
-    alpha, beta = np.empty_like(phi), np.ones((m, n), phi.dtype)
+    left, beta = carried(phi, on, a, follows)
+    alpha = np.empty_like(phi)
     for k in range(t):
-        x = phi[k] if k == 0 else (alpha[k - 1] @ a) * phi[k]
+        if k == 0:
+            x = np.where(follows[:, None], left @ a, 1) * phi[0]
+        else:
+            x = (alpha[k - 1] @ a) * phi[k]
         alpha[k] = x / x.sum(-1, keepdims=True)
     out = alpha
     for k in range(t - 1, -1, -1):
         if k < t - 1:
             x = (phi[k + 1] * beta) @ a.T
-            beta = np.where(on[k + 1], x / x.sum(-1, keepdims=True), 1)
+            beta = np.where(on[k + 1], x / x.sum(-1, keepdims=True), beta)
         g = alpha[k] * beta
         out[k] = g / g.sum(-1, keepdims=True)
     return out.transpose(1, 0, 2)
@@ -126,7 +166,9 @@ class Model:
         m = int(stretch[-1]) + 1 if len(stretch) else 0
         score = np.zeros((m, CHAIN, len(self.labels)), np.float32)
         score[stretch, place] = words.scores(self.table)[words.word]
-        return posteriors(score, np.bincount(stretch, minlength=m), self.trans)[stretch, place]
+        first = np.zeros(m, bool)
+        first[stretch[np.flatnonzero(np.diff(words.row, prepend=-1))]] = True
+        return posteriors(score, np.bincount(stretch, minlength=m), self.trans, ~first)[stretch, place]
 
 
 def train(rows: list[tuple[str, str]], seed: int = 11) -> Model:
@@ -193,14 +235,11 @@ def train(rows: list[tuple[str, str]], seed: int = 11) -> Model:
     return model
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", train_docs: int = TRAIN_DOCS, train_words: int = TRAIN_WORDS) -> Model:
-    """Trains on at most ``train_docs`` distinct texts, with an equal share for each label, and of each text on a stretch of
-    at most ``train_words`` words at a place chosen by hash; rows without text or label aren't used."""
-    some = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
-    parts = F.split("text", "\\s+")
-    begin = F.pmod(F.xxhash64("text", F.lit(5)), F.greatest(F.size(parts) - train_words, F.lit(0)) + 1).cast("int") + 1
-    piece = F.array_join(F.slice(parts, begin, train_words), " ")
-    return train([tuple(r) for r in C.bounded_sample(some, train_docs, piece, F.col("label")).collect()])
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Model:
+    """Trains on at most ``train_docs`` distinct whole texts, with an equal share for each label, of ``train_bytes`` at most in
+    all: texts that don't fit are left out, none is cut. Rows without text or label aren't used; repeated texts count once."""
+    some = labelled.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{label_col}`").cast("string").alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
+    return train([tuple(r) for r in C.bounded_sample(some, train_docs, F.col("text"), F.col("label"), train_bytes).collect()])
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", with_words: bool = False, keep: list[str] | None = None) -> DataFrame:
@@ -208,8 +247,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", with_words: b
     theirs. The score is the share of the language in the text; the certainty is the mean, over words, of the posterior of each
     word's own best label, so that text in several languages may be as certain as text in one.
 
-    Null texts and those without a letter are ``und`` with score and certainty 0; so are all where nothing was learned. Other columns pass
-    through ``row`` (those named in ``keep``, or all), and take no part.
+    Null texts and those without a letter are ``und`` with score and certainty 0; so are all where nothing was learned. Texts
+    of any length are one chain; repeated rows give repeated results. Other columns pass through ``row`` (those named in
+    ``keep``, or all), and take no part.
     """
     base = C.row_and_text(docs, text_col, keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)

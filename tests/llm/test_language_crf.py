@@ -11,7 +11,7 @@ def test_forward_backward_against_all_paths():
     score, trans = rng.normal(size=(3, 5, 3)), rng.normal(size=(3, 3))
     length = np.array([5, 1, 3])
     gamma, pair = L.forward_backward(score.copy(), length, trans)
-    also = L.posteriors(score.copy(), length, trans)
+    also = L.posteriors(score.copy(), length, trans, np.zeros(3, bool))
     want_pair = np.zeros((3, 3))
     for s in range(3):
         n = length[s]
@@ -29,6 +29,24 @@ def test_forward_backward_against_all_paths():
     assert np.allclose(pair, want_pair)
 
 
+def test_stretches_are_one_chain():
+    rng = np.random.default_rng(3)
+    n_words, trans = np.array([1, L.CHAIN, L.CHAIN + 1, 0, 5 * L.CHAIN + 7, 30]), rng.normal(size=(4, 4)) * 2
+    model = L.Model(list("abcd"))
+    model.trans, model.table = trans, None
+    scores = [rng.normal(size=(n, 4)) for n in n_words]
+
+    class Words:
+        row, word = np.repeat(np.arange(len(n_words)), n_words), np.arange(n_words.sum())
+
+        def scores(self, table):
+            return np.concatenate(scores)
+
+    got = model.word_posteriors(Words(), len(n_words))
+    whole = [L.forward_backward(s[None], np.array([len(s)]), trans)[0][0] for s in scores if len(s)]
+    assert np.allclose(got, np.concatenate(whole), atol=1e-5)
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").collect()}
