@@ -3,13 +3,14 @@
 Base spans come from four patterns. The field then labels every candidate of a document (runs of digits with separators,
 address-like strings) as email, ip, card, phone or none. Candidates of a base span keep its label. Neighbours in the text
 share chain potentials; candidates that repeat each other (equal digits, equal last digits, equal address names) share
-skip potentials, however far apart. Loopy belief propagation carries the labels over, and a free candidate whose belief
-reaches MIN_BELIEF becomes an added span. A candidate is linked to the one before it with the same key only, so a document
-has as many links as candidates.
-
-The weights are trained here, piecewise: nodes, chain links and skip links each by logistic regression, on the candidates
-of at most TRAIN_DOCS distinct texts and on worn copies of their base spans (country code lost, brackets lost, "@" spelled out,
-groups joined), which keep their label.
+skip potentials, however far apart. Loopy belief propagation runs until messages settle, and a free candidate whose belief
+reaches MIN_BELIEF becomes an added span, linked or not. A candidate is linked to the one before it with the same key only,
+so a document has as many links as candidates.
+
+All weights are trained here together, by gradients of the conditional likelihood in which loopy beliefs stand for the
+expectations. The training graphs are those of at most TRAIN_DOCS distinct texts of TRAIN_BYTES together: half of the base
+spans have their label hidden, worn copies of base spans (country code lost, brackets lost, "@" spelled out, groups joined)
+are added with a hidden label, one beside the base span or two in place of it, and free candidates that repeat no base span count as none.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from pyspark.sql import types as T
 from . import common as C
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_DOCS = 2000
-MIN_BELIEF, ROUNDS = 0.9, 12
+TRAIN_DOCS, TRAIN_BYTES, TRAIN_STEPS = 2000, 8 << 20, 120
+#: Messages have settled when none changes by more than this; damped rounds beyond the last one change nothing in practice.
+MIN_BELIEF, SETTLED, ROUNDS, TRAIN_ROUNDS = 0.9, 1e-4, 200, 15
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -75,7 +77,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # ---------------------------------------------------------------- candidates and their features
 
 AT = r"(?:@|\s?[\[(]\s?at\s?[\])]\s?)"
-CANDIDATE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{AT}[A-Za-z0-9-]{{1,64}}(?:\.[A-Za-z0-9-]{{1,64}}){{0,8}}|[+(]{{0,2}}[0-9](?:[\x20().-]{{0,2}}[0-9]){{3,40}}")
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++{AT}[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++|[+(]{{0,2}}[0-9](?:[\x20().-]{{0,2}}[0-9]){{3,}}+")
 SIZES = (4, 7, 9, 10, 12, 13, 16, 17, 20)
 N_FEATURES = 14 + len(SIZES)
 
@@ -116,22 +118,11 @@ def keys(s: str) -> list[tuple]:
     d = _digits(s)
     name = re.split(AT, s.lower(), maxsplit=1)
     out: list[tuple] = [("n", name[0], name[1])] if len(name) == 2 else []
-    if len(name) == 1 and len(d) >= 7:
-        out += [("d", d), ("t", d[-7:])] if len(d) != 7 else [("t", d)]
+    if len(name) == 1 and len(d) >= 5:
+        out += [("d", d), ("t", d[-7:])] if len(d) > 7 else [("d", d)] if len(d) < 7 else [("d", d), ("t", d)]
     return out
 
 
-def linked_by_key(text: str, spans: list[tuple[int, int, int]]) -> bool:
-    """Whether two of the candidates share a skip link."""
-    seen: set[tuple] = set()
-    for s, e, _ in spans if len(spans) > 1 else ():
-        for k in set(keys(text[s:e])):
-            if k in seen:
-                return True
-            seen.add(k)
-    return False
-
-
 def spelled_at(raw: np.ndarray) -> np.ndarray:
     """Whether a bracket that may open an "@" spelled out stands at each byte: "at" follows it, after one space at most."""
     out = np.zeros(len(raw), bool)
@@ -166,9 +157,11 @@ class Graph:
         self.chain, self.skip = np.array(chain, int).reshape(-1, 2), np.array(skip, int).reshape(-1, 3)
 
 
-def softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(-1, keepdims=True))
-    return z / z.sum(-1, keepdims=True)
+def softmax(z: np.ndarray, dims: int = 1) -> np.ndarray:
+    """Over the last one or two dimensions."""
+    over = tuple(range(-dims, 0))
+    z = np.exp(z - z.max(over, keepdims=True))
+    return z / z.sum(over, keepdims=True)
 
 
 class Field:
@@ -178,29 +171,37 @@ class Field:
         n = len(KINDS) + 1
         self.node, self.chain, self.skip = np.zeros((N_FEATURES, n)), np.zeros((n, n)), np.zeros((2, n, n))
 
-    def beliefs(self, g: Graph) -> np.ndarray:
-        """Loopy sum-product in parallel rounds, with damping; base labels are observed."""
+    def infer(self, g: Graph, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+        """Beliefs of candidates, and of the ends of all links (chain links, then skip links), by loopy sum-product in
+        parallel damped rounds; labels other than 0 are observed."""
         n = len(KINDS) + 1
-        phi = softmax(g.x @ self.node)
+        phi = g.x @ self.node
+        phi -= phi.max(1, keepdims=True)
         seen = np.flatnonzero(g.label > 0)
-        phi[seen] = np.eye(n)[g.label[seen]] + 1e-9
-        a = np.concatenate([g.chain[:, 0], g.chain[:, 1], g.skip[:, 0], g.skip[:, 1]])
-        b = np.concatenate([g.chain[:, 1], g.chain[:, 0], g.skip[:, 1], g.skip[:, 0]])
-        skip = self.skip[g.skip[:, 2]]
-        psi = np.exp(np.concatenate([np.broadcast_to(self.chain, (len(g.chain), n, n)), np.broadcast_to(self.chain.T, (len(g.chain), n, n)), skip, skip.transpose(0, 2, 1)]))
-        m = len(a)
-        c, s = len(g.chain), len(g.skip)
-        back = np.concatenate([np.arange(c, 2 * c), np.arange(c), np.arange(2 * c + s, m), np.arange(2 * c, 2 * c + s)])
-        log = np.zeros((m, n))
-        for _ in range(ROUNDS):
-            total = np.log(phi)
-            np.add.at(total, b, log)
-            out = softmax(total[a] - log[back])
-            new = np.log(np.einsum("ei,eij->ej", out, psi))
-            log = 0.5 * log + 0.5 * (new - new.max(1, keepdims=True))
-        total = np.log(phi)
-        np.add.at(total, b, log)
-        return softmax(total)
+        phi[seen] = np.where(np.eye(n)[g.label[seen]] > 0, 0, -50.0)
+        a, b = np.concatenate([g.chain, g.skip[:, :2]]).T
+        pair = np.concatenate([np.broadcast_to(self.chain, (len(g.chain), n, n)), self.skip[g.skip[:, 2]]])
+        psi = np.exp(np.concatenate([pair, pair.transpose(0, 2, 1)]))
+        src, dst, m = np.concatenate([a, b]), np.concatenate([b, a]), len(a)
+        back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
+        log = np.zeros((2 * m, n))
+        for _ in range(rounds if m else 0):
+            total = phi.copy()
+            np.add.at(total, dst, log)
+            new = np.log(np.einsum("ei,eij->ej", softmax(total[src] - log[back]), psi))
+            new = 0.5 * log + 0.5 * (new - new.max(1, keepdims=True))
+            change = np.abs(new - log).max()
+            log = new
+            if change < SETTLED:
+                break
+        total = phi.copy()
+        np.add.at(total, dst, log)
+        # the pair of ends of a link: what each would be without the link, and the link
+        ends = softmax((total[a] - log[m:])[:, :, None] + (total[b] - log[:m])[:, None, :] + pair, 2)
+        return softmax(total), ends
+
+    def beliefs(self, g: Graph) -> np.ndarray:
+        return self.infer(g)[0]
 
 
 def worn(s: str, kind: int, rng: random.Random) -> str:
@@ -210,43 +211,63 @@ def worn(s: str, kind: int, rng: random.Random) -> str:
     if kind == 3:
         s = re.sub(r"^\+[0-9]{1,3}[ .-]?", "", s) if rng.random() < 0.6 else s[1:]
         return re.sub(r"[ ().-]+", rng.choice(["", "-", "."]), s).strip("-.") if rng.random() < 0.5 else s
-    return _digits(s) if kind == 1 else rng.choice(["-", " "]).join(re.findall(r".{1,4}", _digits(s)))
-
-
-def train(texts: list[str], seed: int = 7) -> Field:
-    """Piecewise training on the documents and on worn copies of their base spans."""
-    rng, field, n = random.Random(seed), Field(), len(KINDS) + 1
-    spans = [candidates(t, base_spans(t)) for t in texts]
-    g = Graph(texts, spans)
+    if kind == 1:
+        return s.replace(".", rng.choice(["-", " ", ""]))
+    return rng.choice(["-", " "]).join(re.findall(r".{1,4}", _digits(s)))
+
+
+FILLER = " which was written down by another hand further below "
+
+
+def training_graph(texts: list[str], rng: random.Random) -> tuple[Graph, np.ndarray]:
+    """Candidates of the texts and of worn copies of their base spans, some labels hidden, and the true labels."""
+    new_texts, spans, gold = [], [], []
+    for text in texts:
+        own, known = candidates(text, base_spans(text)), set()
+        for s, e, label in own:
+            known |= set(keys(text[s:e])) if label else set()
+        out, true = [], []
+        for s, e, label in own:
+            # some mentions are worn wherever they stand: two worn copies take the place of the base span
+            alone = bool(label) and rng.random() < 0.25
+            if not alone and (label or not known & set(keys(text[s:e]))):
+                out.append((s, e, label if rng.random() < 0.5 else 0))
+                true.append(label)
+            w = worn(text[s:e], label - 1, rng) if label and (alone or rng.random() < 0.6) else ""
+            for _ in range(2 if alone else bool(w)):
+                text += FILLER if rng.random() < 0.7 else " and "
+                out.append((len(text), len(text) + len(w), 0))
+                true.append(label)
+                text += w
+        new_texts.append(text)
+        order = sorted(range(len(out)), key=out.__getitem__)
+        spans.append([out[i] for i in order])
+        gold += [true[i] for i in order]
+    return Graph(new_texts, spans), np.array(gold, int)
+
+
+def train(texts: list[str], seed: int = 7, steps: int = TRAIN_STEPS) -> Field:
+    """Gradient ascent on the likelihood of the hidden labels given the others."""
+    field, n = Field(), len(KINDS) + 1
+    g, gold = training_graph(texts, random.Random(seed))
     if not len(g.x):
         return field
-    copies, kinds, pairs = [], [], []
-    for i, (t, s, e) in enumerate(g.where):
-        if g.label[i]:
-            w = worn(texts[t][s:e], g.label[i] - 1, rng)
-            copies.append(features(w, " ", " "))
-            kinds.append(g.label[i])
-            own, new = set(keys(texts[t][s:e])), set(keys(w))
-            pairs += [(g.label[i], g.label[i], k[0] == "t") for k in own & new]
-    x = np.concatenate([g.x, np.array(copies).reshape(-1, N_FEATURES)])
-    y = np.eye(n)[np.concatenate([g.label, np.array(kinds, int)])]
-    for step in range(300):
-        grad = x.T @ (y - softmax(x @ field.node)) / len(x) - 1e-3 * field.node
-        field.node += (2.0 if step < 200 else 0.5) * grad
-
-    def piece(ys: list[tuple[int, int]]) -> np.ndarray:
-        """Logistic regression of a pair of labels on nothing else: smoothed log odds over independence."""
-        count = np.full((n, n), 0.5)
-        for p, q in ys:
-            count[p, q] += 1
-            count[q, p] += 1
-        joint = count / count.sum()
-        return np.clip(np.log(joint / (joint.sum(1)[:, None] * joint.sum(0)[None, :])), -4, 4)
-
-    field.chain = piece([(g.label[a], g.label[b]) for a, b in g.chain]) * 0.5
-    observed = [(g.label[a], g.label[b], k) for a, b, k in g.skip.tolist()]
-    for k in (0, 1):
-        field.skip[k] = piece([(p, q) for p, q, z in observed + pairs if z == k])
+    truth, hidden = np.eye(n)[gold], g.label == 0
+    a, b = np.concatenate([g.chain, g.skip[:, :2]]).T
+    kind = np.concatenate([np.full(len(g.chain), 2), g.skip[:, 2]])
+    seen = truth[a][:, :, None] * truth[b][:, None, :]
+    weights = [field.node, field.skip[0], field.skip[1], field.chain]
+    square = [np.full(w.shape, 1e-6) for w in weights]
+    for _ in range(steps):
+        belief, ends = field.infer(g, TRAIN_ROUNDS)
+        miss = seen - ends
+        grads = [g.x[hidden].T @ (truth - belief)[hidden], *(miss[kind == k].sum(0) for k in range(3))]
+        for k, (w, q, grad) in enumerate(zip(weights, square, grads, strict=True)):
+            if k in (1, 2):  # repeats have no order
+                grad = (grad + grad.T) / 2
+            grad = grad / len(g.x) - 1e-4 * w
+            q += grad * grad
+            w += 0.5 * grad / np.sqrt(q)
     return field
 
 
@@ -254,17 +275,13 @@ def add_spans(texts: list[str], field: Field, min_belief: float = MIN_BELIEF):
     """For each text its base spans, and all spans with those that the field adds."""
     base = [base_spans(t) for t in texts]
     out = [list(b) for b in base]
-    own = [candidates(t, b) for t, b in zip(texts, base, strict=True)]
-    some = [i for i, c in enumerate(own) if linked_by_key(texts[i], c)]  # the field adds linked candidates only
-    if some:
-        g = Graph([texts[i] for i in some], [own[i] for i in some])
+    g = Graph(texts, [candidates(t, b) for t, b in zip(texts, base, strict=True)])
+    if len(g.x):
         belief = field.beliefs(g)
         label = belief.argmax(1)
-        linked = set(g.skip[:, :2].reshape(-1).tolist())
         for i in np.flatnonzero((g.label == 0) & (label > 0) & (belief.max(1) >= min_belief)).tolist():
-            if i in linked:
-                t, s, e = g.where[i]
-                out[some[t]].append((s, int(label[i]) - 1, e))
+            t, s, e = g.where[i]
+            out[t].append((s, int(label[i]) - 1, e))
     return base, [sorted(x) for x in out]
 
 
@@ -273,12 +290,12 @@ def find_pii(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DO
     code points, by start, then kind (0 email, 1 ip, 2 card, 3 phone).
 
     Null and empty texts have none. Repeated rows give repeated results; other columns (those named in ``keep``, or all)
-    pass through ``row``. The field is
-    trained on at most ``train_docs`` distinct texts with a digit or "@", those with the smallest hashes.
+    pass through ``row``. Texts of any length are one document. The field is trained on at most ``train_docs`` distinct texts
+    with a digit or "@" of ``TRAIN_BYTES`` together, those with the smallest hashes that fit.
     """
     spark = docs.sparkSession
     some = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("@|[0-9]{4}|[0-9][.][0-9]"))
-    sample = C.bounded_sample(some, train_docs, F.col("text")).collect()
+    sample = C.bounded_sample(some, train_docs, F.col("text"), max_bytes=TRAIN_BYTES).collect()
     field = spark.sparkContext.broadcast(train([r[0] for r in sample]))
     base = C.row_and_text(docs, text_col, keep)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))

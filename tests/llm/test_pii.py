@@ -1,7 +1,10 @@
 import hashlib
+import itertools
 import random
 import re
 
+import numpy as np
+
 from lumarium.llm import pii
 
 PATTERNS = {
@@ -77,4 +80,39 @@ def test_mentions_that_are_all_obfuscated(spark):
     assert got[1000] == [("jo.doe (at) mail.example.org", 0)] * 2
     assert [k for _, k in got[1001]] == [0, 0]
     assert got[1002] == [("017-555-7713", 3)] * 2
-    assert not got[1003] and not got[1004]
+    # an address speaks for itself, linked or not
+    assert got[1003] == [("jo.doe (at) mail.example.org", 0), ("al.poe (at) mail.example.org", 0)]
+    assert not got[1004]
+
+
+def test_beliefs_against_all_labellings():
+    rng = np.random.default_rng(5)
+    field = pii.Field()
+    field.node, field.chain = rng.normal(size=field.node.shape), rng.normal(size=(5, 5))
+    field.skip = np.stack([x + x.T for x in rng.normal(size=(2, 5, 5)) * 0.4])
+    # a chain with one loop is close, a tree is exact
+    for text, tol in (("call 017-555-7713 and 12345 or jo (at) x.org", 1e-3), ("call 12345 today. " + "far off " * 9 + "again 12345", 1e-3), ("017-555-7713 and +1 017-555-7713 x 12 4444", 0.08)):
+        base = pii.base_spans(text)
+        g = pii.Graph([text], [pii.candidates(text, base)])
+        m, links = len(g.x), [(a, b, field.chain) for a, b in g.chain.tolist()] + [(a, b, field.skip[k]) for a, b, k in g.skip.tolist()]
+        mass = np.zeros((m, 5))
+        for y in itertools.product(range(5), repeat=m):
+            if all(g.label[i] in (0, y[i]) for i in range(m)):
+                mass[range(m), y] += np.exp(sum(g.x[i] @ field.node[:, y[i]] for i in range(m)) + sum(w[y[a], y[b]] for a, b, w in links))
+        assert m > 1 and links and np.abs(field.beliefs(g) - mass / mass.sum(1, keepdims=True)).max() < tol
+
+
+def test_recall_of_worn_repeats(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text RLIKE '@|[0-9]{4}|[0-9][.][0-9]'").select("text").collect()]
+    rng, field = random.Random(99), pii.train(texts[::2])
+    hit = total = extra = 0
+    for t in texts[1::2]:
+        base = pii.base_spans(t)
+        if base and len(t) < 20_000:
+            s, k, e = rng.choice(base)
+            w = pii.worn(t[s:e], k, rng)
+            wide = t + " some more words here that say nothing at all " + w + " fin"
+            _, (found,) = pii.add_spans([wide], field)
+            place = (len(wide) - 4 - len(w), k, len(wide) - 4)
+            total, hit, extra = total + 1, hit + (place in found), extra + len(set(found) - set(pii.base_spans(wide)) - {place})
+    assert total > 100 and hit >= 0.9 * total and extra <= 0.02 * total
