@@ -144,7 +144,7 @@ def top_n(df: DataFrame, n: int, lo: int, hi: int, order: list) -> DataFrame:
 
 
 def random_pick(df: DataFrame, key: str, seed: int) -> DataFrame:
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(1)
+    return df.orderBy(F.md5(F.concat_ws(":", key, F.lit(seed))), key).limit(1)
 
 
 def search_modules(keyed: DataFrame, keyless: DataFrame, n: int) -> DataFrame:

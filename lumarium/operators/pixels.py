@@ -146,9 +146,11 @@ def pixel_scale(pixels: DataFrame) -> DataFrame:
 
 def nearest_color(colors: DataFrame, palette: DataFrame) -> DataFrame:
     """Adds (pr, pg, pb, idx): the entry of palette (idx, r, g, b) with the smallest squared distance, the lowest index of
-    equally near ones. A palette has a few hundred entries (4096 at most); it travels as one array of one row, and distinct
-    colours look through it, so no pair becomes a row."""
-    entries = palette.limit(SWATCH_CAP).agg(F.array_sort(F.collect_list(F.struct("idx", *(F.col(c).cast("int").alias(f"p{c}") for c in "rgb")))).alias("_p"))
+    equally near ones. A palette has a few hundred entries, SWATCH_CAP at most (a larger one is refused); it travels as one
+    array of one row, and distinct colours look through it, so no pair becomes a row."""
+    if (n := palette.limit(SWATCH_CAP + 1).count()) > SWATCH_CAP:
+        raise ValueError(f"a palette has {SWATCH_CAP} entries at most, this one has {n} or more")
+    entries = palette.agg(F.array_sort(F.collect_list(F.struct("idx", *(F.col(c).cast("int").alias(f"p{c}") for c in "rgb")))).alias("_p"))
 
     def dist(p: Column) -> Column:
         return sum(((F.col(c) - p[f"p{c}"]) * (F.col(c) - p[f"p{c}"]) for c in "rgb"), F.lit(0))

@@ -43,21 +43,35 @@ def a13(spark, d):
     return P.palette_spacing(p.select(F.col("image_id").alias("palette_id"), (F.col("y") * 4 + F.col("x")).alias("idx"), "r", "g", "b"))
 
 
-PERIOD = "WITH e AS (SELECT l_suppkey % 40 AS id, {0} AS pos FROM lineitem WHERE l_suppkey % 3 > 0), s AS (SELECT unnest(range(2, 17)) AS s), b AS (SELECT id, s, pos % s AS ph, count(*) AS n FROM e, s GROUP BY 1, 2, 3), m AS (SELECT id, s, max(n) AS best, sum(n) AS total FROM b GROUP BY 1, 2) SELECT id, CAST(coalesce(max(s) FILTER (WHERE total >= 16 AND best >= 0.8 * total), 1) AS INTEGER) AS period FROM m GROUP BY id"
+PERIOD = "WITH e AS (SELECT {0} AS id, {1} AS pos FROM {2}), s AS (SELECT unnest(range(2, 17)) AS s), b AS (SELECT id, s, pos % s AS ph, count(*) AS n FROM e, s GROUP BY 1, 2, 3), m AS (SELECT id, s, max(n) AS best, sum(n) AS total FROM b GROUP BY 1, 2) SELECT id, CAST(coalesce(max(s) FILTER (WHERE total >= 16 AND best >= 0.8 * total), 1) AS INTEGER) AS period FROM m GROUP BY id"
 
 
-@query("a17_periods", PERIOD.format("CASE WHEN l_orderkey % 9 = 0 THEN l_orderkey % 97 ELSE l_orderkey % 31 * (2 + l_suppkey % 40 % 9) END"))
+@query("a17_periods", PERIOD.format("l_suppkey % 40", "CASE WHEN l_orderkey % 9 = 0 THEN l_orderkey % 97 ELSE l_orderkey % 31 * (2 + l_suppkey % 40 % 9) END", "lineitem"))
 def a17(spark, d):
-    li = table(spark, d, "lineitem").where("l_suppkey % 3 > 0")
+    li = table(spark, d, "lineitem")
     k = F.col("l_suppkey") % 40
     pos = F.when(F.col("l_orderkey") % 9 == 0, F.col("l_orderkey") % 97).otherwise(F.col("l_orderkey") % 31 * (2 + k % 9))
     return P.periods(li.select(k.alias("id"), pos.alias("pos")), ["id"])
 
 
-@query("a17_pixel_scale", f"WITH {PIXELS} SELECT DISTINCT image_id, 1 AS sx, 1 AS sy FROM px")
+GRID = """cell AS (SELECT p_partkey AS image_id, x, y, x // (1 + p_partkey % 4) AS u, y // (1 + p_size % 3) AS v, p_partkey AS k FROM part, (SELECT unnest(range(24)) AS x), (SELECT unnest(range(24)) AS y)),
+g AS (SELECT image_id, x, y, (u * 67 + v * 131 + k * 29) % 256 AS r, (u * v * 41 + k) % 256 AS g, (u * 89 + v * 17) % 256 AS b FROM cell),
+edge AS (SELECT a.image_id * 2 AS id, a.x AS pos FROM g a JOIN g b ON a.image_id = b.image_id AND a.y = b.y AND a.x = b.x + 1 WHERE abs(a.r - b.r) + abs(a.g - b.g) + abs(a.b - b.b) > 24
+ UNION ALL SELECT a.image_id * 2 + 1, a.y FROM g a JOIN g b ON a.image_id = b.image_id AND a.x = b.x AND a.y = b.y + 1 WHERE abs(a.r - b.r) + abs(a.g - b.g) + abs(a.b - b.b) > 24)"""
+
+
+def blown_up(spark, d):
+    """Images of 24 x 24 pixels, one for each part, drawn in larger cells of one to four by one to three pixels."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("image_id"), (F.col("p_partkey") % 4 + 1).alias("s"), (F.col("p_size") % 3 + 1).alias("t"))
+    px = p.select("image_id", "s", "t", F.explode(F.sequence(F.lit(0), F.lit(575))).alias("n")).select("image_id", (F.col("n") % 24).alias("x"), F.expr("cast(n div 24 as int)").alias("y"), F.expr("(n % 24) div s").alias("u"), F.expr("(n div 24) div t").alias("v"))
+    k = F.col("image_id")
+    r, g, b = (F.col("u") * 67 + F.col("v") * 131 + k * 29) % 256, (F.col("u") * F.col("v") * 41 + k) % 256, (F.col("u") * 89 + F.col("v") * 17) % 256
+    return px.select("image_id", "x", "y", *(c.cast("int").alias(n) for c, n in ((r, "r"), (g, "g"), (b, "b"))), F.lit(255).alias("a"))
+
+
+@query("a17_pixel_scale", PERIOD.format("id", "pos", "edge").replace("WITH ", f"WITH {GRID}, ", 1).replace("SELECT id, CAST", "SELECT p_partkey AS image_id, coalesce(max(period) FILTER (WHERE id % 2 = 0), 1) AS sx, coalesce(max(period) FILTER (WHERE id % 2 = 1), 1) AS sy FROM part LEFT JOIN (SELECT id, CAST", 1) + ") ON id // 2 = p_partkey GROUP BY 1")
 def a17_images(spark, d):
-    """Images of 4 x 4 pixels have at most 12 edges along an axis: too few, so the scale is 1."""
-    return P.pixel_scale(pixels(spark, d))
+    return P.pixel_scale(blown_up(spark, d))
 
 
 EDGE = "abs(a.r - b.r) + abs(a.g - b.g) + abs(a.b - b.b) > 24 AND a.a = 255 AND b.a = 255"

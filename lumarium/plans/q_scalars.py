@@ -35,10 +35,10 @@ def x02(spark, d):
 SLUG48 = "substr(trim(regexp_replace(coalesce({0}, ''), '[^A-Za-z0-9]', '_', 'g'), '_'), 1, 48)"
 
 
-@query("x03_safe_filename", f"SELECT doc_id, CASE WHEN s = '' THEN 'image' ELSE s END||' ['||substr(CAST(doc_id * 1000003 AS VARCHAR), 1, 8)||'].jpg' AS name, trim(regexp_replace(substr(text, 1, 20), '[/\\\\\\[\\]]', '_', 'g'), ' ')||' ['||doc_id||'].gltf' AS readable FROM (SELECT doc_id, text, {SLUG48.format('substr(text, 1, 60)')} AS s FROM documents)")
+@query("x03_safe_filename", f"SELECT doc_id, CASE WHEN s = '' THEN 'image' ELSE s END||' ['||substr(CAST(doc_id * 1000003 AS VARCHAR), 1, 8)||'].jpg' AS name, trim(regexp_replace(text, '[/\\\\\\[\\]]', '_', 'g'), ' ')||' ['||doc_id||'].gltf' AS readable FROM (SELECT doc_id, text, {SLUG48.format('text')} AS s FROM documents)")
 def x03(spark, d):
     t = table(spark, d, "documents")
-    return t.select("doc_id", X.safe_filename(F.substring("text", 1, 60), (F.col("doc_id") * 1000003).cast("string"), F.lit("jpg"), "image").alias("name"), X.catalogue_filename(F.substring("text", 1, 20), "doc_id", F.lit("gltf")).alias("readable"))
+    return t.select("doc_id", X.safe_filename("text", (F.col("doc_id") * 1000003).cast("string"), F.lit("jpg"), "image").alias("name"), X.catalogue_filename("text", "doc_id", F.lit("gltf")).alias("readable"))
 
 
 TYPES, TAILS = ("", "JPEG", "png", None), ("a.JPG", "b.webp", "c", "d.exe", "e.jpeg")
@@ -83,10 +83,9 @@ def x09(spark, d):
     return table(spark, d, "orders").select("o_orderkey", X.date_pretty(raw).alias("day"))
 
 
-@query("x10_percent", "SELECT doc_id, url_encode(substr(text, 1, 80)) AS encoded, replace(url_encode(substr(text, 1, 80)), '%2F', '/') AS path, substr(text, 1, 80) AS decoded FROM documents")
+@query("x10_percent", "SELECT doc_id, url_encode(text) AS encoded, replace(url_encode(text), '%2F', '/') AS path, text AS decoded FROM documents")
 def x10(spark, d):
-    s = F.substring("text", 1, 80)
-    return table(spark, d, "documents").select("doc_id", X.pct_encode(s).alias("encoded"), X.enc_path(s).alias("path"), X.pct_decode(X.pct_encode(s)).alias("decoded"))
+    return table(spark, d, "documents").select("doc_id", X.pct_encode("text").alias("encoded"), X.enc_path("text").alias("path"), X.pct_decode(X.pct_encode("text")).alias("decoded"))
 
 
 HOST = "split_part(split_part(url, '://', 2), '/', 1)"
@@ -135,10 +134,9 @@ def x17(spark, d):
     return part(spark, d).select("p_partkey", X.parse_hex(full).alias("c"), X.parse_hex_any(short).alias("s")).select("p_partkey", "c.*", F.col("s.r").alias("short_r"))
 
 
-@query("x18_slug", "SELECT doc_id, s AS slug, CASE WHEN rtrim(substr(s, 1, 24), '-') = '' THEN 'ai' ELSE rtrim(substr(s, 1, 24), '-') END||'_'||doc_id AS base FROM (SELECT doc_id, trim(lower(regexp_replace(substr(text, 1, 60), '[^A-Za-z0-9]+', '-', 'g')), '-') AS s FROM documents)")
+@query("x18_slug", "SELECT doc_id, s AS slug, CASE WHEN rtrim(substr(s, 1, 24), '-') = '' THEN 'ai' ELSE rtrim(substr(s, 1, 24), '-') END||'_'||doc_id AS base FROM (SELECT doc_id, trim(lower(regexp_replace(text, '[^A-Za-z0-9]+', '-', 'g')), '-') AS s FROM documents)")
 def x18(spark, d):
-    s = F.substring("text", 1, 60)
-    return table(spark, d, "documents").select("doc_id", X.slug(s).alias("slug"), X.filename_base(s, "doc_id", 24).alias("base"))
+    return table(spark, d, "documents").select("doc_id", X.slug("text").alias("slug"), X.filename_base("text", "doc_id", 24).alias("base"))
 
 
 @query("x19_expand", "SELECT p_partkey, p_name||' by '||upper(p_brand)||', '||trim(lower(regexp_replace(p_type, '[^A-Za-z0-9]+', '-', 'g')), '-')||' / '||lower(p_brand)||' {open' AS text FROM part")

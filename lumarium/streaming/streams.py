@@ -44,8 +44,9 @@ def maintain_version(spark: SparkSession, table: str) -> int:
     return max((int(f.split("/v")[-1].split("/")[0]) for f in files), default=-1)
 
 
-def cache_sink(table: str, cap: int):
-    """For foreachBatch on accesses (url, file, ts, bytes): index upsert, then eviction, once per batch id."""
+def cache_sink(table: str, cap: int | None = None):
+    """For foreachBatch on accesses (url, file, ts, bytes): index upsert, then eviction when there is a cap, once per batch
+    id. An access older than the one that the index has changes nothing, so batches may come in any order."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -54,8 +55,9 @@ def cache_sink(table: str, cap: int):
         if done >= batch_id:
             return
         last = batch.groupBy("url").agg(F.max_by("file", "ts").alias("file"), F.max("ts").alias("fetched"), F.max_by("bytes", "ts").alias("bytes"))
-        index = maintain.upsert_cache(old, last.select("url", "file", "fetched", "bytes"))
-        maintain.write_table(ordered.evict(index, cap), table, batch_id)
+        newer = last.join(old.select("url", "used"), "url", "left").where("used IS NULL OR fetched >= used")
+        index = maintain.upsert_cache(old, newer.select("url", "file", "fetched", "bytes"))
+        maintain.write_table(index if cap is None else ordered.evict(index, cap), table, batch_id)
 
     return apply
 
