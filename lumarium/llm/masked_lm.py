@@ -3,12 +3,15 @@
 Every token of a text is predicted from the WINDOW tokens on either side of it; the sum of the conditional log
 probabilities is the text's pseudo-log-likelihood. Tokens are words: the most frequent ones of the whole corpus, and hash
 classes by word ending for the others. The network adds one vector per neighbour and place, applies tanh, and predicts a
-group of tokens, then the token within it (two small softmaxes instead of a large one).
-
-Training is by parameter averaging: in each round every task runs stochastic gradient descent in numpy over its part of
-the corpus, from the common weights of the round before, and the weights of all tasks are averaged by their tokens. Rounds
-share the tokens of every text by their place in it, so each token is a target once, with its whole context. What is gathered (word counts of each task, then
-weights of each task) grows with the corpus; the model has a fixed size.
+group of tokens, then the token within it (two small softmaxes instead of a large one). A word without an id of its own is
+also spelled out, by the corpus counts of pairs of letters, so that an invented word scores lower than a rare one.
+
+Training is by parameter averaging. Texts are encoded once and dealt to virtual shards by their hash; the number of shards
+follows from the bytes of the corpus. In each round stochastic gradient descent in numpy runs over each shard, in the order
+of hashes, from the common weights of the round before, and the weights of all shards are averaged by their tokens, some
+shards at a time. So the model depends on the texts alone and not on how rows are dealt to tasks. Rounds share the tokens
+of every text by their place in it, so each token is a target once, with its whole context. What is gathered (word counts of
+each task, then weights of each shard) grows with the corpus; the model has a fixed size.
 """
 
 from __future__ import annotations
@@ -21,24 +24,31 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-GROUPS, GROUP_SIZE, OTHER = 32, 32, 96
+GROUPS, GROUP_SIZE, OTHER = 48, 48, 96
 VOCAB = GROUPS * GROUP_SIZE
 HIDDEN, WINDOW = 32, 2
-ROUNDS, BATCH, RATE = 2, 2048, 0.2
+ROUNDS, BATCH, RATE = 2, 4096, 0.2
+#: Bytes of text of a shard, tokens that are shuffled together in training, and shards whose weights meet in one task.
+SHARD_BYTES, BLOCK_TOKENS, FAN_IN = 16 << 20, 1 << 16, 64
+#: Letters: the bytes, and the border of a word.
+LETTERS = 257
 #: The token beyond either end of a text.
 EDGE = VOCAB
 WORD = C.is_alnum()
 
 
 class Vocabulary:
-    """Ids of words by hash: the most frequent ones have their own, others one of OTHER classes by their last two bytes."""
+    """Ids of words by hash: the most frequent ones have their own, others one of OTHER classes by their last two bytes.
+    ``letters`` counts pairs of letters, by the first one."""
 
-    def __init__(self, hashes: list[int]):
+    def __init__(self, hashes: list[int], letters: np.ndarray):
         h = np.array(hashes, np.int64).view(np.uint64)
         self.order = np.argsort(h)
         self.hashes = h[self.order]
+        self.spelling = np.log((letters + 0.1) / (letters + 0.1).sum(1, keepdims=True)).reshape(-1)
 
-    def ids(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Id, row and spelling of each word: the log probability of its letters, 0 for words with an id of their own."""
         low = C.LOWER[raw]
         start, end, row = C.split_words(low, offs, WORD)
         h = C.span_hash(C.prefix_hash(low), start, end)
@@ -47,21 +57,49 @@ class Vocabulary:
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             out = np.where(self.hashes[at] == h, self.order[at], out)
-        return out, row
+        steps = np.zeros(len(low) + 1)
+        np.cumsum(self.spelling[letter_pairs(low, start)], out=steps[1:])
+        # up to each letter from the one before it, and from the last one to the border
+        spelled = steps[end] - steps[start] + self.spelling[low[end - 1].astype(np.int64) * LETTERS + 256]
+        return out, row, np.where(out < VOCAB - OTHER, 0, spelled)
+
+
+def letter_pairs(low: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """At each byte, the pair of it and the byte before, which is the border where a word starts."""
+    before = np.zeros(len(low), np.int64)
+    before[1:] = low[:-1]
+    before[start] = 256
+    return before * LETTERS + low
 
 
 def count_words(docs: DataFrame, top: int) -> Vocabulary:
-    """The ``top`` words of the whole corpus by count, then hash. Each task sends its own counts of distinct words."""
+    """The ``top`` words of the whole corpus by count, then hash, and its pairs of letters. Each task sends its own counts of
+    distinct words, and those of pairs."""
 
     def run(batches):
-        for b in batches:
-            for _, _, raw, offs in C.text_chunks(b.column(0), 8 << 20):
-                h, _ = C.word_hashes(raw, offs, WORD)
-                h, n = np.unique(h, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
+        pairs = np.zeros(LETTERS * LETTERS, np.int64)
+
+        def rows(kind, key, n):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n.astype(np.int64))], ["kind", "word", "n"])
 
-    counts = C.map_batches(docs, run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return Vocabulary([r[0] for r in counts.orderBy(F.desc("n"), "word").limit(top).collect()])
+        for b in batches:
+            for _, _, raw, offs in C.text_chunks(b.column(0), 4 << 20):
+                low = C.LOWER[raw]
+                start, end, _ = C.split_words(low, offs, WORD)
+                h, n = np.unique(C.span_hash(C.prefix_hash(low), start, end), return_counts=True)
+                yield rows(0, h.view(np.int64), n)
+                pairs += np.bincount(letter_pairs(low, start)[WORD[low]], minlength=len(pairs))
+                pairs += np.bincount(low[end - 1].astype(np.int64) * LETTERS + 256, minlength=len(pairs))
+        some = np.flatnonzero(pairs)
+        yield rows(1, some, pairs[some])
+
+    counts = C.written(C.map_batches(docs, run, "kind int, word long, n long").groupBy("kind", "word").agg(F.sum("n").alias("n")))
+    letters = np.zeros(LETTERS * LETTERS)
+    for r in counts.where("kind = 1").collect():
+        letters[r.word] = r.n
+    words = [r[0] for r in counts.where("kind = 0").orderBy(F.desc("n"), "word").limit(top).select("word").collect()]
+    C.dropped(counts)
+    return Vocabulary(words, letters.reshape(LETTERS, LETTERS))
 
 
 def contexts(ids: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -157,66 +195,113 @@ class Network:
             self.inner[k][c[first]] += rate * np.add.reduceat(d[o], first, axis=0) / np.sqrt(count)[:, None] / np.sqrt(n) * 4
 
 
-def _train_round(docs: DataFrame, vocabulary, network, rate: float, k: int, rounds: int) -> Network:
+def train_shard(network: Network, texts: list[np.ndarray], rate: float, k: int, rounds: int, seed: int) -> None:
+    """Gradient steps of round k on the token ids of some texts, in a fixed random order."""
+    size = [len(x) for x in texts]
+    ids, row = np.concatenate(texts).astype(np.int64), np.repeat(np.arange(len(texts)), size)
+    pick = targets(row, k, rounds)
+    pick = pick[np.random.default_rng(seed).permutation(len(pick))]
+    around = contexts(ids, row)
+    for lo in range(0, len(pick), BATCH):
+        part = pick[lo : lo + BATCH]
+        network.step(ids[part], around[part], rate)
+
+
+WEIGHTS = "shard long, part int, tokens double, weights binary"
+
+
+def _train_round(encoded: DataFrame, shards: int, network, rate: float, k: int, rounds: int) -> Network:
+    def weights(shard: int, tokens: int, net: Network):
+        parts = net.parts()
+        return pa.RecordBatch.from_arrays([pa.array([shard] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array([float(tokens)] * len(parts)), pa.array([p.astype(np.float64).tobytes() for p in parts], pa.binary())], ["shard", "part", "tokens", "weights"])
+
     def run(batches):
-        net, v, seen = network.value, vocabulary.value, 0
-        net = Network().set_parts([p.copy() for p in net.parts()])
-        held_ids, held_context, held = [], [], 0
+        shard, net, seen, held, size = None, None, 0, [], 0
         for b in batches:
-            for _, _, raw, offs in C.text_chunks(b.column(0)):
-                ids, row = v.ids(raw, offs)
-                pick = targets(row, k, rounds)
-                held_ids.append(ids[pick])
-                held_context.append(contexts(ids, row)[pick])
-                held += len(pick)
-                seen += len(ids)
-            if held >= 16 * BATCH:
-                i, c = np.concatenate(held_ids), np.concatenate(held_context)
-                order = np.random.default_rng(seen).permutation(len(i))
-                for lo in range(0, len(i), BATCH):
-                    net.step(i[order[lo : lo + BATCH]], c[order[lo : lo + BATCH]], rate)
-                held_ids, held_context, held = [], [], 0
+            for s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if s != shard:
+                    if held:
+                        train_shard(net, held, rate, k, rounds, seen)
+                    if seen:
+                        yield weights(shard, seen, net)
+                    shard, seen, held, size = s, 0, [], 0
+                    net = Network().set_parts([p.copy() for p in network.value.parts()])
+                held.append(np.frombuffer(x, np.uint16))
+                size += len(held[-1])
+                seen += len(held[-1])
+                if size >= BLOCK_TOKENS:
+                    train_shard(net, held, rate, k, rounds, seen)
+                    held, size = [], 0
         if held:
-            i, c = np.concatenate(held_ids), np.concatenate(held_context)
-            for lo in range(0, len(i), BATCH):
-                net.step(i[lo : lo + BATCH], c[lo : lo + BATCH], rate)
+            train_shard(net, held, rate, k, rounds, seen)
         if seen:
-            parts = net.parts()
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([float(seen)] * len(parts)), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "tokens", "weights"])
+            yield weights(shard, seen, net)
 
     def mean(batches):
-        total: dict[int, list] = {}
+        """Sums the rows of one shard group and part, which follow each other in the order of their shards."""
+        key, n, total = None, 0.0, 0.0
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([n]), pa.array([(total / n).tobytes()], pa.binary())], ["shard", "part", "tokens", "weights"])
+
         for b in batches:
-            for part, n, w in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                t = total.setdefault(part, [0.0, 0.0])
-                t[0] += n
-                t[1] = t[1] + n * np.frombuffer(w, np.float32).astype(np.float64)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t[0] for t in total.values()]), pa.array([(t[1] / t[0]).astype(np.float32).tobytes() for t in total.values()], pa.binary())], ["part", "tokens", "weights"])
-
-    schema = "part int, tokens double, weights binary"
-    rows = docs.mapInArrow(run, schema).repartition("part").mapInArrow(mean, schema).collect()
+            for i in range(b.num_rows):
+                shard, part, tokens, w = (c[i].as_py() for c in b.columns)
+                if (shard // FAN_IN, part) != key:
+                    if key:
+                        yield row()
+                    key, n, total = (shard // FAN_IN, part), 0.0, 0.0
+                n, total = n + tokens, total + tokens * np.frombuffer(w)
+        if key:
+            yield row()
+
+    dealt = encoded.repartition(shards, "shard").sortWithinPartitions("shard", "h", "ids").select("shard", "ids")
+    rows, left = C.map_batches(dealt, run, WEIGHTS), shards
+    while True:
+        by = rows.withColumn("_group", F.floor(F.col("shard") / FAN_IN)).repartition("_group", "part").sortWithinPartitions("_group", "part", "shard")
+        rows, left = C.map_batches(by.drop("_group"), mean, WEIGHTS), -(-left // FAN_IN)
+        if left == 1:
+            break
     parts = network.value.parts()
-    for r in rows:
-        parts[r[0]] = np.frombuffer(r[2], np.float32).reshape(parts[r[0]].shape).copy()
+    for r in rows.collect():
+        parts[r.part] = np.frombuffer(r.weights).reshape(parts[r.part].shape).astype(np.float32)
     return Network().set_parts(parts)
 
 
-def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
-    """Vocabulary and network of all texts of docs. Null texts count for nothing; an empty table leaves the first weights."""
+def _encoded(docs: DataFrame, vocabulary, shards: int) -> DataFrame:
+    """(shard, h, ids): the token ids of each text that has any, in 16 bits, with the hash by which it is dealt."""
+
+    def run(batches):
+        for b in batches:
+            for lo, hi, raw, offs in C.text_chunks(b.column(1)):
+                ids, row, _ = vocabulary.value.ids(raw, offs)
+                data = ids.astype("<u2").tobytes()
+                cuts = (2 * np.concatenate([[0], np.cumsum(np.bincount(row, minlength=hi - lo))])).tolist()
+                some = [i for i in range(hi - lo) if cuts[i] < cuts[i + 1]]
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi].take(pa.array(some, pa.int64())), pa.array([data[cuts[i] : cuts[i + 1]] for i in some], pa.binary())], ["h", "ids"])
+
+    out = C.map_batches(docs.select(F.xxhash64("text").alias("h"), "text"), run, "h long, ids binary")
+    return out.select(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"), "h", "ids")
+
+
+def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, shard_bytes: int = SHARD_BYTES) -> tuple[Vocabulary, Network]:
+    """Vocabulary and network of all texts of docs. Null texts count for nothing, repeated ones as often as they stand there;
+    texts of any length are used whole. An empty table leaves the first weights."""
     sc = docs.sparkSession.sparkContext
-    docs = docs.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    docs = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).where("text IS NOT NULL")
+    shards = int((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes + 1)
     vocabulary, network = count_words(docs, VOCAB - OTHER), Network()
-    shared = sc.broadcast(vocabulary)
+    encoded = C.written(_encoded(docs, sc.broadcast(vocabulary), shards))
     for k in range(rounds):
-        network = _train_round(docs, shared, sc.broadcast(network), RATE / (k + 1), k, rounds)
+        network = _train_round(encoded, shards, sc.broadcast(network), RATE / (k + 1), k, rounds)
+    C.dropped(encoded)
     return vocabulary, network
 
 
 def score(docs: DataFrame, model: tuple[Vocabulary, Network], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(row, n_tokens, log_likelihood): each row of docs with the summed conditional log probabilities of its tokens.
 
-    Texts that are null or have no word have no tokens and sum 0. Other columns (those named in ``keep``, or all) pass through ``row``.
+    Texts that are null or have no word have no tokens and sum 0. Repeated rows give repeated results. Other columns (those named in ``keep``, or all) pass through ``row``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     base = C.row_and_text(docs, text_col, keep)
@@ -225,8 +310,8 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Network], text_col: str = "t
         vocabulary, network = shared.value
         for b in batches:
             for lo, hi, raw, offs in C.text_chunks(b.column(1)):
-                ids, row = vocabulary.ids(raw, offs)
-                logs = network.log_probabilities(ids, contexts(ids, row))
+                ids, row, spelled = vocabulary.ids(raw, offs)
+                logs = network.log_probabilities(ids, contexts(ids, row)) + spelled
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(np.bincount(row, minlength=hi - lo), pa.int64()), pa.array(np.bincount(row, logs, hi - lo).astype(np.float64))], ["row", "n_tokens", "log_likelihood"])
 
     return C.map_batches(base, run, T.StructType([base.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType())]))

@@ -42,9 +42,9 @@ def test_shuffled_texts_score_lower(spark):
     # of the sum, the brute force over one text
     v, net = model
     text = rows[0][1]
-    ids, row = v.ids(*C.utf8(pa.array([text])))
+    ids, row, spelled = v.ids(*C.utf8(pa.array([text])))
     logs = [net.log_probabilities(ids[k : k + 1], M.contexts(ids, row)[k : k + 1])[0] for k in range(len(ids))]
-    assert abs(sum(logs) - got[rows[0][0]].log_likelihood) < 1e-2
+    assert abs(sum(logs) + sum(spelled) - got[rows[0][0]].log_likelihood) < 1e-2
     assert M.score(df.limit(0), model).count() == 0
     M.train(docs.limit(0))
 
@@ -59,42 +59,74 @@ def test_vocabulary_is_the_most_frequent(spark):
     v = M.count_words(docs, 50)
     floor = sorted(count.values(), reverse=True)[49]
     raw, offs = C.utf8(pa.array([w.decode() for w, n in count.items() if n > floor]))
-    ids, _ = v.ids(raw, offs)
+    ids, _, _ = v.ids(raw, offs)
     assert (ids < 50).all()
 
 
-def test_every_token_is_a_target_once(spark, monkeypatch):
+def test_every_token_is_a_target_once(monkeypatch):
     row = np.array([0, 0, 0, 2, 3, 3, 3, 3])
     assert sorted(np.concatenate([M.targets(row, k, 3) for k in range(3)]).tolist()) == list(range(8))
     assert not len(M.targets(row[:0], 0, 2))
-    # over one text of n different words, whatever the rounds, the steps see each of them once
-    docs = spark.createDataFrame([(" ".join(f"w{i}" for i in range(501)),), ("w600",), (None,)], "text string")
-    seen = []
+    # over some texts, whatever the rounds, the steps see each token once
+    texts, seen = [np.arange(501, dtype=np.uint16), np.array([600], np.uint16), np.arange(700, 900, dtype=np.uint16)], []
     monkeypatch.setattr(M.Network, "step", lambda self, ids, context, rate: seen.extend(ids.tolist()))
-    batches = docs.where("text IS NOT NULL").toArrow().to_batches()
-    vocabulary = M.count_words(docs.where("text IS NOT NULL"), 600)
+    for rounds in (1, 2, 4):
+        seen.clear()
+        for k in range(rounds):
+            M.train_shard(M.Network(), texts, 0.1, k, rounds, 5)
+        assert sorted(seen) == sorted(np.concatenate(texts).tolist())
 
-    class Rows:
-        """The same calls as of a data frame, in this process, so that the steps can be seen."""
 
-        def __init__(self, of):
-            self.of = of
+def test_scores_do_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(M, "FAN_IN", 3)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    out = []
+    for n in (1, 4, 211):
+        dealt = docs.repartition(n)
+        model = M.train(dealt, shard_bytes=40_000)
+        out.append({r[0]: (r[1], r[2]) for r in M.score(dealt, model).select("row.doc_id", "n_tokens", "log_likelihood").collect()})
+    assert len(out[0]) == docs.count()
+    for other in out[1:]:
+        assert all(other[i][0] == x and abs(other[i][1] - y) <= 1e-9 * abs(y) for i, (x, y) in out[0].items())
 
-        def mapInArrow(self, run, schema):
-            return Rows(list(run(self.of)))
 
-        def repartition(self, key):
-            return self
+def brute_hidden(net, context):
+    return np.append(np.tanh(sum(net.inner[k][c].astype(float) for k, c in enumerate(context))), 1.0)
 
-        def collect(self):
-            return []
 
-    class Shared:
-        def __init__(self, value):
-            self.value = value
+def brute_log(net, token, context):
+    h = brute_hidden(net, context)
+    p = [np.exp(h @ net.group[:, g]) for g in range(M.GROUPS)]
+    q = [np.exp(h @ net.member[token % M.GROUPS][:, m]) for m in range(M.GROUP_SIZE)]
+    return np.log(p[token % M.GROUPS] / sum(p)) + np.log(q[token // M.GROUPS] / sum(q))
 
-    for rounds in (1, 2, 4):
-        seen.clear()
-        for k in range(rounds):
-            M._train_round(Rows(batches), Shared(vocabulary), Shared(M.Network()), 0.1, k, rounds)
-        assert sorted(seen) == list(range(502))
+
+def test_one_step_and_one_text_by_brute_force():
+    rng = np.random.default_rng(8)
+    ids = np.array([3, 700, 3, 51, 3 + M.GROUPS, 9, 3])
+    around = M.contexts(ids, np.zeros(len(ids), int))
+    net, n = M.Network(1), len(ids)
+    for part in net.parts():
+        part += rng.normal(size=part.shape).astype(np.float32) * 0.3
+    net = M.Network().set_parts(net.parts())
+    assert np.allclose(net.log_probabilities(ids, around), [brute_log(net, i, c) for i, c in zip(ids.tolist(), around.tolist())], atol=1e-4)
+    new = M.Network().set_parts([p.copy() for p in net.parts()])
+    new.step(ids, around, 0.2)
+    # each weight moves by the slope of the sum of log probabilities, which a small change of it shows, times its rate
+    for part, at, scale in ((0, (3, 5), None), (1, (700, 2), None), (2, (9, 30), None), (3, (M.EDGE, 4), None), (4, (7, 3), 1), (4, (M.HIDDEN, 3), 1), (5 + 3, (2, 0), 4), (5 + 9, (6, 0), 4), (5 + 3, (M.HIDDEN, 1), 4)):
+        slope = []
+        for e in (1e-2, -1e-2):
+            moved = M.Network().set_parts([p.copy() for p in net.parts()])
+            moved.parts()[part][at] += e
+            slope.append(sum(brute_log(moved, i, c) for i, c in zip(ids.tolist(), around.tolist())))
+        want = (slope[0] - slope[1]) / 2e-2
+        rate = 0.2 / n * scale if scale else 0.2 * 4 / np.sqrt(n) / np.sqrt(max((around[:, part] == at[0]).sum(), 1))
+        assert abs((new.parts()[part][at] - net.parts()[part][at]) - rate * want) < 1e-3 + 0.01 * abs(rate * want)
+
+
+def test_invented_words_score_lower_than_rare_ones(spark):
+    docs = spark.createDataFrame([(f"the banner of the cabin stands near {w}ing harbour {w}er",) for w in ("sail", "float", "wander", "linger", "rest", "paint", "bring")] * 30, "text string")
+    v = M.count_words(docs, 6)
+    ids, _, spelled = v.ids(*C.utf8(pa.array(["the lingering qzxjkqvwx"])))
+    assert spelled[0] == 0 or ids[0] >= M.VOCAB - M.OTHER
+    assert spelled[2] < spelled[1] - 10 < 0
