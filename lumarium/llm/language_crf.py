@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from . import common as C
 
 TABLE_BITS, CHAIN = 17, 64
-TRAIN_DOCS, TRAIN_BYTES, EPOCHS, BATCH = 3000, 16 << 20, 3, 400
+TRAIN_DOCS, TRAIN_BYTES, EPOCHS, BATCH = 3000, 4 << 20, 4, 400
 UNDETERMINED = "und"
 
 LETTER = np.zeros(256, bool)
