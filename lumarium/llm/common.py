@@ -47,14 +47,19 @@ def row_and_text(docs: DataFrame, text_col: str, keep: list[str] | None = None)
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+def released() -> None:
+    """Hands freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``df.mapInArrow`` whose workers, which later stages use again, hand freed memory back when a task ends."""
 
     def run(batches):
         yield from f(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
-            ctypes.CDLL(None).malloc_trim(0)
+        released()
 
     return df.mapInArrow(run, schema)
 

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from . import common as C
 
 TABLE_BITS, CHAIN = 17, 64
-TRAIN_DOCS, TRAIN_BYTES, EPOCHS, BATCH = 3000, 4 << 20, 4, 400
+TRAIN_DOCS, TRAIN_BYTES, EPOCHS, BATCH = 3000, 2 << 20, 4, 400
 UNDETERMINED = "und"
 
 LETTER = np.zeros(256, bool)
@@ -41,20 +41,21 @@ class Words:
         s, e = start[first], end[first]
         self.n = len(first)
         size = e - s
-        of = [np.arange(self.n)]
+        number = np.arange(self.n, dtype=np.int32)
+        of = [number]
         value = [C.span_hash(sums, s, e) ^ np.uint64(1)]  # lexicon
         for k in (1, 2, 3):
             fits = np.flatnonzero(size >= k)
-            of += [fits, fits]  # affixes
+            of += [number[fits], number[fits]]  # affixes
             value += [C.span_hash(sums, s[fits], s[fits] + k) ^ np.uint64(2), C.span_hash(sums, e[fits] - k, e[fits]) ^ np.uint64(3)]
             count = np.maximum(size - k + 1, 0)
             at = np.repeat(s, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            of.append(np.repeat(np.arange(self.n), count))
+            of.append(np.repeat(number, count))
             value.append(C.span_hash(sums, at, at + k) ^ np.uint64(4))
-        self.of, index = np.concatenate(of), C.mix(np.concatenate(value)) >> np.uint64(64 - TABLE_BITS)
-        order = np.argsort(self.of, kind="stable")
-        self.of, self.index = self.of[order], index[order].astype(np.int64)
-        self.cuts = np.searchsorted(self.of, np.arange(self.n))
+        of = np.concatenate(of)
+        index = (C.mix(np.concatenate(value)) >> np.uint64(64 - TABLE_BITS)).astype(np.int32)
+        order = np.argsort(of, kind="stable")
+        self.index, self.cuts = index[order], np.searchsorted(of[order], number)
 
     def scores(self, table: np.ndarray) -> np.ndarray:
         return np.add.reduceat(table[self.index], self.cuts, axis=0) if self.n else np.zeros((0, table.shape[1]))
@@ -239,7 +240,9 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", tr
     """Trains on at most ``train_docs`` distinct whole texts, with an equal share for each label, of ``train_bytes`` at most in
     all: texts that don't fit are left out, none is cut. Rows without text or label aren't used; repeated texts count once."""
     some = labelled.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{label_col}`").cast("string").alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
-    return train([tuple(r) for r in C.bounded_sample(some, train_docs, F.col("text"), F.col("label"), train_bytes).collect()])
+    model = train([tuple(r) for r in C.bounded_sample(some, train_docs, F.col("text"), F.col("label"), train_bytes).collect()])
+    C.released()
+    return model
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", with_words: bool = False, keep: list[str] | None = None) -> DataFrame:

@@ -297,6 +297,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DO
     some = docs.select(F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("@|[0-9]{4}|[0-9][.][0-9]"))
     sample = C.bounded_sample(some, train_docs, F.col("text"), max_bytes=TRAIN_BYTES).collect()
     field = spark.sparkContext.broadcast(train([r[0] for r in sample]))
+    C.released()
     base = C.row_and_text(docs, text_col, keep)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 
