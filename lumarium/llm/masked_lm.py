@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-GROUPS, GROUP_SIZE, OTHER = 48, 48, 96
+GROUPS, GROUP_SIZE, OTHER = 40, 40, 96
 VOCAB = GROUPS * GROUP_SIZE
 HIDDEN, WINDOW = 32, 2
 ROUNDS, BATCH, RATE = 2, 4096, 0.2
