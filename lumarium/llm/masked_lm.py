@@ -6,10 +6,10 @@ classes by word ending for the others. The network adds one vector per neighbour
 group of tokens, then the token within it (two small softmaxes instead of a large one). A word without an id of its own is
 also spelled out, by the corpus counts of pairs of letters, so that an invented word scores lower than a rare one.
 
-Training is by parameter averaging. Texts are encoded once and dealt to virtual shards by their hash; the number of shards
-follows from the bytes of the corpus. In each round stochastic gradient descent in numpy runs over each shard, in the order
-of hashes, from the common weights of the round before, and the weights of all shards are averaged by their tokens, some
-shards at a time. So the model depends on the texts alone and not on how rows are dealt to tasks. Rounds share the tokens
+Training is by parameter averaging. Texts are encoded once and dealt to virtual shards by their hash, copies of one text in
+parts that go to different shards; the number of shards follows from the bytes of the corpus. In each round stochastic
+gradient descent in numpy runs over each shard, in the order of hashes, from the common weights of the round before, and the
+weights of all shards are averaged by their tokens, some shards at a time. So the model depends on the texts alone and not on how rows are dealt to tasks. Rounds share the tokens
 of every text by their place in it, so each token is a target once, with its whole context. What is gathered (word counts of
 each task, then weights of each shard) grows with the corpus; the model has a fixed size.
 """
@@ -30,6 +30,8 @@ HIDDEN, WINDOW = 32, 2
 ROUNDS, BATCH, RATE = 2, 4096, 0.2
 #: Bytes of text of a shard, tokens that are shuffled together in training, and shards whose weights meet in one task.
 SHARD_BYTES, BLOCK_TOKENS, FAN_IN = 16 << 20, 1 << 16, 64
+#: Copies of one text that go to one shard together, and tasks of a round at most (a task takes one shard after the other).
+COPIES, TASKS = 16, 1 << 14
 #: Letters: the bytes, and the border of a word.
 LETTERS = 257
 #: The token beyond either end of a text.
@@ -151,8 +153,10 @@ class Network:
         return h
 
     def log_probabilities(self, ids: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """log p(token | both sides) for each token."""
+        """log p(token | both sides) for each token. Products are summed in double precision, since a float sum depends on how
+        many tokens are multiplied at once, and that on how rows are dealt."""
         out = np.empty(len(ids))
+        to_group, to_member = self.group.astype(float), self.member.astype(float)
         # tokens of one group together, so that each group is one matrix product
         group, member = ids % GROUPS, ids // GROUPS
         order = np.argsort(group, kind="stable")
@@ -161,8 +165,9 @@ class Network:
             at = order[cuts[g] : cuts[g + 1]]
             for lo in range(0, len(at), 8192):
                 part = at[lo : lo + 8192]
-                h = self.hidden(context[part])
-                out[part] = log_softmax(h @ self.group)[:, g] + log_softmax(h @ self.member[g])[np.arange(len(part)), member[part]]
+                h = self.hidden(context[part]).astype(float)
+                which, within = (log_softmax((h @ w).astype(np.float32)) for w in (to_group, to_member[g]))
+                out[part] = which[:, g] + within[np.arange(len(part)), member[part]]
         return out
 
     def step(self, ids: np.ndarray, context: np.ndarray, rate: float) -> None:
@@ -211,6 +216,8 @@ WEIGHTS = "shard long, part int, tokens double, weights binary"
 
 
 def _train_round(encoded: DataFrame, shards: int, network, rate: float, k: int, rounds: int) -> Network:
+    fan_in = FAN_IN
+
     def weights(shard: int, tokens: int, net: Network):
         parts = net.parts()
         return pa.RecordBatch.from_arrays([pa.array([shard] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array([float(tokens)] * len(parts)), pa.array([p.astype(np.float64).tobytes() for p in parts], pa.binary())], ["shard", "part", "tokens", "weights"])
@@ -218,7 +225,8 @@ def _train_round(encoded: DataFrame, shards: int, network, rate: float, k: int,
     def run(batches):
         shard, net, seen, held, size = None, None, 0, [], 0
         for b in batches:
-            for s, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            rows = ((s, x) for s, x, n in zip(*(c.to_pylist() for c in b.columns), strict=True) for _ in range(n))
+            for s, x in rows:
                 if s != shard:
                     if held:
                         train_shard(net, held, rate, k, rounds, seen)
@@ -247,19 +255,19 @@ def _train_round(encoded: DataFrame, shards: int, network, rate: float, k: int,
         for b in batches:
             for i in range(b.num_rows):
                 shard, part, tokens, w = (c[i].as_py() for c in b.columns)
-                if (shard // FAN_IN, part) != key:
+                if (shard // fan_in, part) != key:
                     if key:
                         yield row()
-                    key, n, total = (shard // FAN_IN, part), 0.0, 0.0
+                    key, n, total = (shard // fan_in, part), 0.0, 0.0
                 n, total = n + tokens, total + tokens * np.frombuffer(w)
         if key:
             yield row()
 
-    dealt = encoded.repartition(shards, "shard").sortWithinPartitions("shard", "h", "ids").select("shard", "ids")
+    dealt = encoded.repartitionById(min(shards, TASKS), F.col("shard").cast("int")).sortWithinPartitions("shard", "h", "ids").select("shard", "ids", "copies")
     rows, left = C.map_batches(dealt, run, WEIGHTS), shards
     while True:
-        by = rows.withColumn("_group", F.floor(F.col("shard") / FAN_IN)).repartition("_group", "part").sortWithinPartitions("_group", "part", "shard")
-        rows, left = C.map_batches(by.drop("_group"), mean, WEIGHTS), -(-left // FAN_IN)
+        by = rows.withColumn("_group", F.floor(F.col("shard") / fan_in)).repartition("_group", "part").sortWithinPartitions("_group", "part", "shard")
+        rows, left = C.map_batches(by.drop("_group"), mean, WEIGHTS), -(-left // fan_in)
         if left == 1:
             break
     parts = network.value.parts()
@@ -269,7 +277,8 @@ def _train_round(encoded: DataFrame, shards: int, network, rate: float, k: int,
 
 
 def _encoded(docs: DataFrame, vocabulary, shards: int) -> DataFrame:
-    """(shard, h, ids): the token ids of each text that has any, in 16 bits, with the hash by which it is dealt."""
+    """(shard, h, ids, copies): the token ids of each text that has any, in 16 bits, with the hash by which it is dealt and how
+    often the shard has it. Copies are counted where they are read, before the shuffle."""
 
     def run(batches):
         for b in batches:
@@ -281,7 +290,10 @@ def _encoded(docs: DataFrame, vocabulary, shards: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi].take(pa.array(some, pa.int64())), pa.array([data[cuts[i] : cuts[i + 1]] for i in some], pa.binary())], ["h", "ids"])
 
     out = C.map_batches(docs.select(F.xxhash64("text").alias("h"), "text"), run, "h long, ids binary")
-    return out.select(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"), "h", "ids")
+    out = out.groupBy("h", "ids").agg(F.count("*").alias("n"))
+    part = F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {COPIES} AS int)"))).alias("part")
+    out = out.select("h", "ids", "n", part).withColumn("copies", F.least(F.lit(COPIES), F.expr(f"n - {COPIES} * part")))
+    return out.select(F.pmod(F.xxhash64("h", "part"), F.lit(shards)).alias("shard"), "h", "ids", "copies")
 
 
 def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, shard_bytes: int = SHARD_BYTES) -> tuple[Vocabulary, Network]:
