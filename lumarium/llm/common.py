@@ -308,8 +308,9 @@ def count_sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.n
 # ---------------------------------------------------------------- keys that occur more than once
 
 
-def neighbours(rows: DataFrame, key: str) -> DataFrame:
-    """Rows whose key stands in more than one row; the key comes first."""
+def neighbours(rows: DataFrame, key: str, spread: str | None = None) -> DataFrame:
+    """Rows whose key stands in more than one row; the key comes first. Rows with a positive ``spread`` have a frequent key:
+    they are dealt by it as well, and all stay. It is 0 for all rows of any other key, and comes last."""
 
     def run(batches):
         last, open_ = None, False  # the last row so far, and whether a row before it has its key
@@ -318,13 +319,16 @@ def neighbours(rows: DataFrame, key: str) -> DataFrame:
             value = t.column(0).to_numpy()
             same = np.concatenate([[open_], value[1:] == value[:-1]])
             keep = same | np.append(same[1:], False)
+            if spread:
+                keep |= t.column(t.num_columns - 1).to_numpy() > 0
             # the last row waits for the next batch, where it may find its equal
             yield from t.slice(0, len(value) - 1).filter(pa.array(keep[:-1])).to_batches()
             last, open_ = t.slice(len(value) - 1).combine_chunks().to_batches()[0], bool(same[-1])
-        if open_:
+        if last is not None and (open_ or spread and last.column(last.num_columns - 1)[0].as_py() > 0):
             yield last
 
-    return map_batches(rows.repartition(key).sortWithinPartitions(key), run, rows.schema)
+    by = [key, spread] if spread else [key]
+    return map_batches(rows.repartition(*by).sortWithinPartitions(key), run, rows.schema)
 
 
 # ---------------------------------------------------------------- components

@@ -12,11 +12,17 @@ their owner, which sorts the suffixes of all its pieces:
   next place of its own bucket;
 - common prefixes of neighbours in that order show the runs of equal windows, and each run its smallest document.
 
+An owner with so many different pieces that they exceed what a task holds at once is split: its pieces are cut anew by
+longer owners (the substring of FINE_OWNER bytes with the smallest hash), which equal windows share as well, and take the
+same steps again. Rows of owners that the sketch shows to be frequent are also dealt by their place.
+
 Whole copies of a text are settled before by the hashes of the texts.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +32,9 @@ from . import common as C
 
 WINDOW, OWNER = 50, 20
 TASK_BYTES = 2 << 20
+#: Different pieces from which an owner is split (about TASK_BYTES of them), the length of the finer owners, and tasks for the
+#: rows of a frequent owner.
+CROWD, FINE_OWNER, SPREAD = TASK_BYTES // 64, 40, 64
 
 
 # ---------------------------------------------------------------- two-stage sorting
@@ -153,36 +162,65 @@ def owned_pieces(raw: np.ndarray, offs: np.ndarray, sketch: np.ndarray, window:
     return row[first], begin - offs[row[first]], count, h[at[first]], C.span_hash(sums, begin, begin + count + window - 1) + place
 
 
-def _pieces(docs: DataFrame, sketch, window: int, k: int) -> DataFrame:
+PIECES = "owner long, whole long, doc long, first int, count int, spread int"
+
+
+def piece_rows(doc: pa.Array, first: np.ndarray, count: np.ndarray, owner: np.ndarray, whole: np.ndarray, frequent: np.ndarray) -> pa.RecordBatch:
+    spread = np.where(frequent, 1 + (doc.to_numpy() ^ first) % SPREAD, 0)
+    return pa.RecordBatch.from_arrays([pa.array(owner.view(np.int64)), pa.array(whole.view(np.int64)), doc, pa.array(first, pa.int32()), pa.array(count, pa.int32()), pa.array(spread, pa.int32())], ["owner", "whole", "doc", "first", "count", "spread"])
+
+
+def _pieces(docs: DataFrame, sketch, window: int, k: int, crowd: int) -> DataFrame:
+    """Pieces of each text; ``spread`` is positive for owners that stand ``crowd`` times above the mean of the sketch."""
+
     def run(batches):
+        counts = sketch.value
+        often = counts.mean() + crowd
         for b in batches:
             for lo, _, raw, offs in C.text_chunks(b.column(1)):
-                row, first, count, owner, whole = owned_pieces(raw, offs, sketch.value, window, k)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + lo)), pa.array(first, pa.int32()), pa.array(count, pa.int32()), pa.array(owner.view(np.int64)), pa.array(whole.view(np.int64))], ["doc", "first", "count", "owner", "whole"])
+                row, first, count, owner, whole = owned_pieces(raw, offs, counts, window, k)
+                yield piece_rows(b.column(0).take(pa.array(row + lo)), first, count, owner, whole, counts[owner >> np.uint64(64 - C.SKETCH_BITS)] > often)
+
+    return C.map_batches(docs, run, PIECES)
 
-    return C.map_batches(docs, run, "doc long, first int, count int, owner long, whole long")
+
+def _places(batches):
+    """For each run of texts in (doc, text, wanted): its bytes; owner, document and first byte of each wanted piece; where the
+    piece begins and ends in the run."""
+    for b in batches:
+        for lo, hi, raw, offs in C.text_chunks(b.column(1)):
+            part = b.column(2)[lo:hi]
+            at = part.flatten()
+            row = np.repeat(np.arange(hi - lo), np.diff(part.offsets.to_numpy()))
+            first = at.field(1).to_numpy()
+            begin = offs[row] + first
+            yield raw, at.field(0), b.column(0)[lo:hi].take(pa.array(row)), first, begin, begin + at.field(2).to_numpy()
 
 
 def _cut(texts: DataFrame) -> DataFrame:
     """Explodes (doc, text, wanted) to (owner, doc, first, piece), the bytes of each wanted piece."""
 
     def run(batches):
-        for b in batches:
-            wanted = b.column(2)
-            for lo, hi, raw, offs in C.text_chunks(b.column(1)):
-                part = wanted[lo:hi]
-                at = part.flatten()
-                n = np.diff(part.offsets.to_numpy())
-                row = np.repeat(np.arange(hi - lo), n)
-                first, count = at.field(1).to_numpy(), at.field(2).to_numpy()
-                begin = (offs[row] + first).tolist()
-                end = (offs[row] + first + count).tolist()
-                data = raw.tobytes()
-                yield pa.RecordBatch.from_arrays([at.field(0), b.column(0)[lo:hi].take(pa.array(row)), pa.array(first, pa.int32()), pa.array([data[x:y] for x, y in zip(begin, end, strict=True)], pa.binary())], ["owner", "doc", "first", "piece"])
+        for raw, owner, doc, first, begin, end in _places(batches):
+            data = raw.tobytes()
+            yield pa.RecordBatch.from_arrays([owner, doc, pa.array(first, pa.int32()), pa.array([data[x:y] for x, y in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())], ["owner", "doc", "first", "piece"])
 
     return C.map_batches(texts, run, "owner long, doc long, first int, piece binary")
 
 
+def _finer(texts: DataFrame, window: int, k: int) -> DataFrame:
+    """The wanted pieces of (doc, text, wanted), cut anew by owners of k bytes, the smallest hash first."""
+
+    def run(batches):
+        level = np.zeros(1 << C.SKETCH_BITS, np.uint8)
+        for raw, _, doc, first, begin, end in _places(batches):
+            offs = np.concatenate([[0], np.cumsum(end - begin)])
+            row, more, count, owner, whole = owned_pieces(raw[C.ranges(begin, end - begin)], offs, level, window, k)
+            yield piece_rows(doc.take(pa.array(row)), first[row] + more, count, owner, whole, np.zeros(len(row), bool))
+
+    return C.map_batches(texts, run, PIECES)
+
+
 def _sorted_suffixes(pieces: DataFrame, window: int) -> DataFrame:
     """(doc, start, end) of repeated bytes among pieces of equal owners, which come in order of owners."""
 
@@ -219,9 +257,10 @@ def _sorted_suffixes(pieces: DataFrame, window: int) -> DataFrame:
     return C.map_batches(pieces.repartition("owner").sortWithinPartitions("owner"), run, "doc long, start long, end long")
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, owner: int = OWNER) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, owner: int = OWNER, crowd: int = CROWD) -> DataFrame:
     """(doc, copy, spans) for documents with repeated bytes: ``copy`` when the whole text stands in a smaller document, else
-    the byte spans (start, end), not merged. docs has (doc, text), with texts that aren't null."""
+    the byte spans (start, end), not merged. docs has (doc, text), with texts that aren't null. Owners of more than ``crowd``
+    different pieces are split."""
     spark = docs.sparkSession
     size = F.octet_length("text")
     named = docs.where(size >= window).select("doc", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text", F.lit(2)).alias("h2"))
@@ -229,30 +268,46 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, owner: int = OWNER) ->
     copies = C.written(named.join(first, ["h1", "h2"]).where("doc > least").select("doc").distinct())
     single = C.with_ids(docs.where(size >= window), copies, "doc", "left_anti")
     sketch = spark.sparkContext.broadcast(C.count_sketch(single.select("text"), lambda b: (kmer_hashes(raw, owner)[0] for _, _, raw, _ in C.text_chunks(b.column(0)))))
-    shared = C.written(C.neighbours(_pieces(single, sketch, window, owner).select("owner", "whole", "doc", "first", "count"), "owner"))
-    # equal pieces: all but those of the smallest document are repeated as a whole
-    least = C.written(shared.groupBy("owner", "whole").agg(F.min(F.struct("doc", "first")).alias("f"), F.first("count").alias("count")).select("owner", "whole", F.col("f.doc").alias("doc"), F.col("f.first").alias("first"), "count"))
-    later = shared.join(least.select("owner", "whole", F.col("doc").alias("least")), ["owner", "whole"]).where("doc > least").select("doc", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("count") + window - 1).cast("long").alias("end"))
     item = F.collect_list(F.struct("start", "end")).alias("spans")
-    later = C.written(later.groupBy("doc").agg(item))
-    C.dropped(shared)
-    several = least.groupBy("owner").agg(F.count("*").alias("n")).where("n > 1").select("owner")
-    wanted = C.written(least.join(several, "owner").groupBy("doc").agg(F.collect_list(F.struct("owner", "first", (F.col("count") + window - 1).alias("bytes"))).alias("wanted")))
-    C.dropped(least)
-    found = C.written(_sorted_suffixes(_cut(single.join(wanted, "doc").select("doc", "text", "wanted")), window).groupBy("doc").agg(item))
-    C.dropped(wanted)
-    spans = later.unionByName(found).groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return C.written(spans.select("doc", F.lit(False).alias("copy"), "spans").unionByName(copies.select("doc", F.lit(True).alias("copy"), F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("spans"))))
-
-
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, owner: int = OWNER) -> DataFrame:
+
+    def settled(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(doc, crowded, wanted): the pieces whose owner has several. (doc, spans): equal pieces, all but those of the smallest document, which are repeated as a whole."""
+        shared = C.written(C.neighbours(pieces, "owner", "spread"))
+        least = C.written(shared.groupBy("owner", "whole").agg(F.min(F.struct("doc", "first")).alias("f"), F.first("count").alias("count")).select("owner", "whole", F.col("f.doc").alias("doc"), F.col("f.first").alias("first"), "count"))
+        later = shared.join(least.select("owner", "whole", F.col("doc").alias("least")), ["owner", "whole"]).where("doc > least").select("doc", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("count") + window - 1).cast("long").alias("end"))
+        later = C.written(later.groupBy("doc").agg(item))
+        C.dropped(shared)
+        several = least.groupBy("owner").agg(F.count("*").alias("n")).where("n > 1")
+        wanted = C.written(least.join(several, "owner").groupBy("doc", (F.col("n") > crowd).alias("crowded")).agg(F.collect_list(F.struct("owner", "first", (F.col("count") + window - 1).alias("bytes"))).alias("wanted")))
+        C.dropped(least)
+        return wanted, later
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        return single.join(wanted, "doc").select("doc", "text", "wanted")
+
+    wanted, later = settled(_pieces(single, sketch, window, owner, crowd))
+    spans, used, crowded = [later], [wanted], wanted.where("crowded")
+    cut = _cut(texts(wanted.where("NOT crowded")))
+    if not crowded.isEmpty():
+        wanted, later = settled(_finer(texts(crowded), window, FINE_OWNER))
+        spans.append(later)
+        used.append(wanted)
+        cut = cut.unionByName(_cut(texts(wanted)))
+    spans.append(C.written(_sorted_suffixes(cut, window).groupBy("doc").agg(item)))
+    for t in used:
+        C.dropped(t)
+    every = reduce(DataFrame.unionByName, spans).groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return C.written(every.select("doc", F.lit(False).alias("copy"), "spans").unionByName(copies.select("doc", F.lit(True).alias("copy"), F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("spans"))))
+
+
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, owner: int = OWNER, crowd: int = CROWD) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept): what is left of each text as UTF-8 bytes (binary).
 
     Null and empty texts stay empty. Ids are unique longs; a row with a null id is kept whole and removes nothing from
     others. Of repeated rows (one id twice), neither removes from the other. Other columns are ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    spans = repeated_spans(base.where("doc IS NOT NULL"), window, owner)
+    spans = repeated_spans(base.where("doc IS NOT NULL"), window, owner, crowd)
 
     def run(batches):
         for b in batches:

@@ -62,3 +62,14 @@ def test_edges(spark):
     assert S.suffix_dedup(df.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, p), (1, p), (None, p), (2, p)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_removed) for r in S.suffix_dedup(twice).collect()) == [(0, 0), (1, 0), (1, 0), (2, len(p.encode()))]
+
+
+def test_crowded_owners_are_split(spark):
+    rng = random.Random(7)
+    words = ["lorem ipsum", "dolor sit", "amet", "consectetur"]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(40))) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    cols = ["doc_id", "n_bytes", "n_removed", "n_spans"]
+    expected = brute(docs)
+    for crowd in (1, 20, S.CROWD):
+        assert {(*[r[c] for c in cols], hashlib.sha256(r["kept"]).hexdigest()) for r in S.suffix_dedup(df, crowd=crowd).collect()} == expected
