@@ -13,6 +13,7 @@ Chunks are shared within tasks and not across them: moving all text through a sh
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,12 @@ from . import common as C
 
 ROLL, MASK_BITS, MIN_STORE = 16, 11, 24 << 20
 SPECIAL = {"<|endoftext|>": 50256}
+#: Runs of white space of so many characters are encoded without the word pattern, whose search for them goes as deep as they
+#: are long.
+RUN = 4096
+#: White space of the word pattern (fixed values of Unicode).
+WHITE = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = re.compile(f"[{WHITE}]{{{RUN},}}")
 
 
 def tokenizer_path(name: str) -> str:
@@ -57,7 +64,28 @@ class Encoder:
         self.letter[65:91] = self.letter[97:123] = True
 
     def ids(self, data: bytes) -> np.ndarray:
-        return self.bpe.encode_to_numpy(data.decode(), disallowed_special=())
+        """Ids of a text without special strings. A long run of white space is cut out: the word pattern makes one piece of
+        it, but for a last character that something follows, with which what follows begins."""
+        text = data.decode()
+        if len(data) < RUN or not (runs := list(LONG_RUN.finditer(text))):
+            return self.bpe.encode_to_numpy(text, disallowed_special=())
+        out, at = [], 0
+        for m in runs:
+            end = m.end() - (m.end() < len(text))
+            out.append(self.bpe.encode_to_numpy(text[at : m.start()], disallowed_special=()))
+            out.append(np.array(self.bpe._encode_single_piece(text[m.start() : end]), np.uint32))
+            at = end
+        out.append(self.bpe.encode_to_numpy(text[at:], disallowed_special=()))
+        return np.concatenate(out)
+
+    def whole(self, data: bytes) -> np.ndarray:
+        """Ids of a whole text, its special strings among them, without chunks."""
+        out = []
+        for a, b, special in self.segments(data, 0, len(data)):
+            out.append(self.ids(data[a:b]).astype(np.uint32))
+            if special is not None:
+                out.append(np.array([special], np.uint32))
+        return np.concatenate(out)
 
     def chunk(self, data: bytes, head: int, tail: int) -> tuple[np.ndarray, int, int]:
         """Ids of a chunk, and how many of them stand before its first and its last sure boundary."""
@@ -133,7 +161,8 @@ class Encoder:
 def bpe_encode_decode(docs: DataFrame, text_col: str = "text", ranks: str | None = None, pattern: str | None = None, special: dict[str, int] | None = None, keep: list[str] | None = None) -> DataFrame:
     """(row, ids, n_tokens, decoded): each row of docs with its ids (binary, little-endian unsigned 32-bit) and their decoding.
 
-    Null and empty texts have no ids. Special strings inside a text become their ids. Repeated rows give repeated results;
+    Null and empty texts have no ids. A text of any length and with runs of white space of any length is encoded whole, in the
+    memory of its task, which needs some hundred bytes for each of its bytes. Null ids pass through. Special strings inside a text become their ids. Repeated rows give repeated results;
     other columns (those named in ``keep``, or all) pass through ``row``. ``ranks`` is a rank file's path that all executors have.
     """
     ranks, pattern, special = ranks or tokenizer_path("byte_bpe_50k.tiktoken"), pattern or _pattern(), SPECIAL if special is None else special

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language_crf, line_dedup, masked_lm, ngram_join, pii, suffix_dedup, token_files, vector_join
+from . import bpe, decontaminate, fim, language_crf, line_dedup, masked_lm, merkle, ngram_join, packing, pii, suffix_dedup, token_files, vector_join
 
 QUERIES = {
     "op1_ngram_jaccard": ngram_join.op1_ngram_jaccard,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_vector_join": vector_join.op10_vector_join,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_vector_best_fit": packing.op12_vector_best_fit,
+    "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -23,4 +26,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_suffix_dedup": suffix_dedup.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
     "op10_vector_join": vector_join.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
+    "op13_fill_in_middle": fim.ORACLE,
 }

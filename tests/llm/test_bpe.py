@@ -57,3 +57,25 @@ def test_edges(spark):
     got = {(r.row.doc_id, r.n_tokens, sha(r.ids), sha(r.decoded.encode())) for r in bpe.bpe_encode_decode(df).collect()}
     assert got == want(rows)
     assert bpe.bpe_encode_decode(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\t", " \n", "\u3000 ", "\xa0"])
+def test_long_white_space(run):
+    """Three million characters of white space, at the start, inside, before a special string and at the end of a text."""
+    enc, t = bpe.Encoder(bpe.tokenizer_path("byte_bpe_50k.tiktoken"), P.PATTERN, bpe.SPECIAL), library()
+    import pyarrow as pa
+
+    long, short = run * ((3_000_000 if run.isascii() else 100_000) // len(run)), run * 5000
+    texts = [short, "a word" + long + "b next", short + "x", "x 'll" + short + "'ll 5" + short + "é", "y" + short + "<|endoftext|>" + short + " z", short + "\n!" + short]
+    raw, offs = common.utf8(pa.array(texts))
+    for text, ids in zip(texts, enc.texts(raw, offs), strict=True):
+        want = t.encode(text, add_special_tokens=False).ids
+        assert ids.tolist() == want
+        assert enc.whole(text.encode()).tolist() == want
+
+
+def test_long_white_space_repeated_rows_and_null_ids(spark):
+    rows = [(1, "x" + " " * 1_200_000 + "y")] * 2 + [(None, "same"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.row.doc_id, r.n_tokens, sha(r.ids), sha(r.decoded.encode())) for r in bpe.bpe_encode_decode(df).collect()), key=str)
+    assert len(got) == 4 and set(got) == want(rows)
