@@ -51,41 +51,59 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MI
     return lines, first
 
 
+def _lists(values: np.ndarray, size: np.ndarray, valid: np.ndarray) -> pa.Array:
+    """Lists of the given sizes, one after the other; null where not valid."""
+    cuts = pa.array(np.append(np.cumsum(size) - size, size.sum()).astype(np.int32), pa.int32(), mask=np.append(~valid, False))
+    return pa.ListArray.from_arrays(cuts, pa.array(values))
+
+
+def _sizes(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The length of each list (null: 0) and whether it is there."""
+    valid = lists.is_valid().to_numpy(zero_copy_only=False)
+    return np.where(valid, np.diff(lists.offsets.to_numpy()), 0), valid
+
+
 def _marked(docs: DataFrame, first: DataFrame, min_chars: int) -> DataFrame:
-    """Adds the numbers of the lines that go, by search among the boilerplate lines in each task."""
+    """Adds ``stays``, one boolean for each line, by search among the boilerplate lines in each task."""
     t = first.orderBy("h1", "h2").toArrow()
     h1, h2, doc, no = (t.column(c).to_numpy() for c in ("h1", "h2", "doc", "no"))
     repeats = int(np.diff(np.flatnonzero(np.concatenate([[True], h1[1:] != h1[:-1], [True]]))).max()) if len(h1) else 0
     shared = docs.sparkSession.sparkContext.broadcast((h1, h2, doc, no))
 
-    def gone(ids: pa.Array, first_hash: pa.Array, second_hash: pa.Array) -> pa.Array:
+    def stays(ids: pa.Array, first_hash: pa.Array, second_hash: pa.Array) -> pa.Array:
         h1, h2, doc, no = shared.value
-        size = np.diff(first_hash.offsets.to_numpy())
-        size = np.where(first_hash.is_valid().to_numpy(zero_copy_only=False), size, 0)
-        row = np.repeat(np.arange(len(size)), size)
-        number = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        size, valid = _sizes(first_hash)
+        number = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         x, y = first_hash.flatten(), second_hash.flatten()
         own = np.repeat(ids.fill_null(0).to_numpy(), size)
         x, y, known = x.fill_null(0).to_numpy(), y.fill_null(0).to_numpy(), x.is_valid().to_numpy(zero_copy_only=False)
         at = np.searchsorted(h1, x)
-        out = np.zeros(len(x), bool)
+        gone = np.zeros(len(x), bool)
         for k in range(repeats):  # lines that share the first hash are told apart by the second
             i = np.minimum(at + k, len(h1) - 1)
-            out |= known & (h1[i] == x) & (h2[i] == y) & ((doc[i] != own) | (no[i] != number))
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(row[out], minlength=len(size)))])
-        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(number[out], pa.int32()))
+            gone |= known & (h1[i] == x) & (h2[i] == y) & ((doc[i] != own) | (no[i] != number))
+        return _lists(~gone, size, valid)
 
-    marks = F.arrow_udf(gone, "array<int>")
     lines = F.when(F.col("doc").isNotNull(), F.split("text", "\n"))
     hashes = (F.transform(lines, lambda x: _hashes(x, min_chars)[0]), F.transform(lines, lambda x: _hashes(x, min_chars)[1]))
-    return docs.withColumn("gone", marks("doc", *hashes))
+    return docs.withColumn("stays", F.arrow_udf(stays, "array<boolean>")("doc", *hashes))
 
 
 def _joined(docs: DataFrame, lines: DataFrame, first: DataFrame) -> DataFrame:
     """The same by a join of line numbers with documents."""
     places = lines.join(first.select("h1", "h2", F.struct("doc", "no").alias("first")), ["h1", "h2"])
     gone = C.written(places.where(F.struct("doc", "no") != F.col("first")).groupBy("doc").agg(F.collect_set("no").alias("gone")))
-    return docs.join(gone, "doc", "left")
+
+    def stays(n: pa.Array, gone: pa.Array) -> pa.Array:
+        out, at = np.ones(int(n.fill_null(0).to_numpy().sum()), bool), n.fill_null(0).to_numpy()
+        size, valid = _sizes(gone)
+        number = gone.flatten().to_numpy()
+        own = number < np.repeat(at, size)  # rows of one id may have fewer lines than others of it
+        out[(np.repeat(np.cumsum(at) - at, size) + number)[own]] = False
+        return _lists(out, at, valid)
+
+    mark = F.arrow_udf(stays, "array<boolean>")
+    return docs.join(gone, "doc", "left").withColumn("stays", mark(F.when(F.col("gone").isNotNull(), F.size(F.split("text", "\n"))), "gone"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", keep: list[str] | None = None, broadcast_lines: int = BROADCAST_LINES, **kw) -> DataFrame:
@@ -94,7 +112,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines end at "\\n" and are compared without outer blanks; shorter ones than ``min_chars`` always stay. A null text has
     no line and stays null, an empty text one empty line. Null sites count for no line. Rows that repeat an id are one
     document: where the first place of a line is in it, each of them keeps that line. A null id takes part in nothing and is
-    kept whole. A long text is one row of Spark's own functions and no more. Other columns (those named in ``keep``, or all)
+    kept whole. The work on a text is in proportion to its length, however many of its lines go. Other columns (those named in ``keep``, or all)
     pass through ``row``.
     """
     names = docs.columns if keep is None else keep
@@ -102,10 +120,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines, first = boilerplate(base.where("doc IS NOT NULL").select("doc", "text", "site"), **kw)
     min_chars = kw.get("min_chars", MIN_CHARS)
     out = _marked(base, first, min_chars) if first.count() <= broadcast_lines else _joined(base, lines, first)
-    parts, gone = F.split("text", "\n"), F.coalesce("gone", F.array().cast("array<int>"))
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(gone, i)), "\n")
+    parts = F.split("text", "\n")
+    kept = F.array_join(F.filter(parts, lambda x, i: F.get("stays", i)), "\n")
     n = F.coalesce(F.when(F.col("text").isNotNull(), F.size(parts)), F.lit(0)).cast("long")
-    return out.select("row", n.alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), F.when(F.size(gone) == 0, F.col("text")).otherwise(kept).alias("kept"))
+    removed = F.coalesce(F.size(F.filter("stays", lambda x: ~x)).cast("long"), F.lit(0))
+    out = out.select("row", "text", "stays", n.alias("n_lines"), F.when(F.col("stays").isNotNull(), removed).otherwise(0).alias("n_removed"))
+    return out.select("row", "n_lines", "n_removed", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(kept).alias("kept"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

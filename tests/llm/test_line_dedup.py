@@ -1,4 +1,5 @@
 import hashlib
+import time
 from collections import defaultdict
 
 from lumarium.llm.line_dedup import line_dedup, op9_line_dedup
@@ -47,3 +48,14 @@ def test_repeated_rows_null_ids_and_long_texts(spark):
     for bound in (0, 10):
         got = sorted((r[0] or -1, r[1] or "") for r in line_dedup(df, broadcast_lines=bound).select("row.doc_id", "kept").collect())
         assert got == sorted([(-1, a), (-1, a), (-1, a), (-1, "x"), *((i, "") for i in (1, 2, 3, 3, 4, 5)), (9, "own\n" * 60_000)])
+
+
+def test_a_million_lines_take_seconds(spark):
+    a = "This very line stands everywhere."
+    text = f"{a}\nown line\n" * 500_000
+    df = spark.createDataFrame([(i, a, f"s{i}") for i in range(6)] + [(9, text, "s1"), (9, a + "\nshort", "s1")], "doc_id long, text string, source string")
+    for bound in (0, 10):
+        began = time.time()
+        got = sorted((r[1], r[2], len(r[3])) for r in line_dedup(df, keep=["doc_id"], broadcast_lines=bound).where("row.doc_id = 9").collect())
+        assert got == [(2, 1, 5), (1_000_001, 500_000, 500_000 * 9)]
+        assert time.time() - began < 60
