@@ -2,33 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from .predicates import glob_any
+from .scratch import scratch, written
 
-MAX_DEPTH = 12
-
-
-def scratch(spark: SparkSession) -> str:
-    """A fresh path in the shared folder of spark.checkpoint.dir; where that is unset, as in tests, a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        import tempfile
+__all__ = ["MAX_DEPTH", "ancestors", "crawl", "scratch", "subtree", "written"]
 
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The frame as a table in the shared folder, which cuts its lineage and outlives executors."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+MAX_DEPTH = 12
 
 
 def crawl(seeds: DataFrame, links: DataFrame, mask: str = "", max_depth: int = MAX_DEPTH) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from . import pieces
 
 EVICT_BATCH = 512
 
@@ -31,28 +32,22 @@ def dedup_first(df: DataFrame, key: list[str], order: list) -> DataFrame:
     return df.groupBy(*key).agg(F.min_by(F.struct(*rest), place).alias("_r")).select(*key, "_r.*").select(*df.columns) if rest else df.distinct()
 
 
-def dedup_adjacent(df: DataFrame, key: str, order: list, within: list[str]) -> DataFrame:
+def dedup_adjacent(df: DataFrame, key: str, order: list, within: list[str], parts: int | None = None) -> DataFrame:
     """Drops rows whose key equals that of the row just before them; equal keys apart from each other stay."""
-    w = Window.partitionBy(*within).orderBy(*order)
-    first = F.row_number().over(w) == 1
-    return df.withColumn("_keep", first | ~F.col(key).eqNullSafe(F.lag(key).over(w))).where("_keep").drop("_keep")
+    out = pieces.beside(df, within, order, F.col(key), "_was", parts=parts)
+    return out.where(F.col("_was").isNull() | ~F.col(key).eqNullSafe(F.col("_was.v"))).drop("_was")
 
 
-def schedule(requests: DataFrame, gap: Column, host: str = "host", arrival: str = "arrival", order: tuple = ("id",)) -> DataFrame:
-    """Adds ``start``: no request of a host starts before its arrival, nor before the one before it plus the host's gap.
+def schedule(requests: DataFrame, gap: Column, host: str = "host", arrival: str = "arrival", order: tuple = ("id",), parts: int | None = None) -> DataFrame:
+    """Adds ``start``: no request of a host starts before its arrival, nor before the one before it plus the gap (a column of
+    the request). A host's requests may lie in any number of partitions."""
+    return pieces.chained(requests, [host], [arrival, *order], F.col(arrival), gap.cast("bigint"), "start", parts)
 
-    Closed form of the running rule, with i the request's number: max over earlier ones of (arrival - i * gap), plus i * gap.
-    """
-    w = Window.partitionBy(host).orderBy(arrival, *order)
-    i = F.row_number().over(w).cast("bigint")
-    out = requests.withColumn("_gap", gap.cast("bigint")).withColumn("_i", i)
-    lead = F.max(F.col(arrival) - F.col("_i") * F.col("_gap")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn("start", lead + F.col("_i") * F.col("_gap")).drop("_gap", "_i")
 
-
-def neighbours(df: DataFrame, item: str, order: list, within: list[str]) -> DataFrame:
-    w = Window.partitionBy(*within).orderBy(*order)
-    return df.withColumn("previous", F.lag(item).over(w)).withColumn("next", F.lead(item).over(w))
+def neighbours(df: DataFrame, item: str, order: list, within: list[str], parts: int | None = None) -> DataFrame:
+    """Adds ``previous`` and ``next``: the items beside each row of its group, null at the ends."""
+    out = pieces.beside(df, within, order, F.col(item), "_previous", "_next", parts)
+    return out.select(*df.columns, F.col("_previous.v").alias("previous"), F.col("_next.v").alias("next"))
 
 
 def suppress_repeats(lines: Column) -> Column:
@@ -93,15 +88,26 @@ def robots_groups(lines: DataFrame, key: list[str], pos: str = "no") -> DataFram
     return lines.withColumn("_opens", opens.cast("int")).withColumn("grp", F.sum("_opens").over(w)).drop("_opens")
 
 
-def ordinal_names(df: DataFrame, stem: str, order: list, within: list[str]) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy(*within).orderBy(*order))
-    return df.withColumn("name", F.concat(F.lpad(n.cast("string"), 3, "0"), F.lit("_"), F.col(stem)))
+def ordinal_names(df: DataFrame, stem: str, order: list, within: list[str], parts: int | None = None) -> DataFrame:
+    out = pieces.numbered(df, within, order, parts=parts)
+    return out.withColumn("name", F.concat(F.lpad(F.col("_n").cast("string"), 3, "0"), F.lit("_"), F.col(stem))).drop("_n")
+
+
+#: Rows of a key up to which each map task keeps its own first ones, before they are shuffled.
+FIRST_ROWS = 1000
 
 
-def paginate(df: DataFrame, size: int, order: list, within: list[str], max_pages: int | None = None) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy(*within).orderBy(*order))
-    out = df.withColumn("page", F.ceil(n / size).cast("int"))
-    return out.where(F.col("page") <= max_pages) if max_pages else out
+def paginate(df: DataFrame, size: int, order: list, within: list[str], max_pages: int | None = None, parts: int | None = None) -> DataFrame:
+    """Adds ``page``. Where few pages are wanted, map tasks sort out all rows of a key but so many, so that a key sends a
+    bounded number of rows from each task; else rows are numbered over range partitions."""
+    wanted = max_pages and size * max_pages
+    if wanted and wanted <= FIRST_ROWS:
+        # a plain bound on row_number lets Spark keep the first rows before its shuffle
+        out = df.withColumn("_n", F.row_number().over(Window.partitionBy(*within).orderBy(*order))).where(F.col("_n") <= wanted)
+    else:
+        out = pieces.numbered(df, within, order, parts=parts)
+        out = out.where(F.col("_n") <= wanted) if wanted else out
+    return out.withColumn("page", F.ceil(F.col("_n") / size).cast("int")).drop("_n")
 
 
 def recents(events: DataFrame, n: int, key: str = "path", ts: str = "ts") -> DataFrame:

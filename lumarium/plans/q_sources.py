@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import graph as G
+from ..operators.pieces import numbered
 from ..sources import catalogues as S
 from ..sources import files as Fi
 from ..sources import web
@@ -469,9 +470,8 @@ def s53(spark, d):
 
 @query("s54_list_items", "WITH l AS (SELECT p_brand AS list, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS pos, p_partkey AS id FROM part), m AS (SELECT coalesce(max(pos), 0) AS n FROM l WHERE list = 'Brand#2') SELECT id, CAST(pos AS INTEGER) AS pos FROM l WHERE list = 'Brand#2' UNION ALL SELECT s_suppkey, CAST(n + row_number() OVER (ORDER BY s_suppkey) AS INTEGER) FROM supplier, m")
 def s54(spark, d):
-    from pyspark.sql import Window
-
-    lists = parts(spark, d).select(F.col("p_brand").alias("list"), F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("pos"), F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.lit("").alias("thumb_url"))
+    brands = numbered(parts(spark, d).select("p_brand", "p_partkey", "p_name"), ["p_brand"], ["p_partkey"])
+    lists = brands.select(F.col("p_brand").alias("list"), F.col("_n").cast("int").alias("pos"), F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.lit("").alias("thumb_url"))
     new = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"), F.lit("").alias("thumb_url"), F.col("s_suppkey").alias("ord"))
     return Fi.list_items(Fi.append_item(lists, new, "Brand#2"), "Brand#2").select("id", "pos")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators.ordered import suppress_repeats
+from ..operators.pieces import numbered
 
 Col = Column | str
 
@@ -177,12 +178,11 @@ def list_items(lists: DataFrame, name: str) -> DataFrame:
     return lists.where(F.col("list") == name).orderBy("pos")
 
 
-def append_item(lists: DataFrame, items: DataFrame, name: str) -> DataFrame:
-    """lists with the items (id, title, thumb_url, ord) added at the end of one list, in the order of ``ord``."""
-    from pyspark.sql import Window
-
+def append_item(lists: DataFrame, items: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+    """lists with the items (id, title, thumb_url, ord) added at the end of one list, in the order of ``ord``; they are
+    numbered over range partitions."""
     end = lists.where(F.col("list") == name).agg(F.coalesce(F.max("pos"), F.lit(0)).alias("_end"))  # one row
-    new = items.crossJoin(F.broadcast(end)).withColumn("pos", (F.col("_end") + F.row_number().over(Window.orderBy("ord"))).cast("int"))
+    new = numbered(items, [], ["ord", "id"], parts=parts).crossJoin(F.broadcast(end)).withColumn("pos", (F.col("_end") + F.col("_n")).cast("int"))
     return lists.unionByName(new.select(F.lit(name).alias("list"), "pos", "id", "title", "thumb_url"))
 
 
