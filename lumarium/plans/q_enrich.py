@@ -306,8 +306,8 @@ def s51(spark, d):
     v = views(spark, d)
     changed = v.where("cast(path as bigint) % 4 = 0").withColumn("count", F.col("count") * 2)
     path = G.scratch(spark)
-    M.write_table(v, path, 1)
-    M.write_table(M.upsert_views(M.read_views(spark, path), changed), path, 2)
+    M.write_changes(v, path, 0)
+    M.write_changes(changed, path, 1)
     return M.read_views(spark, path)
 
 
@@ -323,16 +323,20 @@ def s52(spark, d):
 # ---------------------------------------------------------------- streams
 
 
-def drained(stream: DataFrame, sink=None, mode: str = "append", name: str = "out") -> DataFrame | None:
+def drained(stream: DataFrame, sink=None, mode: str = "append", conf: dict | None = None) -> DataFrame | None:
     """Runs a stream over what is there, then gives what it wrote."""
     spark: SparkSession = stream.sparkSession
     path = G.scratch(spark)
-    w = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/log")
-    if sink:
-        w.foreachBatch(sink).outputMode(mode).start().awaitTermination()
-        return None
-    w.format("parquet").outputMode(mode).start(f"{path}/{name}").awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/{name}")
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    for k, v in (conf or {}).items():
+        spark.conf.set(k, v)
+    try:
+        w = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/log").outputMode(mode)
+        (w.foreachBatch(sink).start() if sink else w.format("parquet").start(f"{path}/out")).awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return None if sink else spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -347,34 +351,54 @@ def t01(spark, d):
     base.utc(spark)
     table_ = G.scratch(spark)
     events = base.view_events(spark, d).repartitionByRange(3, "seq").sortWithinPartitions("seq")
-    drained(staged(events), T.view_sink(table_))
+    drained(T.view_stream(staged(events)), T.view_sink(table_), "update")
     return M.read_views(spark, table_)
 
 
 def paced(spark, d):
+    """Requests with their time of arrival: as seconds, and as the time itself to the millisecond."""
     e = table(spark, d, "events")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    return e.select((F.col("user_id") % 10).cast("string").alias("host"), F.col("event_id").alias("id"), ((micros - 1_704_067_200_000_000) / 1e6 / 400).alias("arrival"), F.when(F.col("user_id") % 3 == 0, F.lit(0.75)).alias("gap"), (F.col("event_type") == "error").alias("throttled"), F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 9).cast("double").alias("retry_after"))
-
-
-#: Requests of one micro-batch, at about which a host's rows are bounded too.
-PACE_ROWS = 50_000
-
-
-@query("t02_pace_requests")
+    arrival = (micros - 1_704_067_200_000_000) / 1e6 / 400
+    return e.select((F.col("user_id") % 10).cast("string").alias("host"), F.col("event_id").alias("id"), arrival.alias("arrival"), F.when(F.col("user_id") % 3 == 0, F.lit(0.75)).alias("gap"), (F.col("event_type") == "error").alias("throttled"), F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 9).cast("double").alias("retry_after"), F.timestamp_micros(F.floor(arrival * 1_000_000).cast("bigint")).alias("ts"))
+
+
+def in_order(df: DataFrame, by: str, files: int = 6) -> DataFrame:
+    """df as a stream of files in the order of ``by``, one for each micro-batch, and after them a row of no host an hour
+    later, as a source that goes on would send one: it lets the watermark pass all others."""
+    spark, path = df.sparkSession, G.scratch(df.sparkSession)
+    df.repartitionByRange(files, by).write.parquet(path)
+    end = df.agg(F.max(by).alias("t")).select(*(F.lit(None).cast(f.dataType).alias(f.name) if f.name not in (by, "throttled") else (F.col("t") + F.expr("INTERVAL 1 HOUR")).alias(by) if f.name == by else F.lit(True).alias(f.name) for f in df.schema.fields))
+    end.coalesce(1).write.mode("append").parquet(path)
+    # a file stream takes files by their times: those of the parts, in their order, then the last one
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    listed = [s for s in fs.listStatus(root) if s.getPath().getName().startswith("part-")]
+    last = max(listed, key=lambda s: s.getModificationTime()).getPath().getName()
+    ordered_ = sorted((s.getPath() for s in listed), key=lambda p: (p.getName() == last, p.getName()))
+    for k, p in enumerate(ordered_):
+        fs.setTimes(p, 1_700_000_000_000 + 60_000 * k, -1)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+PACE = """r AS (SELECT CAST(user_id % 10 AS VARCHAR) AS host, event_id AS id, (epoch_us(ts) - 1704067200000000) / 1e6 / 400 AS arrival, CASE WHEN user_id % 3 = 0 THEN 0.75 ELSE 0.5 END AS gap, event_type = 'error' AS throttled, coalesce(CASE WHEN event_id % 2 = 0 THEN event_id % 9 END, 5) AS asked FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY arrival, id) AS k FROM r),
+s(host, k, id, shown, last, cool, start, refused) AS (SELECT DISTINCT host, 0::BIGINT, NULL::BIGINT, false, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, false FROM r
+ UNION ALL SELECT s.host, n.k, n.id, NOT throttled,
+  CASE WHEN throttled THEN last WHEN cool > arrival THEN CASE WHEN cool - arrival > 5 THEN last ELSE cool END WHEN cool IS NOT NULL THEN last ELSE greatest(arrival, coalesce(last + gap, arrival)) END,
+  CASE WHEN throttled THEN arrival + least(greatest(asked, 1), 300) WHEN cool > arrival THEN cool END,
+  CASE WHEN throttled THEN NULL WHEN cool > arrival THEN CASE WHEN cool - arrival > 5 THEN NULL ELSE cool END WHEN cool IS NOT NULL THEN arrival ELSE greatest(arrival, coalesce(last + gap, arrival)) END,
+  coalesce(cool - arrival > 5, false)
+ FROM s JOIN n ON n.host = s.host AND n.k = s.k + 1)"""
+
+
+@query("t02_pace_requests", f"WITH RECURSIVE {PACE} SELECT host, id, round(start, 6) AS start, refused FROM s WHERE shown")
 def t02(spark, d):
-    """Requests arrive in order, some thousand at a time; each host's state is carried from one micro-batch to the next."""
+    """One scan of the requests and one stream over them; each host's state is carried from one micro-batch to the next."""
     base.utc(spark)
-    requests = paced(spark, d)
-    n = requests.count() // PACE_ROWS + 1
-    bounds = sorted(set(requests.approxQuantile("arrival", [k / n for k in range(1, n)], 0.1 / n))) if n > 1 else []
-    path = G.scratch(spark)
-    for lo, hi in zip([None, *bounds], [*bounds, None], strict=True):
-        part = requests.where((F.lit(True) if lo is None else F.col("arrival") >= lo) & (F.lit(True) if hi is None else F.col("arrival") < hi))
-        part.write.mode("append").parquet(f"{path}/in")
-        stream = T.pace_stream(spark.readStream.schema(requests.schema).parquet(f"{path}/in"))
-        stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/log").format("parquet").outputMode("append").start(f"{path}/out").awaitTermination()
-    return spark.read.schema(T.PACED).parquet(f"{path}/out").select("host", "id", F.round("start", 6).alias("start"), "refused")
+    out = drained(T.pace_stream(in_order(paced(spark, d), "ts")), conf=T.TIMED_STATE)
+    return out.select("host", "id", F.round("start", 6).alias("start"), "refused")
 
 
 @query("t03_follow", "SELECT source, count(*) AS lines FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE line <> '' GROUP BY source")
@@ -401,8 +425,8 @@ def t05(spark, d):
     acc = e.groupBy(url.alias("url"), F.floor(micros / 1_000_000).cast("bigint").alias("ts")).agg(F.max_by(F.floor(F.col("value") * 100).cast("bigint"), micros).alias("bytes")).withColumn("file", F.md5("url"))
     table_ = G.scratch(spark)
     # eviction comes once, when all accesses are in, so that the result doesn't hang on how they are dealt to batches
-    drained(staged(acc.repartitionByRange(3, "ts")), T.cache_sink(table_))
-    return W.evict(M.read_table(spark, table_, M.CACHE), 1_000_000).select("url", "bytes", "used")
+    drained(T.cache_stream(staged(acc.repartitionByRange(3, "ts"))), T.cache_sink(table_), "update")
+    return W.evict(M.read_cache(spark, table_), 1_000_000).select("url", "bytes", "used")
 
 
 @query("t06_once_per_key", "SELECT DISTINCT user_id FROM events")

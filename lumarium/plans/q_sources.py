@@ -40,19 +40,32 @@ def s01(spark, d):
     return Fi.known_extensions(catalogue(spark, d), ["TXT", "ans", "png", "zip"], ["zip"]).select("path", "size")
 
 
-MAGIC = ("89504E470D0A1A0A00", "474946383961FF", "00010203E0A5", "68656C6C6F", "25504446")
-
-
-@query("s02_classify_files", f"SELECT doc_id, {sql_pick('doc_id', 'png', 'gif', 'ase', 'X', 'pdf')} AS kind FROM documents WHERE doc_id % 5 <> 3 UNION ALL SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'ans' ELSE 'md' END FROM documents WHERE doc_id % 5 = 3")
+#: First bytes of files and the kind that they have; None where only the name tells.
+HEADS = (
+    ("0A05010800", "pcx"), ("464F524D0000001C494C424D424D4844", "iff"), ("464F524D0000001C41494646434F4D4D", None), ("00010203E0A5", "ase"), ("00010000E0A50001", "ase"), ("00010000000C0080", "ttf"),
+    ("38425053000100", "psd"), ("67696D70207863662076303131", "xcf"), ("67696D702078636676", None), ("3C737667206964", "svg"), ("20200A3C3F786D6C20", "svg"), ("3C212D2D2D2D3E3C7376673E", "svg"), ("68656C6C6F", None),
+    ("4F54544F00", "otf"), ("74727565", "ttf"), ("74797031", "ttf"), ("74746366", "ttc"), ("1354686544726177" + "20464F4E54532066696C651A", "tdf"), ("1354686544726177" + "20464F4E54532066696C65", None),
+    ("36040000", "psf"), ("72B54A86", "psf"), ("000003F300", "amigafont"), ("5842494E1A50", "xbin"), ("5842494E1B", None), ("1854554E4452413234", "tnd"), ("1854554E44524132", None), ("1F8B08", "xp"),
+    ("04312E34", "idf"), ("04312E35", "idf"), ("04312E36", None), ("7B2276657273696F6E223A32", "petmate"), ("7B226E616D65223A32", None), ("217C2A", "rip"), ("255044462D312E37", "pdf"), ("25504446", None),
+    ("252150532D41646F6265", "eps"), ("C5D0D3C620", "eps"), ("89504E470D0A1A0A00", "png"), ("89504E470D0A1A", None), ("FFD8FFE0", "jpg"), ("474946383961FF", "gif"), ("474946383761FF", "gif"), ("474946383861FF", None),
+    ("524946460000000057454250", "webp"), ("524946460000000057415645", None), ("4D4D002A", "tif"), ("49492A00", "tif"), ("44445320", "dds"), ("424D3A", "bmp"), ("00000100", "ico"), ("233F52414449414E4345", "hdr"),
+    ("50310A", "pnm"), ("50360A", "pnm"), ("50380A", None), ("6661726266656C64", "ff"), ("0000001C6674797061766966", "avif"), ("0000001C667479706D703432", None), ("762F3101", "exr"), ("716F6966", "qoi"), ("", None),
+)
+
+
+@query("s02_classify_files", f"WITH k AS (SELECT doc_id, {sql_pick('doc_id', *(k for _, k in HEADS))} AS kind FROM documents) SELECT doc_id, coalesce(kind, CASE doc_id % 7 WHEN 0 THEN 'ans' WHEN 1 THEN 'ans' ELSE 'md' END) AS kind FROM k")
 def s02(spark, d):
-    path = F.concat(F.lit("a.b/"), "doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit("")).otherwise(F.lit(".MD")))
-    t = table(spark, d, "documents").select("doc_id", path.alias("path"), F.unhex(pick(F.col("doc_id"), *MAGIC)).alias("content"))
+    name = F.when(F.col("doc_id") % 7 == 0, F.lit("")).when(F.col("doc_id") % 7 == 1, F.lit("/.MD")).otherwise(F.lit(".MD"))
+    t = table(spark, d, "documents").select("doc_id", F.concat(F.lit("a.b/"), "doc_id", name).alias("path"), F.unhex(pick(F.col("doc_id"), *(h for h, _ in HEADS))).alias("content"))
     return Fi.classify_files(t).select("doc_id", "kind")
 
 
-@query("s03_is_archive", f"WITH {CAT} SELECT path, ext = 'zip' AS archive FROM cat")
+NAMES = ("zip", "7Z", "rar", "lha", "LZH", "tar", "ace", "arj", "arc", "zoo", "ha", "uc2", "sqz", "hyp", "tgz", "tbz", "xrns", "XRNI", "gz", "bz2", "xz", "Z", "sf2", "sfz", "dls", "xi", "txt", "zip2", "")
+
+
+@query("s03_is_archive", f"WITH n AS (SELECT doc_id, {sql_pick('doc_id', *NAMES)} AS e FROM documents) SELECT doc_id, lower(e) IN ('7z', 'ace', 'arc', 'arj', 'ha', 'hyp', 'lha', 'lzh', 'rar', 'sqz', 'tar', 'tbz', 'tgz', 'uc2', 'xrni', 'xrns', 'zip', 'zoo') AS archive FROM n")
 def s03(spark, d):
-    return catalogue(spark, d).select("path", Fi.is_archive(F.upper("path")).alias("archive"))
+    return table(spark, d, "documents").select("doc_id", Fi.is_archive(F.concat(F.lit("x.zip/a.tar."), pick(F.col("doc_id"), *NAMES))).alias("archive"))
 
 
 def sauce_of(k):

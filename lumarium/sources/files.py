@@ -37,21 +37,100 @@ def known_extensions(files: DataFrame, exts: list[str], disabled: list[str] = ()
     return files.where(F.lower(ext).isin(*[e.lower() for e in exts if e.lower() not in off]))
 
 
-#: What files of each kind begin with (hex; offset in bytes).
-SIGNATURES = (("png", 0, "89504E470D0A1A0A"), ("gif", 0, "474946383761"), ("gif", 0, "474946383961"), ("jpg", 0, "FFD8FF"), ("bmp", 0, "424D"), ("psd", 0, "38425053"), ("xcf", 0, "67696D702078636620"), ("ase", 4, "E0A5"), ("xbin", 0, "5842494E1A"), ("iff", 0, "464F524D"), ("ttf", 0, "00010000"), ("otf", 0, "4F54544F"), ("ttf", 0, "74727565"), ("ttf", 0, "74797031"), ("ttc", 0, "74746366"), ("pdf", 0, "25504446"), ("zip", 0, "504B0304"))
+#: Fixed values, in the order in which they count: what files of each kind begin with, as (offset in bytes, hex) fields that
+#: must all hold, and the least length of a head that is looked at.
+SIGNATURES = (
+    ("pcx", ((0, "0A"),), 1),
+    ("iff", ((0, "464F524D"), (8, "494C424D")), 12),
+    ("ase", ((4, "E0A5"),), 6),
+    ("psd", ((0, "38425053"),), 4),
+    ("xcf", ((0, "67696D702078636620"),), 9),
+    ("svg", ("<svg", "<?xml"), 4),
+    ("ttf", ((0, "00010000"),), 4),
+    ("otf", ((0, "4F54544F"),), 4),
+    ("ttf", ((0, "74727565"),), 4),
+    ("ttf", ((0, "74797031"),), 4),
+    ("ttc", ((0, "74746366"),), 4),
+    ("tdf", ((0, "13"), (1, "5468654472617720464F4E54532066696C65")), 20),
+    ("psf", ((0, "3604"),), 4),
+    ("psf", ((0, "72B54A86"),), 4),
+    ("amigafont", ((0, "000003F3"),), 4),
+    ("xbin", ((0, "5842494E1A"),), 5),
+    ("tnd", ((0, "18"), (1, "54554E4452413234")), 9),
+    ("xp", ((0, "1F8B"),), 2),
+    ("idf", ((0, "04312E34"),), 4),
+    ("idf", ((0, "04312E35"),), 4),
+    ("petmate", ("{", "version"), 1),
+    ("rip", ((0, "217C"),), 2),
+    ("pdf", ((0, "255044462D"),), 5),
+    ("eps", ((0, "25215053"),), 4),
+    ("eps", ((0, "C5D0D3C6"),), 4),
+    ("png", ((0, "89504E470D0A1A0A"),), 8),
+    ("jpg", ((0, "FFD8FF"),), 3),
+    ("gif", ((0, "474946383961"),), 6),
+    ("gif", ((0, "474946383761"),), 6),
+    ("webp", ((0, "52494646"), (8, "57454250")), 12),
+    ("tif", ((0, "4D4D002A"),), 4),
+    ("tif", ((0, "49492A00"),), 4),
+    ("dds", ((0, "44445320"),), 4),
+    ("bmp", ((0, "424D"),), 2),
+    ("ico", ((0, "00000100"),), 4),
+    ("hdr", ((0, "233F52414449414E4345"),), 10),
+    ("pnm", ((0, "5031"),), 2),
+    ("pnm", ((0, "5032"),), 2),
+    ("pnm", ((0, "5033"),), 2),
+    ("pnm", ((0, "5034"),), 2),
+    ("pnm", ((0, "5035"),), 2),
+    ("pnm", ((0, "5036"),), 2),
+    ("pnm", ((0, "5037"),), 2),
+    ("ff", ((0, "6661726266656C64"),), 8),
+    ("avif", ((4, "6674797061766966"),), 12),
+    ("exr", ((0, "762F3101"),), 4),
+    ("qoi", ((0, "716F6966"),), 4),
+)
+#: Bytes of a file that signatures look at.
+HEAD = 32
+
+
+def sniffed(head: Column, text: Column, signatures=SIGNATURES) -> Column:
+    """The kind of a file by its first bytes, as hex and as Latin-1 text; null when no signature holds. Of several that hold
+    the first counts.
+
+    Signatures that fix the first byte are looked through only where a file has it, so that a file meets the few of its own
+    byte and those that fix none (text heads and fields farther on), in their order. Text heads: ``svg`` opens with one of
+    its marks after white space, or has the first anywhere; ``petmate`` is an object whose head names a version.
+    """
+    size = F.coalesce(F.length(text), F.lit(0))
+
+    def first_byte(fields):
+        return next((f[1][:2] for f in fields if not isinstance(f, str) and f[0] == 0), None)
+
+    def holds(kind, fields, least):
+        if kind == "svg":
+            open_ = F.ltrim(text, F.lit(" \t\n\x0b\x0c\r"))
+            return F.contains(text, F.lit(fields[0])) | F.startswith(open_, F.lit(fields[1]))
+        if kind == "petmate":
+            return F.startswith(text, F.lit(fields[0])) & F.contains(text, F.lit(fields[1]))
+        return reduce(lambda a, f: a & (F.substring(head, 2 * f[0] + 1, len(f[1])) == f[1]), fields, size >= least)
+
+    def chain(rules):
+        return reduce(lambda acc, s: acc.when(holds(*s), F.lit(s[0])), rules, F.when(F.lit(False), F.lit("")))
+
+    bytes_ = sorted({b for s in signatures if (b := first_byte(s[1]))})
+    own = {b: [s for s in signatures if first_byte(s[1]) in (b, None)] for b in bytes_}
+    start = F.substring(head, 1, 2)
+    out = reduce(lambda acc, b: acc.when(start == b, chain(own[b])), bytes_, F.when(size == 0, F.lit(None).cast("string")))
+    return out.otherwise(chain([s for s in signatures if first_byte(s[1]) is None]))
 
 
 def classify_files(files: DataFrame, signatures=SIGNATURES, path: str = "path", content: str = "content") -> DataFrame:
-    """Adds ``kind``: by the first bytes, else by extension, else character art for names without one. The signature that
-    matches the most bytes counts; they are a fixed list, so they become one expression."""
-    head = F.substring(F.hex(F.substring(content, 1, 32)), 1, 64)
-    by_magic = reduce(lambda acc, s: acc.when(F.substring(head, 2 * s[1] + 1, len(s[2])) == s[2], F.lit(s[0])), sorted(signatures, key=lambda s: -len(s[2])), F.when(F.lit(False), F.lit("")))
-    ext = extension(path)
-    return files.withColumn("kind", F.coalesce(by_magic, F.nullif(ext, F.lit("")), F.lit("ans")))
+    """Adds ``kind``: by the first bytes, else by extension, else character art for names without one."""
+    raw, kind = F.substring(content, 1, HEAD), F.coalesce(sniffed(F.col("_head"), F.col("_text"), signatures), F.nullif(extension(path), F.lit("")), F.lit("ans"))
+    return files.withColumn("_head", F.hex(raw)).withColumn("_text", F.decode(raw, "ISO-8859-1")).withColumn("kind", kind).drop("_head", "_text")
 
 
-#: Extensions of archives and sample banks.
-ARCHIVE_EXTS = ("zip", "tar", "gz", "tgz", "bz2", "xz", "7z", "rar", "lha", "lzh", "sf2", "sfz", "dls", "xi", "xrns", "xrni")
+#: Extensions of archives that hold several files, the containers of songs and instruments among them.
+ARCHIVE_EXTS = ("zip", "7z", "rar", "lha", "lzh", "tar", "ace", "arj", "arc", "zoo", "ha", "uc2", "sqz", "hyp", "tgz", "tbz", "xrns", "xrni")
 
 
 def is_archive(path: Col, exts=ARCHIVE_EXTS) -> Column:

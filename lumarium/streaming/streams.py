@@ -7,57 +7,54 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import maintain, ordered, rollups
+from ..operators import maintain, ordered
 from ..operators.predicates import criteria
 
 
 def view_stream(events: DataFrame) -> DataFrame:
-    """(path, count, first, last) as views (path, ts) arrive; update mode."""
-    return events.groupBy("path").agg(F.count("*").alias("count"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    """(path, count, first, last) as views (path, ts) arrive: for update mode, in which a micro-batch gives the paths that it
+    changes and no others. Spark's state store has the counts of all paths; ``first`` is the earliest time other than 0."""
+    return events.groupBy("path").agg(F.count("*").alias("count"), F.coalesce(F.min(F.nullif("ts", F.lit(0))), F.lit(0)).alias("first"), F.max("ts").alias("last"))
 
 
-def view_sink(table: str):
-    """For foreachBatch on views (path, ts, seq): adds each batch to the stored history, once per batch id.
+def cache_stream(accesses: DataFrame) -> DataFrame:
+    """(url, file, fetched, used, bytes) as accesses (url, file, ts, bytes) arrive, for update mode: the latest access of
+    each url counts, in whatever order they come."""
+    last = accesses.groupBy("url").agg(F.max(F.struct("ts", "bytes", "file")).alias("l"))
+    return last.select("url", F.col("l.file").alias("file"), F.col("l.ts").alias("fetched"), F.col("l.ts").alias("used"), F.col("l.bytes").alias("bytes"))
 
-    Files of a stream may come in any order, so across batches the earliest first and the latest last time count."""
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if maintain_version(spark, table) >= batch_id:
-            return
-        old = maintain.read_views(spark, table)
-        new = rollups.view_counts(batch)
-        merged = new.alias("n").join(old.alias("o"), "path", "left").select(
-            "path", (F.col("n.count") + F.coalesce("o.count", F.lit(0))).alias("count"),
-            F.coalesce(F.least(F.nullif("o.first", F.lit(0)), F.nullif("n.first", F.lit(0))), F.lit(0)).cast("bigint").alias("first"), F.greatest("n.last", "o.last").cast("bigint").alias("last"),
-        )
-        maintain.write_table(maintain.upsert_views(old, merged), table, batch_id)
+def _compacted(spark: SparkSession, table: str, schema: str, key: str, batch_id: int) -> None:
+    if batch_id and batch_id % maintain.COMPACT_EVERY == 0:
+        maintain.compact(spark, table, schema, key, batch_id)
 
-    return apply
 
+def view_sink(table: str):
+    """For foreachBatch on a view stream: the changed paths of each batch go to the kept history."""
 
-def maintain_version(spark: SparkSession, table: str) -> int:
-    """Number of the newest complete version of a table; -1 without one."""
-    files = maintain.read_table(spark, table, maintain.VIEWS).inputFiles()
-    return max((int(f.split("/v")[-1].split("/")[0]) for f in files), default=-1)
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        _compacted(batch.sparkSession, table, maintain.VIEWS, "path", batch_id)
+        maintain.write_changes(batch, table, batch_id)
+
+    return apply
 
 
 def cache_sink(table: str, cap: int | None = None):
-    """For foreachBatch on accesses (url, file, ts, bytes): index upsert, then eviction when there is a cap, once per batch
-    id. An access older than the one that the index has changes nothing, so batches may come in any order."""
+    """For foreachBatch on a cache stream: the changed urls of each batch go to the kept index. With a cap, the least recently
+    used ones beyond it are marked as gone in the same write, which grows with the batch and the bounded number of them."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = maintain.read_table(spark, table, maintain.CACHE)
-        done = max((int(f.split("/v")[-1].split("/")[0]) for f in old.inputFiles()), default=-1)
-        if done >= batch_id:
-            return
-        last = batch.groupBy("url").agg(F.max_by("file", "ts").alias("file"), F.max("ts").alias("fetched"), F.max_by("bytes", "ts").alias("bytes"))
-        newer = last.join(old.select("url", "used"), "url", "left").where("used IS NULL OR fetched >= used")
-        index = maintain.upsert_cache(old, newer.select("url", "file", "fetched", "bytes"))
-        maintain.write_table(index if cap is None else ordered.evict(index, cap), table, batch_id)
+        _compacted(spark, table, maintain.CACHE, "url", batch_id)
+        rows = batch.withColumn("gone", F.lit(False))
+        if cap is not None:
+            old = maintain.read_changes(spark, table, maintain.CACHE, "url", batch_id)
+            index = maintain.upsert(old, batch, "url")
+            out = ordered.victims(index, cap).withColumn("gone", F.lit(True)).select(*rows.columns)
+            rows = maintain.upsert(rows, out, "url")
+        maintain.write_changes(rows, table, batch_id)
 
     return apply
 
@@ -111,17 +108,66 @@ def pace_rows(rows: pd.DataFrame, last: float | None, cool: float | None) -> tup
     return out, last, cool
 
 
-def pace_stream(requests: DataFrame) -> DataFrame:
-    """Requests (host, id, arrival, gap, throttled, retry_after) with their start, or refused; state per host."""
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, cool = state.get if state.exists else (None, None)
-        rows = pd.concat(list(parts))
+class Pacer(StatefulProcessor):
+    """Requests of a host wait until the watermark has passed them, then take their turn in order of arrival. The state of a
+    host is the last start, the end of its cool-down, and the requests that wait: as many as the watermark's delay lets in."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.clock = handle.getValueState("clock", "last double, cool double, timer long")
+        self.waiting = handle.getListState("waiting", "id long, arrival double, gap double, throttled boolean, retry_after double, due long")
+
+    def _state(self) -> tuple:
+        return tuple(self.clock.get()) if self.clock.exists() else (None, None, None)
+
+    def _wait(self, last: float | None, cool: float | None, timer: int | None, due: int) -> None:
+        """One timer for a host, at its first waiting request."""
+        if timer is None or due < timer:
+            self.handle.registerTimer(due)
+            timer = due
+        self.clock.update((last, cool, timer))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for part in rows:
+            # a request is due at the first millisecond that isn't before it
+            due = -(-part["ts"].astype("datetime64[us]").astype("int64") // 1000)
+            columns = zip(part["id"], part["arrival"], part["gap"], part["throttled"], part["retry_after"], due, strict=True)
+            self.waiting.appendList([tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in r) for r in columns])
+            first = int(due.min()) if first is None else min(first, int(due.min()))
+        if first is not None:
+            self._wait(*self._state(), first)
+        yield PACED_NOTHING
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        rows = pd.DataFrame([r[:5] for r in waiting if r[5] <= now], columns=["id", "arrival", "gap", "throttled", "retry_after"])
+        last, cool, _ = self._state()
         out, last, cool = pace_rows(rows, last, cool)
-        state.update((last, cool))
-        yield pd.DataFrame([(key[0], *r) for r in out], columns=["host", "id", "arrival", "start", "refused"]).astype({"start": "float64"})
+        later = [r for r in waiting if r[5] > now]
+        self.waiting.clear()
+        self.clock.update((last, cool, None))
+        if later:
+            self.waiting.put(later)
+            self._wait(last, cool, None, min(r[5] for r in later))
+        yield pd.DataFrame([(key[0], *r) for r in out], columns=PACED_NOTHING.columns).astype({"start": "float64"}) if out else PACED_NOTHING
+
+    def close(self) -> None:
+        pass
+
+
+PACED_NOTHING = pd.DataFrame({"host": pd.Series([], dtype="str"), "id": pd.Series([], dtype="int64"), "arrival": pd.Series([], dtype="float64"), "start": pd.Series([], dtype="float64"), "refused": pd.Series([], dtype="bool")})
+#: State with timers is kept in this store (a fixed name of Spark).
+TIMED_STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
 
-    return requests.groupBy("host").applyInPandasWithState(step, PACED, "last double, cool double", "append", GroupStateTimeout.NoTimeout)
+def pace_stream(requests: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Requests (host, id, arrival, gap, throttled, retry_after, ts) with their start, or refused. ``ts`` is the time of
+    arrival; requests of a host may come out of order by up to ``delay``, and later ones are dropped. Append mode, with
+    TIMED_STATE; a request comes out once the watermark has passed it."""
+    timed = requests.withWatermark("ts", delay)
+    return timed.groupBy("host").transformWithStateInPandas(Pacer(), PACED, "append", "eventTime")
 
 
 def pace_batch(requests: DataFrame) -> DataFrame:

@@ -1,8 +1,12 @@
-"""Pacing rules, and sinks that may see a batch twice."""
+"""Pacing rules, and tables of changes whose batches may be seen twice."""
+
+import random
 
 import pandas as pd
+from pyspark.sql import functions as F
 
-from lumarium.operators import graph, maintain
+from lumarium.operators import graph, maintain, scratch
+from lumarium.plans import q_enrich
 from lumarium.streaming import streams as T
 
 
@@ -17,25 +21,85 @@ def test_pacing():
     assert cool == 309.2
 
 
+REQUEST = "host string, id long, arrival double, gap double, throttled boolean, retry_after double"
+
+
 def test_batch_and_stream_agree(spark):
-    from pyspark.sql import functions as F
+    """A stream of several micro-batches, out of order within its delay, a host with most requests, ties and a null host."""
+    rng = random.Random(2)
+    rows = [("hot" if i % 4 else f"h{i % 3}", i, (i // 2) * 0.7 + rng.random() * 3, None if i % 5 else 2.0, i % 23 == 5, float(i % 9) if i % 2 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, REQUEST).withColumn("ts", F.timestamp_micros((F.col("arrival") * 1_000_000).cast("long")))
+    got = q_enrich.drained(T.pace_stream(q_enrich.in_order(df.orderBy("id"), "ts", 7), "5 seconds"), conf=T.TIMED_STATE).collect()
+    want = T.pace_batch(df).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str) and len({r.host for r in want}) == 4
+    assert any(r.refused for r in want)
+
 
-    df = spark.createDataFrame([(f"h{i % 3}", i, i * 0.2, None, i % 11 == 5, float(i % 4)) for i in range(60)], "host string, id long, arrival double, gap double, throttled boolean, retry_after double")
-    path = graph.scratch(spark)
-    df.coalesce(1).write.parquet(path)
-    q = T.pace_stream(spark.readStream.schema(df.schema).parquet(path)).writeStream.format("memory").queryName("paced").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    key = lambda r: (r.host, r.id)
-    assert sorted(spark.table("paced").collect(), key=key) == sorted(T.pace_batch(df).collect(), key=key)
-    assert F is not None
+def changes(spark, rows, batch, table):
+    T.view_sink(table)(spark.createDataFrame(rows, maintain.VIEWS), batch)
 
 
-def test_sinks_are_idempotent(spark):
+def test_changes_are_idempotent(spark):
     table = graph.scratch(spark)
-    sink = T.view_sink(table)
-    a = spark.createDataFrame([("x", 5, 1), ("x", 7, 2), ("y", 0, 3)], "path string, ts long, seq long")
-    b = spark.createDataFrame([("x", 9, 4)], "path string, ts long, seq long")
-    for batch, k in ((a, 0), (a, 0), (b, 1), (b, 1)):
-        sink(batch, k)
+    for batch, rows in ((0, [("x", 2, 5, 7), ("y", 1, 0, 0)]), (0, [("x", 2, 5, 7), ("y", 1, 0, 0)]), (1, [("x", 3, 5, 9)]), (1, [("x", 3, 5, 9)])):
+        changes(spark, rows, batch, table)
     assert sorted(tuple(r) for r in maintain.read_views(spark, table).collect()) == [("x", 3, 5, 9), ("y", 1, 0, 0)]
     assert maintain.read_views(spark, graph.scratch(spark)).count() == 0
+    # a batch writes what it changes, however much there is
+    assert spark.read.parquet(f"{table}/batch=1").count() == 1
+
+
+def test_compaction_at_any_point(spark, monkeypatch):
+    table = graph.scratch(spark)
+    for batch in range(5):
+        rows = spark.createDataFrame([(f"u{batch}", "f", batch, batch, 10), ("u", "f", batch, batch, batch)], maintain.CACHE)
+        maintain.write_changes(rows.withColumn("gone", F.col("url") == "u1"), table, batch)
+    want = sorted(map(tuple, maintain.read_cache(spark, table).collect()))
+    assert [r[0] for r in want] == ["u", "u0", "u2", "u3", "u4"]
+    # it breaks off after it deleted two of the four batches that go
+    real, left = scratch.delete, [2]
+
+    def broken(spark_, path):
+        if not left[0]:
+            raise RuntimeError
+        left[0] -= 1
+        real(spark_, path)
+
+    monkeypatch.setattr(maintain, "delete", broken)
+    try:
+        maintain.compact(spark, table, maintain.CACHE, "url", 5)
+    except RuntimeError:
+        pass
+    assert sorted(map(tuple, maintain.read_cache(spark, table).collect())) == want
+    monkeypatch.setattr(maintain, "delete", real)
+    for _ in range(2):
+        maintain.compact(spark, table, maintain.CACHE, "url", 5)
+        assert sorted(map(tuple, maintain.read_cache(spark, table).collect())) == want
+    assert maintain._batches(spark, table) == [4]
+
+
+def test_cache_stream_with_a_cap(spark):
+    """Eviction in the sink: the least recently used urls go, come back when they are used again, and a batch may run twice."""
+    table = graph.scratch(spark)
+    sink = T.cache_sink(table, cap=100)
+    batches = [[("a", "f", 1, 1, 60), ("b", "f", 2, 2, 30)], [("c", "f", 3, 3, 40)], [("a", "f", 4, 4, 20)]]
+    for k, rows in enumerate(batches):
+        for _ in range(2):
+            sink(spark.createDataFrame(rows, maintain.CACHE), k)
+    assert sorted((r.url, r.bytes) for r in maintain.read_cache(spark, table).collect()) == [("a", 20), ("b", 30), ("c", 40)]
+    assert sorted(r.url for r in maintain.read_changes(spark, table, maintain.CACHE, "url", 2).collect()) == ["b", "c"]
+
+
+def test_streams_of_changes(spark):
+    accesses = [(f"u{i % 7}", "f", (i * 37) % 100, i) for i in range(100)]
+    df = spark.createDataFrame(accesses, "url string, file string, ts long, bytes long").repartition(5)
+    table = graph.scratch(spark)
+    q_enrich.drained(T.cache_stream(q_enrich.staged(df)), T.cache_sink(table), "update")
+    want = {}
+    for u, _, t, b in sorted(accesses, key=lambda r: r[2]):
+        want[u] = (t, b)
+    assert {r.url: (r.used, r.bytes) for r in maintain.read_cache(spark, table).collect()} == want
+    table = graph.scratch(spark)
+    q_enrich.drained(T.view_stream(q_enrich.staged(df.select(F.col("url").alias("path"), "ts"))), T.view_sink(table), "update")
+    times = {u: [r[2] for r in accesses if r[0] == u] for u in want}
+    assert {r.path: (r["count"], r.first, r.last) for r in maintain.read_views(spark, table).collect()} == {u: (len(t), min(x for x in t if x), max(t)) for u, t in times.items()}
