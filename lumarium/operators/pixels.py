@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import colourspace as space
+from .scratch import written
+
 KEY = "image_id"
 PIXEL_CAP, SWATCH_CAP = 4_000_000, 4096
 EDGE, MIN_EDGES, PHASE_SHARE, MAX_PERIOD, SAMPLED = 24, 16, 0.8, 16, 64
@@ -44,47 +46,9 @@ def extract_palette(pixels: DataFrame, indexed: DataFrame | None = None, cap: in
 # ---------------------------------------------------------------- median cut
 
 
-def cut(colours: list[tuple[int, int, int]], n: int) -> list[tuple[int, int, int]]:
-    """At most n colours: the box with the widest channel is halved at its middle until there are enough; means are floored.
-
-    Of equally wide boxes, and of equally wide channels, the last one counts; the box that is split gives its place to the
-    last box, and both halves go to the end.
-    """
-    n = max(n, 1)
-    if len(colours) <= n:
-        return sorted(set(colours))
-
-    def widths(box):
-        return [max(c[k] for c in box) - min(c[k] for c in box) for k in range(3)]
-
-    boxes = [list(colours)]
-    while len(boxes) < n:
-        wide = [(max(widths(b)), i) for i, b in enumerate(boxes) if len(b) > 1]
-        if not wide:
-            break
-        i = max(wide)[1]
-        box, tail = boxes[i], boxes.pop()
-        if i < len(boxes):
-            boxes[i] = tail
-        w = widths(box)
-        channel = max(range(3), key=lambda k: (w[k], k))
-        box = sorted(box, key=lambda c: c[channel])
-        half = len(box) // 2
-        boxes += [box[:half], box[half:]]
-    return sorted({tuple(sum(c[k] for c in b) // len(b) for k in range(3)) for b in boxes if b})
-
-
-def median_cut(colors: DataFrame, n: int) -> DataFrame:
-    """(image_id, r, g, b): each image's colours (rows in order of r, g, b) reduced to n. Splits follow each other, so an
-    image's distinct colours go to one task."""
-
-    def reduce_(table):
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in "rgb"), strict=True))
-        out = cut(rows, n)
-        return pa.table({KEY: pa.array([table.column(KEY)[0].as_py()] * len(out), pa.int64()), **{c: pa.array([x[k] for x in out], pa.int32()) for k, c in enumerate("rgb")}})
-
-    typed = colors.select(F.col(KEY).cast("long"), *(F.col(c).cast("int") for c in "rgb")).distinct()
-    return typed.groupBy(KEY).applyInArrow(reduce_, f"{KEY} long, r int, g int, b int")
+def median_cut(colors: DataFrame, n: int, group_colours: int = space.GROUP_COLOURS) -> DataFrame:
+    """(image_id, r, g, b): each image's colours reduced to n at most."""
+    return space.median_cut(colors, n, KEY, group_colours)
 
 
 # ---------------------------------------------------------------- geometry
@@ -144,18 +108,16 @@ def pixel_scale(pixels: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- palettes
 
 
-def nearest_color(colors: DataFrame, palette: DataFrame) -> DataFrame:
+def nearest_color(colors: DataFrame, palette: DataFrame, array_entries: int = SWATCH_CAP) -> DataFrame:
     """Adds (pr, pg, pb, idx): the entry of palette (idx, r, g, b) with the smallest squared distance, the lowest index of
-    equally near ones. A palette has a few hundred entries, SWATCH_CAP at most (a larger one is refused); it travels as one
-    array of one row, and distinct colours look through it, so no pair becomes a row."""
-    if (n := palette.limit(SWATCH_CAP + 1).count()) > SWATCH_CAP:
-        raise ValueError(f"a palette has {SWATCH_CAP} entries at most, this one has {n} or more")
-    entries = palette.agg(F.array_sort(F.collect_list(F.struct("idx", *(F.col(c).cast("int").alias(f"p{c}") for c in "rgb")))).alias("_p"))
-
-    def dist(p: Column) -> Column:
-        return sum(((F.col(c) - p[f"p{c}"]) * (F.col(c) - p[f"p{c}"]) for c in "rgb"), F.lit(0))
-
-    ranked = F.array_min(F.transform("_p", lambda p: F.struct(dist(p).alias("d"), p["idx"].alias("idx"), p["pr"].alias("pr"), p["pg"].alias("pg"), p["pb"].alias("pb"))))
+    equally near ones; nothing for an empty palette. A palette of up to ``array_entries`` travels as one array of one row that
+    distinct colours look through; a larger one is searched in a grid, so that a colour meets the entries around it."""
+    if palette.limit(array_entries + 1).count() > array_entries:
+        entries = palette.groupBy("r", "g", "b").agg(F.min("idx").alias("idx"))
+        near = space.nearest_in_grid(colors, entries, []).withColumnsRenamed({c: f"_{c}" for c in "rgb"})
+        return colors.join(near, [F.col(c) == F.col(f"_{c}") for c in "rgb"]).select(*colors.columns, "pr", "pg", "pb", "idx")
+    entries = palette.agg(F.array_sort(F.collect_list(F.struct("idx", *(F.col(c).cast("int").alias(f"p{c}") for c in "rgb")))).alias("_p")).where(F.size("_p") > 0)
+    ranked = F.array_min(F.transform("_p", lambda p: F.struct(space.squared(F.col, lambda c: p[f"p{c}"]).alias("d"), p["idx"].alias("idx"), p["pr"].alias("pr"), p["pg"].alias("pg"), p["pb"].alias("pb"))))
     return colors.crossJoin(F.broadcast(entries)).withColumn("_n", ranked).select(*colors.columns, "_n.pr", "_n.pg", "_n.pb", "_n.idx")
 
 
@@ -180,16 +142,26 @@ def reduce_to(pixels: DataFrame, n: int) -> DataFrame:
     return out.select(KEY, "x", "y", *(F.coalesce(F.col(f"_n.{c}"), F.col(c)).cast("int").alias(c) for c in "rgb"), "a")
 
 
-def palette_spacing(palette: DataFrame, key: str = "palette_id") -> DataFrame:
-    """(key, spacing): the upper median of squared distances to the nearest other colour; 20000 for fewer than two."""
-    entries = palette.groupBy(key).agg(F.collect_list(F.struct("idx", "r", "g", "b")).alias("p"))
-
-    def dist(a: Column, b: Column) -> Column:
-        return sum(((a[c] - b[c]) * (a[c] - b[c]) for c in "rgb"), F.lit(0))
-
-    nearest = F.transform("p", lambda a: F.array_min(F.transform(F.filter("p", lambda b: b["idx"] != a["idx"]), lambda b: dist(a, b))))
-    middle = F.element_at(F.array_sort(nearest), F.expr("int(size(p) div 2) + 1"))
-    return entries.select(key, F.when(F.size("p") < 2, F.lit(20_000.0)).otherwise(middle.cast("double")).alias("spacing"))
+#: Distinct colours of a palette up to which each is compared with all others in one row.
+ROW_COLOURS = 256
+
+
+def palette_spacing(palette: DataFrame, key: str = "palette_id", row_colours: int = ROW_COLOURS) -> DataFrame:
+    """(key, spacing): the upper median of squared distances to the nearest other colour; 20000 for fewer than two. A colour
+    that occurs twice has distance 0. Small palettes are solved in a row each, larger ones in a grid of colour cells; the
+    median comes from counts of distances."""
+    colours = written(palette.groupBy(key, "r", "g", "b").agg(F.count("*").alias("n")))
+    sizes = colours.groupBy(key).agg(F.count("*").alias("_k"), F.sum("n").alias("_total"))
+    small = colours.join(sizes.where(F.col("_k") <= row_colours).select(key), key).groupBy(key).agg(F.collect_list(F.struct("r", "g", "b", "n")).alias("p"))
+    others = F.transform("p", lambda a: F.struct(a["n"].alias("n"), F.array_min(F.transform(F.filter("p", lambda b: (b["r"] != a["r"]) | (b["g"] != a["g"]) | (b["b"] != a["b"])), lambda b: space.squared(lambda c: a[c], lambda c: b[c]).cast("bigint"))).alias("d")))
+    near = small.select(key, F.explode(others).alias("o")).select(key, "o.n", F.when(F.col("o.n") > 1, 0).otherwise(F.col("o.d")).alias("d"))
+    large = colours.join(sizes.where(F.col("_k") > row_colours).select(key), key)
+    if large.limit(1).count():
+        found = space.nearest_in_grid(large.where("n = 1"), large.withColumn("idx", F.lit(0)), [key], other=True).select(key, F.lit(1).cast("bigint").alias("n"), "d")
+        near = near.unionByName(found).unionByName(large.where("n > 1").select(key, "n", F.lit(0).cast("bigint").alias("d")))
+    counts = near.groupBy(key, "d").agg(F.sum("n").alias("_m")).withColumn("_upto", F.sum("_m").over(Window.partitionBy(key).orderBy("d")))  # distances are below 195,076
+    median = counts.join(sizes, key).where("_upto > _total div 2 AND _upto - _m <= _total div 2").select(key, F.col("d").cast("double").alias("_d"))
+    return sizes.join(median, key, "left").select(key, F.when(F.col("_total") < 2, F.lit(20_000.0)).otherwise(F.col("_d")).alias("spacing"))
 
 
 def image_diff(a: DataFrame, b: DataFrame, tol: int, keys: tuple = (KEY, "x", "y")) -> DataFrame:

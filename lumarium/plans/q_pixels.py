@@ -27,7 +27,21 @@ def a07(spark, d):
     return P.distinct_opaque(pixels(spark, d))
 
 
-@query("a08_median_cut")
+#: Median cut to four colours, a step of the recursion for each halving; boxes are lists of colours in their order.
+CUT = f"""c AS (SELECT DISTINCT image_id, r, g, b FROM px WHERE a = 255),
+cut(image_id, k, boxes) AS (SELECT image_id, 1, [list(struct_pack(r := r, g := g, b := b) ORDER BY r, g, b)] FROM c GROUP BY image_id
+ UNION ALL SELECT image_id, k + 1, list_concat(rest, [sorted[1:len(sorted) // 2], sorted[len(sorted) // 2 + 1:]]) FROM (
+ SELECT image_id, k, CASE WHEN idx = len(boxes) THEN boxes[1:idx - 1] ELSE list_concat(list_concat(boxes[1:idx - 1], [boxes[len(boxes)]]), boxes[idx + 1:len(boxes) - 1]) END AS rest,
+  list_transform(list_sort(list_transform(range(1, len(box) + 1), lambda i: struct_pack(v := CASE WHEN sb >= greatest(sr, sg) THEN box[i].b WHEN sg >= sr THEN box[i].g ELSE box[i].r END, i := i))), lambda x: box[x.i]) AS sorted FROM (
+ SELECT *, {", ".join(f"list_max(list_transform(box, lambda q: q.{x})) - list_min(list_transform(box, lambda q: q.{x})) AS s{x}" for x in "rgb")} FROM (
+ SELECT *, boxes[idx] AS box FROM (
+ SELECT *, len(w) + 1 - list_position(list_reverse(w), list_max(w)) AS idx FROM (
+ SELECT *, list_transform(boxes, lambda x: CASE WHEN len(x) > 1 THEN greatest({", ".join(f"list_max(list_transform(x, lambda q: q.{y})) - list_min(list_transform(x, lambda q: q.{y}))" for y in "rgb")}) ELSE -1 END) AS w FROM cut WHERE k < 4) WHERE list_max(w) >= 0))))),
+ends AS (SELECT image_id, unnest(arg_max(boxes, k)) AS box FROM cut GROUP BY image_id),
+reduced AS (SELECT DISTINCT image_id, {", ".join(f"CAST(list_sum(list_transform(box, lambda q: q.{x})) // len(box) AS INTEGER) AS {x}" for x in "rgb")} FROM ends)"""
+
+
+@query("a08_median_cut", f"WITH RECURSIVE {PIXELS}, {CUT} SELECT * FROM reduced")
 def a08(spark, d):
     return P.median_cut(P.distinct_opaque(pixels(spark, d)), 4)
 
@@ -37,10 +51,9 @@ def a09(spark, d):
     return P.downscale(pixels(spark, d), 2).select("image_id", *(F.col(c).cast("bigint").alias(c) for c in "xyrgba"))
 
 
-@query("a13_palette_spacing", f"WITH {PIXELS}, p AS (SELECT image_id AS palette_id, y * 4 + x AS idx, r, g, b FROM px WHERE image_id % 3 > 0 OR (x = 0 AND y = 0)), n AS (SELECT c.palette_id, c.idx, min({D2}) AS d FROM p c JOIN p ON p.palette_id = c.palette_id AND p.idx <> c.idx GROUP BY 1, 2), o AS (SELECT palette_id, d, row_number() OVER (PARTITION BY palette_id ORDER BY d) AS k, count(*) OVER (PARTITION BY palette_id) AS n FROM n) SELECT i.palette_id, coalesce(CAST(o.d AS DOUBLE), 20000.0) AS spacing FROM (SELECT DISTINCT palette_id FROM p) i LEFT JOIN o ON o.palette_id = i.palette_id AND o.k = o.n // 2 + 1")
+@query("a13_palette_spacing", f"WITH {PIXELS}, p AS (SELECT image_id AS palette_id, y * 4 + x AS idx, r, g, b FROM px), n AS (SELECT c.palette_id, c.idx, min({D2}) AS d FROM p c JOIN p ON p.palette_id = c.palette_id AND p.idx <> c.idx GROUP BY 1, 2), o AS (SELECT palette_id, d, row_number() OVER (PARTITION BY palette_id ORDER BY d) AS k, count(*) OVER (PARTITION BY palette_id) AS n FROM n) SELECT i.palette_id, coalesce(CAST(o.d AS DOUBLE), 20000.0) AS spacing FROM (SELECT DISTINCT palette_id FROM p) i LEFT JOIN o ON o.palette_id = i.palette_id AND o.k = o.n // 2 + 1")
 def a13(spark, d):
-    p = pixels(spark, d).where("image_id % 3 > 0 OR (x = 0 AND y = 0)")
-    return P.palette_spacing(p.select(F.col("image_id").alias("palette_id"), (F.col("y") * 4 + F.col("x")).alias("idx"), "r", "g", "b"))
+    return P.palette_spacing(pixels(spark, d).select(F.col("image_id").alias("palette_id"), (F.col("y") * 4 + F.col("x")).alias("idx"), "r", "g", "b"))
 
 
 PERIOD = "WITH e AS (SELECT {0} AS id, {1} AS pos FROM {2}), s AS (SELECT unnest(range(2, 17)) AS s), b AS (SELECT id, s, pos % s AS ph, count(*) AS n FROM e, s GROUP BY 1, 2, 3), m AS (SELECT id, s, max(n) AS best, sum(n) AS total FROM b GROUP BY 1, 2) SELECT id, CAST(coalesce(max(s) FILTER (WHERE total >= 16 AND best >= 0.8 * total), 1) AS INTEGER) AS period FROM m GROUP BY id"
@@ -113,7 +126,7 @@ def p02(spark, d):
     return P.remap(pixels(spark, d), palette(spark, d))
 
 
-@query("p03_reduce_to")
+@query("p03_reduce_to", f"WITH RECURSIVE {PIXELS}, {CUT}, n AS (SELECT c.image_id, c.r, c.g, c.b, arg_min(struct_pack(r := p.r, g := p.g, b := p.b), struct_pack(d := {D2}, r := p.r, g := p.g, b := p.b)) AS q FROM (SELECT DISTINCT image_id, r, g, b FROM px WHERE a <> 0) c JOIN reduced p ON p.image_id = c.image_id GROUP BY 1, 2, 3, 4) SELECT x.image_id, x.x, x.y, CAST(coalesce(n.q.r, x.r) AS INTEGER) AS r, CAST(coalesce(n.q.g, x.g) AS INTEGER) AS g, CAST(coalesce(n.q.b, x.b) AS INTEGER) AS b, x.a FROM px x LEFT JOIN n ON n.image_id = x.image_id AND n.r = x.r AND n.g = x.g AND n.b = x.b")
 def p03(spark, d):
     return P.reduce_to(pixels(spark, d), 4)
 

@@ -102,14 +102,6 @@ def test_crawl(spark):
     assert rows(G.crawl(seeds, links, "", 1), "name") == [("x.zip",), ("y.ZIP",)]
 
 
-def test_median_cut_rules():
-    assert P.cut([(1, 2, 3), (1, 2, 3)], 4) == [(1, 2, 3)]
-    assert P.cut([(0, 0, 0), (10, 0, 0), (200, 0, 0), (210, 0, 0)], 2) == [(5, 0, 0), (205, 0, 0)]
-    # equally wide channels: the last one is cut
-    assert P.cut([(0, 0, 9), (9, 0, 0)], 2) == [(0, 0, 9), (9, 0, 0)]
-    assert P.cut([(0, 0, 0), (0, 9, 9), (9, 0, 9), (9, 9, 0)], 2) == [(4, 4, 0), (4, 4, 9)]
-
-
 def test_pixels(spark):
     px = [(1, x, y, 10 * (x // 3), 0, 0, 255) for x in range(60) for y in range(5)] + [(2, 0, 0, 5, 5, 5, 128), (2, 1, 0, 5, 5, 5, 255)]
     px = [(i, x, y, r * 9 % 256, g, b, a) for i, x, y, r, g, b, a in px]
