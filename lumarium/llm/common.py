@@ -127,7 +127,8 @@ def bounded_sample(df: DataFrame, n: int, value: Column, label: Column | None =
     Every label has its own equal share of n (see ``shares``), of which it sends the texts with the smallest hashes; a label
     with fewer texts than that sends all. Where labels outnumber n, the n with the most texts send one each. The distinct
     hashes are counted first, so that only about 2 n of them, however many tasks there are, get as far as the final sort.
-    With ``max_bytes``, every label has an equal share of so many bytes, which its shorter texts fill first; others are left out.
+    With ``max_bytes``, every label has an equal share of so many bytes, which its shorter texts fill first; others are left
+    out, but for the shortest of a label, which always comes: the bound is exceeded by one text of each label at most.
     """
     label = F.lit("") if label is None else label
     rows = df.withColumn("_h", F.xxhash64(text)).withColumn("_label", label)
@@ -144,8 +145,8 @@ def bounded_sample(df: DataFrame, n: int, value: Column, label: Column | None =
         size = rows.withColumn("_size", F.octet_length(text)).join(F.broadcast(chosen), ["_h", "_label"]).groupBy("_place", "_h", "_label").agg(F.min("_size").alias("_size"))
         # every label has an equal share of the bytes too, which its shorter texts fill first
         labels = F.size(F.collect_set("_label").over(Window.partitionBy()))
-        used = F.sum("_size").over(Window.partitionBy("_label").orderBy("_size", "_place", "_h"))
-        chosen = written(size.withColumn("_used", used * labels).where(F.col("_used") <= max_bytes).select("_h", "_label", "_place"))
+        used = F.sum("_size").over(Window.partitionBy("_label").orderBy("_size", "_place", "_h").rowsBetween(Window.unboundedPreceding, 0))
+        chosen = written(size.withColumn("_labels", labels).withColumn("_used", used).where((F.col("_used") * F.col("_labels") <= max_bytes) | (F.col("_used") == F.col("_size"))).select("_h", "_label", "_place"))
     out = rows.join(F.broadcast(chosen), ["_h", "_label"]).groupBy("_place", "_h", "_label").agg(F.min(value).alias("value"))
     return out.orderBy("_place", "_h", "_label").select("value", F.col("_label").alias("label"))
 

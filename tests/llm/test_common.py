@@ -80,3 +80,13 @@ def test_sample_is_of_distinct_texts_with_a_share_for_each_label(spark):
     assert len({r.value for r in C.bounded_sample(df, 100, F.col("text")).collect()}) == 100
     assert C.bounded_sample(df.limit(0), 5, F.col("text")).count() == 0
     assert C.shares([5, 100, 1], 30) == [5, 24, 1] and sum(C.shares([9] * 7, 10)) == 10
+
+
+def test_every_label_sends_a_text(spark):
+    """Two hundred labels whose texts are all longer than their share of the bytes: each has its shortest one in."""
+    rows = [(f"l{i}", f"{i} {k} " + "word " * (6000 + 10 * k)) for i in range(200) for k in range(2)]
+    df = spark.createDataFrame(rows, "label string, text string").repartition(4)
+    got = C.bounded_sample(df, 3000, F.col("text"), F.col("label"), 2 << 20).collect()
+    assert sorted(r.label for r in got) == sorted(f"l{i}" for i in range(200)) and all(r.value.split()[1] == "0" for r in got)
+    few = C.bounded_sample(df, 3000, F.col("text"), F.col("label"), 400 * 40_000).collect()
+    assert len(few) == 400
