@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from . import pieces
 
 
 def with_ratings(cat: DataFrame, ratings: DataFrame, key: str = "path") -> DataFrame:
@@ -48,21 +49,34 @@ def cache_split(wanted: DataFrame, index: DataFrame, key: str = "url") -> tuple[
     return wanted.join(index, key, "left_semi"), wanted.join(index, key, "left_anti")
 
 
-def robots_verdict(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
-    """Adds ``allowed``: the longest rule whose prefix the path starts with decides, allowing wins ties, none allows.
-
-    Paths are expanded to their prefixes that are as long as some rule of their origin, so the join is on equal keys.
-    """
-    parts = X.split_url(url)
-    base = urls.select("*", parts["origin"].alias("_origin"), parts["path"].alias("_path"))
-    lengths = rules.groupBy(F.col("origin").alias("_origin")).agg(F.collect_set(F.length("prefix")).alias("_lengths"))
+def robots_verdict(urls: DataFrame, rules: DataFrame, url: str = "url", parts: int | None = None) -> DataFrame:
+    """Adds ``allowed``: the longest rule whose prefix the path starts with decides, allowing wins ties, none allows; a URL
+    without an origin meets no rule.
+
+    Rules and paths of an origin are put in one order, in range partitions. The rules that are prefixes of a path are the last
+    rule at or before it, or prefixes of that one: so each rule comes with the lengths of the rules it starts with, the last
+    rule is carried forward to the paths, and a path tells by comparing with it which of the lengths hold. An origin with most
+    paths lies in many partitions, and no path is expanded."""
+    split = X.split_url(url)
+    base = urls.select("*", split["origin"].alias("_origin"), split["path"].alias("_path"))
+    kinds = rules.where(F.col("prefix").isNotNull()).groupBy(F.col("origin").alias("_origin"), F.col("prefix").alias("_prefix"))
+    kinds = kinds.agg(F.max(F.col("kind") == "disallow").alias("d"), F.max(F.col("kind") == "allow").alias("a"))
+    # rules of an origin are one file's: each is probed for the rules that it starts with
+    lengths = kinds.groupBy("_origin").agg(F.collect_set(F.length("_prefix")).alias("_lengths"))
+    probes = kinds.join(lengths, "_origin").select("_origin", "_prefix", F.explode("_lengths").alias("n")).where(F.col("n") <= F.length("_prefix"))
+    probes = probes.withColumn("_start", F.expr("substring(_prefix, 1, n)"))
+    above = kinds.select("_origin", F.col("_prefix").alias("_start"), "d", "a")
+    chain = probes.join(above, ["_origin", "_start"]).groupBy("_origin", "_prefix").agg(F.collect_list(F.struct("n", "d", "a")).alias("chain"))
+    rule = chain.select("_origin", F.col("_prefix").alias("_path"), F.lit(0).alias("_kind"), F.struct(F.col("_prefix").alias("text"), "chain").alias("_rule"))
     paths = base.select("_origin", "_path").where("_path IS NOT NULL").distinct()
-    probes = paths.join(lengths, "_origin").select("_origin", "_path", F.explode("_lengths").alias("_n")).where(F.col("_n") <= F.length("_path"))
-    probes = probes.withColumn("_prefix", F.expr("substring(_path, 1, _n)"))
-    named = rules.select(F.col("origin").alias("_origin"), F.col("prefix").alias("_prefix"), "kind").distinct()
-    best = probes.join(named, ["_origin", "_prefix"]).groupBy("_origin", "_path").agg(F.max(F.when(F.col("kind") == "disallow", F.col("_n"))).alias("_d"), F.max(F.when(F.col("kind") == "allow", F.col("_n"))).alias("_a"))
+    both = rule.unionByName(paths.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    met = pieces.carried(both, ["_origin"], ["_path", "_kind"], F.col("_rule"), "_last", parts).where("_kind = 1")
+    held = F.filter("_last.chain", lambda x: F.substr("_path", F.lit(1), x["n"]) == F.substr("_last.text", F.lit(1), x["n"]))
+    longest = lambda flag: F.array_max(F.transform(F.filter("_held", lambda x: x[flag]), lambda x: x["n"]))
+    best = met.withColumn("_held", held).select("_origin", "_path", longest("d").alias("_d"), longest("a").alias("_a"))
     out = base.join(best, ["_origin", "_path"], "left")
-    return out.withColumn("allowed", F.coalesce(F.col("_d").isNull() | (F.col("_a") >= F.col("_d")), F.lit(False))).drop("_origin", "_path", "_d", "_a")
+    verdict = F.col("_d").isNull() | (F.coalesce("_a", F.lit(-1)) >= F.col("_d"))
+    return out.withColumn("allowed", verdict).drop("_origin", "_path", "_d", "_a")
 
 
 def artist_via_packs(artists: DataFrame, pieces: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from .predicates import glob_any
-from .scratch import scratch, written
+from .scratch import delete, dropped, scratch, written
 
 __all__ = ["MAX_DEPTH", "ancestors", "crawl", "scratch", "subtree", "written"]
 
@@ -18,19 +18,32 @@ def crawl(seeds: DataFrame, links: DataFrame, mask: str = "", max_depth: int = M
     """(dir, name, depth): files reachable from the seeds (dir) over links (dir, name, target, is_dir), breadth first.
 
     Folders are followed to ``max_depth`` and visited once, at their smallest depth; the mask applies to files only. At most
-    max_depth + 1 joins; a step with nothing new ends the walk.
+    max_depth + 1 joins; a step with nothing new ends the walk. What was visited is one table, to which each step appends the
+    folders that are new; the frontier of a step goes when the next one is there, and the table when the files are found.
     """
-    folders = links.where("is_dir").select("dir", "target").distinct()
-    level = seeds.select("dir").distinct().withColumn("depth", F.lit(0))
-    visited = level = written(level)
+    spark = seeds.sparkSession
+    folders = written(links.where("is_dir").select("dir", "target").distinct())
+    level = written(seeds.select("dir").distinct().withColumn("depth", F.lit(0)))
+    path = scratch(spark)
+    level.write.parquet(path)
+
+    def visited() -> DataFrame:
+        return spark.read.schema(level.schema).parquet(path)
+
     for depth in range(1, max_depth + 1):
         step = level.select("dir").join(folders, "dir").select(F.col("target").alias("dir")).distinct()
-        level = written(step.join(visited, "dir", "left_anti").withColumn("depth", F.lit(depth)))
+        new = written(step.join(visited().select("dir"), "dir", "left_anti").withColumn("depth", F.lit(depth)))
+        dropped(level)
+        level = new
         if not level.limit(1).count():
             break
-        visited = visited.unionByName(level)
+        level.write.mode("append").parquet(path)
     files = links.where(~F.col("is_dir") & glob_any("name", mask)).select("dir", "name")
-    return visited.join(files, "dir").select("dir", "name", "depth")
+    out = written(visited().join(files, "dir").select("dir", "name", "depth"))
+    dropped(level)
+    dropped(folders)
+    delete(spark, path)
+    return out
 
 
 def subtree(cat: DataFrame, root: str, path: str = "path") -> DataFrame:

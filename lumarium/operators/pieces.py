@@ -58,6 +58,17 @@ def beside(df: DataFrame, keys: list[str], order: list, value: Column, before: s
     return out.select(*df.columns, *found)
 
 
+def carried(df: DataFrame, keys: list[str], order: list, value: Column, name: str, parts: int | None = None) -> DataFrame:
+    """df with ``name``: the last ``value`` that isn't null up to and with each row of its key."""
+    rows = cut(df.withColumn("_v", value), keys, order, parts)
+    along, within = Window.partitionBy(*keys).orderBy(PART), Window.partitionBy(*keys, PART).orderBy(SEQ)
+    last = rows.groupBy(*keys, PART).agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(SEQ))).alias("_last"))
+    before = last.select(*keys, PART, F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_from"))
+    out = joined(rows, before, keys)
+    own = F.last("_v", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0))
+    return out.select(*df.columns, F.coalesce(own, "_from").alias(name))
+
+
 def chained(df: DataFrame, keys: list[str], order: list, least: Column, gap: Column, name: str, parts: int | None = None) -> DataFrame:
     """df with ``name``: the running value max(least, value of the row before + gap) of each key.
 

@@ -293,52 +293,64 @@ def _byte(content: Column, at: Column) -> Column:
     return F.conv(F.hex(F.substr(content, at + 1, F.lit(1))), 16, 10).cast("int")
 
 
+#: Fixed sizes: a record, what may follow it, a line of a comment and the mark before the lines.
+RECORD, SLACK, COMMENT_LINE, COMMENT_MARK = 128, 8, 64, 5
+
+
 def sauce_start(content: Col = "content") -> Column:
     """0-based start of the trailer record: 128 bytes from the end, or up to eight more where only blanks and control bytes
     follow; null without one."""
     c = _c(content)
     n = F.octet_length(c)
-    tries = F.sequence(F.lit(0), F.least(F.lit(8), n - 128))
-    magic = lambda k: F.hex(F.substr(c, n - 128 - k + 1, F.lit(7))) == "53415543453030"
+    tries = F.sequence(F.lit(0), F.least(F.lit(SLACK), n - RECORD))
+    magic = lambda k: F.hex(F.substr(c, n - RECORD - k + 1, F.lit(7))) == "53415543453030"
     blank = lambda k: F.hex(F.substr(c, n - k + 1, k)).rlike("^((0|1)[0-9A-F]|20)*$")
-    return F.when(n >= 128, n - 128 - F.try_element_at(F.filter(tries, lambda k: magic(k) & blank(k)), F.lit(1)))
+    return F.when(n >= RECORD, n - RECORD - F.try_element_at(F.filter(tries, lambda k: magic(k) & blank(k)), F.lit(1)))
 
 
-def _field(c: Column, start: Column, off: int, length: int) -> Column:
+def _field(record: Column, off: int, length: int) -> Column:
     """Text of a padded field."""
-    text = F.decode(F.substr(c, start + 1 + off, F.lit(length)), "UTF-8")
+    text = F.decode(F.substring(record, 1 + off, length), "UTF-8")
     return F.btrim(F.regexp_replace(text, r"[\x00\x20]+$", ""))
 
 
-def _comment_length(c: Column, start: Column) -> Column:
-    """Bytes of the comment block before the record; 0 without one."""
-    n = 5 + 64 * _byte(c, start + 104)
-    there = (_byte(c, start + 104) > 0) & (start >= n) & (F.hex(F.substr(c, start - n + 1, F.lit(5))) == "434F4D4E54")
-    return F.when(there, n).otherwise(F.lit(0))
+def _trailers(files: DataFrame, content: str) -> DataFrame:
+    """files with the start of the record, the record itself, and the comment block before it (empty without one): each is cut
+    out of the file once, and what is read from it meets no more of the file."""
+    c, s = F.col(content), F.col("_start")
+    found = files.withColumn("_start", sauce_start(content)).withColumn("_record", F.substr(c, s + 1, F.lit(RECORD)))
+    n = COMMENT_MARK + COMMENT_LINE * _byte(F.col("_record"), F.lit(104))
+    there = (n > COMMENT_MARK) & (s >= n)
+    found = found.withColumn("_block", F.when(there, F.substr(c, s - n + 1, n)))
+    marked = F.hex(F.substring("_block", 1, COMMENT_MARK)) == "434F4D4E54"
+    return found.withColumn("_block", F.when(marked, F.col("_block")).otherwise(F.lit(b"").cast("binary")))
 
 
 def sauce_scan(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """(path, title, author, group, date, data_type, file_type, tinfo1, tinfo2, comments, ice, font, comment) of files that
     end in a trailer record."""
-    c, s = F.col(content), F.col("_s")
-    word = lambda off: _byte(c, s + off) + 256 * _byte(c, s + off + 1)
-    n = _comment_length(c, s)
-    lines = F.transform(F.sequence(F.lit(0), F.lit(254)), lambda k: F.when(64 * k < n - 5, F.btrim(F.decode(F.substr(c, s - n + 6 + 64 * k, F.lit(64)), "UTF-8"), F.lit(" \t\r\n"))))
-    comment = F.when(n > 0, F.array_join(F.filter(lines, lambda x: x != ""), " ")).otherwise(F.lit(""))
-    return files.withColumn("_s", sauce_start(content)).where("_s IS NOT NULL").select(
-        path, *(_field(c, s, off, size).alias(name) for name, off, size in (("title", 7, 35), ("author", 42, 20), ("group", 62, 20), ("date", 82, 8))),
-        _byte(c, s + 94).alias("data_type"), _byte(c, s + 95).alias("file_type"), word(96).alias("tinfo1"), word(98).alias("tinfo2"), _byte(c, s + 104).alias("comments"),
-        (_byte(c, s + 105) % 2 == 1).alias("ice"), _field(c, s, 106, 22).alias("font"), comment.alias("comment"),
+    r, block = F.col("_record"), F.col("_block")
+    byte = lambda off: _byte(r, F.lit(off))
+    word = lambda off: byte(off) + 256 * byte(off + 1)
+    n = F.expr(f"(octet_length(_block) - {COMMENT_MARK}) div {COMMENT_LINE}").cast("int")
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    lines = F.transform(places, lambda k: F.btrim(F.decode(F.substr(block, COMMENT_MARK + 1 + COMMENT_LINE * k, F.lit(COMMENT_LINE)), "UTF-8"), F.lit(" \t\r\n")))
+    comment = F.array_join(F.filter(lines, lambda x: x != ""), " ")
+    return _trailers(files, content).where("_start IS NOT NULL").select(
+        path, *(_field(r, off, size).alias(name) for name, off, size in (("title", 7, 35), ("author", 42, 20), ("group", 62, 20), ("date", 82, 8))),
+        byte(94).alias("data_type"), byte(95).alias("file_type"), word(96).alias("tinfo1"), word(98).alias("tinfo2"), byte(104).alias("comments"),
+        (byte(105) % 2 == 1).alias("ice"), _field(r, 106, 22).alias("font"), comment.alias("comment"),
     )
 
 
 def sauce_strip(files: DataFrame, content: str = "content") -> DataFrame:
     """Files whose content ends before the trailer, its comment block and the end-of-file marks before them."""
-    c, s = F.col(content), sauce_start(content)
-    cut = s - _comment_length(c, s)
+    c, s = F.col(content), F.col("_start")
+    cut = s - F.octet_length("_block")
     marks = F.length(F.regexp_extract(F.hex(F.substr(c, F.lit(1), cut)), "(1A)*$", 0)) / 2
     # only whole bytes count: pairs of hex digits from an even place, which a match at the end of an even text has
-    return files.withColumn(content, F.when(s.isNull(), c).otherwise(F.substr(c, F.lit(1), (cut - marks).cast("int"))))
+    kept = F.when(s.isNull(), c).otherwise(F.substr(c, F.lit(1), (cut - marks).cast("int")))
+    return _trailers(files, content).withColumn(content, kept).drop("_start", "_record", "_block")
 
 
 #: The characters of bytes 128 to 255 in code page 437.

@@ -6,7 +6,7 @@ from lumarium.operators import enrich as J
 from lumarium.operators import graph as G
 from lumarium.operators import ordered as W
 from lumarium.operators import pixels as P
-from lumarium.operators import predicates
+from lumarium.operators import predicates, scratch
 from lumarium.operators import rollups as A
 
 
@@ -100,6 +100,21 @@ def test_crawl(spark):
     seeds = spark.createDataFrame([("a",)], "dir string")
     assert rows(G.crawl(seeds, links, "*.zip"), "name", "depth") == [("x.zip", 0), ("y.ZIP", 1), ("z.zip", 2)]
     assert rows(G.crawl(seeds, links, "", 1), "name") == [("x.zip",), ("y.ZIP",)]
+    assert G.crawl(seeds.limit(0), links).count() == 0
+
+
+def test_crawl_leaves_only_its_result(spark, tmp_path, monkeypatch):
+    places = iter(range(1000))
+    for module in (scratch, G):
+        monkeypatch.setattr(module, "scratch", lambda spark: f"file://{tmp_path}/{next(places)}")
+    links = spark.createDataFrame([(i, f"d{i}", (i * 7 + 1) % 50, True) for i in range(50)] + [(i, f"{i}.txt", None, False) for i in range(50)], "dir int, name string, target int, is_dir boolean")
+    got = G.crawl(spark.createDataFrame([(0,), (3,)], "dir int"), links).collect()
+    want, depth, front = {}, 0, {0, 3}
+    while front and depth <= G.MAX_DEPTH:
+        want |= dict.fromkeys(front, depth)
+        front, depth = {(i * 7 + 1) % 50 for i in front} - set(want), depth + 1
+    assert {r.dir: r.depth for r in got} == want
+    assert len([p for p in tmp_path.iterdir() if not p.name.startswith(".")]) == 1
 
 
 def test_pixels(spark):

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lumarium.operators import enrich as J
 from lumarium.operators import ordered as W
 from lumarium.operators import pieces
 from lumarium.sources import files
@@ -80,3 +81,30 @@ def test_list_grows_in_order(spark):
     got = files.list_items(files.append_item(lists, new, "l", parts=9), "l").collect()
     assert [(r.pos, r.id) for r in got] == [(1, 9), *((i + 2, 100 - i) for i in range(60))]
     assert [r.pos for r in files.append_item(lists, new, "none").where("list = 'none'").orderBy("pos").collect()] == list(range(1, 61))
+
+
+def test_carried_values(spark, events):
+    got = {(r.key, r.no): r.last for r in pieces.carried(frame(spark, events), ["key"], ["no"], F.when(F.col("no") % 7 == 0, F.col("no")), "last", PARTS).collect()}
+    want = {}
+    for k, rows in by_key(events).items():
+        last = None
+        for r in rows:
+            last = r[1] if r[1] % 7 == 0 else last
+            want[k, r[1]] = last
+    assert got == want
+
+
+def test_longest_rule_of_a_hot_origin(spark):
+    """Nested and neighbouring rules, a path before all rules, equal rules of both kinds, most paths of one origin."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("ab/") for _ in range(rng.randrange(n)))
+    rules = sorted({("https://hot" if i % 5 else "https://cold", rng.choice(["allow", "disallow"]), "/" + word(5)) for i in range(60)})
+    urls = sorted({("https://hot" if i % 9 else rng.choice(["https://cold", "https://none"])) + "/" + word(9) for i in range(700)}) + ["bad", "https://hot/"]
+    want = {}
+    for u in urls:
+        met = [(len(p), k == "allow") for o, k, p in rules if u.startswith(o + "/") and u[len(o) :].startswith(p)]
+        want[u] = max(met)[1] if met else True
+    df, rule = spark.createDataFrame([(u,) for u in urls], "url string"), spark.createDataFrame(rules, "origin string, kind string, prefix string")
+    for parts in (1, PARTS):
+        assert {r.url: r.allowed for r in J.robots_verdict(df, rule, parts=parts).collect()} == want
+    assert all(r.allowed for r in J.robots_verdict(df, rule.limit(0)).collect())
