@@ -183,3 +183,54 @@ def image_features(pixels: DataFrame) -> DataFrame:
     """(image_id, src_w, src_h, colors, palette)."""
     size = sizes(pixels).select(KEY, F.col("w").alias("src_w"), F.col("h").alias("src_h"))
     return size.join(color_counts(pixels), KEY).join(extract_palette(pixels), KEY)
+
+
+# ---------------------------------------------------------------- dither and expansion
+
+
+def threshold_matrix(n: int) -> list[list[int]]:
+    """The ordered thresholds of n x n, n a power of two: four copies of the half one times four, moved by 0, 2, 3 and 1."""
+    if n == 1:
+        return [[0]]
+    half = [[4 * v for v in row] for row in threshold_matrix(n // 2)]
+    return [[v + a for v in row] + [v + b for v in row] for a, b in ((0, 2), (3, 1)) for row in half]
+
+
+def ordered_dither(pixels: DataFrame, matrix: list[list[int]], amount: float, scale: tuple[int, int] = (1, 1)) -> DataFrame:
+    """Every opaque pixel moved by the threshold of its place, so that a later reduction breaks into a stable pattern: an
+    expression of x and y, no step between pixels. A cell of the matrix spans ``scale`` pixels; no amount, no change."""
+    n = len(matrix)
+    if amount <= 0:
+        return pixels
+    sx, sy = (max(s, 1) for s in scale)
+    cell = F.expr(f"(y div {sy} % {n}) * {n} + x div {sx} % {n}").cast("int")
+    bias = [int((v / (n * n) - 0.5) * amount * 64) for row in matrix for v in row]
+    moved = F.get(F.array(*map(F.lit, bias)), cell)
+    return pixels.select(KEY, "x", "y", *(F.when(F.col("a") == 255, F.least(F.greatest(F.col(c) + moved, F.lit(0)), F.lit(255))).otherwise(F.col(c)).cast("int").alias(c) for c in "rgb"), "a")
+
+
+def expanded(pixels: DataFrame, factor: int) -> DataFrame:
+    """Images at twice or three times their size by the neighbour rules: a pixel's corner takes a neighbour's colour where two
+    neighbours agree and those across from them don't. Places outside an image are as the nearest place in it.
+
+    The nine pixels around each come from two windows, one along rows and one along columns of rows of three, so that a large
+    image is spread by its rows and columns."""
+    if factor not in (2, 3):
+        raise ValueError("factor is 2 or 3")
+    e = F.struct("r", "g", "b", "a")
+    along, down = Window.partitionBy(KEY, "y").orderBy("x"), Window.partitionBy(KEY, "x").orderBy("y")
+    px = pixels.select(KEY, "x", "y", e.alias("e"))
+    px = px.select(KEY, "x", "y", F.struct(F.coalesce(F.lag("e").over(along), "e").alias("l"), F.col("e").alias("m"), F.coalesce(F.lead("e").over(along), "e").alias("r")).alias("row"))
+    px = px.select(KEY, "x", "y", F.coalesce(F.lag("row").over(down), "row").alias("up"), "row", F.coalesce(F.lead("row").over(down), "row").alias("low"))
+    px = px.select(KEY, "x", "y", *(F.col(f"{row}.{side}").alias(name) for name, row, side in (("A", "up", "l"), ("B", "up", "m"), ("C", "up", "r"), ("D", "row", "l"), ("E", "row", "m"), ("F", "row", "r"), ("G", "low", "l"), ("H", "low", "m"), ("I", "low", "r"))))
+    edge = "B <> H AND D <> F"
+    corner = {"nw": "D = B", "ne": "B = F", "sw": "D = H", "se": "H = F"}
+    rule = lambda test, colour: F.expr(f"CASE WHEN {edge} AND ({test}) THEN {colour} ELSE E END")
+    nw, ne, sw, se = rule(corner["nw"], "D"), rule(corner["ne"], "F"), rule(corner["sw"], "D"), rule(corner["se"], "F")
+    if factor == 2:
+        cell = [nw, ne, sw, se]
+    else:
+        side = lambda a, far, b, near, colour: rule(f"({corner[a]} AND E <> {far}) OR ({corner[b]} AND E <> {near})", colour)
+        cell = [nw, side("nw", "C", "ne", "A", "B"), ne, side("nw", "G", "sw", "A", "D"), F.col("E"), side("ne", "I", "se", "C", "F"), sw, side("sw", "I", "se", "G", "H"), se]
+    out = px.select(KEY, "x", "y", F.posexplode(F.array(*cell)).alias("k", "p"))
+    return out.select(KEY, F.expr(f"x * {factor} + k % {factor}").cast("int").alias("x"), F.expr(f"y * {factor} + k div {factor}").cast("int").alias("y"), "p.*")

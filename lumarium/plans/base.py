@@ -48,13 +48,13 @@ def catalogue(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "documents").withColumn("e", ext)
     return c.select(
         "doc_id", F.concat_ws("/", "source", "lang", F.concat("doc_id", F.lit("."), "e")).alias("path"), F.concat("doc_id", F.lit("."), "e").alias("name"), F.lower("e").alias("ext"),
-        F.col("n_chars").alias("size"), F.concat(F.lit("Artist "), F.col("doc_id") % 50).alias("artist"), F.concat(F.lit("group"), F.col("doc_id") % 12).alias("grp"), F.substring("text", 1, 30).alias("title"),
+        F.col("n_chars").alias("size"), F.concat(F.lit("Artist "), F.col("doc_id") % 50).alias("artist"), F.concat(F.lit("group"), F.col("doc_id") % 12).alias("grp"), F.col("text").alias("title"),
         (F.col("doc_id") % 640).alias("width"), (F.col("doc_id") * 7 % 480).alias("height"), (F.col("doc_id") * 3600).alias("modified"), F.col("doc_id").cast("string").alias("item"),
     )
 
 
 CAT = f"""cat AS (SELECT doc_id, source||'/'||lang||'/'||doc_id||'.'||e AS path, doc_id||'.'||e AS name, lower(e) AS ext, n_chars AS size, 'Artist '||(doc_id % 50) AS artist,
- 'group'||(doc_id % 12) AS grp, substr(text, 1, 30) AS title, doc_id % 640 AS width, doc_id * 7 % 480 AS height, doc_id * 3600 AS modified, CAST(doc_id AS VARCHAR) AS item
+ 'group'||(doc_id % 12) AS grp, text AS title, doc_id % 640 AS width, doc_id * 7 % 480 AS height, doc_id * 3600 AS modified, CAST(doc_id AS VARCHAR) AS item
  FROM (SELECT *, {sql_pick("doc_id", *EXTS)} AS e FROM documents))"""
 
 

@@ -134,3 +134,42 @@ def p03(spark, d):
 @query("p04_image_features", f"WITH {PIXELS} SELECT image_id, CAST(max(x) + 1 AS INTEGER) AS src_w, CAST(max(y) + 1 AS INTEGER) AS src_h, count(DISTINCT (r, g, b)) FILTER (WHERE a = 255) AS colors, count(DISTINCT (r, g, b)) FILTER (WHERE a = 255) AS swatches FROM px GROUP BY image_id")
 def p04(spark, d):
     return P.image_features(pixels(spark, d)).withColumn("swatches", F.size("palette").cast("bigint")).drop("palette")
+
+
+BAYER4 = "[0, 8, 2, 10, 12, 4, 14, 6, 3, 11, 1, 9, 15, 7, 13, 5]"
+
+
+@query("p05_ordered_dither", f"WITH {PIXELS}, m AS (SELECT *, CAST(trunc((({BAYER4})[1 + (y // 1) % 4 * 4 + (x // 2) % 4] / 16.0 - 0.5) * 32) AS INTEGER) AS v FROM px) SELECT image_id, x, y, {', '.join(f'CAST(CASE WHEN a = 255 THEN least(greatest({c} + v, 0), 255) ELSE {c} END AS INTEGER) AS {c}' for c in 'rgb')}, a FROM m")
+def p05(spark, d):
+    return P.ordered_dither(pixels(spark, d), P.threshold_matrix(4), 0.5, (2, 1))
+
+
+def around(factor: int, cell: str) -> str:
+    """SQL of the nine pixels around each, by joins on places kept within the image, and of the cell that they make."""
+    names = {"A": (-1, -1), "B": (0, -1), "C": (1, -1), "D": (-1, 0), "E": (0, 0), "F": (1, 0), "G": (-1, 1), "H": (0, 1), "I": (1, 1)}
+    joins = " ".join(f"JOIN v {n} ON {n}.image_id = p.image_id AND {n}.x = least(greatest(p.x + {dx}, 0), 3) AND {n}.y = least(greatest(p.y + {dy}, 0), 3)" for n, (dx, dy) in names.items())
+    k = f"WITH {PIXELS}, coarse AS (SELECT image_id, x, y, r - r % 128 AS r, g - g % 128 AS g, 0 AS b, 255 AS a FROM px), v AS (SELECT image_id, x, y, struct_pack(r := r, g := g, b := b, a := a) AS c FROM coarse), n AS (SELECT p.image_id, p.x, p.y, {', '.join(f'{n}.c AS {n}' for n in names)} FROM v p {joins}), o AS (SELECT image_id, x, y, [{cell}] AS cell FROM n), u AS (SELECT image_id, x, y, unnest(cell) AS q, generate_subscripts(cell, 1) - 1 AS k FROM o)"
+    return f"{k} SELECT image_id, CAST(x * {factor} + k % {factor} AS INTEGER) AS x, CAST(y * {factor} + k // {factor} AS INTEGER) AS y, q.r AS r, q.g AS g, q.b AS b, q.a AS a FROM u"
+
+
+def _take(test: str, colour: str) -> str:
+    return f"CASE WHEN B <> H AND D <> F AND ({test}) THEN {colour} ELSE E END"
+
+
+TWO = ", ".join(_take(t, c) for t, c in (("D = B", "D"), ("B = F", "F"), ("D = H", "D"), ("H = F", "F")))
+THREE = ", ".join([_take("D = B", "D"), _take("(D = B AND E <> C) OR (B = F AND E <> A)", "B"), _take("B = F", "F"), _take("(D = B AND E <> G) OR (D = H AND E <> A)", "D"), "E", _take("(B = F AND E <> I) OR (H = F AND E <> C)", "F"), _take("D = H", "D"), _take("(D = H AND E <> I) OR (H = F AND E <> G)", "H"), _take("H = F", "F")])
+
+
+def coarse(spark, d):
+    """Pixels of two levels in two channels, so that neighbours agree."""
+    return pixels(spark, d).select("image_id", "x", "y", *((F.col(c) - F.col(c) % 128).alias(c) for c in "rg"), F.lit(0).alias("b"), F.lit(255).alias("a"))
+
+
+@query("p06_expand_twice", around(2, TWO))
+def p06(spark, d):
+    return P.expanded(coarse(spark, d), 2)
+
+
+@query("p07_expand_thrice", around(3, THREE))
+def p07(spark, d):
+    return P.expanded(coarse(spark, d), 3)

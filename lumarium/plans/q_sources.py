@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -493,3 +494,47 @@ def s54(spark, d):
 def s55(spark, d):
     t = F.concat_ws("\n", F.lit("Title line"), F.lit("0:00 Intro"), F.col("p_brand"), F.lit(""), F.lit("  more "), F.concat(F.lit("1:"), F.lpad(F.col("p_size").cast("string"), 2, "0"), F.lit(":05 "), "p_name"))
     return Fi.chapters(parts(spark, d).select(F.col("p_partkey").alias("path"), t.alias("text")))
+
+
+# ---------------------------------------------------------------- settings with comments
+
+
+def settings(spark, d):
+    """Settings of each size: tasks are its parts, in order; a part depends on two others of its size, by number, which makes
+    cycles, on nothing, or on one by name; comments, links in texts, escapes and trailing commas are all over them."""
+    p = numbered(parts(spark, d).select("p_partkey", "p_size", "p_name"), ["p_size"], ["p_partkey"])
+    n = p.withColumn("k", F.col("_n") - 1).withColumn("n", F.count("*").over(Window.partitionBy("p_size")))  # a few dozen parts of a size
+    t = lambda x: F.concat(F.lit('"t'), x, F.lit('"'))
+    some = F.when(F.col("k") % 3 == 0, F.concat(F.lit("["), t((F.col("k") * 2 + 1) % F.col("n")), F.lit(", /* ,] */ "), t((F.col("k") * 5 + 3) % F.col("n")), F.lit(",]"))).when(F.col("k") % 3 == 1, t((F.col("k") + 1) % F.col("n"))).otherwise(F.lit("null"))
+    task = F.concat(F.lit('{ "label": "t'), "k", F.lit('", // "label": "no"\n "detail": "https://x/y // \\"z\\" /* */", "dependsOn": '), some, F.lit(", }"))
+    grouped = n.groupBy("p_size").agg(F.array_sort(F.collect_list(F.struct("k", task.alias("t")))).alias("l"), F.max_by("p_name", "k").alias("name"))
+    body = F.concat(F.lit('/* settings */ { "env": { "TOOL": "/bin/'), "name", F.lit('", "N": 5, "URL": "http://h/a,}" , }, "tasks": [\n'), F.array_join(F.transform("l", lambda x: x["t"]), ",\n"), F.lit(",\n] } // end"))
+    return grouped.select(F.col("p_size").alias("path"), body.alias("body"))
+
+
+@query("s56_strip_comments", "SELECT p_size AS path, count(*) AS tasks, true AS valid FROM part GROUP BY p_size")
+def s56(spark, d):
+    """Without its comments a body is JSON."""
+    clean = settings(spark, d).select("path", S.strip_comments("body").alias("body"))
+    return clean.select("path", F.json_array_length(F.get_json_object("body", "$.tasks")).cast("bigint").alias("tasks"), F.try_parse_json("body").isNotNull().alias("valid"))
+
+
+@query("s57_environment", "WITH l AS (SELECT p_size, arg_max(p_name, p_partkey) AS name FROM part GROUP BY p_size) SELECT p_size AS path, unnest(['TOOL', 'URL']) AS name, unnest(['/bin/'||name, 'http://h/a,}']) AS value FROM l")
+def s57(spark, d):
+    return S.environment(settings(spark, d))
+
+
+@query(
+    "g03_run_order",
+    """WITH RECURSIVE p AS (SELECT p_size, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS k, count(*) OVER (PARTITION BY p_size) AS n FROM part),
+dep AS (SELECT p_size, list(CASE k % 3 WHEN 0 THEN [(k * 2 + 1) % n, (k * 5 + 3) % n] WHEN 1 THEN [(k + 1) % n] ELSE CAST([] AS BIGINT[]) END ORDER BY k) AS d FROM p GROUP BY p_size),
+w(p_size, i, stack, seen, done) AS (SELECT p_size, 0, [0::BIGINT], CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM dep
+ UNION ALL SELECT p_size, i + 1,
+  CASE WHEN top < 0 OR list_contains(seen, top) THEN rest ELSE list_concat(list_concat(rest, [-1 - top]), list_reverse(d[top + 1])) END,
+  CASE WHEN top < 0 OR list_contains(seen, top) THEN seen ELSE list_append(seen, top) END, CASE WHEN top < 0 THEN list_append(done, -1 - top) ELSE done END
+ FROM (SELECT w.*, dep.d, w.stack[len(w.stack)] AS top, w.stack[1:len(w.stack) - 1] AS rest FROM w JOIN dep ON dep.p_size = w.p_size WHERE len(w.stack) > 0))
+SELECT p_size AS path, array_to_string(list_transform(arg_max(done, i), lambda x: 't'||x), ' ') AS labels FROM w GROUP BY p_size""",
+)
+def g03(spark, d):
+    found = S.tasks(settings(spark, d))
+    return found.select("path", F.array_join(G.run_order("tasks", F.lit("t0")), " ").alias("labels"))

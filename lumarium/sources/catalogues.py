@@ -291,3 +291,36 @@ def notebook_text(df: DataFrame, path: str = "path") -> DataFrame:
         return F.concat(F.when(c["cell_type"] == "markdown", F.concat(F.lit("# --- markdown ---\n"), noted)).otherwise(F.concat(F.lit("# --- code ---\n"), code)), F.lit("\n"))
 
     return rows.select(path, F.array_join(F.transform("_j.cells", text), "").alias("text"))
+
+
+# ---------------------------------------------------------------- settings with comments
+
+#: Strings, which stay; comments of a line and of a block, which may be open to the end; commas before a closer.
+_JSONC = r'("[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+"?+)|//[^\n]*+|/\*[^*]*+(?:\*(?!/)[^*]*+)*+(?:\*/)?|,(?=\s*[}\]])'
+
+
+def strip_comments(body: str | Column) -> Column:
+    """JSON text without its comments and trailing commas; what looks like one inside a string stays. One pass of one pattern,
+    whose parts never step back, so that a long text takes time in proportion."""
+    return F.regexp_replace(body, F.lit(_JSONC), F.lit("$1"))
+
+
+def environment(df: DataFrame, key: str = "path", body: str = "body") -> DataFrame:
+    """(key, name, value) of the ``env`` object of settings bodies; values that aren't texts are left out, and a broken body
+    gives nothing."""
+    env = F.from_json(strip_comments(body), "STRUCT<env:MAP<STRING,VARIANT>>")["env"]
+    rows = df.select(key, F.explode(env).alias("name", "v"))
+    return rows.where(F.schema_of_variant("v") == "STRING").select(key, "name", F.variant_get("v", "$", "string").alias("value"))
+
+
+def tasks(df: DataFrame, key: str = "path", body: str = "body") -> DataFrame:
+    """(key, tasks): the tasks of settings bodies in order, as (label, depends_on); what a task depends on is one text or a
+    list of them, and a task without a label is left out."""
+    found = F.from_json(strip_comments(body), "STRUCT<tasks:ARRAY<STRUCT<label:STRING,dependsOn:VARIANT>>>")["tasks"]
+
+    def labels(v: Column) -> Column:
+        one = F.try_variant_get(v, "$", "array<string>")
+        return F.when(v.isNull(), F.array().cast("array<string>")).when(F.schema_of_variant(v) == "STRING", F.array(F.try_variant_get(v, "$", "string"))).otherwise(F.coalesce(one, F.array().cast("array<string>")))
+
+    rows = F.transform(F.filter(found, lambda t: t["label"].isNotNull()), lambda t: F.struct(t["label"].alias("label"), labels(t["dependsOn"]).alias("depends_on")))
+    return df.select(key, F.coalesce(rows, F.array().cast("array<struct<label:string,depends_on:array<string>>>")).alias("tasks"))
