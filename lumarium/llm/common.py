@@ -96,6 +96,12 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a whole table lies at a path: Spark marks it so when all its tasks have ended."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(mark)
+
+
 #: Rows of a one-column id table up to which it is broadcast (16 MB of long ids); larger ones are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 

@@ -68,3 +68,48 @@ def test_clean_text_in_several_languages_stays(spark):
     table = docs.unionByName(spark.createDataFrame(rows, docs.schema))
     got = {r.doc_id for r in pipeline.language_id(spark, table, D).where("source = 'mixed'").collect()}
     assert got == {r[0] for r in rows}
+
+
+def test_odd_rows_and_clashing_names(spark):
+    """Null and repeated ids, repeated rows, null, empty and long texts, ties, and columns named as the operators' own."""
+    base = spark.read.parquet(f"{D}/documents.parquet")
+    some = [tuple(r) for r in base.where("n_chars BETWEEN 800 AND 3000").orderBy("doc_id").limit(25).collect()]
+    own = some[0]
+    rows = some + [own, (None, *own[1:]), (None, None, None, None, None), (9001, None, "en", "s", 0), (9002, "", "en", "s", 0), (9003, " ".join([own[1]] * 200) + " \n" * 50_000, own[2], "s", None), (9004, "12 34", None, None, 5)]
+    names = {"row": "r", "doc": 1, "text2": "t", "id": 2, "n": 3, "token": "k", "hi": 4, "kept": "k", "stays": True, "ids": "i", "lang_pred": "xx", "certainty": 0.0, "component_id": 5, "n_removed": 6, "h1": 7, "value": "v", "label": "l"}
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(rows, base.schema).select("*", *(F.lit(v).alias(c) for c, v in names.items())).repartition(3)
+    columns, seen = docs.columns, {}
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = pipeline.common.written(stage(spark, docs, D))
+        assert docs.columns == columns
+        assert all(r[c] == v for r in docs.collect() for c, v in names.items())
+        seen[name] = [(r.doc_id, r.text) for r in docs.collect()]
+    assert {None} <= {i for i, _ in seen["language"]} and not {9001, 9002, 9004} & {i for i, _ in seen["language"]}
+    assert seen["language"].count((own[0], own[1])) == 2 and seen["language"].count((None, own[1])) == 1
+    assert (None, own[1]) in seen["lines"] and (None, own[1]) in seen["near_copies"]
+    final = pipeline.encoded(spark, docs, D).collect()
+    assert len(final) == len(seen["benchmark"]) and all(r.exact for r in final)
+
+
+def test_resume_from_written_stages(spark, monkeypatch):
+    folder, calls = pipeline.common.scratch_dir(spark), []
+    def cheap(name, keep):
+        def stage(spark, docs, sf_dir):
+            calls.append(name)
+            return docs.where(keep)
+
+        return name, stage
+
+    monkeypatch.setattr(pipeline, "STAGES", [cheap("a", "doc_id % 2 = 0"), cheap("b", "doc_id % 3 = 0"), cheap("c", "doc_id > 5")])
+    want = {r.doc_id for r in pipeline.run(spark, D).collect()}
+    assert calls == ["a", "b", "c"] and want and all(i % 6 == 0 and i > 5 for i in want)
+    assert {r.doc_id for r in pipeline.run(spark, D, folder).collect()} == want
+    assert {r.doc_id for r in pipeline.run(spark, D, folder).collect()} == want
+    assert calls == ["a", "b", "c"] * 2 + ["c"]
+    # a stage that broke off while it was written has no mark and is run again
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/1_b/_SUCCESS")
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, False)
+    assert {r.doc_id for r in pipeline.run(spark, D, folder).collect()} == want
+    assert calls[-2:] == ["b", "c"]
