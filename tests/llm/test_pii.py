@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import re
 
 import numpy as np
 
@@ -116,3 +117,33 @@ def test_recall_of_worn_repeats(spark):
             place = (len(wide) - 4 - len(w), k, len(wide) - 4)
             total, hit, extra = total + 1, hit + (place in found), extra + len(set(found) - set(pii.base_spans(wide)) - {place})
     assert total > 100 and hit >= 0.9 * total and extra <= 0.02 * total
+
+
+def some_wear(s, kind, rng, ats, seps, groups):
+    """Wear of a base span with given signs only."""
+    if kind == 0:
+        return s.replace("@", rng.choice(ats))
+    if kind == 1:
+        return s.replace(".", rng.choice(seps))
+    if kind == 2:
+        return rng.choice(groups).join(re.findall(r".{1,4}", re.sub("[^0-9]", "", s)))
+    return re.sub(r"[ ().-]+", rng.choice(seps), re.sub(r"^\+[0-9]{1,3}[ .-]?", "", s)).strip("-. ")
+
+
+def test_recall_of_wear_that_training_never_saw(spark, monkeypatch):
+    """Trained on some signs, tested on others: what it finds isn't the generator's own handwriting."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text RLIKE '@|[0-9]{4}|[0-9][.][0-9]'").select("text").collect()]
+    monkeypatch.setattr(pii, "worn", lambda s, kind, rng: some_wear(s, kind, rng, [" (at) ", "(at)"], ["-"], ["-"]))
+    rng, field = random.Random(31), pii.train(texts[::2])
+    hit, total, extra = [0] * 4, [0] * 4, 0
+    for t in texts[1::2]:
+        base = pii.base_spans(t)
+        if base and len(t) < 20_000:
+            s, k, e = rng.choice(base)
+            w = some_wear(t[s:e], k, rng, ["[at]", " [at] "], [" "], [" "])
+            wide = t + " some more words here that say nothing at all " + w + " fin"
+            _, (found,) = pii.add_spans([wide], field)
+            place = (len(wide) - 4 - len(w), k, len(wide) - 4)
+            total[k], hit[k], extra = total[k] + 1, hit[k] + (place in found), extra + len(set(found) - set(pii.base_spans(wide)) - {place})
+    print("held back:", hit, "of", total, "extra", extra)
+    assert sum(total) > 100 and sum(hit) >= 0.8 * sum(total) and extra <= 0.02 * sum(total)
