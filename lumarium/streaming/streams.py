@@ -171,10 +171,20 @@ def pace_stream(requests: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 
 def pace_batch(requests: DataFrame) -> DataFrame:
-    """The same over a stored table."""
-
-    def step(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        out, _, _ = pace_rows(pdf, None, None)
-        return pd.DataFrame([(key[0], *r) for r in out], columns=["host", "id", "arrival", "start", "refused"]).astype({"start": "float64"})
-
-    return requests.groupBy("host").applyInPandas(step, PACED)
+    """The same over a stored table. A host's requests come to a task in their order and pass through it some at a time, with
+    the state of the host they are of, so that no host is held as a whole."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        host, last, cool = None, None, None
+        for part in parts:
+            new = part["host"].ne(part["host"].shift()) & ~(part["host"].isna() & part["host"].shift().isna())
+            for _, rows in part.groupby(new.cumsum(), sort=False):
+                own = rows["host"].iloc[0]
+                if not (own == host or (pd.isna(own) and host is pd.NA)):
+                    host, last, cool = (pd.NA if pd.isna(own) else own), None, None
+                out, last, cool = pace_rows(rows, last, cool)
+                if out:
+                    yield pd.DataFrame([(own, *r) for r in out], columns=PACED_NOTHING.columns).astype({"start": "float64"})
+
+    columns = requests.select("host", "id", "arrival", "gap", "throttled", "retry_after")
+    return columns.repartition("host").sortWithinPartitions("host", "arrival", "id").mapInPandas(run, PACED)

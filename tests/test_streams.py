@@ -35,6 +35,25 @@ def test_batch_and_stream_agree(spark):
     assert any(r.refused for r in want)
 
 
+def test_batch_of_a_host_in_many_parts(spark):
+    """Arrow batches of a few rows, a hot host, a null host and one of a single row, against one pass over each."""
+    rng = random.Random(7)
+    rows = [(rng.choice(["hot"] * 8 + [None, "b"]), i, rng.random() * 90, None, i % 17 == 3, float(i % 9)) for i in range(300)] + [("one", 900, 1.0, None, False, None)]
+    df = spark.createDataFrame(rows, REQUEST)
+    want = []
+    for host in {r[0] for r in rows}:
+        out, _, _ = T.pace_rows(frame([r[1:] for r in rows if r[0] == host]), None, None)
+        want += [(host, *r) for r in out]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = [tuple(r) for r in T.pace_batch(df).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert T.pace_batch(df.limit(0)).count() == 0
+
+
 def changes(spark, rows, batch, table):
     T.view_sink(table)(spark.createDataFrame(rows, maintain.VIEWS), batch)
 
