@@ -188,12 +188,17 @@ def _blocks(rows: DataFrame, height: int) -> DataFrame:
     return C.map_batches(dealt, run, T.StructType(fields))
 
 
-def forest(rows: DataFrame, height: int = HEIGHT) -> list[DataFrame]:
+def forest(rows: DataFrame, height: int = HEIGHT, path: str | None = None) -> list[DataFrame]:
     """Written tables of blocks of (grp, place, n, item, leaf), bottom first: each round has the roots of the blocks below as
-    its leaves, for groups of more than one block."""
+    its leaves, for groups of more than one block. They lie in numbered folders of ``path``, or are scratch without one."""
     width, out = FANOUT**height, []
     while True:
-        out.append(C.written(_blocks(rows, height)))
+        blocks = _blocks(rows, height)
+        if path is None:
+            out.append(C.written(blocks))
+        else:
+            blocks.write.mode("overwrite").parquet(f"{path}/{len(out)}")
+            out.append(rows.sparkSession.read.schema(blocks.schema).parquet(f"{path}/{len(out)}"))
         more = out[-1].where(F.col("n") > width)
         if not more.limit(1).count():
             return out
@@ -253,14 +258,15 @@ def leaf_hash(columns: list[Column]) -> Column:
     return F.unhex(F.sha2(F.concat(*parts), 256))
 
 
-def merkle_manifest(docs: DataFrame, fields: tuple = FIELDS, id_col: str = "doc_id", group_col: str = "source", shown: dict[str, Column] | None = None, height: int = HEIGHT) -> tuple[DataFrame, bytes | None]:
+def merkle_manifest(docs: DataFrame, fields: tuple = FIELDS, id_col: str = "doc_id", group_col: str = "source", shown: dict[str, Column] | None = None, height: int = HEIGHT, path: str | None = None) -> tuple[DataFrame, bytes | None]:
     """(proofs, root): for every row (id, grp, leaf, shown, subroot, siblings, shape), and the root over all groups.
 
     ``shown`` replaces columns by what a holder of the data shows: column ``shown`` is the leaf of that, which ``verified``
     folds with the original siblings. Leaves of a group ascend by id (null first); rows that share an id by their leaf, so
     that equal rows are told apart by nothing. Null fields have their own mark; a null group is a group and comes first; null,
     empty and very long texts are hashed as they are, by Spark's own functions. An empty table has no proofs and no root.
-    Other columns of docs, whatever their names, are ignored.
+    Other columns of docs, whatever their names, are ignored. The blocks are kept in the folder ``path``, if it is given, for
+    ``stored_proofs``.
     """
     own = [F.col(f"`{c}`") for c in fields]
     seen = leaf_hash([(shown or {}).get(c, F.col(f"`{c}`")) for c in fields])
@@ -268,15 +274,40 @@ def merkle_manifest(docs: DataFrame, fields: tuple = FIELDS, id_col: str = "doc_
     # null sorts before all others as the empty string
     rows = docs.select(F.coalesce(F.concat(F.lit(" "), source), F.lit("")).alias("grp"), F.col(f"`{id_col}`").cast("long").alias("id"), leaf_hash(own).alias("leaf"), seen.alias("shown"))
     rows = C.written(rows.withColumn("tie", F.monotonically_increasing_id()))
-    trees = forest(ranked(rows, ["id", "leaf", "tie"]).select("grp", "place", "n", F.struct("id", "shown").alias("item"), "leaf"), height)
+    trees = forest(ranked(rows, ["id", "leaf", "tie"]).select("grp", "place", "n", F.struct("id", "shown").alias("item"), "leaf"), height, path and f"{path}/groups")
     names = roots(trees, height).select(F.lit("").alias("grp"), F.col("grp").alias("name"), F.col("root").alias("leaf"))
-    upper = forest(ranked(names, ["name"]).select("grp", "place", "n", F.struct("name").alias("item"), "leaf"), height)
+    upper = forest(ranked(names, ["name"]).select("grp", "place", "n", F.struct("name").alias("item"), "leaf"), height, path and f"{path}/top")
+    return _proofs(trees, upper, height)
+
+
+def _proofs(trees: list[DataFrame], upper: list[DataFrame], height: int) -> tuple[DataFrame, bytes | None]:
     top = roots(upper, height).first()
     above = C.written(proofs(upper, height=height).select(F.col("item.name").alias("grp"), "siblings", "shape"))
     out = proofs(trees, above, height)
     return out.select("item.id", F.when(F.col("grp") != "", F.substr("grp", F.lit(2))).alias("grp"), "leaf", "item.shown", F.col("top").alias("subroot"), "siblings", "shape"), bytes(top["root"]) if top else None
 
 
+def stored_proofs(spark: SparkSession, path: str, height: int = HEIGHT) -> tuple[DataFrame, bytes | None]:
+    """(proofs, root) from the blocks that ``merkle_manifest`` kept in a folder; no row of the data is read."""
+
+    def rounds(name: str) -> list[DataFrame]:
+        out: list[DataFrame] = []
+        while C.is_written(spark, f"{path}/{name}/{len(out)}"):
+            out.append(spark.read.parquet(f"{path}/{name}/{len(out)}"))
+        return out
+
+    return _proofs(rounds("groups"), rounds("top"), height)
+
+
+def differing(docs: DataFrame, proof_rows: DataFrame, fields: tuple = FIELDS, id_col: str = "doc_id", group_col: str = "source") -> DataFrame:
+    """(grp, id, leaf, change) of rows that are not as a manifest has them: ``missing`` from docs, or ``added`` to them; a row
+    that was changed is both. Rows are told apart by their leaves: equal rows count as often as they stand on either side."""
+    source = F.col(f"`{group_col}`").cast("string")
+    now = docs.select(source.alias("grp"), F.col(f"`{id_col}`").cast("long").alias("id"), leaf_hash([F.col(f"`{c}`") for c in fields]).alias("leaf"), F.lit(1).alias("_n"))
+    both = now.unionByName(proof_rows.select("grp", "id", "leaf", F.lit(-1).alias("_n"))).groupBy("grp", "id", "leaf").agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    return both.select("grp", "id", "leaf", F.when(F.col("_n") > 0, "added").otherwise("missing").alias("change"), F.explode(F.sequence(F.lit(1), F.abs("_n").cast("int"))).alias("_k")).drop("_k")
+
+
 def verified(proof_rows: DataFrame, root: bytes | None) -> DataFrame:
     """Adds ``folded`` (the root that the shown leaf and the siblings lead to) and ``verified`` (it is the root)."""
 

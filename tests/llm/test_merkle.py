@@ -143,3 +143,20 @@ def test_query_against_sql_and_plain_tree(spark):
     c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{d}/documents.parquet')")
     assert {r[0]: r[1:] for r in c.execute(M.ORACLE).fetchall()} == got
     assert 0 < sum(not r[5] for r in got.values()) < len(got)
+
+
+def test_stored_manifest_and_what_differs_from_it(spark):
+    from lumarium.llm import common
+
+    rows = [(i, f"s{i % 3}" if i % 7 else None, "l", i, f"text {i}\n") for i in range(90)] + [(5, "s2", "l", 5, "text 5\n")] * 2
+    docs = spark.createDataFrame([(*r, "x", 1, "y", 2) for r in rows], COLUMNS).repartition(4)
+    path = common.scratch_dir(spark)
+    p, root = M.merkle_manifest(docs, height=2, path=path)
+    q, again = M.stored_proofs(spark, path, height=2)
+    assert again == root and sorted(map(tuple, q.collect()), key=str) == sorted(map(tuple, p.collect()), key=str)
+    assert all(r.verified for r in M.verified(q, root).collect())
+    assert M.differing(docs, q).count() == 0
+    now = [r for r in rows if r[0] != 8][:-1] + [(200, None, None, None, None)]
+    now = [(*r[:4], "changed") if r[0] == 11 else r for r in now]
+    got = M.differing(spark.createDataFrame([(*r, "x", 1, "y", 2) for r in now], COLUMNS), q).collect()
+    assert sorted((r.id, r.change) for r in got) == [(5, "missing"), (8, "missing"), (11, "added"), (11, "missing"), (200, "added")]
