@@ -200,7 +200,9 @@ def search_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "tex
     ``found`` has the number of words, the merged word spans covered by windows, the ids (as strings, in order) of items of
     which a window occurs, and the longest verbatim match (words, first word in the text, item, first word in the item; null
     without a match). Null and wordless texts and items hit nothing; repeated
-    items are all named; items with a null id are named "null". Other columns of docs (those named in
+    items are all named; items with a null id are named "null". Rows that repeat an id, or have none, are each searched by
+    their own text. Texts of any length are searched whole, in some hundred bytes for each of their bytes in the task that
+    has them. Other columns of docs (those named in
     ``keep``, or all) pass through ``row``.
     """
     spark = docs.sparkSession

@@ -313,7 +313,8 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, shard_b
 def score(docs: DataFrame, model: tuple[Vocabulary, Network], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(row, n_tokens, log_likelihood): each row of docs with the summed conditional log probabilities of its tokens.
 
-    Texts that are null or have no word have no tokens and sum 0. Repeated rows give repeated results. Other columns (those named in ``keep``, or all) pass through ``row``.
+    Texts that are null or have no word have no tokens and sum 0. Repeated rows give repeated results; ids, null ones too, play
+    no part. Texts of any length are scored whole. Other columns (those named in ``keep``, or all) pass through ``row``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     base = C.row_and_text(docs, text_col, keep)

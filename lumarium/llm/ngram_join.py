@@ -278,8 +278,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(id_col, n_shingles, component_id) for each row of docs.
 
     Rows with null or wordless text have no shingles and stay alone. ``component_id`` is the smallest id that links reach.
-    Ids are unique non-null longs; rows with a null id are ignored, rows that repeat an id give one row each when equal.
-    Other columns, whatever their names, are ignored. An empty table gives an empty result.
+    Rows with a null id are left out. Rows that share an id give a row each, by their own texts, and stand for that id in
+    their components. Texts of any length are compared whole: one needs some hundred bytes for each of its bytes in the task
+    that has it. Other columns, whatever their names, are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")

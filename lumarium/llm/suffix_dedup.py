@@ -304,7 +304,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id_col, n_bytes, n_removed, n_spans, kept): what is left of each text as UTF-8 bytes (binary).
 
     Null and empty texts stay empty. Ids are unique longs; a row with a null id is kept whole and removes nothing from
-    others. Of repeated rows (one id twice), neither removes from the other. Other columns are ignored.
+    others. Of repeated rows (one id twice), neither removes from the other. Texts of any length are read whole, in some
+    hundred bytes for each of their bytes in the task that has them. Other columns are ignored.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spans = repeated_spans(base.where("doc IS NOT NULL"), window, owner, crowd)

@@ -52,3 +52,14 @@ def test_edge_cases_and_chains(spark):
     df = spark.createDataFrame([(t, i, "x", i) for i, t in rows], "text string, doc_id long, id string, token long")
     assert got(ngram_jaccard_join(df)) == brute(rows)
     assert got(ngram_jaccard_join(df.limit(0))) == set()
+
+
+def test_repeated_rows_shared_and_null_ids(spark):
+    """Equal rows, unequal rows of one id, null ids, and a table of nothing but copies."""
+    a, b, c = ("one two three four five six seven eight " + x for x in ("nine ten", "nine ten", "other words here that differ much from those"))
+    rows = [(5, a), (5, a), (7, b), (7, c), (9, c), (None, a), (3, "quite another text of some words"), (2, None), (2, None)]
+    out = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    n, m = len(shingle_set(a)), len(shingle_set(c))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == sorted([(5, n, 5)] * 2 + [(7, n, 5), (7, m, 7), (9, m, 7), (3, 2, 3), (2, 0, 2), (2, 0, 2)])
+    copies = ngram_jaccard_join(spark.createDataFrame([(i, a) for i in range(40, 0, -1)], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in copies} == {(i, 1) for i in range(1, 41)}
