@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import pixels as P
-from . import base
 from .base import PIXELS, flat_pixels, pixels, query, table
 
 D2 = "(c.r - p.r) * (c.r - p.r) + (c.g - p.g) * (c.g - p.g) + (c.b - p.b) * (c.b - p.b)"
