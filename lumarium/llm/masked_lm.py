@@ -124,9 +124,24 @@ def targets(row: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return np.flatnonzero(place % rounds == k)
 
 
-def log_softmax(z: np.ndarray) -> np.ndarray:
+def softmax(z: np.ndarray) -> np.ndarray:
+    """Probabilities of the rows of z, in its place."""
+    z -= z.max(-1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(-1, keepdims=True)
+    return z
+
+
+def log_chosen(z: np.ndarray, column) -> np.ndarray:
+    """The log probability of one column of each row of z; no other is worked out."""
     z = z - z.max(-1, keepdims=True)
-    return z - np.log(np.exp(z).sum(-1, keepdims=True))
+    own = z[np.arange(len(z)), column]
+    return own - np.log(np.exp(z, out=z).sum(-1))
+
+
+def sorted_by(small: np.ndarray) -> np.ndarray:
+    """Stable order of numbers below 65,536, which are sorted by their bytes."""
+    return np.argsort(small.astype(np.uint16), kind="stable")
 
 
 class Network:
@@ -159,24 +174,23 @@ class Network:
         to_group, to_member = self.group.astype(float), self.member.astype(float)
         # tokens of one group together, so that each group is one matrix product
         group, member = ids % GROUPS, ids // GROUPS
-        order = np.argsort(group, kind="stable")
+        order = sorted_by(group)
         cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
         for g in range(GROUPS):
             at = order[cuts[g] : cuts[g + 1]]
             for lo in range(0, len(at), 8192):
                 part = at[lo : lo + 8192]
                 h = self.hidden(context[part]).astype(float)
-                which, within = (log_softmax((h @ w).astype(np.float32)) for w in (to_group, to_member[g]))
-                out[part] = which[:, g] + within[np.arange(len(part)), member[part]]
+                out[part] = log_chosen((h @ to_group).astype(np.float32), g) + log_chosen((h @ to_member[g]).astype(np.float32), member[part])
         return out
 
     def step(self, ids: np.ndarray, context: np.ndarray, rate: float) -> None:
         """One step of gradient ascent on the mean log probability."""
         n, group, member = len(ids), ids % GROUPS, ids // GROUPS
-        order = np.argsort(group, kind="stable")
+        order = sorted_by(group)
         group, member, context = group[order], member[order], context[order]
         h = self.hidden(context)
-        err = -np.exp(log_softmax(h @ self.group))
+        err = np.negative(softmax(h @ self.group))
         err[np.arange(n), group] += 1
         back = err @ self.group.T
         grad_group = h.T @ err
@@ -185,14 +199,14 @@ class Network:
             a, b = cuts[g], cuts[g + 1]
             if a == b:
                 continue
-            e = -np.exp(log_softmax(h[a:b] @ self.member[g]))
+            e = np.negative(softmax(h[a:b] @ self.member[g]))
             e[np.arange(b - a), member[a:b]] += 1
             back[a:b] += e @ self.member[g].T
             self.member[g] += rate * 4 / n * (h[a:b].T @ e)
         self.group += rate / n * grad_group
         d = back[:, :HIDDEN] * (1 - h[:, :HIDDEN] ** 2)
         for k in range(2 * WINDOW):
-            o = np.argsort(context[:, k], kind="stable")
+            o = sorted_by(context[:, k])
             c = context[o, k]
             first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
             count = np.diff(np.append(first, n))
