@@ -136,8 +136,8 @@ def by_name_ci(df: DataFrame, name: str = "name", tie: tuple = ()) -> DataFrame:
     return df.orderBy(F.lower(name), name, *tie)
 
 
-def by_index(df: DataFrame) -> DataFrame:
-    return df.orderBy(F.asc_nulls_last("index"))
+def by_index(df: DataFrame, tie: tuple = ()) -> DataFrame:
+    return df.orderBy(F.asc_nulls_last("index"), *tie)
 
 
 def by_year(df: DataFrame, tie: tuple = ()) -> DataFrame:

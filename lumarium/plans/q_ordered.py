@@ -146,7 +146,7 @@ def o04(spark, d):
 @query("o05_by_index", top_sql("p_partkey", "CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_partkey * 37 % 100003 END NULLS LAST, p_partkey", 100, "part"))
 def o05(spark, d):
     t = table(spark, d, "part").withColumn("index", F.when(F.col("p_partkey") % 4 != 0, F.col("p_partkey") * 37 % 100_003))
-    return placed(W.by_index(t), "p_partkey", 100)
+    return placed(W.by_index(t, ("p_partkey",)), "p_partkey", 100)
 
 
 @query("o06_by_year", top_sql("o_orderkey", "year(o_orderdate) DESC, o_orderkey", 100, "orders"))

@@ -135,3 +135,12 @@ def test_pixels(spark):
 def test_find_in_text(spark):
     df = spark.createDataFrame([(1, "aaxaaaax"), (2, "none")], "id int, text string")
     assert rows(predicates.find_in_text(df, "aa"), "id", "no", "at") == [(1, 0, 1), (1, 1, 4), (1, 2, 6)]
+
+
+def test_equal_indexes_come_by_key(spark, tmp_path):
+    from lumarium.plans import registry
+
+    keys = [3 + 100_003 * k for k in range(40)]  # one index but for those that are multiples of four, which have none
+    spark.createDataFrame([(k,) for k in reversed(keys)], "p_partkey long").repartition(5).write.parquet(f"{tmp_path}/part.parquet")
+    rows = registry.QUERIES["o05_by_index"](spark, str(tmp_path)).collect()
+    assert [r.p_partkey for r in sorted(rows, key=lambda r: r.place)] == sorted(keys, key=lambda k: (k % 4 == 0, k))
