@@ -4,8 +4,9 @@ A byte goes when a string of WINDOW bytes covers it that also starts in a docume
 brought together by their content: each window is owned by one of the k-byte substrings inside it (the rarest by a count
 sketch of the corpus, then the one with the smallest hash), so equal windows have equal owners at equal offsets. The
 windows that one place owns form a piece of text. Pieces whose owner stands in one document only are dropped. Equal pieces
-of one owner are pre-aggregated to the smallest document that has them; the others go, with their bytes, to the task of
-their owner, which sorts the suffixes of all its pieces:
+of one owner are pre-aggregated to the smallest document that has them, and there to their first place; what remains goes,
+with its bytes, to the task of its owner, which sorts the suffixes of all its pieces (what is found at a first place holds
+at the other places of that document as well):
 
 - only suffixes smaller than their successor are sorted directly, to a depth that exceeds the window;
 - all others are induced by scanning the buckets (first bytes) in order: the suffix before each one scanned is put at the
@@ -162,12 +163,20 @@ def owned_pieces(raw: np.ndarray, offs: np.ndarray, sketch: np.ndarray, window:
     return row[first], begin - offs[row[first]], count, h[at[first]], C.span_hash(sums, begin, begin + count + window - 1) + place
 
 
-PIECES = "owner long, whole long, doc long, first int, count int, spread int"
+AGAIN = "array<struct<level:int,base:int,first:int,count:int>>"
+#: ``back``: bytes back to the first equal piece of the document.
+PIECES = "owner long, whole long, doc long, first int, back int, count int, spread int"
 
 
 def piece_rows(doc: pa.Array, first: np.ndarray, count: np.ndarray, owner: np.ndarray, whole: np.ndarray, frequent: np.ndarray) -> pa.RecordBatch:
     spread = np.where(frequent, 1 + (doc.to_numpy() ^ first) % SPREAD, 0)
-    return pa.RecordBatch.from_arrays([pa.array(owner.view(np.int64)), pa.array(whole.view(np.int64)), doc, pa.array(first, pa.int32()), pa.array(count, pa.int32()), pa.array(spread, pa.int32())], ["owner", "whole", "doc", "first", "count", "spread"])
+    key = whole ^ C.mix(doc.to_numpy().astype(np.uint64))
+    order = np.lexsort((first, key))
+    new = np.ones(len(order), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    back = np.zeros(len(order), np.int64)
+    back[order] = first[order] - first[order[new]][np.cumsum(new) - 1]
+    return pa.RecordBatch.from_arrays([pa.array(owner.view(np.int64)), pa.array(whole.view(np.int64)), doc, pa.array(first, pa.int32()), pa.array(back, pa.int32()), pa.array(count, pa.int32()), pa.array(spread, pa.int32())], ["owner", "whole", "doc", "first", "back", "count", "spread"])
 
 
 def _pieces(docs: DataFrame, sketch, window: int, k: int, crowd: int) -> DataFrame:
@@ -258,9 +267,10 @@ def _sorted_suffixes(pieces: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, owner: int = OWNER, crowd: int = CROWD) -> DataFrame:
-    """(doc, copy, spans) for documents with repeated bytes: ``copy`` when the whole text stands in a smaller document, else
-    the byte spans (start, end), not merged. docs has (doc, text), with texts that aren't null. Owners of more than ``crowd``
-    different pieces are split."""
+    """(doc, copy, spans, again) for documents with repeated bytes: ``copy`` when the whole text stands in a smaller document,
+    else the byte spans (start, end), not merged, and the places (level, base, first, count) where the ``count`` windows from
+    ``base`` on stand once more: see ``with_equal_places``. docs has (doc, text), with texts that aren't null. Owners of more
+    than ``crowd`` different pieces are split."""
     spark = docs.sparkSession
     size = F.octet_length("text")
     named = docs.where(size >= window).select("doc", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text", F.lit(2)).alias("h2"))
@@ -270,12 +280,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, owner: int = OWNER, cr
     sketch = spark.sparkContext.broadcast(C.count_sketch(single.select("text"), lambda b: (kmer_hashes(raw, owner)[0] for _, _, raw, _ in C.text_chunks(b.column(0)))))
     item = F.collect_list(F.struct("start", "end")).alias("spans")
 
-    def settled(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(doc, crowded, wanted): the pieces whose owner has several. (doc, spans): equal pieces, all but those of the smallest document, which are repeated as a whole."""
+    def settled(pieces: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+        """(doc, crowded, wanted): the pieces whose owner has several. (doc, spans, again): equal pieces, all but those of the smallest document, which are repeated as a whole; and the later places of pieces in the smallest document."""
         shared = C.written(C.neighbours(pieces, "owner", "spread"))
         least = C.written(shared.groupBy("owner", "whole").agg(F.min(F.struct("doc", "first")).alias("f"), F.first("count").alias("count")).select("owner", "whole", F.col("f.doc").alias("doc"), F.col("f.first").alias("first"), "count"))
-        later = shared.join(least.select("owner", "whole", F.col("doc").alias("least")), ["owner", "whole"]).where("doc > least").select("doc", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("count") + window - 1).cast("long").alias("end"))
-        later = C.written(later.groupBy("doc").agg(item))
+        later = shared.join(least.select("owner", "whole", F.col("doc").alias("least")), ["owner", "whole"]).where("doc > least OR back > 0")
+        span = F.struct(F.col("first").cast("long").alias("start"), (F.col("first") + F.col("count") + window - 1).cast("long").alias("end"))
+        place = F.struct(F.lit(level).alias("level"), (F.col("first") - F.col("back")).alias("base"), "first", "count")
+        later = C.written(later.groupBy("doc").agg(F.collect_list(F.when(F.col("doc") > F.col("least"), span)).alias("spans"), F.collect_list(F.when(F.col("doc") == F.col("least"), place)).alias("again")))
         C.dropped(shared)
         several = least.groupBy("owner").agg(F.count("*").alias("n")).where("n > 1")
         wanted = C.written(least.join(several, "owner").groupBy("doc", (F.col("n") > crowd).alias("crowded")).agg(F.collect_list(F.struct("owner", "first", (F.col("count") + window - 1).alias("bytes"))).alias("wanted")))
@@ -285,19 +297,31 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, owner: int = OWNER, cr
     def texts(wanted: DataFrame) -> DataFrame:
         return single.join(wanted, "doc").select("doc", "text", "wanted")
 
-    wanted, later = settled(_pieces(single, sketch, window, owner, crowd))
+    wanted, later = settled(_pieces(single, sketch, window, owner, crowd), 0)
     spans, used, crowded = [later], [wanted], wanted.where("crowded")
     cut = _cut(texts(wanted.where("NOT crowded")))
     if not crowded.isEmpty():
-        wanted, later = settled(_finer(texts(crowded), window, FINE_OWNER))
+        wanted, later = settled(_finer(texts(crowded), window, FINE_OWNER), 1)
         spans.append(later)
         used.append(wanted)
         cut = cut.unionByName(_cut(texts(wanted)))
-    spans.append(C.written(_sorted_suffixes(cut, window).groupBy("doc").agg(item)))
+    spans.append(C.written(_sorted_suffixes(cut, window).groupBy("doc").agg(item)).withColumn("again", F.array().cast(AGAIN)))
     for t in used:
         C.dropped(t)
-    every = reduce(DataFrame.unionByName, spans).groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return C.written(every.select("doc", F.lit(False).alias("copy"), "spans").unionByName(copies.select("doc", F.lit(True).alias("copy"), F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("spans"))))
+    every = reduce(DataFrame.unionByName, spans).groupBy("doc").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "again")))
+    return C.written(every.select("doc", F.lit(False).alias("copy"), "spans", "again").unionByName(copies.select("doc", F.lit(True).alias("copy"), F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.lit(None).cast(AGAIN).alias("again"))))
+
+
+def with_equal_places(starts: np.ndarray, ends: np.ndarray, level: np.ndarray, base: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of one document, with those that begin among the ``count`` windows from ``base`` on once more at ``first``. Finer
+    pieces (the higher level) lie within coarser ones, so they come first."""
+    for step in sorted(set(level.tolist()), reverse=True):
+        at = np.flatnonzero(level == step)
+        order = np.argsort(starts, kind="stable")
+        lo, hi = np.searchsorted(starts[order], base[at]), np.searchsorted(starts[order], base[at] + count[at])
+        found, moved = order[C.ranges(lo, hi - lo)], np.repeat(first[at] - base[at], hi - lo)
+        starts, ends = np.concatenate([starts, starts[found] + moved]), np.concatenate([ends, ends[found] + moved])
+    return starts, ends
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, owner: int = OWNER, crowd: int = CROWD) -> DataFrame:
@@ -312,12 +336,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for b in batches:
-            texts, whole, spans = b.column(1), b.column(2).to_pylist(), b.column(3)
+            texts, whole, spans, again = b.column(1), b.column(2).to_pylist(), b.column(3), b.column(4)
             raw, offs = C.utf8(texts)
             data, cut = raw.tobytes(), offs.tolist()
             n, removed, count, kept = [], [], [], []
             lists = spans.offsets.to_numpy()
             starts, ends = spans.values.field(0).to_numpy(), spans.values.field(1).to_numpy()
+            others, places = again.offsets.to_numpy(), [again.values.field(k).to_numpy().astype(np.int64) for k in range(4)]
             null = spans.is_null().to_pylist()
             for i in range(len(texts)):
                 t = data[cut[i] : cut[i + 1]]
@@ -329,15 +354,18 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     removed.append(0), count.append(0), kept.append(t)
                     continue
                 mark = np.zeros(len(t) + 1, np.int32)
-                np.add.at(mark, starts[lists[i] : lists[i + 1]], 1)
-                np.add.at(mark, ends[lists[i] : lists[i + 1]], -1)
+                start, end = starts[lists[i] : lists[i + 1]], ends[lists[i] : lists[i + 1]]
+                if len(start) and others[i + 1] > others[i]:
+                    start, end = with_equal_places(start, end, *(p[others[i] : others[i + 1]] for p in places))
+                np.add.at(mark, start, 1)
+                np.add.at(mark, end, -1)
                 gone = np.cumsum(mark[:-1]) > 0
                 removed.append(int(gone.sum()))
                 count.append(int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()))
                 kept.append(np.frombuffer(t, np.uint8)[~gone].tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], [id_col, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return C.map_batches(base.join(spans, "doc", "left").select("doc", "text", "copy", "spans"), run, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return C.map_batches(base.join(spans, "doc", "left").select("doc", "text", "copy", "spans", "again"), run, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,3 +73,19 @@ def test_crowded_owners_are_split(spark):
     expected = brute(docs)
     for crowd in (1, 20, S.CROWD):
         assert {(*[r[c] for c in cols], hashlib.sha256(r["kept"]).hexdigest()) for r in S.suffix_dedup(df, crowd=crowd).collect()} == expected
+
+
+def test_pieces_that_repeat_in_the_smallest_document(spark):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    p, q = word(200), word(70)
+    docs = [(1, word(9) + p[40:130] + word(9)), (2, p + word(60) + p + word(5) + p), (3, p), (4, "z" * 55 + "y"), (5, "x" + "z" * 400 + "y" + "z" * 300), (6, q + q), (7, q * 3 + word(30) + q)]
+    words = ["lorem ipsum", "dolor sit", "amet", "consectetur"]
+    for i in range(8, 60):
+        line = " ".join(rng.choice(words) for _ in range(12))
+        docs.append((i, " ".join(rng.choice([line, rng.choice(words)]) for _ in range(12))))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    cols = ["doc_id", "n_bytes", "n_removed", "n_spans"]
+    expected = brute(docs)
+    for crowd in (1, 20, S.CROWD):
+        assert {(*[r[c] for c in cols], hashlib.sha256(r["kept"]).hexdigest()) for r in S.suffix_dedup(df, crowd=crowd).collect()} == expected
