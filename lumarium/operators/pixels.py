@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import colourspace as space
 from .scratch import written
@@ -11,6 +17,9 @@ from .scratch import written
 KEY = "image_id"
 PIXEL_CAP, SWATCH_CAP = 4_000_000, 4096
 EDGE, MIN_EDGES, PHASE_SHARE, MAX_PERIOD, SAMPLED = 24, 16, 0.8, 16, 64
+#: Side of the tiles in which neighbours are compared, their pixels as bytes, and bytes that a task compares at once.
+TILE, HELD_BYTES = 64, 4 << 20
+PIXEL = np.dtype([("x", "u1"), ("y", "u1"), ("opaque", "u1"), ("_", "u1"), ("r", "i4"), ("g", "i4"), ("b", "i4")])
 COLOUR = "struct<r:int,g:int,b:int>"
 
 
@@ -73,34 +82,131 @@ def downscale(pixels: DataFrame, max_dim: int, size: DataFrame | None = None) ->
     return sums.select(KEY, F.col("cx").cast("int").alias("x"), F.col("cy").cast("int").alias("y"), *value, alpha)
 
 
+def _packed(pixels: DataFrame) -> DataFrame:
+    """(image_id, tx, ty, pixels): the pixels of tiles of TILE by TILE as bytes, any number of rows a tile. The first column and
+    row of the next tile are in a tile too."""
+
+    def run(batches):
+        for b in batches:
+            image = pc.dictionary_encode(b.column(0), null_encoding="encode")
+            code, (x, y) = image.indices.to_numpy(), (b.column(k).to_numpy().astype(np.int64) for k in (1, 2))
+            at = [np.arange(len(x)), np.flatnonzero((x % TILE == 0) & (x > 0)), np.flatnonzero((y % TILE == 0) & (y > 0))]
+            step = np.repeat([0, 1, 2], [len(k) for k in at])
+            at = np.concatenate(at)
+            tx, ty = x[at] // TILE - (step == 1), y[at] // TILE - (step == 2)
+            order = np.lexsort((tx, ty, code[at]))
+            at, tx, ty = at[order], tx[order], ty[order]
+            px = np.zeros(len(at), PIXEL)
+            px["x"], px["y"] = x[at] - tx * TILE, y[at] - ty * TILE
+            for k, c in enumerate(("r", "g", "b", "opaque")):
+                px[c] = b.column(3 + k).to_numpy(zero_copy_only=False)[at]
+            new = np.ones(len(at), bool)
+            new[1:] = (np.diff(code[at]) != 0) | (np.diff(tx) != 0) | (np.diff(ty) != 0)
+            first = np.flatnonzero(new)
+            ends = np.append(first, len(at)) * PIXEL.itemsize
+            blobs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(px.tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at[first])), pa.array(tx[first]), pa.array(ty[first]), blobs], [KEY, "tx", "ty", "pixels"])
+
+    opaque = F.coalesce((F.col("a") == 255) & F.col("r").isNotNull() & F.col("g").isNotNull() & F.col("b").isNotNull(), F.lit(False))
+    rows = pixels.where("x IS NOT NULL AND y IS NOT NULL").select(KEY, F.col("x").cast("long"), F.col("y").cast("long"), *(F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c) for c in "rgb"), opaque.cast("int").alias("opaque"))
+    return rows.mapInArrow(run, T.StructType([pixels.schema[KEY], *(T.StructField(c, T.LongType()) for c in ("tx", "ty")), T.StructField("pixels", T.BinaryType())]))
+
+
+def edge_counts(pixels: DataFrame, size: DataFrame | None = None) -> DataFrame:
+    """(image_id, axis, pos, n): the edges of each place, counted. Pixels are shuffled as packed tiles, which tasks compare in
+    arrays, some megabytes at a time."""
+    size = sizes(pixels) if size is None else size
+    skip = (F.greatest(F.expr(f"{c} div {SAMPLED}"), F.lit(1)).cast("long").alias(f"every_{c}") for c in "wh")
+    tiles = _packed(pixels).join(size.where("w >= 4 AND h >= 4").select(KEY, *skip), KEY).select(KEY, "tx", "ty", "every_w", "every_h", "pixels")
+
+    def counted(t: pa.Table, new: np.ndarray) -> pa.RecordBatch:
+        blobs = t.column("pixels").combine_chunks()
+        px = np.frombuffer(b"".join(blobs.to_pylist()), PIXEL)
+        first = np.flatnonzero(new)
+        tile = np.repeat(np.cumsum(new) - 1, pc.binary_length(blobs).to_numpy() // PIXEL.itemsize)
+        tx, ty, every_w, every_h = (t.column(c).to_numpy()[first] for c in ("tx", "ty", "every_w", "every_h"))
+        rows = []
+        for along, across, origin, beside, every in (("x", "y", tx, ty, every_h), ("y", "x", ty, tx, every_w)):
+            u, v = px[along].astype(np.int64), px[across].astype(np.int64)
+            key = (tile * (TILE + 1) + v) * (TILE + 2) + u
+            order = np.argsort(key, kind="stable")
+            p, q = order[:-1], order[1:]
+            near = (key[q] == key[p] + 1) & (px["opaque"][p] & px["opaque"][q] > 0) & (v[q] < TILE)
+            p, q = p[near], q[near]
+            delta = sum(np.abs(px[c][q].astype(np.int64) - px[c][p]) for c in "rgb")
+            q = q[(delta > EDGE) & ((beside[tile[q]] * TILE + v[q]) % every[tile[q]] == 0)]
+            n = np.bincount(tile[q] * (TILE + 1) + u[q], minlength=1)
+            found = np.flatnonzero(n)
+            of, at = np.divmod(found, TILE + 1)
+            rows.append((first[of], np.full(len(of), along), origin[of] * TILE + at, n[found]))
+        of, axis, pos, n = (np.concatenate(k) for k in zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([t.column(KEY).combine_chunks().take(pa.array(of)), pa.array(axis, pa.string()), pa.array(pos, pa.int64()), pa.array(n, pa.int64())], [KEY, "axis", "pos", "n"])
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size >= HELD_BYTES:
+                t = pa.Table.from_batches(held)
+                new = _starts(t)
+                cut = int(np.flatnonzero(new)[-1])  # the last tile may go on
+                if cut:
+                    yield counted(t.slice(0, cut), new[:cut])
+                    t = t.slice(cut)
+                held, size = t.to_batches(), 0
+        if held:
+            t = pa.Table.from_batches(held)
+            if len(t):
+                yield counted(t, _starts(t))
+
+    tile = [KEY, "tx", "ty"]
+    long = T.LongType()
+    schema = T.StructType([pixels.schema[KEY], T.StructField("axis", T.StringType()), T.StructField("pos", long), T.StructField("n", long)])
+    found = tiles.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(run, schema)
+    return found.groupBy(KEY, "axis", F.col("pos").cast("int").alias("pos")).agg(F.sum("n").alias("n"))
+
+
+def _starts(t: pa.Table) -> np.ndarray:
+    """Where a tile begins among rows in their order."""
+    new = np.ones(len(t), bool)
+    columns = [t.column(c).combine_chunks() for c in (KEY, "tx", "ty")]
+    new[1:] = np.any([pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False) for c in columns], axis=0)
+    return new
+
+
 def edges(pixels: DataFrame, size: DataFrame | None = None) -> DataFrame:
     """(image_id, axis, pos): places where neighbours, both opaque, differ by more than EDGE in sum; rows and columns are
     sampled so that about SAMPLED of each are looked at."""
-    size = sizes(pixels) if size is None else size
-    base = pixels.join(size.where("w >= 4 AND h >= 4"), KEY)
-    out = []
-    for axis, along, across, steps in (("x", "x", "y", "h"), ("y", "y", "x", "w")):
-        w = Window.partitionBy(KEY, across).orderBy(along)
-        rows = base.where(F.col(across) % F.greatest(F.expr(f"{steps} div {SAMPLED}"), F.lit(1)) == 0)
-        was = F.lag(F.struct(along, "r", "g", "b", "a")).over(w)
-        rows = rows.withColumn("was", was).where((F.col("a") == 255) & (F.col("was.a") == 255) & (F.col(f"was.{along}") == F.col(along) - 1))
-        delta = sum((F.abs(F.col(c) - F.col(f"was.{c}")) for c in "rgb"), F.lit(0))
-        out.append(rows.where(delta > EDGE).select(KEY, F.lit(axis).alias("axis"), F.col(along).alias("pos")))
-    return out[0].unionByName(out[1])
-
-
-def periods(edge_rows: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
-    """(keys, period): the largest period for which one phase holds most edges; 1 when none does or edges are few."""
-    phased = edge_rows.select(*keys, F.explode(F.sequence(F.lit(2), F.lit(MAX_PERIOD))).alias("s"), pos)
-    buckets = phased.groupBy(*keys, "s", (F.col(pos) % F.col("s")).alias("phase")).agg(F.count("*").alias("n"))
-    best = buckets.groupBy(*keys, "s").agg(F.max("n").alias("best"), F.sum("n").alias("total"))
-    good = (F.col("total") >= MIN_EDGES) & (F.col("best") >= PHASE_SHARE * F.col("total"))
-    return best.groupBy(*keys).agg(F.coalesce(F.max(F.when(good, F.col("s"))), F.lit(1)).alias("period"))
+    return edge_counts(pixels, size).select(KEY, "axis", "pos", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k")).drop("k")
+
+
+def periods(edge_rows: DataFrame, keys: list[str], pos: str = "pos", n: str | None = None) -> DataFrame:
+    """(keys, period): the largest period for which one phase holds most edges; 1 when none does or edges are few. ``n`` names
+    the column of how many edges a row stands for. A key's places are counted first, modulo a multiple of all periods."""
+    counts = edge_rows.groupBy(*keys, (F.col(pos) % math.lcm(*range(2, MAX_PERIOD + 1))).cast("long").alias("_pos")).agg((F.sum(n) if n else F.count("*")).cast("long").alias("_n"))
+    lists = counts.groupBy(*keys).agg(F.collect_list(F.struct("_pos", "_n")).alias("_at"))
+
+    def run(batches):
+        for b in batches:
+            at, rows = b.column(b.num_columns - 1), len(b)
+            row = np.repeat(np.arange(rows), np.diff(at.offsets.to_numpy()))
+            flat = at.flatten()
+            null = flat.field(0).is_null().to_numpy(zero_copy_only=False)
+            place, n = flat.field(0).fill_null(0).to_numpy(), flat.field(1).to_numpy()
+            total, period = np.bincount(row, n, rows), np.ones(rows, np.int32)
+            for s in range(2, MAX_PERIOD + 1):
+                phase = np.where(null, 0, np.fmod(place, s) + s)  # a place before zero has a phase before zero
+                best = np.bincount(row * 2 * s + phase, n, rows * 2 * s).reshape(rows, 2 * s).max(1)
+                period[(total >= MIN_EDGES) & (best >= PHASE_SHARE * total)] = s
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(period)], [*keys, "period"])
+
+    return lists.mapInArrow(run, T.StructType([*(lists.schema[k] for k in keys), T.StructField("period", T.IntegerType())]))
 
 
 def pixel_scale(pixels: DataFrame) -> DataFrame:
     """(image_id, sx, sy)."""
-    p = periods(edges(pixels), [KEY, "axis"])
+    p = periods(edge_counts(pixels), [KEY, "axis"], n="n")
     both = p.groupBy(KEY).agg(F.max(F.when(F.col("axis") == "x", F.col("period"))).alias("sx"), F.max(F.when(F.col("axis") == "y", F.col("period"))).alias("sy"))
     return pixels.select(KEY).distinct().join(both, KEY, "left").select(KEY, F.coalesce("sx", F.lit(1)).alias("sx"), F.coalesce("sy", F.lit(1)).alias("sy"))
 

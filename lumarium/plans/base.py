@@ -28,6 +28,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores: for tables that are read in few tasks, since their files are small or in large groups of
+    rows, before steps that do much for each row."""
+    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def pick(key, *values):
     """The value at key modulo their number."""
     return F.get(F.array(*map(F.lit, values)), F.pmod(key, F.lit(len(values))).cast("int"))

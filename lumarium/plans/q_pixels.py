@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import pixels as P
-from .base import PIXELS, flat_pixels, pixels, query, table
+from .base import PIXELS, flat_pixels, pixels, query, spread, table
 
 D2 = "(c.r - p.r) * (c.r - p.r) + (c.g - p.g) * (c.g - p.g) + (c.b - p.b) * (c.b - p.b)"
 
@@ -74,7 +74,7 @@ edge AS (SELECT a.image_id * 2 AS id, a.x AS pos FROM g a JOIN g b ON a.image_id
 
 def blown_up(spark, d):
     """Images of 24 x 24 pixels, one for each part, drawn in larger cells of one to four by one to three pixels."""
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("image_id"), (F.col("p_partkey") % 4 + 1).alias("s"), (F.col("p_size") % 3 + 1).alias("t"))
+    p = spread(table(spark, d, "part")).select(F.col("p_partkey").alias("image_id"), (F.col("p_partkey") % 4 + 1).alias("s"), (F.col("p_size") % 3 + 1).alias("t"))
     px = p.select("image_id", "s", "t", F.explode(F.sequence(F.lit(0), F.lit(575))).alias("n")).select("image_id", (F.col("n") % 24).alias("x"), F.expr("cast(n div 24 as int)").alias("y"), F.expr("(n % 24) div s").alias("u"), F.expr("(n div 24) div t").alias("v"))
     k = F.col("image_id")
     r, g, b = (F.col("u") * 67 + F.col("v") * 131 + k * 29) % 256, (F.col("u") * F.col("v") * 41 + k) % 256, (F.col("u") * 89 + F.col("v") * 17) % 256
@@ -91,7 +91,7 @@ EDGE = "abs(a.r - b.r) + abs(a.g - b.g) + abs(a.b - b.b) > 24 AND a.a = 255 AND
 
 @query("w11_edges", f"WITH {PIXELS} SELECT a.image_id, 'x' AS axis, a.x AS pos, count(*) AS n FROM px a JOIN px b ON a.image_id = b.image_id AND a.y = b.y AND a.x = b.x + 1 WHERE {EDGE} GROUP BY 1, 3 UNION ALL SELECT a.image_id, 'y', a.y, count(*) FROM px a JOIN px b ON a.image_id = b.image_id AND a.x = b.x AND a.y = b.y + 1 WHERE {EDGE} GROUP BY 1, 3")
 def w11(spark, d):
-    return P.edges(pixels(spark, d)).groupBy("image_id", "axis", "pos").agg(F.count("*").alias("n"))
+    return P.edge_counts(pixels(spark, d)).select("image_id", "axis", "pos", "n")
 
 
 def palette(spark, d):

@@ -144,3 +144,23 @@ def test_equal_indexes_come_by_key(spark, tmp_path):
     spark.createDataFrame([(k,) for k in reversed(keys)], "p_partkey long").repartition(5).write.parquet(f"{tmp_path}/part.parquet")
     rows = registry.QUERIES["o05_by_index"](spark, str(tmp_path)).collect()
     assert [r.p_partkey for r in sorted(rows, key=lambda r: r.place)] == sorted(keys, key=lambda k: (k % 4 == 0, k))
+
+
+def test_edges_across_tiles(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(4)
+    w, h = 150, 131
+    px = {(i, x, y): (*(rng.choice((0, 20, 60)) for _ in "rgb"), rng.choice((255, 255, 255, 9))) for i in (1, 2) for x in range(w) for y in range(h) if rng.random() < 0.9 or (x, y) == (w - 1, h - 1)}
+    expected = Counter()
+    for (i, x, y), p in px.items():
+        for axis, q, pos, across, every in (("x", px.get((i, x - 1, y)), x, y, h // 64), ("y", px.get((i, x, y - 1)), y, x, w // 64)):
+            if q and p[3] == q[3] == 255 and across % every == 0 and sum(abs(a - b) for a, b in zip(p[:3], q[:3])) > P.EDGE:
+                expected[i, axis, pos] += 1
+    listed = [(*k, *v) for k, v in px.items()]
+    rng.shuffle(listed)
+    df = spark.createDataFrame(listed, "image_id long, x int, y int, r int, g int, b int, a int")
+    assert {(r.image_id, r.axis, r.pos): r.n for r in P.edge_counts(df).collect()} == expected
+    assert P.edges(df).count() == sum(expected.values())
+    assert P.edge_counts(df.limit(0)).count() == 0
