@@ -57,6 +57,19 @@ def test_run_order(spark):
     assert got == {k: plan(t, "t0", set(), []) for k, t in rows}
 
 
+def test_run_order_of_a_long_chain(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    n = 15_000
+    names = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(F.concat(F.lit("t"), k).alias("label"), F.array(F.concat(F.lit("t"), k + 1)).alias("depends_on")))
+    begin = time.time()
+    got = spark.range(1).select(names.alias("tasks")).select(graph.run_order("tasks", F.lit("t0")).alias("o"))
+    assert got.first().o == [f"t{k}" for k in reversed(range(n))]
+    assert time.time() - begin < 60  # a search of the list at each step takes minutes
+
+
 def picture(spark, w, h, seed):
     rng = random.Random(seed)
     px = {(x, y): (rng.randrange(2) * 200, rng.randrange(2) * 90, 7, rng.choice([255, 255, 255, 100])) for x in range(w) for y in range(h)}
