@@ -11,7 +11,7 @@ from ..sources import catalogues as S
 from ..sources import files as Fi
 from ..sources import web
 from . import base
-from .base import CAT, catalogue, pick, query, sql_pick, table
+from .base import CAT, catalogue, pick, query, spread, sql_pick, table
 
 SITE = "https://art.example"
 
@@ -434,7 +434,7 @@ def trailers(spark, d):
     record = F.concat(raw(F.lit("SAUCE00")), raw(pad(F.col("p_name"), 35)), raw(pad(F.col("p_brand"), 20)), raw(pad(F.lit("grp"), 20)), raw(F.lit("19960504")), F.unhex(F.lit("00000000")), byte(F.lit(1)), byte(k % 9), byte(k % 200), byte(F.lit(1)), byte(F.lit(25)), byte(F.lit(0)), F.unhex(F.lit("00000000")), byte(notes), byte(k % 2), raw(pad(F.lit("VGA"), 22)))
     block = F.when(k % 3 == 0, F.concat(raw(F.lit("COMNT")), raw(pad(F.lit("line one"), 64)), raw(pad(F.col("p_type"), 64)))).otherwise(F.unhex(F.lit("")))
     content = F.concat(raw(F.concat(F.lit("art"), k)), F.unhex(F.lit("1A1A")), block, record, F.when(k % 2 == 0, F.unhex(F.lit("0D0A"))).otherwise(F.unhex(F.lit(""))))
-    return parts(spark, d).select(k.alias("path"), F.when(k % 10 == 0, raw(F.lit("no trailer"))).otherwise(content).alias("content"))
+    return spread(parts(spark, d)).select(k.alias("path"), F.when(k % 10 == 0, raw(F.lit("no trailer"))).otherwise(content).alias("content"))
 
 
 @query("s44_sauce_scan", "SELECT p_partkey AS path, p_name AS title, p_brand AS author, '19960504' AS date, CAST(p_partkey % 9 AS INTEGER) AS file_type, CAST(p_partkey % 200 + 256 AS INTEGER) AS tinfo1, p_partkey % 2 = 1 AS ice, 'VGA' AS font, CASE WHEN p_partkey % 3 = 0 THEN 'line one '||p_type ELSE '' END AS comment FROM part WHERE p_partkey % 10 > 0")

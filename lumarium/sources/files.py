@@ -318,7 +318,9 @@ def _trailers(files: DataFrame, content: str) -> DataFrame:
     """files with the start of the record, the record itself, and the comment block before it (empty without one): each is cut
     out of the file once, and what is read from it meets no more of the file."""
     c, s = F.col(content), F.col("_start")
-    found = files.withColumn("_start", sauce_start(content)).withColumn("_record", F.substr(c, s + 1, F.lit(RECORD)))
+    # a generator, through which no filter goes: whatever made the content runs once for a file, not for each use of it
+    once = F.inline(F.transform(F.array(c), lambda x: F.struct(x.alias(content), sauce_start(x).alias("_start"))))
+    found = files.select(*(k for k in files.columns if k != content), once).select(*files.columns, "_start").withColumn("_record", F.substr(c, s + 1, F.lit(RECORD)))
     n = COMMENT_MARK + COMMENT_LINE * _byte(F.col("_record"), F.lit(104))
     there = (n > COMMENT_MARK) & (s >= n)
     found = found.withColumn("_block", F.when(there, F.substr(c, s - n + 1, n)))

@@ -68,6 +68,14 @@ def test_trailers(spark):
     assert cut == dict(files) | {"a": b"art", "b": b"art", "f": b"art"}
 
 
+def test_content_of_trailers_is_made_once(spark):
+    from pyspark.sql import functions as F
+
+    files = spark.range(3).select(F.col("id").alias("path"), F.to_binary(F.rpad(F.col("id").cast("string"), 200, " "), F.lit("utf-8")).alias("content"))
+    for out in (Fi.sauce_scan(files), Fi.sauce_strip(files)):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("rpad(") == 1
+
+
 def test_text_encodings(spark):
     df = spark.createDataFrame([(1, "né".encode()), (2, b"\x82\xdb"), (3, b"")], "id int, content binary")
     assert {r.id: (r.text, r.encoding) for r in Fi.decode_text(df).collect()} == {1: ("né", "utf8"), 2: ("é█", "cp437"), 3: ("", "utf8")}
