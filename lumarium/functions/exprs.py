@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,14 +98,16 @@ def _id8(x: Col) -> Column:
 
 def safe_filename(title: Col, id_: Col, ext: Col, default: str = "file", alnum_id: bool = False) -> Column:
     """``slug [id].ext``: ASCII letters and digits kept, all else an underscore, outer underscores cut, 48 characters."""
-    slug = F.substring(F.btrim(F.regexp_replace(_text(title), "[^A-Za-z0-9]", "_"), F.lit("_")), 1, 48)
+    # at most 48 characters from the first letter or digit on, which end in one unless another follows: no more is replaced
+    head = F.regexp_extract(_text(title), r"(?s)[A-Za-z0-9](?:.{47}(?=[^A-Za-z0-9]*+[A-Za-z0-9])|.{0,46}[A-Za-z0-9])?", 0)
+    slug = F.regexp_replace(head, "[^A-Za-z0-9]", "_")
     ident = F.regexp_replace(_c(id_), "[^A-Za-z0-9]", "") if alnum_id else _c(id_)
     return F.concat(F.when(slug == "", F.lit(default)).otherwise(slug), F.lit(" ["), _id8(ident), F.lit("]."), _c(ext))
 
 
 def catalogue_filename(name: Col, slug: Col, ext: Col) -> Column:
     """The readable variant: spaces stay, separators and brackets become underscores, the whole slug is embedded."""
-    return F.concat(F.btrim(F.regexp_replace(_text(name), r"[/\\\[\]]", "_")), F.lit(" ["), _c(slug).cast("string"), F.lit("]."), _c(ext))
+    return F.concat(F.btrim(reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("_")), "/\\[]", _text(name))), F.lit(" ["), _c(slug).cast("string"), F.lit("]."), _c(ext))
 
 
 #: Extensions that count as images and as sounds in a URL.

@@ -83,3 +83,17 @@ def test_predicates(spark):
         (P.fresh(L(100), L(90), L(10)), True), (P.fresh(L(101), L(90), L(10)), False), (P.fresh(L(10**9), L(0), L(None).cast("int")), True), (P.is_partial(L("v1.mp4.part"), L("v1")), True), (P.is_partial(L("v1.mp4"), L("v1")), False), (P.is_partial(L("v12.f1.mp4"), L("v1")), False),
         (P.ttl_for(L("https://x/pack/latest")), None), (P.ttl_for(L("https://x/latest")), 3600), (P.within_cap(L(None).cast("int"), 5), True), (P.within_cap(L(6), 5), False),
     ])
+
+
+def test_safe_filename_of_long_and_odd_titles(spark):
+    import random
+    import re
+
+    rng = random.Random(9)
+    titles = ["", "\n!\n", "_a_", "a" * 48 + "_", "a" * 47 + "__b", "a" * 47 + "_" * 5000, "a" * 48 + "!" * 5000 + "b", "-" * 300 + "x\ny😀z" + "😀" * 60 + "é1"]
+    titles += ["".join(rng.choice("ab0é_ \n😀") for _ in range(rng.choice((3, 40, 49, 50, 51, 120)))) for _ in range(200)]
+    titles += [x + rng.choice("!_\n😀") * rng.randrange(60) for x in titles]
+    df = spark.createDataFrame(list(enumerate(titles)), "k int, title string").select("k", X.safe_filename("title", F.lit("i"), F.lit("e")).alias("name"), X.catalogue_filename("title", F.lit("i"), F.lit("e")).alias("readable"))
+    slug = [re.sub("[^A-Za-z0-9]", "_", t).strip("_")[:48] for t in titles]
+    assert {r.k: (r.name, r.readable) for r in df.collect()} == {k: (f"{slug[k] or 'file'} [i].e", f"{re.sub(r'[/\\\[\]]', '_', t).strip(' ')} [i].e") for k, t in enumerate(titles)}
+    assert "regexp_replace(regexp_extract(" in df._jdf.queryExecution().optimizedPlan().toString()  # not the whole title
