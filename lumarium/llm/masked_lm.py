@@ -32,6 +32,8 @@ ROUNDS, BATCH, RATE = 2, 4096, 0.2
 SHARD_BYTES, BLOCK_TOKENS, FAN_IN = 16 << 20, 1 << 16, 64
 #: Copies of one text that go to one shard together, and tasks of a round at most (a task takes one shard after the other).
 COPIES, TASKS = 16, 1 << 14
+#: Words that a task holds before it sends their counts.
+COUNTED = 1 << 20
 #: Letters: the bytes, and the border of a word.
 LETTERS = 257
 #: The token beyond either end of a text.
@@ -74,28 +76,38 @@ def letter_pairs(low: np.ndarray, start: np.ndarray) -> np.ndarray:
     return before * LETTERS + low
 
 
-def count_words(docs: DataFrame, top: int) -> Vocabulary:
-    """The ``top`` words of the whole corpus by count, then hash, and its pairs of letters. Each task sends its own counts of
-    distinct words, and those of pairs."""
+def counted(batches):
+    """(kind, word, n) of a task: its counts of distinct words (kind 0), once for each COUNTED of them, and of pairs of letters
+    (kind 1). Texts are cut into words in short runs, whose arrays are cheap to make."""
+    pairs, held, size = np.zeros(LETTERS * LETTERS, np.int64), [], 0
 
-    def run(batches):
-        pairs = np.zeros(LETTERS * LETTERS, np.int64)
+    def rows(kind, key, n):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n.astype(np.int64))], ["kind", "word", "n"])
 
-        def rows(kind, key, n):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n.astype(np.int64))], ["kind", "word", "n"])
+    def words():
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        return rows(0, h.view(np.int64), n)
 
-        for b in batches:
-            for _, _, raw, offs in C.text_chunks(b.column(0), 4 << 20):
-                low = C.LOWER[raw]
-                start, end, _ = C.split_words(low, offs, WORD)
-                h, n = np.unique(C.span_hash(C.prefix_hash(low), start, end), return_counts=True)
-                yield rows(0, h.view(np.int64), n)
-                pairs += np.bincount(letter_pairs(low, start)[WORD[low]], minlength=len(pairs))
-                pairs += np.bincount(low[end - 1].astype(np.int64) * LETTERS + 256, minlength=len(pairs))
-        some = np.flatnonzero(pairs)
-        yield rows(1, some, pairs[some])
-
-    counts = C.written(C.map_batches(docs, run, "kind int, word long, n long").groupBy("kind", "word").agg(F.sum("n").alias("n")))
+    for b in batches:
+        for _, _, raw, offs in C.text_chunks(b.column(0)):
+            low = C.LOWER[raw]
+            start, end, _ = C.split_words(low, offs, WORD)
+            pairs += np.bincount(letter_pairs(low, start)[WORD[low]], minlength=len(pairs))
+            pairs += np.bincount(low[end - 1].astype(np.int64) * LETTERS + 256, minlength=len(pairs))
+            held.append(C.span_hash(C.prefix_hash(low), start, end))
+            size += len(start)
+            if size >= COUNTED:
+                yield words()
+                held, size = [], 0
+    if held:
+        yield words()
+    some = np.flatnonzero(pairs)
+    yield rows(1, some, pairs[some])
+
+
+def count_words(docs: DataFrame, top: int) -> Vocabulary:
+    """The ``top`` words of the whole corpus by count, then hash, and its pairs of letters."""
+    counts = C.written(C.map_batches(docs, counted, "kind int, word long, n long").groupBy("kind", "word").agg(F.sum("n").alias("n")))
     letters = np.zeros(LETTERS * LETTERS)
     for r in counts.where("kind = 1").collect():
         letters[r.word] = r.n
@@ -110,8 +122,8 @@ def contexts(ids: np.ndarray, row: np.ndarray) -> np.ndarray:
     out = np.full((n, 2 * WINDOW), EDGE)
     for k in range(1, WINDOW + 1):
         same = row[k:] == row[:-k]
-        out[k:, k - 1][same] = ids[:-k][same]
-        out[: n - k, WINDOW + k - 1][same] = ids[k:][same]
+        out[k:, k - 1] = np.where(same, ids[:-k], EDGE)
+        out[: n - k, WINDOW + k - 1] = np.where(same, ids[k:], EDGE)
     return out
 
 
@@ -125,18 +137,19 @@ def targets(row: np.ndarray, k: int, rounds: int) -> np.ndarray:
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
-    """Probabilities of the rows of z, in its place."""
-    z -= z.max(-1, keepdims=True)
+    """Probabilities of the columns of z, in its place. A row of z is one choice for all tokens, so that each step here is one
+    pass over whole rows."""
+    z -= z.max(0)
     np.exp(z, out=z)
-    z /= z.sum(-1, keepdims=True)
+    z /= z.sum(0)
     return z
 
 
-def log_chosen(z: np.ndarray, column) -> np.ndarray:
-    """The log probability of one column of each row of z; no other is worked out."""
-    z = z - z.max(-1, keepdims=True)
-    own = z[np.arange(len(z)), column]
-    return own - np.log(np.exp(z, out=z).sum(-1))
+def log_chosen(z: np.ndarray, row) -> np.ndarray:
+    """The log probability of one row of z in each column, in double precision; z is used up."""
+    z -= z.max(0)
+    own = z[row, np.arange(z.shape[1])].astype(float)
+    return own - np.log(np.exp(z, out=z).sum(0, dtype=float))
 
 
 def sorted_by(small: np.ndarray) -> np.ndarray:
@@ -144,6 +157,24 @@ def sorted_by(small: np.ndarray) -> np.ndarray:
     return np.argsort(small.astype(np.uint16), kind="stable")
 
 
+def run_sums(x: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows of x, each not empty. A run is put together from sums of aligned blocks of 1, 2, 4 rows and so on,
+    two of a size at most, so each size takes a few operations over all runs."""
+    out = np.zeros((len(first), x.shape[1]), x.dtype)
+    a, b, run = first, first + count, np.arange(len(first))
+    while True:
+        odd = np.flatnonzero(a & 1)
+        out[run[odd]] += x.take(a[odd], 0)
+        a = a + (a & 1)
+        odd = np.flatnonzero((b & 1) & (a < b))
+        out[run[odd]] += x.take(b[odd] - 1, 0)
+        left = np.flatnonzero(a < b - (b & 1))
+        if not len(left):
+            return out
+        a, b, run = a[left] >> 1, b[left] >> 1, run[left]
+        x = x[: len(x) & -2 : 2] + x[1::2]
+
+
 class Network:
     def __init__(self, seed: int = 3):
         rng = np.random.default_rng(seed)
@@ -159,59 +190,64 @@ class Network:
         self.inner, self.group, self.member = np.stack(parts[:k]), parts[k], np.stack(parts[k + 1 :])
         return self
 
+    def heads(self) -> np.ndarray:
+        """Weights of each group for both choices, that of a group and that of its members, side by side."""
+        return np.concatenate([np.broadcast_to(self.group, (GROUPS, *self.group.shape)), self.member], 2)
+
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        h = np.ones((len(context), HIDDEN + 1), np.float32)
-        x = self.inner[0][context[:, 0]]
+        x = self.inner[0].take(context[:, 0], 0)
         for k in range(1, 2 * WINDOW):
-            x = x + self.inner[k][context[:, k]]
-        h[:, :HIDDEN] = np.tanh(x)
+            x += self.inner[k].take(context[:, k], 0)
+        h = np.ones((len(context), HIDDEN + 1), np.float32)
+        h[:, :HIDDEN] = np.tanh(x, out=x)
         return h
 
     def log_probabilities(self, ids: np.ndarray, context: np.ndarray) -> np.ndarray:
         """log p(token | both sides) for each token. Products are summed in double precision, since a float sum depends on how
         many tokens are multiplied at once, and that on how rows are dealt."""
         out = np.empty(len(ids))
-        to_group, to_member = self.group.astype(float), self.member.astype(float)
+        heads = self.heads().astype(float)
         # tokens of one group together, so that each group is one matrix product
         group, member = ids % GROUPS, ids // GROUPS
         order = sorted_by(group)
         cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
         for g in range(GROUPS):
             at = order[cuts[g] : cuts[g + 1]]
-            for lo in range(0, len(at), 8192):
-                part = at[lo : lo + 8192]
-                h = self.hidden(context[part]).astype(float)
-                out[part] = log_chosen((h @ to_group).astype(np.float32), g) + log_chosen((h @ to_member[g]).astype(np.float32), member[part])
+            for lo in range(0, len(at), 2048):
+                part = at[lo : lo + 2048]
+                z = (heads[g].T @ self.hidden(context.take(part, 0)).astype(float).T).astype(np.float32)
+                out[part] = log_chosen(z[:GROUPS], g) + log_chosen(z[GROUPS:], member[part])
         return out
 
     def step(self, ids: np.ndarray, context: np.ndarray, rate: float) -> None:
         """One step of gradient ascent on the mean log probability."""
         n, group, member = len(ids), ids % GROUPS, ids // GROUPS
         order = sorted_by(group)
-        group, member, context = group[order], member[order], context[order]
-        h = self.hidden(context)
-        err = np.negative(softmax(h @ self.group))
-        err[np.arange(n), group] += 1
-        back = err @ self.group.T
-        grad_group = h.T @ err
-        cuts = np.searchsorted(group, np.arange(GROUPS + 1))
-        for g in range(GROUPS):
-            a, b = cuts[g], cuts[g + 1]
-            if a == b:
-                continue
-            e = np.negative(softmax(h[a:b] @ self.member[g]))
-            e[np.arange(b - a), member[a:b]] += 1
-            back[a:b] += e @ self.member[g].T
-            self.member[g] += rate * 4 / n * (h[a:b].T @ e)
-        self.group += rate / n * grad_group
-        d = back[:, :HIDDEN] * (1 - h[:, :HIDDEN] ** 2)
-        for k in range(2 * WINDOW):
-            o = sorted_by(context[:, k])
-            c = context[o, k]
-            first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-            count = np.diff(np.append(first, n))
-            # frequent neighbours move by their mean, rare ones less
-            self.inner[k][c[first]] += rate * np.add.reduceat(d[o], first, axis=0) / np.sqrt(count)[:, None] / np.sqrt(n) * 4
+        group, member, context = group[order], member[order], context.take(order, 0)
+        h, heads = self.hidden(context), self.heads()
+        cuts = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+        # the choices of all tokens, a column each: first scores, then probabilities less what was chosen
+        z = np.empty((GROUPS + GROUP_SIZE, n), np.float32)
+        for g, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            np.matmul(heads[g].T, h[a:b].T, out=z[:, a:b])
+        for part, chosen in ((z[:GROUPS], group), (z[GROUPS:], member)):
+            softmax(part)[chosen, np.arange(n)] -= 1
+        back, slope = np.empty((n, HIDDEN), np.float32), np.empty_like(heads)
+        for g, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            np.matmul(z[:, a:b].T, heads[g, :HIDDEN].T, out=back[a:b])
+            np.matmul(h[a:b].T, z[:, a:b].T, out=slope[g])
+        self.member -= rate * 4 / n * slope[:, :, GROUPS:]
+        self.group -= rate / n * slope[:, :, :GROUPS].sum(0)
+        back *= 1 - h[:, :HIDDEN] ** 2
+        # the neighbours of all places at once
+        key = (context + np.arange(2 * WINDOW) * (VOCAB + 1)).reshape(-1)
+        order = sorted_by(key)
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        count = np.diff(np.append(first, len(key)))
+        # frequent neighbours move by their mean, rare ones less
+        move = (rate * 4 / np.sqrt(n * count)).astype(np.float32)[:, None]
+        self.inner.reshape(-1, HIDDEN)[key[first]] -= move * run_sums(back.take(order // (2 * WINDOW), 0), first, count)
 
 
 def train_shard(network: Network, texts: list[np.ndarray], rate: float, k: int, rounds: int, seed: int) -> None:
@@ -223,7 +259,7 @@ def train_shard(network: Network, texts: list[np.ndarray], rate: float, k: int,
     around = contexts(ids, row)
     for lo in range(0, len(pick), BATCH):
         part = pick[lo : lo + BATCH]
-        network.step(ids[part], around[part], rate)
+        network.step(ids[part], around.take(part, 0), rate)
 
 
 WEIGHTS = "shard long, part int, tokens double, weights binary"
@@ -237,6 +273,7 @@ def _train_round(encoded: DataFrame, shards: int, network, rate: float, k: int,
         return pa.RecordBatch.from_arrays([pa.array([shard] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array([float(tokens)] * len(parts)), pa.array([p.astype(np.float64).tobytes() for p in parts], pa.binary())], ["shard", "part", "tokens", "weights"])
 
     def run(batches):
+        C.roomy()
         shard, net, seen, held, size = None, None, 0, [], 0
         for b in batches:
             rows = ((s, x) for s, x, n in zip(*(c.to_pylist() for c in b.columns), strict=True) for _ in range(n))

@@ -1,4 +1,6 @@
 import random
+import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -130,3 +132,86 @@ def test_invented_words_score_lower_than_rare_ones(spark):
     ids, _, spelled = v.ids(*C.utf8(pa.array(["the lingering qzxjkqvwx"])))
     assert spelled[0] == 0 or ids[0] >= M.VOCAB - M.OTHER
     assert spelled[2] < spelled[1] - 10 < 0
+
+
+def plain_step(net, ids, context, rate):
+    """The step by one operation after the other, for each group and place of its own."""
+
+    def softmax(z):
+        z = np.exp(z - z.max(-1, keepdims=True))
+        return z / z.sum(-1, keepdims=True)
+
+    n, k = len(ids), 2 * M.WINDOW
+    order = np.argsort(ids % M.GROUPS, kind="stable")
+    group, member, context = ids[order] % M.GROUPS, ids[order] // M.GROUPS, context[order]
+    h = np.ones((n, M.HIDDEN + 1), np.float32)
+    h[:, : M.HIDDEN] = np.tanh(sum(net.inner[j][context[:, j]] for j in range(k)))
+    err = -softmax(h @ net.group)
+    err[np.arange(n), group] += 1
+    back = err @ net.group.T
+    cuts = np.searchsorted(group, np.arange(M.GROUPS + 1))
+    for g in range(M.GROUPS):
+        a, b = cuts[g], cuts[g + 1]
+        e = -softmax(h[a:b] @ net.member[g]) if a < b else np.zeros((0, M.GROUP_SIZE), np.float32)
+        e[np.arange(b - a), member[a:b]] += 1
+        back[a:b] += e @ net.member[g].T
+        net.member[g] += rate * 4 / n * (h[a:b].T @ e)
+    net.group += rate / n * (h.T @ err)
+    d = back[:, : M.HIDDEN] * (1 - h[:, : M.HIDDEN] ** 2)
+    for j in range(k):
+        o = np.argsort(context[:, j].astype(np.uint16), kind="stable")
+        c = context[o, j]
+        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+        net.inner[j][c[first]] += rate * np.add.reduceat(d[o], first, axis=0) / np.sqrt(np.diff(np.append(first, n)))[:, None] / np.sqrt(n) * 4
+
+
+def test_a_step_is_the_plain_one_in_less_time(spark):
+    often = 1 / np.arange(1, M.VOCAB + 2)
+
+    def run(batches):
+        # in a worker, where products take one thread
+        list(batches)
+        C.roomy()
+        rng = np.random.default_rng(4)
+        nets, took = (M.Network(), M.Network()), ([], [])
+        for n in (*[M.BATCH] * 12, 37, 2, 1):
+            ids = rng.choice(M.VOCAB, n, p=often[:-1] / often[:-1].sum())
+            around = rng.choice(M.VOCAB + 1, (n, 2 * M.WINDOW), p=often / often.sum())
+            for net, step, t in zip(nets, (M.Network.step, plain_step), took, strict=True):
+                began = time.process_time()
+                step(net, ids, around, M.RATE)
+                t.append(time.process_time() - began)
+        off = max(float(abs(x - y).max()) for x, y in zip(*(net.parts() for net in nets), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([off]), *(pa.array([min(t[:12])]) for t in took)], ["off", "fast", "plain"])
+
+    r = spark.range(1).repartition(1).mapInArrow(run, "off double, fast double, plain double").first()
+    assert r.off < 1e-4
+    assert r.fast < 0.85 * r.plain, r
+
+
+def test_sums_of_runs():
+    rng = np.random.default_rng(6)
+    for lengths in ([1], [2], [5], [1, 1, 1], [1, 4096, 3, 900, 1], rng.integers(1, 9, 500), rng.zipf(1.5, 300).clip(1, 2000)):
+        count = np.array(lengths)
+        x = rng.normal(size=(count.sum(), 3))
+        first = np.cumsum(count) - count
+        assert np.allclose(M.run_sums(x, first, count), np.add.reduceat(x, first, axis=0))
+
+
+def test_a_task_sends_a_word_once(monkeypatch):
+    # texts of more than 4 MB together, in two batches
+    texts = ["Some words, some more. " * 100_000, "more of it " * 300_000, None, "", "it"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(t, pa.string())], ["text"]) for t in (texts[:2], texts[2:])]
+    count = Counter(w for t in texts if t for w in t.lower().replace(",", "").replace(".", "").split())
+    hashes = {int(h): w for w in count for h in C.word_hashes(*C.utf8(pa.array([w])), M.WORD)[0].view(np.int64)}
+    for held in (1 << 30, 1000):
+        monkeypatch.setattr(M, "COUNTED", held)
+        rows = [r for b in M.counted(iter(batches)) for r in b.to_pylist()]
+        words = Counter()
+        for r in rows:
+            if r["kind"] == 0:
+                words[hashes[r["word"]]] += r["n"]
+        assert words == count
+        assert held == 1000 or sum(r["kind"] == 0 for r in rows) == len(count)
+        # each letter once as the second of its pair, and each border after a word
+        assert sum(r["n"] for r in rows if r["kind"] == 1) == sum((len(w) + 1) * n for w, n in count.items())
