@@ -32,8 +32,12 @@ ROUNDS, BATCH, RATE = 2, 4096, 0.2
 SHARD_BYTES, BLOCK_TOKENS, FAN_IN = 16 << 20, 1 << 16, 64
 #: Copies of one text that go to one shard together, and tasks of a round at most (a task takes one shard after the other).
 COPIES, TASKS = 16, 1 << 14
+#: Rows of a run that are added to those of other runs at once.
+LEVELS = 16
 #: Words that a task holds before it sends their counts.
 COUNTED = 1 << 20
+#: Upper bits of a hash by which words are looked up.
+UPPER = 16
 #: Letters: the bytes, and the border of a word.
 LETTERS = 257
 #: The token beyond either end of a text.
@@ -49,18 +53,26 @@ class Vocabulary:
         h = np.array(hashes, np.int64).view(np.uint64)
         self.order = np.argsort(h)
         self.hashes = h[self.order]
+        # where the hashes with some upper bits start, and how many share them at most
+        self.first = np.searchsorted(self.hashes, np.arange(1 << UPPER, dtype=np.uint64) << np.uint64(64 - UPPER))
+        self.shared = int(np.diff(np.append(self.first, len(h))).max())
         self.spelling = np.log((letters + 0.1) / (letters + 0.1).sum(1, keepdims=True)).reshape(-1)
 
-    def ids(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Id, row and spelling of each word: the log probability of its letters, 0 for words with an id of their own."""
+    def ids(self, raw: np.ndarray, offs: np.ndarray, spell: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Id, row and spelling of each word: the log probability of its letters, 0 for words with an id of their own. Training
+        needs no spelling."""
         low = C.LOWER[raw]
         start, end, row = C.split_words(low, offs, WORD)
         h = C.span_hash(C.prefix_hash(low), start, end)
         other = low[end - 1].astype(np.int64) * 7 + low[np.maximum(end - 2, start)].astype(np.int64) * 31
         out = VOCAB - OTHER + other % OTHER
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            out = np.where(self.hashes[at] == h, self.order[at], out)
+        first = self.first.take((h >> np.uint64(64 - UPPER)).astype(np.int64))
+        for k in range(self.shared):
+            at = np.minimum(first + k, len(self.hashes) - 1)
+            found = np.flatnonzero(self.hashes.take(at) == h)
+            out[found] = self.order[at[found]]
+        if not spell:
+            return out, row, None
         steps = np.zeros(len(low) + 1)
         np.cumsum(self.spelling[letter_pairs(low, start)], out=steps[1:])
         # up to each letter from the one before it, and from the last one to the border
@@ -157,22 +169,23 @@ def sorted_by(small: np.ndarray) -> np.ndarray:
     return np.argsort(small.astype(np.uint16), kind="stable")
 
 
-def run_sums(x: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Sums of runs of rows of x, each not empty. A run is put together from sums of aligned blocks of 1, 2, 4 rows and so on,
-    two of a size at most, so each size takes a few operations over all runs."""
-    out = np.zeros((len(first), x.shape[1]), x.dtype)
-    a, b, run = first, first + count, np.arange(len(first))
-    while True:
-        odd = np.flatnonzero(a & 1)
-        out[run[odd]] += x.take(a[odd], 0)
-        a = a + (a & 1)
-        odd = np.flatnonzero((b & 1) & (a < b))
-        out[run[odd]] += x.take(b[odd] - 1, 0)
-        left = np.flatnonzero(a < b - (b & 1))
-        if not len(left):
-            return out
-        a, b, run = a[left] >> 1, b[left] >> 1, run[left]
-        x = x[: len(x) & -2 : 2] + x[1::2]
+def run_sums(x: np.ndarray, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of runs, from long to short, and their sums in it. ``at`` names the rows of x run after run, ``count`` of them for
+    each, at least one. The first rows of all runs are added at once, then the second ones and so on; only what is left of long
+    runs is summed run by run."""
+    order = np.argsort(-count, kind="stable")
+    first, count = (np.cumsum(count) - count)[order], count[order]
+    out = x.take(at[first], 0)
+    for k in range(1, LEVELS + 1):
+        n = int(np.searchsorted(-count, -k))
+        if not n:
+            break
+        if k < LEVELS:
+            out[:n] += x.take(at[first[:n] + k], 0)
+        else:
+            left = count[:n] - k
+            out[:n] += np.add.reduceat(x.take(at[C.ranges(first[:n] + k, left)], 0), np.cumsum(left) - left, axis=0)
+    return order, out
 
 
 class Network:
@@ -245,9 +258,12 @@ class Network:
         key = key[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         count = np.diff(np.append(first, len(key)))
+        # two columns are summed as one complex number, in half the loops
+        run, total = run_sums(back.view(np.complex64), order // (2 * WINDOW), count)
         # frequent neighbours move by their mean, rare ones less
-        move = (rate * 4 / np.sqrt(n * count)).astype(np.float32)[:, None]
-        self.inner.reshape(-1, HIDDEN)[key[first]] -= move * run_sums(back.take(order // (2 * WINDOW), 0), first, count)
+        move = (rate * 4 / np.sqrt(n * count[run])).astype(np.float32)[:, None]
+        at, inner = key[first[run]], self.inner.reshape(-1, HIDDEN)
+        inner[at] = inner.take(at, 0) - move * total.view(np.float32)
 
 
 def train_shard(network: Network, texts: list[np.ndarray], rate: float, k: int, rounds: int, seed: int) -> None:
@@ -334,7 +350,7 @@ def _encoded(docs: DataFrame, vocabulary, shards: int) -> DataFrame:
     def run(batches):
         for b in batches:
             for lo, hi, raw, offs in C.text_chunks(b.column(1)):
-                ids, row, _ = vocabulary.value.ids(raw, offs)
+                ids, row, _ = vocabulary.value.ids(raw, offs, spell=False)
                 data = ids.astype("<u2").tobytes()
                 cuts = (2 * np.concatenate([[0], np.cumsum(np.bincount(row, minlength=hi - lo))])).tolist()
                 some = [i for i in range(hi - lo) if cuts[i] < cuts[i + 1]]

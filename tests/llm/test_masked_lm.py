@@ -194,8 +194,10 @@ def test_sums_of_runs():
     for lengths in ([1], [2], [5], [1, 1, 1], [1, 4096, 3, 900, 1], rng.integers(1, 9, 500), rng.zipf(1.5, 300).clip(1, 2000)):
         count = np.array(lengths)
         x = rng.normal(size=(count.sum(), 3))
-        first = np.cumsum(count) - count
-        assert np.allclose(M.run_sums(x, first, count), np.add.reduceat(x, first, axis=0))
+        at = rng.permutation(len(x))
+        order, got = M.run_sums(x, at, count)
+        assert sorted(order) == list(range(len(count)))
+        assert np.allclose(got, np.add.reduceat(x[at], np.cumsum(count) - count, axis=0)[order])
 
 
 def test_a_task_sends_a_word_once(monkeypatch):
